@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import fingerprints, line_dedup, quality, secrets
+from fieldloom.llm import fingerprints, line_dedup, packing, quality, secrets, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_bitplane_tokens": token_files.op6_bitplane_tokens,
     "op7_syncmer_fingerprints": fingerprints.op7_syncmer_fingerprints,
     "op9_secret_ledger": secrets.op9_secret_ledger,
+    "op10_config_lp_packing": packing.op10_config_lp_packing,
 }
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL}
