@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import fingerprints, line_dedup, packing, quality, secrets, token_files
+from fieldloom.llm import fingerprints, language_mixture, line_dedup, near_dedup, packing, quality, secrets, token_files, url_filters
 
 QUERIES = {
+    "op1_language_mixture": language_mixture.op1_language_mixture,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_order_minhash": near_dedup.op5_order_minhash,
     "op6_bitplane_tokens": token_files.op6_bitplane_tokens,
     "op7_syncmer_fingerprints": fingerprints.op7_syncmer_fingerprints,
+    "op8_url_filters": url_filters.op8_url_filters,
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_config_lp_packing": packing.op10_config_lp_packing,
 }
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
