@@ -60,3 +60,20 @@ def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
         return df
     steps = 1 << 30
     return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(steps)) < int(steps * bound / n))
+
+
+def carry(df: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): all columns of df in one struct, so that their names clash with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
+
+
+def restore(df: DataFrame, columns: list[str], text: Column | None = None, changed: Column | None = None) -> DataFrame:
+    """The carried columns; where changed is true, with a new text and, if there is one, n_chars to match."""
+
+    def column(c: str) -> Column:
+        old = F.col("_row").getField(c)
+        if text is None or c not in ("text", "n_chars"):
+            return old.alias(c)
+        return F.when(changed, text if c == "text" else F.length(text).cast("long")).otherwise(old).alias(c)
+
+    return df.select(*[column(c) for c in columns])

@@ -94,9 +94,9 @@ def span_string(found: Column, names: list[str]) -> Column:
 
 def redact(df: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, mark: str = "[secret]") -> DataFrame:
     """df with each run of overlapping spans in text replaced by mark; n_chars, where present, follows."""
-    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = df.withColumn("_sha", F.unhex(F.sha2(text, 256))).join(known, F.col("_sha") == F.col("_blob"), "left")
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", F.col("findings").alias("found"))
+    joined = common.carry(df).withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(known, "blob", "left")
+    text = F.col("text")
     seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -104,9 +104,8 @@ def redact(df: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, m
         piece = F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_found", seed, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = joined.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean)).drop("_sha", "_blob", "_found")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in df.columns else out
+    clean = F.aggregate("found", seed, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return common.restore(joined, df.columns, clean, F.col("found").isNotNull())
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
