@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import fingerprints, language_mixture, line_dedup, near_dedup, packing, quality, secrets, token_files, url_filters
+from fieldloom.llm import fingerprints, language_mixture, line_dedup, near_dedup, packing, quality, secrets, sentencepieces, token_files, url_filters
 
 QUERIES = {
     "op1_language_mixture": language_mixture.op1_language_mixture,
+    "op2_sentencepiece_scan": sentencepieces.op2_sentencepiece_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_order_minhash": near_dedup.op5_order_minhash,
