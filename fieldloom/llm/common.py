@@ -70,10 +70,13 @@ def carry(df: DataFrame) -> DataFrame:
 def restore(df: DataFrame, columns: list[str], text: Column | None = None, changed: Column | None = None) -> DataFrame:
     """The carried columns; where changed is true, with a new text and, if there is one, n_chars to match."""
 
+    if text is not None:  # named first: a lambda inside it must not see the columns that are selected beside it
+        df = df.withColumn("_text", text).withColumn("_changed", changed)
+
     def column(c: str) -> Column:
         old = F.col("_row").getField(c)
         if text is None or c not in ("text", "n_chars"):
             return old.alias(c)
-        return F.when(changed, text if c == "text" else F.length(text).cast("long")).otherwise(old).alias(c)
+        return F.when(F.col("_changed"), F.col("_text") if c == "text" else F.length("_text").cast("long")).otherwise(old).alias(c)
 
     return df.select(*[column(c) for c in columns])
