@@ -120,3 +120,8 @@ def test_template_catalogue(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"id": "t", "name": "T", "required": ["a"], "fields": {"a": {"label": "A"}, "b": {"label": "B", "aliases": ["BB"], "required": true}, "c": {"label": "C"}}}')
     rows = {r.field: r for r in tables.template_catalogue(spark, str(tmp_path)).collect()}
     assert rows["a"].required and rows["b"].required and not rows["c"].required and rows["b"].aliases == ["BB"] and rows["a"].window_size == 120
+
+
+@pytest.mark.parametrize("value, want", [("SURNAME", 10 + 12.5 + 8 + 10), ("", 12.5), ("V<USASMITH<<JOHN<<<<<<<<<<<<<<", (40 + 25 + 12) * 0.35 + 12.5), ("VISA\n12/03/2020", 12.5 + 8 + 15)])
+def test_pass_score(spark, value, want):
+    assert one(spark, value, lambda c: passes.score(c, F.lit(50.0))) == round(want, 6)
