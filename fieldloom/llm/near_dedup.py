@@ -11,7 +11,14 @@ Pairs.  Exact copies are one row from the start.  In a bucket every text is pair
 most company in all its buckets, found by a map-side aggregate) and with its WINDOW predecessors in the order of its next
 sketches; buckets of more than SPLIT texts are cut by a hash for that order.  A bucket of up to WINDOW + 1 texts thus gives
 all its pairs, and no bucket gives a square.  Each text's best pair is aligned first; then all pairs that still stand between
-different components are.  The classes are the connected components.
+different components are.
+
+The rest of the big buckets.  Texts of buckets of more than WINDOW + 1 texts that still lie in different components are joined
+by an exact prefix filter: similarity SIMILAR needs a share of SIMILAR of either text's labelled shingles, so that two such
+texts have one in common among the first n - ceil(SIMILAR * n) + 1 of each, in any order all texts agree on.  The order puts
+shingles common in a bounded sample last (this is for speed only), positions in it bound what can still be shared, a shingle
+of more than BLOCK texts is joined block by block in tasks of their own, and the pairs left between different components are
+aligned.  So no pair that meets in a bucket is lost.  The classes are the connected components.
 
 Texts move once, for those that share a bucket; afterwards only 32-bit shingle sequences do.
 
@@ -30,6 +37,7 @@ from fieldloom.llm import common, tokens
 
 WORDS, BANDS, LEAST, SIMILAR = 5, 16, 3, 0.8
 WINDOW, SPLIT = 3, 1024
+BLOCK, RARITY_TEXTS, RARITY_LIST = 256, 10_000, 50_000
 RUN_CHARS = 1_000_000
 MIX_A, MIX_B, PAD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
@@ -220,14 +228,89 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """sketches (node, n, bands) -> (a, b, votes): pairs with a < b, and in how many places they met."""
+def labelled(seq: bytes):
+    """uint64 array: the 32-bit shingles of a sequence labelled with how often they have occurred before, mixed."""
+    import numpy as np
+
+    v = np.frombuffer(seq, "<u4").astype("u8")
+    order = np.argsort(v, kind="stable")
+    step = np.arange(len(v))
+    times = np.zeros(len(v), "u8")
+    times[order] = step - np.maximum.accumulate(np.where(np.r_[False, v[order][1:] == v[order][:-1]], 0, step))
+    with np.errstate(over="ignore"):
+        return _mix(v | (times << np.uint64(32)))
+
+
+def _labels(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for seq in batch.column("seq"):
+            yield pa.RecordBatch.from_arrays([pa.array(labelled(seq.as_buffer()).view(np.int64))], ["token"])
+
+
+def _prefixes(listed):
+    """The first labelled shingles of each text, those in `listed` (tokens sorted, and their counts) last."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        known, counts = listed.value
+        for batch in batches:
+            for node, seq in zip(batch.column("node").to_pylist(), batch.column("seq")):
+                token = labelled(seq.as_buffer()).view(np.int64)
+                n, cost = len(token), np.zeros(len(token), "i8")
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                    cost = np.where(known[at] == token, counts[at], 0)
+                head = token[np.lexsort((token, cost))][: n - int(np.ceil(SIMILAR * n - 1e-6)) + 1]
+                k = len(head)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(np.full(k, node)), pa.array(np.full(k, n)), pa.array(np.arange(k))], ["token", "node", "n", "pos"])
+
+    return run
+
+
+def rest_of_buckets(buckets: DataFrame, sequences: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): of the texts in big buckets that hold several components, all pairs between components that may reach SIMILAR.
+
+    A superset of such pairs: each pair of similarity SIMILAR shares a shingle of both prefixes, at positions that leave enough.
+    """
+    import numpy as np
+
+    big = buckets.where(F.col("size") > WINDOW + 1).select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = big.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
+    still = common.materialize(big.join(mixed, ["band", "key"], "left_semi").select("node", "label").distinct(), "open")
+    open_sequences = sequences.join(still, "node")
+    seen = common.bounded_sample(still, "node", RARITY_TEXTS).select("node")
+    often = sequences.join(seen, "node", "left_semi").select("seq").mapInArrow(_labels, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    often = sorted((r["token"], r["k"]) for r in often.where(F.col("k") > 2).orderBy(F.desc("k"), "token").limit(RARITY_LIST).collect())
+    listed = buckets.sparkSession.sparkContext.broadcast((np.array([t for t, _ in often], "i8"), np.array([k for _, k in often], "i8")))
+    heads = open_sequences.select("node", "seq").mapInArrow(_prefixes(listed), "token long, node long, n long, pos long")
+    heads = common.materialize(heads.join(still, "node"), "prefixes")
+    hot = heads.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)  # at most one in BLOCK rows
+    heads = heads.join(F.broadcast(hot), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+    heads = heads.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda x, y, c: heads.select("token", F.col(x).alias("x"), F.col(y).alias("y"), F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "pos", "label")])
+    pairs = side("own", "other", "a").join(side("other", "own", "b"), ["token", "x", "y"])
+    enough = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= SIMILAR / (1 + SIMILAR) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    near = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-6
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near & enough).select("a", "b").distinct()
+
+
+def filled_buckets(sketches: DataFrame) -> DataFrame:
+    """sketches (node, n, bands) -> (band, key, node, n, next1, next2, size) of the buckets of two texts or more."""
     index = F.posexplode("bands")
     rows = sketches.where(F.col("n") > 0).select("node", "n", "bands", index.alias("band", "key"))
     after = lambda j: F.get("bands", (F.col("band") + j) % BANDS)
     rows = rows.select("node", "n", "band", "key", after(1).alias("next1"), after(2).alias("next2"))
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    rows = common.materialize(rows.join(sizes, ["band", "key"]), "buckets")
+    return common.materialize(rows.join(sizes, ["band", "key"]), "buckets")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """filled_buckets -> (a, b, votes): pairs with a < b, and in how many places they met."""
     company = rows.groupBy("node").agg(F.sum(F.log2("size")).alias("company"))
     hubs = rows.join(company, "node").groupBy("band", "key").agg(F.max(F.struct(F.round("company", 6).alias("c"), (-F.col("node")).alias("x"), F.col("n").alias("n"))).alias("h"))
     hubs = hubs.select("band", "key", (-F.col("h.x")).alias("other"), F.col("h.n").alias("m"))
@@ -248,8 +331,10 @@ def near_classes(df: DataFrame) -> DataFrame:
     # one row per distinct text; texts without words stay apart
     rows = common.materialize(sketched, "sketches")
     nodes = common.materialize(rows.where(F.col("n") > 0).groupBy("blob").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.min("bands").alias("bands")), "nodes")
-    pairs = common.materialize(candidates(nodes.select("node", "n", "bands")), "pairs")
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "blob"), "node")
+    buckets = filled_buckets(nodes.select("node", "n", "bands"))
+    pairs = common.materialize(candidates(buckets), "pairs")
+    big = buckets.where(F.col("size") > WINDOW + 1).select("node")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(big).distinct().join(nodes.select("node", "blob"), "node")
     texts = docs.join(met.select(F.col("node").alias("_n"), F.col("blob").alias("_b")), (F.col("doc_id") == F.col("_n")) & (F.col("blob") == F.col("_b")), "left_semi")
     sequences = common.materialize(texts.select("doc_id", "text").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
     best = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
@@ -259,8 +344,11 @@ def near_classes(df: DataFrame) -> DataFrame:
     side = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
     rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(side("a", "la"), "a", "left").join(side("b", "lb"), "b", "left")
     rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    more = verified(rest, sequences)
-    labels = components(links.unionByName(more))
+    links = common.materialize(links.unionByName(verified(rest, sequences)), "links")
+    labels = components(links)
+    last = common.materialize(verified(rest_of_buckets(buckets, sequences, labels), sequences), "links")
+    if last.limit(1).count():
+        labels = components(links.unionByName(last))
     classes = nodes.select("blob", "node").join(labels, "node", "left").select("blob", F.coalesce("label", "node").alias("class_id"))
     return rows.select("doc_id", "blob", "n").join(classes, "blob", "left").select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 

@@ -126,6 +126,29 @@ def test_near_dedup_classes(spark):
     assert near_dedup.near_classes(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_near_dedup_loses_no_link_in_a_hot_bucket(spark):
+    """All texts share a passage (similarity just under 0.8); pairs that share five words more reach it."""
+    random.seed(14)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, texts = words(400), []
+    for _ in range(50):
+        more = words(5)
+        texts += [" ".join(passage + more + words(45)) for _ in range(2)]
+    texts += [" ".join(passage + words(50)) for _ in range(60)]
+    random.shuffle(texts)
+    hashes, count = near_dedup.shingle_hashes(texts)
+    ends = [sum(count[: i + 1]) for i in range(len(texts))]
+    seqs = [hashes[e - c : e].tolist() for e, c in zip(ends, count)]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if near_dedup.similarity(seqs[a], seqs[b]) >= 0.8:
+                want = [want[a] if x == want[b] else x for x in want]
+    assert len(set(want)) == 110
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_banded_alignment_matches_plain_lcs():
     random.seed(5)
 
