@@ -3,9 +3,10 @@
 Documents become pieces of at most CAPACITY tokens (only longer documents are cut; the first piece takes the remainder).  The
 histogram of piece lengths has at most CAPACITY entries however large the corpus, so the program is solved on the driver:
 multiplicative weights hold a price for each length, an unbounded-knapsack dynamic program finds the configuration (multiset of
-lengths that fit) of the highest price, and the average of the configurations found is a near-optimal fractional packing.  It
-is rounded down, and what is left over is packed best-fit-decreasing, again on counts.  The plain best-fit-decreasing packing
-is taken instead where it needs fewer sequences.
+lengths that fit) of the highest price whatever it fills, and the sum of small steps along the configurations found is a
+near-optimal fractional covering.  It is rounded down, and what is left over is packed best-fit-decreasing, again on counts.
+Where many lengths have few pieces each, rounding costs more than the program gains, so two other packings are made: full
+configurations served in whole sequences at such prices, and plain best-fit-decreasing.  The one of fewest sequences is taken.
 
 The result is a slot table (length, first rank, how many, first sequence, offset).  Pieces are ranked inside their length:
 counts per (length, hash bucket) are added up first, so that a length shared by a third of all pieces is still ranked in many
@@ -28,6 +29,7 @@ from fieldloom.llm import common, tokens
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, STEP, RATE, SLACK = 60, 0.5, 0.2, 0.0005
+LP_ROUNDS, LP_RATE, LP_STEP, LP_SLACK = 120, 40.0, 0.02, 0.002
 PIECES_IN_A_BUCKET = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -111,9 +113,9 @@ def knapsack(weights, lengths, capacity: int):
 
 
 def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, rate: float = RATE, slack: float = SLACK):
-    """Yields (how many, lengths of one sequence) of a covering of the histogram by configurations, and what it leaves.
+    """[(how many, lengths of one sequence)] of full configurations served in whole sequences, and what they leave.
 
-    The configuration linear program by multiplicative weights: a length's price starts at the room it takes and is multiplied
+    Multiplicative weights: a length's price starts at the room it takes and is multiplied
     by exp(-rate * coverage) against the average coverage.  One dynamic program a round prices, for every length, the best
     configuration that holds it; those within `slack` of the best are served, the least covered length first, each for `step`
     of what its scarcest length has left, rounded down to whole sequences (at least one).
@@ -158,12 +160,77 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
     return [(k, items) for items, k in chosen.items()], {int(x): int(n) for x, n in zip(lengths, left) if n}
 
 
+def fractional(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS, rate: float = LP_RATE, step: float = LP_STEP, slack: float = LP_SLACK) -> dict[tuple[int, ...], float]:
+    """{lengths of one sequence: how many}: a fractional covering of the histogram, the configuration linear program.
+
+    Multiplicative weights over all lengths: a length's price is the room it takes times exp(-rate * its coverage).  One dynamic
+    program a round prices, for every length, the best configuration that holds it; all within `slack` of the best, whatever
+    they fill, are raised so far that none covers a length by more than `step`.  It ends when every length is covered, or after
+    `rounds`; the sum is then scaled to the volume of the histogram.
+    """
+    import numpy as np
+
+    lengths = np.array(sorted(counts))
+    need = np.array([counts[x] for x in lengths], float)
+    cover, x = np.zeros(len(lengths)), {}
+    for _ in range(rounds):
+        if cover.min() >= 1:
+            break
+        weights = lengths / capacity * np.exp(-rate * (cover - cover.min()))
+        best, took = knapsack(weights, lengths, capacity)
+        value = weights + best[capacity - lengths]
+        found = set()
+        for i in np.flatnonzero(value >= (1 - slack) * value.max()):
+            items, c = [int(i)], capacity - int(lengths[i])
+            while c > 0:
+                if took[c] < 0:
+                    c -= 1
+                else:
+                    items.append(int(took[c]))
+                    c -= int(lengths[took[c]])
+            found.add(tuple(sorted(items, reverse=True)))
+        raised = [(items, *np.unique(items, return_counts=True)) for items in sorted(found)]
+        raised = [(items, at, n, step * (need[at] / n).min()) for items, at, n in raised]
+        gain = np.zeros(len(lengths))
+        for _items, at, n, much in raised:
+            gain[at] += much * n / need[at]
+        scale = min(1.0, step / gain.max())
+        for items, _at, _n, much in raised:
+            x[items] = x.get(items, 0.0) + much * scale
+        cover += gain * scale
+    # coverage beyond need is not used, and what is short is left to best fit
+    size = float((lengths * need).sum() / (lengths * need * cover).sum())
+    return {tuple(int(lengths[i]) for i in items): much * size for items, much in x.items()}
+
+
+def rounded(x: dict[tuple[int, ...], float], counts: dict[int, int]) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """The fractional covering rounded down, never beyond the pieces there are, and what it leaves."""
+    left, chosen = dict(counts), []
+    for items, much in sorted(x.items(), key=lambda c: (-c[1], c[0])):
+        n = {k: items.count(k) for k in set(items)}
+        times = min(int(much + 1e-9), *(left[k] // n[k] for k in n))
+        if times > 0:
+            chosen.append((times, items))
+            for k in n:
+                left[k] -= times * n[k]
+    return chosen, {k: n for k, n in left.items() if n}
+
+
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many, lengths of one sequence) that hold exactly the histogram: rounded configurations, the rest by best fit."""
+    """(how many, lengths of one sequence) that hold exactly the histogram.
+
+    The program rounded down or full configurations in whole sequences, each with the rest by best fit, or best fit alone:
+    the packing of fewest sequences.  The program is left out where one of the others fills as few as the tokens need at all.
+    """
     if not counts:
         return []
+    size = lambda packing: sum(k for k, _ in packing)
     chosen, left = configurations(counts, capacity)
-    return chosen + best_fit(left, capacity)
+    found = min(chosen + best_fit(left, capacity), best_fit(counts, capacity), key=size)
+    if size(found) > -(-sum(x * n for x, n in counts.items()) // capacity):
+        chosen, left = rounded(fractional(counts, capacity), counts)
+        found = min(found, chosen + best_fit(left, capacity), key=size)
+    return found
 
 
 def slots(packing: list[tuple[int, tuple[int, ...]]]):

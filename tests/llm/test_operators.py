@@ -220,6 +220,19 @@ def test_solve_holds_histogram():
         assert sum(k for k, _ in packing_) <= least * 1.03 + 1
 
 
+def test_solve_without_full_configurations():
+    for counts, least in (({1044: 600, 552: 600, 532: 600, 467: 1200}, 900), ({700: 1000, 690: 1000, 640: 1000, 1300: 400}, 1267)):
+        packing_ = packing.solve(counts)
+        held = Counter()
+        for k, items in packing_:
+            assert sum(items) <= 2048
+            for x in items:
+                held[x] += k
+        assert held == counts
+        assert least <= sum(k for k, _ in packing_) <= least * 1.02
+        assert sum(k for k, _ in packing_) <= sum(k for k, _ in packing.best_fit(counts))
+
+
 def test_pack_places_every_token_once(spark):
     rows = packing.pack(table(spark, ODD + ["x y z"] * 50)).collect()
     t = tokens.table().tokenizer
