@@ -2,8 +2,8 @@
 
 A text is read as tokens: runs of non-blanks, cut after 16 code points.  A k-mer of tokens is an anchor if the least hash among
 its inner s-mers is the first or the last one; the choice looks at nothing outside the k-mer, so a passage has the same
-anchors wherever it stands.  A fingerprint is the SKETCH least anchor hashes with their token positions; likeness is the
-Jaccard index that two such sketches estimate (exact for texts of at most SKETCH anchors).
+anchors wherever it stands.  A fingerprint is all distinct anchor hashes, each with its first token position; likeness is the
+Jaccard index of two such sets, exact at every length.  Only texts are shuffled; anchors are found where they are used.
 
 Cases: a null text is empty; a text without any anchor (under K tokens, or by chance) has one anchor, the hash of all its tokens; equal texts have
 equal fingerprints; the successor of a document is the next by (doc_id, text hash), the last one's is the first, a single
@@ -12,6 +12,8 @@ document's is itself; repeated rows are documents of their own; other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +46,18 @@ def anchors(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two sorted arrays of hashes, estimated on the SKETCH least of their union."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.array_intersect(F.array_intersect(a, b), union)
-    return F.round(F.size(both) / F.size(union), 6)
+    """Jaccard index of two arrays of distinct hashes."""
+    both = F.size(F.array_intersect(a, b))
+    return F.round(both / (F.size(a) + F.size(b) - both), 6)
 
 
-def with_fingerprint(df: DataFrame, text_col: str, hashes_col: str, print_col: str) -> DataFrame:
-    """Adds hashes_col (sorted least anchor hashes) and print_col (hash@position in hex, by hash)."""
+def with_fingerprint(df: DataFrame, text_col: str, hashes_col: str, print_col: str, sketch: int | None = SKETCH) -> DataFrame:
+    """Adds hashes_col (sorted anchor hashes, the `sketch` least or all) and print_col (hash@position in hex, by hash)."""
     df = anchors(df, text_col, "_anchors").withColumn("_anchors", F.array_sort("_anchors"))
     # sorted by (hash, pos): the first of each run of equal hashes has the least position
     a = F.col("_anchors")
     first = F.filter(a, lambda x, i: (i == 0) | (x["hash"] != F.get(a, i - 1)["hash"]))
-    df = df.withColumn("_least", F.slice(first, 1, SKETCH))
+    df = df.withColumn("_least", F.slice(first, 1, sketch) if sketch else first)
     return (
         df.withColumn(hashes_col, F.transform("_least", lambda x: x["hash"]))
         .withColumn(print_col, F.array_join(F.transform("_least", lambda x: F.concat_ws("@", F.lower(F.hex(x["hash"])), F.lower(F.hex(x["pos"])))), " "))
@@ -64,9 +65,11 @@ def with_fingerprint(df: DataFrame, text_col: str, hashes_col: str, print_col: s
     )
 
 
-def successors(docs: DataFrame, columns: list[str]) -> DataFrame:
+def successors(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """docs (doc_id, text and others) with next_<c> for each of columns, from the next document by (doc_id, text hash).
 
+    `derive` adds columns once the rows are dealt, so that these are not shuffled; `columns` may name them.
+
     Documents are dealt into id ranges, cut at quantiles of doc_id, and each range is a window of its own; the first document
     of a range is also sent, as a sentinel, to the range before.  One shuffle of the texts, no window over the whole table.
     """
@@ -83,11 +86,13 @@ def successors(docs: DataFrame, columns: list[str]) -> DataFrame:
     key = F.struct(F.col("doc_id").alias("i"), F.col("_h").alias("h"))
     heads = [(r["_b"], r["k"]) for r in docs.groupBy("_b").agg(F.min(key).alias("k")).orderBy("_b").collect()]
     if not heads:
+        docs = derive(docs)
         return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns]).drop("_h", "_b")
     target = spark.createDataFrame([(k["i"], k["h"], heads[j - 1][0]) for j, (_, k) in enumerate(heads)], "_i long, _k long, _to int")
     lone = docs.join(F.broadcast(target), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")))
     lone = lone.withColumn("_b", F.col("_to")).drop("_i", "_k", "_to").dropDuplicates(["_b"]).withColumn("_end", F.lit(1))
     rows = docs.withColumn("_end", F.lit(0)).unionByName(lone)
+    rows = derive(rows.repartition("_b"))
     w = Window.partitionBy("_b").orderBy("_end", "doc_id", "_h")
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
@@ -96,13 +101,12 @@ def successors(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(common.read(spark, sf_dir, "documents"))
-    docs = with_fingerprint(docs, "text", "hashes", "fingerprint")
-    rows = successors(docs, ["text", "hashes"])
+    rows = successors(docs, ["text", "hashes"], lambda x: with_fingerprint(x, "text", "hashes", "fingerprint", None))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    rows = with_fingerprint(rows, "edited", "edited_hashes", "edited_fingerprint")
+    rows = with_fingerprint(rows, "edited", "edited_hashes", "edited_fingerprint", None)
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),

@@ -296,6 +296,22 @@ def test_fingerprints(spark):
     assert fingerprints.successors(docs.limit(0), ["text"]).count() == 0
 
 
+def test_long_texts_keep_all_anchors(spark, tmp_path):
+    random.seed(15)
+    words = lambda n: ["w%d" % random.randrange(10**6) for _ in range(n)]
+    passage = words(60)
+    texts = [" ".join(words(2000) + passage + words(2000)) for _ in range(3)] + ["one two", ""]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in fingerprints.op7_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    halves = [t[: len(t) - len(t) // 2] + texts[(i + 1) % 5][: len(t) // 2] for i, t in enumerate(texts)]
+    every = [{x.hash for x in r.a} for r in fingerprints.anchors(table(spark, texts + halves), "text", "a").orderBy("doc_id").collect()]
+    for i in range(5):
+        for got, other in ((rows[i].near_next, every[(i + 1) % 5]), (rows[i].near_edited, every[5 + i])):
+            assert got == pytest.approx(len(every[i] & other) / len(every[i] | other), abs=1e-6)
+        assert {x.split("@")[0] for x in rows[i].fingerprint.split(" ")} == {f"{h & (1 << 64) - 1:x}" for h in every[i]}
+    assert rows[0].near_next > 0 and len(every[0]) > 1000
+
+
 def test_syncmers_are_context_free(spark):
     random.seed(9)
     passage = " ".join("p%d" % i for i in range(60))
