@@ -4,21 +4,21 @@ Documents become pieces of at most CAPACITY tokens (only longer documents are cu
 histogram of piece lengths has at most CAPACITY entries however large the corpus, so the program is solved on the driver:
 multiplicative weights hold a price for each length, an unbounded-knapsack dynamic program finds the configuration (multiset of
 lengths that fit) of the highest price whatever it fills, and the sum of small steps along the configurations found is a
-near-optimal fractional covering.  It is rounded down, and what is left over is packed best-fit-decreasing, again on counts.
-Where many lengths have few pieces each, rounding costs more than the program gains, so two other packings are made: full
-configurations served in whole sequences at such prices, and plain best-fit-decreasing.  The one of fewest sequences is taken.
+near-optimal fractional covering, with a lower bound from its prices.  It is rounded down.  What rounding leaves is served in
+whole configurations at such prices, and the last pieces are packed best-fit-decreasing, all on counts.  With few pieces of
+each length most steps are below one sequence and rounding leaves much; where plain best-fit-decreasing of the whole histogram
+then needs fewer sequences, it is taken.
 
-The result is a slot table (length, first rank, how many, first sequence, offset).  Pieces are ranked inside their length:
-counts per (length, hash bucket) are added up first, so that a length shared by a third of all pieces is still ranked in many
-tasks; a binary search in the slot table then places each piece.
+The result is a slot table (length, first rank, how many, first sequence, offset).  Pieces are ranked inside their length: a
+length of many pieces is cut into buckets of about PIECES_IN_A_BUCKET, whose counts are added up first, so that a length shared
+by a third of all pieces is still ranked in many tasks; a binary search in the slot table then places each piece.
 
 Cases: a null or empty text is one piece of one token (the end id); pieces of equal length are interchangeable; repeated rows
-are pieces of their own; other columns are ignored; an empty table gives no rows.
+are pieces of their own, and so are rows of null or equal doc_id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,26 +30,28 @@ from fieldloom.llm import common, tokens
 CAPACITY, END_ID = 2048, 0
 ROUNDS, STEP, RATE, SLACK = 60, 0.5, 0.2, 0.0005
 LP_ROUNDS, LP_RATE, LP_STEP, LP_SLACK = 120, 40.0, 0.02, 0.002
-PIECES_IN_A_BUCKET = 20_000
+PIECES_IN_A_BUCKET, BROADCAST_BUCKETS = 1_000, 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        encode, end = tokens.table(path).encode, struct.pack("<I", end_id)
+        encode = tokens.table(path).encode
         for rows in tokens.runs(batches):
-            out = []
-            for doc, packed in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                data = packed + end
-                n = len(data) // 4
-                at, stop, k = 0, n - (n - 1) // capacity * capacity, 0
-                while at < n:
-                    out.append((doc, k, at, stop - at, zlib.crc32(data[4 * at : 4 * stop])))
-                    at, stop, k = stop, stop + capacity, k + 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, n = encode(rows.column(1), end_id)
+            parts = -(-n // capacity)
+            owner = np.repeat(np.arange(len(n)), parts)
+            k = tokens.ranges(np.zeros(len(n), "i8"), parts)
+            first = n - (parts - 1) * capacity
+            start = np.where(k == 0, 0, first[owner] + (k - 1) * capacity)
+            length = np.where(k == 0, first[owner], capacity)
+            at = ((np.cumsum(n) - n)[owner] + start) * 4
+            data = memoryview(ids.tobytes())
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner)), pa.array(k.astype("i4")), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -160,25 +162,27 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
     return [(k, items) for items, k in chosen.items()], {int(x): int(n) for x, n in zip(lengths, left) if n}
 
 
-def fractional(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS, rate: float = LP_RATE, step: float = LP_STEP, slack: float = LP_SLACK) -> dict[tuple[int, ...], float]:
-    """{lengths of one sequence: how many}: a fractional covering of the histogram, the configuration linear program.
+def fractional(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = LP_ROUNDS, rate: float = LP_RATE, step: float = LP_STEP, slack: float = LP_SLACK) -> tuple[dict[tuple[int, ...], float], float]:
+    """({lengths of one sequence: how many}, bound): a fractional covering of the histogram, the configuration linear program.
 
     Multiplicative weights over all lengths: a length's price is the room it takes times exp(-rate * its coverage).  One dynamic
     program a round prices, for every length, the best configuration that holds it; all within `slack` of the best, whatever
     they fill, are raised so far that none covers a length by more than `step`.  It ends when every length is covered, or after
-    `rounds`; the sum is then scaled to the volume of the histogram.
+    `rounds`; the sum is then scaled to the volume of the histogram.  Each round's prices are also a feasible dual: all pieces'
+    prices over the best configuration's is a lower bound on any packing, fractional ones included, and the best is returned.
     """
     import numpy as np
 
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths], float)
-    cover, x = np.zeros(len(lengths)), {}
+    cover, x, bound = np.zeros(len(lengths)), {}, float((lengths * need).sum() / capacity)
     for _ in range(rounds):
         if cover.min() >= 1:
             break
         weights = lengths / capacity * np.exp(-rate * (cover - cover.min()))
         best, took = knapsack(weights, lengths, capacity)
         value = weights + best[capacity - lengths]
+        bound = max(bound, float((weights * need).sum() / value.max()))
         found = set()
         for i in np.flatnonzero(value >= (1 - slack) * value.max()):
             items, c = [int(i)], capacity - int(lengths[i])
@@ -200,7 +204,7 @@ def fractional(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = L
         cover += gain * scale
     # coverage beyond need is not used, and what is short is left to best fit
     size = float((lengths * need).sum() / (lengths * need * cover).sum())
-    return {tuple(int(lengths[i]) for i in items): much * size for items, much in x.items()}
+    return {tuple(int(lengths[i]) for i in items): much * size for items, much in x.items()}, bound
 
 
 def rounded(x: dict[tuple[int, ...], float], counts: dict[int, int]) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
@@ -217,20 +221,17 @@ def rounded(x: dict[tuple[int, ...], float], counts: dict[int, int]) -> tuple[li
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many, lengths of one sequence) that hold exactly the histogram.
+    """(how many, lengths of one sequence) that hold exactly the histogram, never more sequences than best fit alone needs.
 
-    The program rounded down or full configurations in whole sequences, each with the rest by best fit, or best fit alone:
-    the packing of fewest sequences.  The program is left out where one of the others fills as few as the tokens need at all.
+    The fractional covering is rounded down; what it leaves, less than one sequence for each of its configurations, goes into
+    whole sequences at the same kind of prices, and the last pieces are packed best-fit.
     """
     if not counts:
         return []
     size = lambda packing: sum(k for k, _ in packing)
-    chosen, left = configurations(counts, capacity)
-    found = min(chosen + best_fit(left, capacity), best_fit(counts, capacity), key=size)
-    if size(found) > -(-sum(x * n for x, n in counts.items()) // capacity):
-        chosen, left = rounded(fractional(counts, capacity), counts)
-        found = min(found, chosen + best_fit(left, capacity), key=size)
-    return found
+    chosen, left = rounded(fractional(counts, capacity)[0], counts)
+    whole, rest = configurations(left, capacity) if left else ([], {})
+    return min(chosen + whole + best_fit(rest, capacity), chosen + best_fit(left, capacity), best_fit(counts, capacity), key=size)
 
 
 def slots(packing: list[tuple[int, tuple[int, ...]]]):
@@ -275,11 +276,14 @@ def pack(df: DataFrame, tokenizer: str = tokens.TOKENIZER, end_id: int = END_ID,
     cut = common.materialize(pieces(df, tokenizer, end_id, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(slots(solve(counts, capacity)))
-    buckets = max(1, sum(counts.values()) // PIECES_IN_A_BUCKET)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = ",".join(str(-(-counts.get(x, 0) // PIECES_IN_A_BUCKET) or 1) for x in range(capacity + 1))
+    own = F.get(F.split(F.lit(buckets), ",").cast("array<bigint>"), F.col("length").cast("int"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    if sum(counts.values()) // PIECES_IN_A_BUCKET + capacity <= BROADCAST_BUCKETS:  # no more rows than that
+        sizes = F.broadcast(sizes)
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("nth", F.row_number().over(inside)).join(sizes, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - 1).alias("rank"))

@@ -7,7 +7,7 @@ gives each plane's length.  A chunk is one row of a Parquet data set in the shar
 lengths: that is the chunk index, which readers scan without touching the planes, and Spark's commit protocol makes lost tasks
 harmless.
 
-Cases: a null or empty text is the end id alone; equal doc_ids are ordered by text; a null doc_id sorts first; other columns
+Cases: a null or empty text is the end id alone; equal doc_ids are ordered by text hash; a null doc_id sorts first; other columns
 are ignored; an empty table writes no chunk and reads back as no rows.
 """
 
@@ -25,7 +25,9 @@ from fieldloom.llm import common, tokens
 END_ID = 2
 CHUNK_IDS, BLOCK_IDS = 1 << 17, 1 << 12
 MAGIC = b"BPL1"
-CHUNK_SCHEMA = "part int, chunk int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes binary"
+BROADCAST_PARTS = 100_000
+CHUNK_SCHEMA = "part int, part_at long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes binary"
+CHUNK_NAMES = ["part", "part_at", "n_ids", "doc_ids", "lengths", "planes"]
 
 
 def pack_ids(ids, bits: bool = True, level: int = 3) -> bytes:
@@ -44,6 +46,9 @@ def pack_ids(ids, bits: bool = True, level: int = 3) -> bytes:
             planes.append(column.tobytes())
             continue
         for bit in range(8):
+            if not column.any():
+                planes.append(b"")
+                continue
             planes.append(np.packbits((column >> bit) & 1, axis=1, bitorder="little").tobytes())
     press = zstandard.ZstdCompressor(level=level)
     packed = [press.compress(p) if any(p) else b"" for p in planes]  # an empty entry is a plane of zeros
@@ -82,53 +87,51 @@ def _chunks(path: str, end_id: int, bits: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, chunk, encode = TaskContext.get().partitionId(), 0, tokens.table(path).encode
-        end = struct.pack("<I", end_id)
-        ids, payload, size = [], [], 0
+        part, encode = TaskContext.get().partitionId(), tokens.table(path).encode
+        at, held, docs, lengths, ids = 0, 0, [], [], []
 
         def close():
-            nonlocal chunk, ids, payload, size
-            all_ids = np.frombuffer(b"".join(payload), "<u4")
-            row = pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "n_ids": pa.array([len(all_ids)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([[len(p) // 4 for p in payload]], pa.list_(pa.int64())), "planes": pa.array([pack_ids(all_ids, bits)], pa.binary())}
-            )
-            chunk, ids, payload, size = chunk + 1, [], [], 0
-            return row
+            nonlocal at, held, docs, lengths, ids
+            every = np.concatenate(ids)
+            columns = [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(every)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack_ids(every, bits)], pa.binary())]
+            at, held, docs, lengths, ids = at + len(every), 0, [], [], []
+            return pa.RecordBatch.from_arrays(columns, CHUNK_NAMES)
 
         for rows in tokens.runs(batches):
-            for doc, packed in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                ids.append(doc)
-                payload.append(packed + end)
-                size += len(packed) // 4 + 1
-                if size >= CHUNK_IDS:
+            found, size = encode(rows.column(1), end_id)
+            done = 0
+            for doc, n in zip(rows.column(0).to_pylist(), size.tolist()):
+                docs.append(doc)
+                lengths.append(n)
+                ids.append(found[done : done + n])
+                done, held = done + n, held + n
+                if held >= CHUNK_IDS:
                     yield close()
-        if ids:
+        if docs:
             yield close()
 
     return run
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id: int = END_ID, bits: bool = True) -> None:
-    docs = common.documents(df)
-    n = common.shuffle_partitions(df.sparkSession)
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    """Ranges of (doc_id, text hash), as many as Spark's shuffle partitions; part is a range's number and part_at a chunk's place in it."""
+    docs = common.documents(df).withColumn("_h", common.row_key())
+    ordered = docs.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     ordered.mapInArrow(_chunks(tokenizer, end_id, bits), CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the files; ids are little-endian unsigned 32-bit integers.
 
-    start adds up parts (as many as write tasks), then the chunks of a part, then the documents of a chunk.
+    start adds up parts (a row for each write task), a chunk's place in its part and the documents before it in the chunk; the
+    planes are read once and never shuffled.
     """
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    index = chunks.select("part", "chunk", "n_ids")
-    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    index = index.withColumn("chunk_start", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part")
-    starts = index.select("part", "chunk", (F.col("chunk_start") + F.col("part_start")).alias("start"))
-    placed = chunks.join(starts, ["part", "chunk"]).select("start", "doc_ids", "lengths", "planes")
+    side = F.broadcast(parts) if common.is_small(parts, BROADCAST_PARTS) else parts
+    placed = chunks.join(side, "part").select((F.col("part_start") + F.col("part_at")).alias("start"), "doc_ids", "lengths", "planes")
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -1,67 +1,153 @@
 """Byte-level BPE ids by the tokenizers library, batch-wise inside Spark tasks.
 
 The pre-tokenizer always cuts where a blank follows a non-blank, so a text's ids are those of its pieces ("word", " word", ...)
-one after another.  The library encodes each distinct piece once per worker; a bounded table keeps the ids.  Texts in which a
-blank is followed by another white-space character, or that hold the marks used here, go to the library whole.
+one after another.  A batch of texts is split and dictionary-encoded by Arrow; the library encodes each distinct piece that a
+worker hasn't seen, a bounded table keeps the ids, and numpy gathers the ids of all texts at once.  Texts in which a blank is
+followed by another white-space character, or that hold the marks used here, go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-TABLE_PIECES = 500_000
+TABLE_PIECES = 600_000
 ROW_PIECES = 500
-BATCH_CHARS = 2_000_000
-_BLANK_RUN = re.compile(r" \s|<\||\x00", re.UNICODE)
+BATCH_CHARS = 4_000_000
+FIRST = "\x00"
+#: A blank before any other white space, the marks of special tokens, and the mark of a text's first piece.
+ODD = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]|<\||\x00"
 
 
-class PieceTable(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+def ranges(start, size):
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ...: one index array."""
+    import numpy as np
 
-    def __init__(self, path: str):
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+class IdTable:
+    """piece -> row, and each row's ids in one flat array; forgets all pieces when it would hold more than `most`."""
+
+    def __init__(self, encode_new: Callable, most: int = TABLE_PIECES):
+        self.encode_new, self.most = encode_new, most
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.index: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i8")
+        self.used = 0
+
+    def _append(self, name: str, at: int, values) -> None:
+        import numpy as np
+
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            old = np.concatenate([old[:at], np.zeros(max(len(old), len(values)), old.dtype)])
+            setattr(self, name, old)
+        old[at : at + len(values)] = values
+
+    def rows(self, pieces: list[str]):
+        """Rows of distinct pieces, which are encoded where they are new."""
+        import numpy as np
+
+        get = self.index.get
+        out = [get(p, -1) for p in pieces]
+        new = [p for p, r in zip(pieces, out) if r < 0]
+        if not new:
+            return np.array(out, "i8")
+        if len(self.index) + len(new) > self.most and self.index:
+            self.clear()
+            return self.rows(pieces)
+        ids, size = self.encode_new(new)
+        n = len(self.index)
+        self._append("start", n, self.used + np.cumsum(size) - size)
+        self._append("size", n, size)
+        self._append("ids", self.used, ids)
+        self.used += len(ids)
+        self.index.update(zip(new, range(n, n + len(new))))
+        out = np.array(out, "i8")
+        out[out < 0] = np.arange(n, n + len(new))
+        return out
+
+    def gather(self, texts):
+        """Arrow strings, split at blanks -> (ids of all texts, number of ids of each); a text's first piece has FIRST in front."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST, texts.type), texts, ""), " ")
+        cut = split.offsets.to_numpy()
+        coded = pc.dictionary_encode(split.flatten())
+        row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = self.size[row]
+        ids = self.ids[ranges(self.start[row], size)]
+        ends = np.r_[0, np.cumsum(size)]
+        return ids, ends[cut[1:]] - ends[cut[:-1]]
+
+
+class PieceTable(IdTable):
+    """Ids by a file of the tokenizers library."""
+
+    def __init__(self, path: str, most: int = TABLE_PIECES):
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.np = Tokenizer.from_file(path), np
+        self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, "i8")
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)  # a byte-level token has a character for each byte
+        super().__init__(self._new, most)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self.np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list:
+        import numpy as np
+
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]):
+        """Pieces after a blank are encoded in rows of many; the tokens' byte lengths tell where each piece's ids end."""
+        import numpy as np
 
-    def _add(self, pieces: list[str]) -> None:
-        """Encode pieces in rows of many; the tokens' byte lengths tell where each piece's ids end."""
-        np = self.np
-        plain = [p for p in pieces if p[:1] == " " and p[-1] != " "]
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if p and p[0] != FIRST]
+        odd = [i for i, p in enumerate(pieces) if not p or p[0] == FIRST]
         rows = [plain[at : at + ROW_PIECES] for at in range(0, len(plain), ROW_PIECES)]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in row])
-            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right") * 4).tolist()
-            packed = ids.tobytes()
-            self.update(zip(row, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-        odd = [p for p in pieces if not (p[:1] == " " and p[-1] != " ")]
-        self.update(zip(odd, self._whole(odd)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_BLANK_RUN.search(t)) for t in texts]
-        pieces = [[] if w else t.replace(" ", "\x00 ").split("\x00") for t, w in zip(texts, whole)]
-        new = list(set().union(*pieces) - self.keys())
-        full = len(self) + len(new) > TABLE_PIECES
-        self._add(new)
-        rest = iter(self._whole([t for t, w in zip(texts, whole) if w]))
-        get = self.__getitem__
-        out = [next(rest) if w else b"".join(map(get, p)) for p, w in zip(pieces, whole)]
-        if full:  # the table holds the pieces that came first, the frequent ones among them
-            for p in new:
-                del self[p]
-        return out
+        texts = [" " + " ".join([pieces[i] for i in row]) for row in rows]
+        for row, ids in zip(rows, self._whole(texts)):
+            ends = np.cumsum([len(pieces[i].encode()) + 1 for i in row])
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right").tolist()
+            for i, a, b in zip(row, [0, *cuts], cuts):
+                out[i] = ids[a:b]
+        for i, ids in zip(odd, self._whole([pieces[i][1:] if pieces[i] else " " for i in odd])):
+            out[i] = ids
+        return np.concatenate(out), np.array([len(x) for x in out], "i8")
+
+    def encode(self, texts, end: int | None = None):
+        """Arrow strings without nulls -> (ids of all texts, number of ids of each); `end` closes every text."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        whole = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        ids, size = self.gather(texts.filter(pc.invert(pc.match_substring_regex(texts, ODD))) if whole.any() else texts)
+        if whole.any():
+            given = self._whole(texts.filter(pc.match_substring_regex(texts, ODD)).to_pylist())
+            n = np.zeros(len(texts), "i8")
+            n[~whole], n[whole] = size, [len(x) for x in given]
+            start, merged = np.cumsum(n) - n, np.zeros(n.sum(), "<u4")
+            merged[ranges(start[~whole], n[~whole])] = ids
+            merged[ranges(start[whole], n[whole])] = np.concatenate(given)
+            ids, size = merged, n
+        if end is None:
+            return ids, size
+        closed = np.full(len(ids) + len(size), end, "<u4")
+        closed[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
+        return closed, size + 1
 
 
 _tables: dict[str, PieceTable] = {}
@@ -79,15 +165,16 @@ def table(path: str = TOKENIZER) -> PieceTable:
 
 def runs(batches: Iterator, column: str = "text", most: int = BATCH_CHARS) -> Iterator:
     """Slices of Arrow batches of about `most` bytes of text, so that a worker's memory doesn't follow its input."""
+    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False)
-        at, total = 0, 0
-        for i, n in enumerate(sizes):
-            if total and total + n > most:
-                yield batch.slice(at, i - at)
-                at, total = i, 0
-            total += int(n)
-        if at < batch.num_rows:
-            yield batch.slice(at)
+        if sizes.sum() <= most:
+            yield batch
+            continue
+        at, ends = 0, np.cumsum(sizes)
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -6,6 +6,8 @@ import struct
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,7 +179,13 @@ def test_banded_alignment_matches_plain_lcs():
 def test_piece_table_equals_library():
     t = tokens.table()
     texts = ["a  b", " x", "x ", "a \n b", "a\n b\n\n  c", "<|endoftext|> hi", "", "\n", " ", "don't  stop", "x\x00y z", "中文 字　k", "plain words and more words"] + [x or "" for x in ODD]
-    assert t.encode(texts) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for table_ in (t, tokens.PieceTable(tokens.TOKENIZER, most=5)):  # one that forgets all the time
+        for end in (None, 7):
+            ids, size = table_.encode(pa.array(texts), end)
+            cuts = [0, *size.cumsum().tolist()]
+            assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [w + [end] * (end is not None) for w in want]
+    assert [len(x) for x in t.encode(pa.array([], pa.string()), 2)] == [0, 0]
 
 
 @pytest.mark.parametrize("bits", [True, False])
@@ -233,6 +241,35 @@ def test_solve_without_full_configurations():
         assert sum(k for k, _ in packing_) <= sum(k for k, _ in packing.best_fit(counts))
 
 
+def test_solve_is_never_worse_than_best_fit():
+    random.seed(17)
+    for n in (10, 1000):
+        for shape in (lambda: random.randrange(1, 2049), lambda: min(2048, int(random.expovariate(1 / 300)) + 1), lambda: random.choice([700, 690, 1300, 64, 65])):
+            counts = dict(Counter(shape() for _ in range(n)))
+            got, plain = (sum(k for k, _ in p) for p in (packing.solve(counts), packing.best_fit(counts)))
+            x, bound = packing.fractional(counts)
+            assert bound - 1e-6 <= got <= plain and bound >= sum(a * k for a, k in counts.items()) / 2048 - 1e-6
+
+
+def test_program_fills_most_sequences():
+    """Where lengths have many pieces each, most sequences are the rounded program's, and few more than its bound are needed."""
+    counts = {x: 5_000 + 37 * x % 1_000 for x in range(40, 2048, 37)}
+    x, bound = packing.fractional(counts)
+    chosen, left = packing.rounded(x, counts)
+    got = sum(k for k, _ in packing.solve(counts))
+    assert sum(k for k, _ in chosen) > 0.5 * got and got <= bound * 1.01 + 1
+
+
+def test_solve_whole_table():
+    """Lengths in tokens of documents at scale factor 0.1."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").combine_chunks().fill_null("")
+    _, size = tokens.table().encode(texts, 0)
+    counts = Counter((size - (size - 1) // 2048 * 2048).tolist())
+    counts[2048] += int(((size - 1) // 2048).sum())
+    counts = {x: k for x, k in counts.items() if k}
+    assert sum(k for k, _ in packing.solve(counts)) == -(-int(size.sum()) // 2048)
+
+
 def test_pack_places_every_token_once(spark):
     rows = packing.pack(table(spark, ODD + ["x y z"] * 50)).collect()
     t = tokens.table().tokenizer
