@@ -1,9 +1,10 @@
 """Byte-level BPE ids by the tokenizers library, batch-wise inside Spark tasks.
 
-The pre-tokenizer always cuts where a blank follows a non-blank, so a text's ids are those of its pieces ("word", " word", ...)
-one after another.  A batch of texts is split and dictionary-encoded by Arrow; the library encodes each distinct piece that a
-worker hasn't seen, a bounded table keeps the ids, and numpy gathers the ids of all texts at once.  Texts in which a blank is
-followed by another white-space character, or that hold the marks used here, go to the library whole.
+The pre-tokenizer always cuts where a blank follows a non-blank, so a text's ids are those of its words ("word", " word", ...)
+one after another.  Arrow splits a batch of texts and dictionary-encodes the words, cuts the distinct ones again where letters
+meet punctuation or a line's end, and dictionary-encodes these parts.  The library encodes the parts that a worker hasn't seen,
+a bounded table keeps their ids, and numpy gathers the ids of all texts at once.  Texts in which a blank is followed by another
+white-space character, or that hold the marks used here, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import public_tokenizers
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TABLE_PIECES = 600_000
 ROW_PIECES = 500
-BATCH_CHARS = 4_000_000
-FIRST = "\x00"
-#: A blank before any other white space, the marks of special tokens, and the mark of a text's first piece.
-ODD = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]|<\||\x00"
+BATCH_CHARS = 8_000_000
+FIRST, CUT = "\x00", "\x01"
+#: A blank before any other white space, the marks of special tokens, and the marks used here.
+ODD = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]|<\||[\x00\x01]"
+SIGNS = "[.,;:!?#$%&*]+"
+#: Words that are cut between letters, signs and single line ends, as the pre-tokenizer does, and what they are cut into.
+REGULAR = rf"^ ?\p{{L}}+(?:(?:{SIGNS}\n?|\n)\p{{L}}+)*(?:{SIGNS}\n?|\n)?$"
+PART = rf"^(?: ?\p{{L}}+|{SIGNS}|\n)$"
 
 
 def ranges(start, size):
@@ -52,43 +57,52 @@ class IdTable:
             setattr(self, name, old)
         old[at : at + len(values)] = values
 
-    def rows(self, pieces: list[str]):
-        """Rows of distinct pieces, which are encoded where they are new."""
+    def rows(self, pieces):
+        """Rows of distinct pieces (Arrow strings), which are encoded where they are new."""
         import numpy as np
+        import pyarrow as pa
 
-        get = self.index.get
-        out = [get(p, -1) for p in pieces]
-        new = [p for p, r in zip(pieces, out) if r < 0]
-        if not new:
-            return np.array(out, "i8")
-        if len(self.index) + len(new) > self.most and self.index:
+        names, get = pieces.to_pylist(), self.index.get
+        out = np.array([get(p, -1) for p in names], "i8")
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        if self.index and len(self.index) + len(new) > self.most:
             self.clear()
             return self.rows(pieces)
-        ids, size = self.encode_new(new)
+        ids, size = self.encode_new(pieces.take(pa.array(new)))
         n = len(self.index)
         self._append("start", n, self.used + np.cumsum(size) - size)
         self._append("size", n, size)
         self._append("ids", self.used, ids)
         self.used += len(ids)
-        self.index.update(zip(new, range(n, n + len(new))))
-        out = np.array(out, "i8")
-        out[out < 0] = np.arange(n, n + len(new))
+        out[new] = np.arange(n, n + len(new))
+        self.index.update(zip([names[i] for i in new.tolist()], range(n, n + len(new))))
         return out
 
-    def gather(self, texts):
-        """Arrow strings, split at blanks -> (ids of all texts, number of ids of each); a text's first piece has FIRST in front."""
+    def gather(self, split):
+        """Arrow lists of pieces -> (ids of all lists, number of ids of each)."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST, texts.type), texts, ""), " ")
-        cut = split.offsets.to_numpy()
         coded = pc.dictionary_encode(split.flatten())
-        row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        size = self.size[row]
-        ids = self.ids[ranges(self.start[row], size)]
-        ends = np.r_[0, np.cumsum(size)]
-        return ids, ends[cut[1:]] - ends[cut[:-1]]
+        row = self.rows(coded.dictionary)[coded.indices.to_numpy()]
+        return joined(self.ids, self.start[row], self.size[row], split.offsets.to_numpy())
+
+
+def joined(ids, start, size, cut):
+    """(the ids of all pieces in a row, the number of ids between cuts): pieces are ranges of ids, lists of pieces lie between cuts."""
+    import numpy as np
+
+    ends = np.r_[0, np.cumsum(size)]
+    return ids[ranges(start, size)], ends[cut[1:]] - ends[cut[:-1]]
+
+
+def byte_alphabet() -> dict[str, str]:
+    """Byte (as a Latin-1 character) -> its character in byte-level files: printable ones stand for themselves, others follow from 256 on."""
+    shown = [c for c in map(chr, range(256)) if "!" <= c <= "~" or "\xa1" <= c <= "\xac" or c >= "\xae"]
+    hidden = [c for c in map(chr, range(256)) if c not in shown]
+    return {c: c for c in shown} | {c: chr(256 + i) for i, c in enumerate(hidden)}
 
 
 class PieceTable(IdTable):
@@ -96,13 +110,16 @@ class PieceTable(IdTable):
 
     def __init__(self, path: str, most: int = TABLE_PIECES):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, "i8")
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)  # a byte-level token has a character for each byte
+        self.parts = Tokenizer.from_file(path)
+        self.parts.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.alphabet = {ord(a): b for a, b in byte_alphabet().items() if a != "\x00"}
         super().__init__(self._new, most)
 
     def _whole(self, texts: list[str]) -> list:
@@ -110,23 +127,41 @@ class PieceTable(IdTable):
 
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, pieces: list[str]):
-        """Pieces after a blank are encoded in rows of many; the tokens' byte lengths tell where each piece's ids end."""
+    def _new(self, pieces):
+        """Parts that the pre-tokenizer wouldn't cut are encoded in rows of many; the tokens' byte lengths tell where each one ends."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if p and p[0] != FIRST]
-        odd = [i for i, p in enumerate(pieces) if not p or p[0] == FIRST]
-        rows = [plain[at : at + ROW_PIECES] for at in range(0, len(plain), ROW_PIECES)]
-        texts = [" " + " ".join([pieces[i] for i in row]) for row in rows]
-        for row, ids in zip(rows, self._whole(texts)):
-            ends = np.cumsum([len(pieces[i].encode()) + 1 for i in row])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right").tolist()
-            for i, a, b in zip(row, [0, *cuts], cuts):
-                out[i] = ids[a:b]
-        for i, ids in zip(odd, self._whole([pieces[i][1:] if pieces[i] else " " for i in odd])):
-            out[i] = ids
-        return np.concatenate(out), np.array([len(x) for x in out], "i8")
+        plain = pc.match_substring_regex(pieces, PART).to_numpy(zero_copy_only=False)
+        size = np.zeros(len(pieces), "i8")
+        regular = pieces.filter(pa.array(plain))
+        names = "\x00".join(regular.to_pylist()).encode().decode("latin1").translate(self.alphabet).split("\x00") if len(regular) else []
+        rows = ["\n".join(names[at : at + ROW_PIECES]) for at in range(0, len(names), ROW_PIECES)]
+        found = [np.array(e.ids, "<u4") for e in self.parts.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, "<u4")])
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(regular).to_numpy()), "right")
+        size[plain] = np.diff(np.r_[0, ends])
+        given = self._whole(pieces.filter(pa.array(~plain)).to_pylist())
+        size[~plain] = [len(x) for x in given]
+        start, out = np.cumsum(size) - size, np.zeros(size.sum(), "<u4")
+        out[ranges(start[plain], size[plain])] = ids
+        out[ranges(start[~plain], size[~plain])] = np.concatenate([*given, np.zeros(0, "<u4")])
+        return out, size
+
+    def texts(self, texts):
+        """Arrow strings -> (ids of all texts, number of ids of each)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = lambda x: pa.scalar(x, texts.type)
+        split = pc.split_pattern(pc.binary_join_element_wise(text(FIRST), texts, text("")), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        words = pc.replace_substring(pc.binary_join_element_wise(text(" "), coded.dictionary, text("")), " " + FIRST, "")
+        cut = pc.replace_substring_regex(words, f"({SIGNS}|\n)", rf"{CUT}\1{CUT}")
+        ids, size = self.gather(pc.split_pattern(pc.if_else(pc.match_substring_regex(words, REGULAR), cut, words), CUT))
+        word = coded.indices.to_numpy()
+        return joined(ids, (size.cumsum() - size)[word], size[word], split.offsets.to_numpy())
 
     def encode(self, texts, end: int | None = None):
         """Arrow strings without nulls -> (ids of all texts, number of ids of each); `end` closes every text."""
@@ -134,7 +169,7 @@ class PieceTable(IdTable):
         import pyarrow.compute as pc
 
         whole = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        ids, size = self.gather(texts.filter(pc.invert(pc.match_substring_regex(texts, ODD))) if whole.any() else texts)
+        ids, size = self.texts(texts.filter(pc.invert(pc.match_substring_regex(texts, ODD))) if whole.any() else texts)
         if whole.any():
             given = self._whole(texts.filter(pc.match_substring_regex(texts, ODD)).to_pylist())
             n = np.zeros(len(texts), "i8")
