@@ -431,15 +431,27 @@ def proto_fields(data):
 def test_scan_equals_sequential_and_round_trips(spark):
     lat = sentencepieces.lattice()
     random.seed(12)
-    texts = ["the quick  brown fox Ωμέγα 中文\n\t and " * 30, "x" * 700, " " * 600 + "z", "".join(random.choice("abcde éç中\n") for _ in range(1500)), "", None, "short", "a▁b" * 200]
+    texts = ["the quick  brown fox Ωμέγα 中文\n\t and " * 30, "x" * 700, " " * 600 + "z", "".join(random.choice("abcde éç中\n") for _ in range(1500)), "", None, "short", "a▁b" * 200, " ", " a b", "a  b ", "\U0001f980 x"]
     got = {}
-    for r in sentencepieces.encode(table(spark, texts + texts[:1]), chunk=64).collect():
-        got.setdefault(int(r.key.split(":")[0]), []).append(list(r.ids))
-    assert len(got[len(texts)]) == 1
+    for r in sentencepieces.decode(sentencepieces.encode(table(spark, texts + texts[:1], ids=[*range(len(texts)), 0]), chunk=64)).collect():
+        got.setdefault(r.doc_id, []).append((list(r.ids), r.decoded))
+    assert len(got) == len(texts) and len(got[0]) == 2
     for i, x in enumerate(texts):
         full = sentencepieces.SPACE + (x or "").replace(" ", sentencepieces.SPACE)
-        want = lat.ids(full, lat.forward(full, len(full), {0: 0})[1], len(full))[0] if x else []
-        assert got[i] == [want] and lat.encode(x) == want and lat.decode(want) == (x or "").replace("▁", " ")
+        want = lat.trace(full, lat.forward(full, len(full), {0: 0})[1], len(full))[0] if x else []
+        assert all(g == (want, (x or "").replace("▁", " ")) for g in got[i]) and lat.encode(x) == want
+    assert sentencepieces.encode(table(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_words_together_equal_words_alone():
+    lat = sentencepieces.Lattice()
+    random.seed(18)
+    words = list({"".join(random.choice("thesandiongré.,中Ω\n") for _ in range(random.randrange(60))) for _ in range(3000)})
+    ids, size = lat.words(pa.array(words))
+    cuts = [0, *size.cumsum().tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [lat.word("▁" + w) for w in words]
+    full = ["▁" + w for w in words[:50]]
+    assert [int(lat.score_of[lat.word(w)].sum()) for w in full] == [lat.forward(w, len(w), {0: 0})[0][-1] for w in full]
 
 
 def test_segmentation_is_as_good_as_the_librarys_unigram_mode():
