@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers (DataFrame operations only).
 
-A text is read as tokens: runs of non-blanks, cut after 16 code points.  A k-mer of tokens is an anchor if the least hash among
+A text is read as tokens: runs of non-blanks of up to 16 code points; of a longer run, single code points up to its last 16.  What
+a token is depends on nothing before it, also in text without blanks.  A k-mer of tokens is an anchor if the least hash among
 its inner s-mers is the first or the last one; the choice looks at nothing outside the k-mer, so a passage has the same
 anchors wherever it stands.  A fingerprint is all distinct anchor hashes, each with its first token position; likeness is the
 Jaccard index of two such sets, exact at every length.  Only texts are shuffled; anchors are found where they are used.
@@ -19,10 +20,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import common
 
-K, S, SKETCH = 6, 2, 128
-BUCKET_DOCS = 2_000
-MAX_BUCKETS = 4_000
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+K, S = 6, 2
+BUCKET_DOCS, QUANTILES, BROADCAST_HEADS = 2_000, 1_000, 1_000_000
+TOKEN = r"[^\x20\x09-\x0D]{1,16}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
 def anchors(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
@@ -51,7 +51,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(both / (F.size(a) + F.size(b) - both), 6)
 
 
-def with_fingerprint(df: DataFrame, text_col: str, hashes_col: str, print_col: str, sketch: int | None = SKETCH) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, hashes_col: str, print_col: str, sketch: int | None = None) -> DataFrame:
     """Adds hashes_col (sorted anchor hashes, the `sketch` least or all) and print_col (hash@position in hex, by hash)."""
     df = anchors(df, text_col, "_anchors").withColumn("_anchors", F.array_sort("_anchors"))
     # sorted by (hash, pos): the first of each run of equal hashes has the least position
@@ -70,26 +70,35 @@ def successors(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame]
 
     `derive` adds columns once the rows are dealt, so that these are not shuffled; `columns` may name them.
 
-    Documents are dealt into id ranges, cut at quantiles of doc_id, and each range is a window of its own; the first document
-    of a range is also sent, as a sentinel, to the range before.  One shuffle of the texts, no window over the whole table.
+    Documents are dealt into id ranges of about BUCKET_DOCS: between quantiles of doc_id, of which there are QUANTILES at most, ids
+    are cut evenly.  Each range is a window of its own; the first document of a range is also sent, as a sentinel, to the range
+    before.  One shuffle of the texts, no window over the whole table; the first documents of ranges go out as a broadcast if
+    there are at most BROADCAST_HEADS.
     """
-    spark = docs.sparkSession
     docs = docs.withColumn("_h", common.row_key())
     n = docs.count()
-    want = max(1, min(MAX_BUCKETS, n // BUCKET_DOCS))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / want for i in range(1, want)], 0.1 / want))) if want > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.split(F.lit(",".join(str(int(c)) for c in cuts)), ",").cast("array<bigint>")
-        bucket = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    docs = docs.withColumn("_b", F.coalesce(bucket, F.lit(0)))
+    want = max(1, min(QUANTILES, n // BUCKET_DOCS))
+    ends = sorted(set(docs.stat.approxQuantile("doc_id", [i / want for i in range(want + 1)], 0.1 / want))) if n else []
+    bucket = F.lit(0).cast("long")
+    if len(ends) > 1:
+        bounds = F.split(F.lit(",".join(str(int(c)) for c in ends)), ",").cast("array<bigint>")
+        fine = max(1, n // (BUCKET_DOCS * (len(ends) - 1)))
+        coarse = F.least(F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(1)), F.lit(len(ends) - 1))
+        low, high = F.get(bounds, coarse - 1), F.get(bounds, coarse)
+        inside = F.floor((F.col("doc_id") - low) / (high - low) * fine)
+        bucket = coarse * fine + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
+    docs = docs.withColumn("_b", F.coalesce(bucket, F.lit(0)).cast("long"))
     key = F.struct(F.col("doc_id").alias("i"), F.col("_h").alias("h"))
-    heads = [(r["_b"], r["k"]) for r in docs.groupBy("_b").agg(F.min(key).alias("k")).orderBy("_b").collect()]
-    if not heads:
-        docs = derive(docs)
-        return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns]).drop("_h", "_b")
-    target = spark.createDataFrame([(k["i"], k["h"], heads[j - 1][0]) for j, (_, k) in enumerate(heads)], "_i long, _k long, _to int")
-    lone = docs.join(F.broadcast(target), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")))
+    heads = common.materialize(docs.groupBy("_b").agg(F.min(key).alias("k")), "heads")
+    # the range before: in its thousand, else the last one of an earlier thousand, at the start the last of all
+    group = F.floor(F.col("_b") / 1000).alias("g")
+    last = Window.orderBy("g")
+    before = heads.groupBy(group).agg(F.max("_b").alias("last"))
+    before = before.select("g", F.coalesce(F.lag("last").over(last), F.max("last").over(last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("ahead"))
+    target = heads.select("*", group).join(before, "g").withColumn("_to", F.coalesce(F.lag("_b").over(Window.partitionBy("g").orderBy("_b")), F.col("ahead")))
+    target = target.select(F.col("k.i").alias("_i"), F.col("k.h").alias("_k"), "_to")
+    target = F.broadcast(target) if common.is_small(heads, BROADCAST_HEADS) else target
+    lone = docs.join(target, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")))
     lone = lone.withColumn("_b", F.col("_to")).drop("_i", "_k", "_to").dropDuplicates(["_b"]).withColumn("_end", F.lit(1))
     rows = docs.withColumn("_end", F.lit(0)).unionByName(lone)
     rows = derive(rows.repartition("_b"))

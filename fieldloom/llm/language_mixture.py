@@ -2,8 +2,8 @@
 
 A model holds, for every learned language, smoothed log-probabilities of hashed byte trigrams of lower-cased text.  Each word
 of a document has a likelihood under each language; expectation-maximisation finds the document's language proportions, first
-over all languages, then over the two, three, ... leading ones.  The language set is the one of the least penalised likelihood
-(half a log of the number of words for each further language), and the prediction is its largest proportion.
+over all languages, then over the leading one, two, three, ...  The set grows as long as the penalised likelihood gets better
+(half a log of the number of words for each further language), up to all languages; the prediction is its largest proportion.
 
 The model is fitted on a bounded sample of labelled rows (TRAIN_DOCS, picked by a hash of the id) and has
 TRIGRAMS numbers a language, the one thing that is broadcast.
@@ -25,7 +25,7 @@ from fieldloom.llm import common, tokens
 TRAIN_DOCS = 20_000
 TRIGRAM_BITS = 15
 TRIGRAMS = 1 << TRIGRAM_BITS
-ROUNDS, MAX_SET, SMOOTHING = 6, 3, 0.1
+ROUNDS, TOLERANCE, SMOOTHING = 200, 1e-3, 0.1
 RUN_CHARS = 500_000
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -88,37 +88,48 @@ def mixtures(texts: list[str], table):
     like = np.exp(like - top[:, None])
     n = n_words[full]
     owner = np.repeat(np.arange(len(full)), n)
-    begin = np.r_[0, np.cumsum(n)[:-1]]
-
-    def em(open_):
-        share = open_ / open_.sum(axis=1, keepdims=True)
-        for _ in range(ROUNDS):
-            r = like * share[owner]
-            r /= r.sum(axis=1, keepdims=True) + np.float32(1e-30)
-            share = np.add.reduceat(r, begin, axis=0) / n[:, None].astype("f4")
-        fit = np.add.reduceat(np.log((like * share[owner]).sum(axis=1) + np.float32(1e-30)), begin)
-        return share, fit
-
-    share, _ = em(np.ones((len(full), k), "f4"))
+    share, _ = em(like, n, np.ones((len(full), k), "f4"))
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    best, value = None, None
-    for size in range(1, min(k, MAX_SET) + 1):
-        open_ = (rank < size).astype("f4")
-        if size == 1:
-            got = open_, np.add.reduceat(np.log((like * open_[owner]).sum(axis=1) + np.float32(1e-30)), begin)
-        else:
-            got = em(open_)
-        cost = -got[1] + (size - 1) * 0.5 * np.log(n + 1.0)
-        if best is None:
-            best, value = got[0], cost
-        else:
-            better = cost < value
-            best = np.where(better[:, None], got[0], best)
-            value = np.where(better, cost, value)
+    best, value = np.zeros((len(full), k), "f4"), np.full(len(full), np.inf)
+    live = np.arange(len(full))
+    for size in range(1, k + 1):
+        rows = like if len(live) == len(full) else like[np.isin(owner, live)]
+        share, fit = em(rows, n[live], (rank[live] < size).astype("f4"))
+        cost = -fit + (size - 1) * 0.5 * np.log(n[live] + 1.0)
+        better = cost < value[live]
+        live = live[better]
+        best[live], value[live] = share[better], cost[better]
+        if not len(live):
+            break
     out[full] = best
     return out
 
 
+def em(like, n, open_):
+    """Proportions [texts, languages] and log-likelihoods; like has a row for each word, n the number of words of each text.
+
+    open_ says which languages a text may have.  Each text goes on until none of its proportions moves by TOLERANCE, or for
+    ROUNDS rounds, whatever texts are beside it.
+    """
+    import numpy as np
+
+    tiny = np.float32(1e-30)
+    share = open_ / open_.sum(axis=1, keepdims=True)
+    live, rows, left = np.arange(len(n)), like, n
+    for _ in range(ROUNDS if open_.shape[1] > 1 else 0):
+        r = rows * np.repeat(share[live], left, axis=0)
+        r /= r.sum(axis=1, keepdims=True) + tiny
+        new = np.add.reduceat(r, np.r_[0, np.cumsum(left)[:-1]], axis=0) / left[:, None].astype("f4")
+        moved = np.abs(new - share[live]).max(axis=1) >= TOLERANCE
+        share[live] = new
+        if not moved.any():
+            break
+        if not moved.all():
+            rows, live, left = rows[np.repeat(moved, left)], live[moved], left[moved]
+    fit = np.add.reduceat(np.log((like * np.repeat(share, n, axis=0)).sum(axis=1) + tiny), np.r_[0, np.cumsum(n)[:-1]])
+    return share, fit
+
+
 def _predict(model):
     def run(batches: Iterator) -> Iterator:
         import numpy as np

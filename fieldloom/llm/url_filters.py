@@ -29,6 +29,15 @@ HOST_RULES = [
     ("com", "/de/", "block"),
 ]
 BLOCK_GLOBS = ["*spam-farm*", "*cheap-pills*", "*casino*", "*/login*", "*/admin/*", "*.exe", "*/cart/*", "*/print/?*", "ads.*"]
+MOST_GLOBS = 20_000
+
+
+def globs_of(rules: DataFrame, most: int = MOST_GLOBS) -> list[str]:
+    """The distinct globs of a rule table (glob), sorted; the automaton goes to every task, so a table of more than `most` is refused."""
+    found = [r["glob"] for r in rules.where(F.col("glob").isNotNull()).select("glob").distinct().orderBy("glob").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} globs")
+    return found
 
 
 class GlobAutomaton:
@@ -110,8 +119,9 @@ def _globs(globs: list[str], columns: list[str]):
     return run
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = HOST_RULES, globs: list[str] = BLOCK_GLOBS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) for every row."""
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = HOST_RULES, globs: list[str] | DataFrame = BLOCK_GLOBS) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row; globs is a list, or a rule table with a column glob."""
+    globs = globs_of(globs) if isinstance(globs, DataFrame) else globs
     host, path = host_and_path(F.col(url_col))
     rows = df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.mapInArrow(_globs(globs, ["page_id", "host", "path"]), "page_id long, host string, path string, glob_hit boolean")
