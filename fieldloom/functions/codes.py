@@ -34,8 +34,8 @@ def credit_check_char(body: Column) -> Column:
 def credit_code_problem(code: Column) -> Column:
     """null for a valid code, else what is wrong with it."""
     return (
-        F.when(F.coalesce(code, F.lit("")) == "", "missing")
-        .when(F.length(code) != 18, "length must be 18")
-        .when(~code.rlike("^[0-9A-HJ-NP-RT-UW-Y]{18}$"), "invalid characters")
-        .when(credit_check_char(code) != F.substring(code, 18, 1), "checksum failed")
+        F.when(F.coalesce(code, F.lit("")) == "", "absent")
+        .when(F.length(code) != 18, "size")
+        .when(~code.rlike(f"^[{CREDIT_CHARSET}]{{18}}$"), "alphabet")
+        .when(credit_check_char(code) != F.substring(code, 18, 1), "checksum")
     )

@@ -1,80 +1,166 @@
 """Business-licence extraction over a table of OCR pages (doc_id, page, text, ...).
 
 Label spans are found exactly (blanks allowed between characters) or, for labels that are missing, by edit distance around
-intact two-character pieces; segments run from label to label; each field is cleaned, checked and scored in a long table.
+intact two-character pieces; segments run from label to label; each field is cleaned, checked and scored in a long table.  All of
+it happens inside a document's row, as arrays: no text is shuffled, and rows are exploded once, into fields.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import codes, text
 from fieldloom.sources.synth import LABELS
 
 KEY_FIELDS = ("companyName", "creditCode", "legalRepresentative")
-#: Weights of the detection signals: fixed values.
-SIGNALS = {"营业 *执照": 0.35, "统一 *社会 *信用 *代码": 0.3, "法定 *代表 *人": 0.2, "注册 *资本": 0.15, "登记 *机关": 0.1, "经营 *范围": 0.1}
+#: Detection signals with their weights, and what marks an identity card: fixed values.
+SIGNALS = {
+    r"营业\s*执照": 0.35,
+    r"统一\s*社会\s*信用\s*代码": 0.3,
+    r"法定\s*代表\s*人": 0.2,
+    r"注册\s*资本": 0.15,
+    r"登记\s*机关": 0.1,
+    r"经营\s*范围": 0.1,
+}
 ID_SIGNALS = ("居民身份", "公民身份", "身份号码", "身份证号", "身份证号码", "姓名", "签发")
+SPAN = "struct<field:string,label:string,start:int,end:int,fuzzy:boolean,matched:string,score:double>"
 
 
 def loose(label: str) -> str:
-    return " *".join(label)
-
-
-def label_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, field, label, start, end, fuzzy, matched, score): at most one span a label, 1-based, end exclusive."""
-    labels = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("label"), F.regexp_instr("text", F.lit(loose(x))).alias("start"), F.regexp_extract("text", loose(x), 0).alias("matched")) for f, x in LABELS.items()])
-    rows = docs.select("doc_id", "text", F.explode(labels).alias("s")).select("doc_id", "text", "s.*")
-    exact = rows.where(F.col("start") > 0).select("doc_id", "field", "label", "start", (F.col("start") + F.length("matched")).alias("end"), F.lit(False).alias("fuzzy"), "matched", F.lit(1.0).alias("score"))
-    n = F.length("label")
-    missed = rows.where((F.col("start") == 0) & (n >= 4)).select("doc_id", "text", "field", "label")
-    # two edits leave a two-character piece intact in labels of six or more, one edit in shorter ones; windows start around it
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.instr("label", F.substring(F.col("text"), i, F.lit(2))) > 0)
-    hits = missed.withColumn("at", F.explode(at)).withColumn("offset", F.instr("label", F.substring(F.col("text"), F.col("at"), F.lit(2))))
-    hits = hits.select("doc_id", "text", "field", "label", F.explode(F.array(*[F.col("at") - F.col("offset") + 1 + j for j in range(-2, 3)])).alias("start")).where(F.col("start") > 0).distinct()
-    windows = hits.withColumn("len", F.explode(F.array(*[n + j for j in range(-2, 3)])))
-    windows = windows.withColumn("matched", F.substring(F.col("text"), F.col("start"), F.col("len"))).where((F.length("matched") == F.col("len")) & ~F.col("matched").contains("\n"))
-    distance = F.levenshtein("matched", "label", 2)
-    shared = F.size(F.array_intersect(F.split("matched", ""), F.split("label", ""))) / n
-    scored = windows.withColumn("d", distance).where(F.col("d").between(0, F.when(n >= 6, 2).otherwise(1))).withColumn("score", F.round(0.6 * (1 - F.col("d") / n) + 0.4 * shared, 6))
-    best = Window.partitionBy("doc_id", "label").orderBy(F.desc("score"), "start", F.abs(F.col("len") - n))
-    fuzzy = scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == 1)
-    return exact.unionByName(fuzzy.select("doc_id", "field", "label", "start", (F.col("start") + F.length("matched")).alias("end"), F.lit(True).alias("fuzzy"), "matched", "score"))
-
-
-def dedupe_spans(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans of a document the longer label stays, then the exact one, then the earlier one."""
-    a, b = spans.alias("a"), spans.alias("b")
-    rank = lambda s: F.struct(-F.length(f"{s}.label"), F.col(f"{s}.fuzzy"), F.col(f"{s}.start"), F.col(f"{s}.label"))
-    beaten = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (rank("b") < rank("a"))
-    return a.join(b, beaten, "left_anti")
-
-
-def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, field, label, fuzzy, next_label, segment): trimmed text from a label's end to the next label's start."""
-    order = Window.partitionBy("doc_id").orderBy("start")
-    bounds = spans.withColumn("until", F.lead("start").over(order)).withColumn("next_label", F.lead("label").over(order))
-    joined = bounds.join(docs.select("doc_id", "text"), "doc_id")
-    until = F.coalesce("until", F.length("text") + 1)
-    cut = F.regexp_replace(text.full_trim(F.substring(F.col("text"), F.col("end"), F.greatest(until - F.col("end"), F.lit(0)))), r"^[:：\s]+", "")
-    return joined.select("doc_id", "field", "label", "fuzzy", "next_label", F.nullif(cut, F.lit("")).alias("segment"))
-
-
-def code_candidates(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, source, code, valid): distinct 18-character codes from the code segment and the whole text, look-alikes folded."""
-    own = parts.where(F.col("field") == "creditCode").select("doc_id", F.lit("segment").alias("source"), F.col("segment").alias("t"))
-    whole = docs.select("doc_id", F.lit("text").alias("source"), F.col("text").alias("t"))
-    found = own.unionByName(whole).withColumn("t", text.norm_code_confusions(F.regexp_replace("t", r"[·#!_:.-]", "")))
-    found = found.select("doc_id", "source", F.explode(F.regexp_extract_all("t", F.lit("[0-9A-Z]{18}"), F.lit(0))).alias("code")).dropDuplicates(["doc_id", "source", "code"])
-    return found.withColumn("valid", codes.credit_code_problem(F.col("code")).isNull())
-
-
-def best_code(candidates: DataFrame) -> DataFrame:
-    """(doc_id, source, code, valid): valid before invalid, segment before text, more digits, then the code itself."""
-    digits = F.length(F.regexp_replace("code", "[^0-9]", ""))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("valid"), F.when(F.col("source") == "segment", 0).otherwise(1), F.desc(digits), "code")
-    return candidates.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == 1).drop("nth")
+    return r"\s*".join(label)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def fuzzy_span(t: Column, x: Column) -> Column:
+    """The best window (score, first, fit, matched) for a misread label x (label, pieces, n) of four characters or more, else null.
+
+    Two edits leave a two-character piece intact in labels of six or more, one edit in shorter ones.  The text is cut in front of
+    each such piece; windows start around where the label would start, and are two characters shorter or longer at most.
+    """
+    seed = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    around = F.array(*[F.lit(j) for j in range(-2, 3)])
+
+    def walk(acc: Column, part: Column) -> Column:
+        offset = F.when(F.length(part) > 1, F.instr(x["label"], F.substring(part, 1, 2))).otherwise(0)
+        near = F.transform(F.filter(F.array(offset), lambda o: o > 0), lambda o: acc["at"] - o + 1)
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], near).alias("starts"))
+
+    hits = F.array_distinct(F.aggregate(F.split(t, x["pieces"]), seed, walk, lambda acc: acc["starts"]))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(around, lambda j: h + j)))), lambda s: s > 0)
+    windows = F.flatten(F.transform(starts, lambda s: F.transform(around, lambda j: F.struct(s.alias("s"), j.alias("j"), F.substring(t, s, x["n"] + j).alias("w")))))
+    whole = F.filter(windows, lambda v: (F.length(v["w"]) == x["n"] + v["j"]) & ~v["w"].contains("\n"))
+    measured = F.transform(whole, lambda v: F.struct(v.alias("v"), F.levenshtein(v["w"], x["label"], 2).alias("d")))
+    good = F.filter(measured, lambda m: m["d"].between(0, F.when(x["n"] >= 6, 2).otherwise(1)))
+    shared = lambda w: F.size(F.array_intersect(F.split(w, ""), F.split(x["label"], ""))) / x["n"]
+    scored = F.transform(
+        good,
+        lambda m: F.struct(F.round(0.6 * (1 - m["d"] / x["n"]) + 0.4 * shared(m["v"]["w"]), 6).alias("score"), (-m["v"]["s"]).alias("first"), (-F.abs(m["v"]["j"])).alias("fit"), m["v"]["w"].alias("matched")),
+    )
+    return F.when(x["n"] >= 4, F.array_max(scored))
+
+
+def spans_of(t: Column) -> Column:
+    """Array of at most one span a label (SPAN; 1-based, end exclusive): exact ones, and fuzzy ones of labels that are missing."""
+    pieces = lambda label: "(?=" + "|".join(label[i : i + 2] for i in range(len(label) - 1)) + ")"
+    labels = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("label"), F.lit(loose(x)).alias("loose"), F.lit(pieces(x)).alias("pieces"), F.lit(len(x)).alias("n")) for f, x in LABELS.items()])
+
+    def span(x: Column, start: Column, matched: Column, fuzzy: bool, score: Column) -> Column:
+        return F.struct(x["field"], x["label"], start, start + F.length(matched), F.lit(fuzzy), matched, score).cast(SPAN)
+
+    def exact(x: Column, at: Column) -> Column:
+        return span(x, at, F.call_function("regexp_extract", t, x["loose"], F.lit(0)), False, F.lit(1.0))
+
+    def missing(x: Column) -> Column:
+        return let(fuzzy_span(t, x), lambda b: F.when(b.isNotNull(), span(x, -b["first"], b["matched"], True, b["score"])))
+
+    return F.array_compact(F.transform(labels, lambda x: let(F.regexp_instr(t, x["loose"]), lambda at: F.when(at > 0, exact(x, at)).otherwise(missing(x)))))
+
+
+def deduped(spans: Column) -> Column:
+    """Of overlapping spans the longer label stays, then the exact one, then the earlier one."""
+    rank = lambda s: F.struct(-F.length(s["label"]), s["fuzzy"], s["start"], s["label"])
+    beats = lambda b, a: (a["start"] < b["end"]) & (b["start"] < a["end"]) & (rank(b) < rank(a))
+    return F.filter(spans, lambda a: ~F.exists(spans, lambda b: beats(b, a)))
+
+
+def segments_of(t: Column, spans: Column) -> Column:
+    """Array of (field, label, fuzzy, next_label, segment): trimmed text from a label's end to the next label's start."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x.alias("span"))))
+
+    def one(x: Column, i: Column) -> Column:
+        after = F.get(order, i + 1)
+        until = F.coalesce(after["start"], F.length(t) + 1)
+        end = x["span"]["end"]
+        cut = F.regexp_replace(text.full_trim(F.substring(t, end, F.greatest(until - end, F.lit(0)))), r"^[:：\s]+", "")
+        return F.struct(x["span"]["field"].alias("field"), x["span"]["label"].alias("label"), x["span"]["fuzzy"].alias("fuzzy"), after["span"]["label"].alias("next_label"), F.nullif(cut, F.lit("")).alias("segment"))
+
+    return F.transform(order, one)
+
+
+def codes_of(segment: Column, t: Column) -> Column:
+    """Array of (source, code, valid): distinct 18-character codes from the code segment and the whole text, look-alikes folded."""
+
+    def found(source: str, c: Column) -> Column:
+        folded = text.norm_code_confusions(F.regexp_replace(c, r"[·#!_:.-]", ""))
+        every = F.array_distinct(F.regexp_extract_all(F.coalesce(folded, F.lit("")), F.lit("[0-9A-Z]{18}"), F.lit(0)))
+        return F.transform(every, lambda x: F.struct(F.lit(source).alias("source"), x.alias("code"), codes.credit_code_problem(x).isNull().alias("valid")))
+
+    return F.concat(found("segment", segment), found("text", t))
+
+
+def best_code_of(candidates: Column) -> Column:
+    """The one of an array of candidates: valid before invalid, segment before text, more digits, then the code itself."""
+    digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
+    return F.array_min(F.transform(candidates, lambda x: F.struct((~x["valid"]).alias("a"), (x["source"] != "segment").alias("b"), (-digits(x["code"])).alias("c"), x["code"].alias("code"), x["source"].alias("source"), x["valid"].alias("valid"))))
+
+
+def rows_of(df: DataFrame, column: str, given: str, keys: list[str] = ["doc_id"]) -> DataFrame:
+    """A row for each struct of an array; `given` is a field that is never null in one.
+
+    The outer form, as for the inner one the optimizer puts a copy of the array's expression into a filter below.
+    """
+    return df.select(*keys, F.inline_outer(column)).where(F.col(given).isNotNull())
+
+
+def label_spans(docs: DataFrame, dedupe: bool = False) -> DataFrame:
+    """(doc_id, text) -> (doc_id, field, label, start, end, fuzzy, matched, score): a row for each span; no shuffle."""
+    rows = docs.select("doc_id", spans_of(F.col("text")).alias("s"))
+    return rows_of(rows.withColumn("s", deduped(F.col("s"))) if dedupe else rows, "s", "label")
+
+
+def with_segments(docs: DataFrame) -> DataFrame:
+    """docs with parts, the segments of their deduplicated spans."""
+    return docs.withColumn("spans", spans_of(F.col("text"))).withColumn("spans", deduped(F.col("spans"))).withColumn("parts", segments_of(F.col("text"), F.col("spans"))).drop("spans")
+
+
+def part(field: str) -> Column:
+    return F.get(F.filter("parts", lambda x: x["field"] == field), 0)
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """(doc_id, field, label, fuzzy, next_label, segment)."""
+    return rows_of(with_segments(docs), "parts", "label")
+
+
+def with_codes(docs: DataFrame) -> DataFrame:
+    """docs with parts and code_candidates."""
+    return with_segments(docs).withColumn("code_candidates", codes_of(part("creditCode")["segment"], F.col("text")))
+
+
+def code_candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, code, valid)."""
+    return rows_of(with_codes(docs), "code_candidates", "code")
+
+
+def best_code(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, code, valid) of the documents that have a candidate."""
+    best = with_codes(docs).select("doc_id", F.array(best_code_of(F.col("code_candidates"))).alias("b"))
+    return rows_of(best, "b", "code").select("doc_id", "source", "code", "valid")
 
 
 DIGITS = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "贰": 2, "两": 2, "三": 3, "叁": 3, "四": 4, "肆": 4, "五": 5, "伍": 5, "六": 6, "陆": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
@@ -145,10 +231,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """First pages (doc_id, style, ocr_confidence, text) -> long fields (doc_id, style, field, raw_segment, value, label_found,
     fuzzy, checksum_valid, confidence, requires_review), ten rows a document."""
     docs = pages.where(F.col("page") == 1).withColumn("text", text.norm_cjk_ocr(F.col("text")))
-    parts = segments(docs, dedupe_spans(label_spans(docs)))
-    code = best_code(code_candidates(docs, parts)).select("doc_id", F.col("code"), F.col("valid"))
-    every = docs.select("doc_id", "style", "ocr_confidence", F.explode(F.array(*[F.lit(f) for f in LABELS])).alias("field"))
-    rows = every.join(parts.select("doc_id", "field", "fuzzy", "segment"), ["doc_id", "field"], "left").join(code, "doc_id", "left")
+    docs = with_codes(docs.select("doc_id", "style", "ocr_confidence", "text")).withColumn("code", best_code_of(F.col("code_candidates")))
+    every = F.array(*[F.struct(F.lit(f).alias("field"), part(f)["fuzzy"].alias("fuzzy"), part(f)["segment"].alias("segment")) for f in LABELS])
+    rows = docs.select("doc_id", "style", "ocr_confidence", F.col("code.code").alias("code"), F.col("code.valid").alias("valid"), every.alias("every"))
+    rows = rows_of(rows, "every", "field", ["doc_id", "style", "ocr_confidence", "code", "valid"])
     is_code = F.col("field") == "creditCode"
     rows = rows.withColumn("value", F.when(is_code, F.col("code")).otherwise(field_value(F.col("field"), F.col("segment"))))
     rows = rows.withColumn("checksum_valid", F.when(is_code, F.coalesce("valid", F.lit(False)))).withColumn("label_found", F.col("segment").isNotNull()).withColumn("fuzzy", F.coalesce("fuzzy", F.lit(False)))

@@ -62,19 +62,21 @@ def top_groups(passes: DataFrame, by: str, n: int) -> DataFrame:
     return g.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), by))).where(F.col("nth") <= n)
 
 
+#: Keywords with the patterns that show them: fixed values.
 KEYWORDS = {
-    "营业执照": r"营\s*业\s*执\s*照",
-    "统一社会信用代码": r"信用\s*代码",
-    "法定代表人": r"法定\s*代表|法人\s*代表",
-    "注册资本": r"注册\s*资[本金]",
-    "名称": r"名\s*称\s*[:：]|(?m:^名\s*称)",
-    "成立日期": r"成立\s*[日时][期间]|设立\s*日期",
+    "营业执照": (r"营业\s*执照", r"营\s*业\s*执\s*照", r"营业执照"),
+    "统一社会信用代码": (r"统一\s*社会\s*信用\s*代码", r"社会\s*信用\s*代码", r"信用\s*代码"),
+    "法定代表人": (r"法定\s*代表\s*人", r"法人\s*代表", r"法定代表"),
+    "注册资本": (r"注册\s*资本", r"注册\s*资金"),
+    "名称": (r"名\s*称\s*[:：]", r"(?m:^名\s*称)"),
+    "成立日期": (r"成立\s*日期", r"成立\s*时间", r"设立\s*日期"),
 }
 
 
 def keyword_score(t: Column) -> tuple[Column, Column]:
     """(score, hits) of the licence keywords: fixed weights."""
     code = F.regexp_replace(t, r"\s", "").rlike("[0-9A-Z]{18}")
-    total = sum((F.when(t.rlike(p), 0.22 if k == "营业执照" else 0.14).otherwise(0.0) for k, p in KEYWORDS.items()), F.when(code, 0.08).otherwise(0.0))
-    hits = F.array_compact(F.array(*[F.when(t.rlike(p), k) for k, p in KEYWORDS.items()]))
+    shown = {k: t.rlike("|".join(patterns)) for k, patterns in KEYWORDS.items()}
+    total = sum((F.when(c, 0.22 if k == "营业执照" else 0.14).otherwise(0.0) for k, c in shown.items()), F.when(code, 0.08).otherwise(0.0))
+    hits = F.array_compact(F.array(*[F.when(c, k) for k, c in shown.items()]))
     return F.round(F.least(F.lit(1.0), total), 6), hits

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import codes, text
-from fieldloom.operators import detect, mrz, passes, templates, visa
+from fieldloom.operators import detect, mrz, passes, passport, templates, visa
 from fieldloom.sources import synth, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,11 +117,25 @@ def cn_date_normalise(spark, sf):
     return tables.table(spark, sf, "orders").select(k.alias("doc_id"), text.cn_date_normalise(shown).alias("day"))
 
 
-@query(r"SELECT p_partkey AS doc_id, CASE WHEN length(v) BETWEEN 6 AND 12 AND regexp_full_match(v, '[A-Z0-9]+') THEN v END AS number FROM (SELECT p_partkey, upper(regexp_replace(p_brand || CAST(p_partkey AS STRING), '[\s#]', '', 'g')) AS v FROM part)")
+@query(
+    r"""SELECT k AS doc_id, CASE WHEN n BETWEEN 6 AND 12 THEN CASE WHEN n = 10 THEN substr(v, 1, 9) ELSE v END END AS number,
+  CASE WHEN k % 3 = 0 THEN 'ANNA M' WHEN k % 3 = 1 THEN 'LEE' END AS name, CASE WHEN k % 2 = 0 THEN 'M' END AS sex, CASE WHEN k % 4 < 3 THEN lpad(CAST(1 + k % 28 AS STRING), 2, '0') || '/0' || CAST(1 + k % 4 AS STRING) || '/1990' END AS born,
+  CASE WHEN k % 2 = 0 THEN 'UTO' END AS nationality, CASE WHEN k % 3 <> 1 THEN 'PORT ' || CAST(k AS STRING) END AS place
+FROM (SELECT p_partkey AS k, 'AB' || CAST(p_partkey AS STRING) || repeat('7', CAST(1 + p_partkey % 9 AS INT)) AS v, length(v) AS n FROM part)"""
+)
 def field_sanitise(spark, sf):
-    v = F.upper(F.regexp_replace(F.concat("p_brand", F.col("p_partkey").cast("string")), r"[\s#]", ""))
-    ten = F.when(v.rlike("^[A-Z0-9]{9}[0-9]$"), v).otherwise(v)
-    return tables.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.length(ten).between(6, 12) & ten.rlike("^[A-Z0-9]+$"), ten).alias("number"))
+    """Raw values with fillers, labels, look-alike dates and numbers whose check digit ran on."""
+    k = F.col("p_partkey")
+    day = F.concat(F.lpad((1 + k % 28).cast("string"), 2, "0"), F.when(k % 4 < 3, F.concat(F.lit("/0"), (1 + k % 4).cast("string"))).otherwise("/14"), F.lit("/1990"))
+    return tables.table(spark, sf, "part").select(
+        k.alias("doc_id"),
+        passport.clean_number(F.concat(F.lit("ab "), k.cast("string"), F.repeat(F.lit("7"), (1 + k % 9).cast("int")))).alias("number"),
+        passport.clean_name(F.when(k % 3 == 0, "Anna<<M<LLLLL").when(k % 3 == 1, "SURNAME lee").otherwise("KKKKKK")).alias("name"),
+        passport.clean_sex(F.when(k % 2 == 0, " male").otherwise("X")).alias("sex"),
+        passport.clean_date(day).alias("born"),
+        passport.clean_nationality(F.when(k % 2 == 0, "u.t.o").otherwise("SEX")).alias("nationality"),
+        passport.clean_place(F.when(k % 3 == 1, "Place/No").otherwise(F.concat(F.lit("PORT  "), k.cast("string")))).alias("place"),
+    )
 
 
 # --- OCR passes: events are passes of their user's document -------------------------------------------------------------
@@ -508,17 +522,38 @@ def vis_pass_winners(spark, sf):
 # --- passports: zone and page text ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_MRZ} {_TD3}")
+def two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(zone, page): records read from pages that have labels, a zone but in every fifth document, and a number only in every second."""
+    z, k = zones(spark, sf), F.col("doc_id")
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("SURNAME: "), "surname"),
+        F.concat(F.lit("GIVEN NAMES: "), "given"),
+        F.when(k % 2 == 0, F.concat(F.lit("PASSPORT NO: "), F.lower("number"))),
+        F.when(k % 5 != 4, F.concat_ws("\n", F.when(k % 3 == 1, F.rpad(F.regexp_replace("line1", "<<.*$", ""), 44, "<")).otherwise(F.col("line1")), "line2")),
+    )
+    docs = z.select("doc_id", body.alias("text"))
+    t = F.col("text")
+    found = {"surname": visa.by_label(t, "SURNAME"), "given_names": visa.by_label(t, "GIVEN NAMES"), "passport_number": visa.by_label(t, "PASSPORT NO")}
+    page = docs.select("doc_id", *[found.get(f, F.lit(None).cast("string")).alias(f) for f in passport.ZONE_FIELDS])
+    return mrz.fields(mrz.pairs(docs)), page
+
+
+_PATH = "CASE WHEN k % 5 = 4 THEN 'ocr_only' WHEN k % 3 = 1 THEN 'mrz_with_ocr_fallback' WHEN k % 7 <> 0 THEN 'mrz_only' ELSE 'mrz_partial' END"
+_NONE = "CASE WHEN k % 5 <> 4 THEN {0} END"
+
+
+@query(
+    f"""WITH {_MRZ}, f AS ({_TD3}) SELECT doc_id, surname, given_names, CASE WHEN k % 5 <> 4 OR k % 2 = 0 THEN passport_number END AS passport_number, {_NONE.format('nationality')} AS nationality,
+  {_NONE.format('date_of_birth')} AS date_of_birth, {_NONE.format('sex')} AS sex, {_NONE.format('expiry_date')} AS expiry_date, {_PATH} AS path FROM (SELECT *, doc_id AS k FROM f)"""
+)
 def pp_merge_sources(spark, sf):
-    return mrz.fields(mrz.pairs(zones(spark, sf)))
+    return passport.merge_sources(*two_sources(spark, sf))
 
 
-@query("SELECT path, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'mrz_partial' ELSE 'mrz_only' END AS path FROM customer) GROUP BY path")
+@query(f"SELECT {_PATH} AS path, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) GROUP BY 1")
 def pp_extraction_path(spark, sf):
-    f = mrz.fields(mrz.pairs(zones(spark, sf)))
-    full = F.col("surname").isNotNull() & F.col("given_names").isNotNull() & F.col("passport_number").isNotNull()
-    path = F.when(F.col("mrz_valid") & full, "mrz_only").when(F.col("surname").isNotNull() | F.col("passport_number").isNotNull(), "mrz_partial").otherwise("ocr_only")
-    return f.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return passport.merge_sources(*two_sources(spark, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_MRZ} SELECT k AS doc_id, surname, given AS given_names, number AS passport_number, k % 7 <> 0 AS mrz_valid FROM t")

@@ -139,7 +139,7 @@ def lic_label_spans(spark, sf):
 
 @query(_SPANS)
 def lic_span_dedupe(spark, sf):
-    return license.dedupe_spans(license.label_spans(_norm_pages(spark, sf))).select("doc_id", "field", "label", "fuzzy", "matched")
+    return license.label_spans(_norm_pages(spark, sf), dedupe=True).select("doc_id", "field", "label", "fuzzy", "matched")
 
 
 @query(
@@ -149,22 +149,21 @@ UNION ALL SELECT doc_id, 'registrationAuthority', "registrationAuthority" FROM t
 )
 def lic_segments(spark, sf):
     docs = _norm_pages(spark, sf)
-    parts = license.segments(docs, license.dedupe_spans(license.label_spans(docs)))
+    parts = license.segments(docs)
     return parts.where(F.col("field").isin("companyName", "legalRepresentative", "companyType", "registrationAuthority", "businessScope")).select("doc_id", "field", "segment")
 
 
 @query(f"WITH {CMP} SELECT doc_id, src AS source, actual AS code, checksum_valid AS valid FROM cmp, (SELECT unnest(['segment', 'text']) AS src) WHERE field = 'creditCode'")
 def lic_code_candidates(spark, sf):
-    docs = _norm_pages(spark, sf)
-    return license.code_candidates(docs, license.segments(docs, license.label_spans(docs).where(F.col("field").isin("creditCode", "companyName"))))
+    return license.code_candidates(_norm_pages(spark, sf))
 
 
 @query(f"WITH {CMP} SELECT doc_id, 'segment' AS source, actual AS code, checksum_valid AS valid FROM cmp WHERE field = 'creditCode'")
 def lic_code_best(spark, sf):
-    return license.best_code(lic_code_candidates(spark, sf))
+    return license.best_code(_norm_pages(spark, sf))
 
 
-@query(f"WITH {CMP} SELECT doc_id, CASE WHEN checksum_valid THEN NULL ELSE 'checksum failed' END AS problem FROM cmp WHERE field = 'creditCode'")
+@query(f"WITH {CMP} SELECT doc_id, CASE WHEN checksum_valid THEN NULL ELSE 'checksum' END AS problem FROM cmp WHERE field = 'creditCode'")
 def lic_code_checksum(spark, sf):
     return license.extract(pages(spark, sf)).where(F.col("field") == "creditCode").select("doc_id", codes.credit_code_problem(F.col("value")).alias("problem"))
 
@@ -366,12 +365,12 @@ def err_recommendations(spark, sf):
     return causes.join(F.broadcast(advice), "cause", "left").select(F.col("rank").alias("priority"), "cause", F.coalesce("recommendation", F.concat(F.lit("investigate "), "cause")).alias("recommendation"), "impact")
 
 
-@query(f"WITH {CMP} SELECT doc_id, src AS source, actual AS code, CASE WHEN checksum_valid THEN NULL ELSE 'checksum failed' END AS reason, src = 'segment' AS selected, actual = expected AS matches_expected FROM cmp, (SELECT unnest(['segment', 'text']) AS src) WHERE field = 'creditCode'")
+@query(f"WITH {CMP} SELECT doc_id, src AS source, actual AS code, CASE WHEN checksum_valid THEN NULL ELSE 'checksum' END AS reason, src = 'segment' AS selected, actual = expected AS matches_expected FROM cmp, (SELECT unnest(['segment', 'text']) AS src) WHERE field = 'creditCode'")
 def err_code_candidates(spark, sf):
     from fieldloom.functions import text
 
     cand = lic_code_candidates(spark, sf)
-    best = license.best_code(cand).select("doc_id", F.col("source").alias("_s"), F.col("code").alias("_c"))
+    best = license.best_code(_norm_pages(spark, sf)).select("doc_id", F.col("source").alias("_s"), F.col("code").alias("_c"))
     want = truth(spark, sf).select("doc_id", text.norm_code_confusions(F.col("creditCode")).alias("_w"))
     rows = cand.join(best, "doc_id", "left").join(want, "doc_id", "left")
     return rows.select("doc_id", "source", "code", codes.credit_code_problem(F.col("code")).alias("reason"), ((F.col("source") == F.col("_s")) & (F.col("code") == F.col("_c"))).alias("selected"), (F.col("code") == F.col("_w")).alias("matches_expected"))
@@ -380,7 +379,7 @@ def err_code_candidates(spark, sf):
 @query(f"WITH {CMP} SELECT doc_id, expected, actual AS raw_segment, '注册资本' AS next_label, actual = expected AS boundary_ok FROM cmp WHERE field = 'companyName'")
 def err_name_boundaries(spark, sf):
     docs = _norm_pages(spark, sf)
-    parts = license.segments(docs, license.dedupe_spans(license.label_spans(docs))).where(F.col("field") == "companyName")
+    parts = license.segments(docs).where(F.col("field") == "companyName")
     return parts.join(truth(spark, sf).select("doc_id", F.col("companyName").alias("expected")), "doc_id").select("doc_id", "expected", F.col("segment").alias("raw_segment"), "next_label", (F.col("segment") == F.col("expected")).alias("boundary_ok"))
 
 

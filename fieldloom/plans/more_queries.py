@@ -121,13 +121,11 @@ def mrz_line1_rebuild(spark, sf):
     return z.select("doc_id", F.rpad(F.concat(F.lit("P<"), F.substring("line2", 11, 3), "names"), 44, "<").alias("line1"))
 
 
-@query("SELECT c_custkey AS doc_id, 10 AS score FROM customer")
+@query(f"WITH {dq._ZONE} SELECT k AS doc_id, 10 AS score, line1 FROM z")
 def mrz_line1_optimise(spark, sf):
-    """One round of single deletions on line 1 after a digit slipped in; the best-scoring line wins."""
-    z = dq.zones(spark, sf).select("doc_id", "country", F.concat(F.substring("line1", 1, 8), F.lit("7"), F.substring("line1", 9, 35)).alias("bad"))
-    edits = z.select("doc_id", "country", "bad", F.explode(F.sequence(F.lit(6), F.lit(20))).alias("at"))
-    edited = edits.select("doc_id", "country", F.rpad(F.concat(F.substring(F.col("bad"), F.lit(1), F.col("at") - 1), F.substring(F.col("bad"), F.col("at") + 1, F.lit(44))), 44, "<").alias("line1"))
-    return edited.groupBy("doc_id").agg(F.max(mrz.line1_score(F.col("line1"), F.col("country"))).alias("score"))
+    """Line 1 with a digit slipped in: of the line and its single deletions the best-scoring one, of equals the first."""
+    z = dq.zones(spark, sf).select("doc_id", "country", F.concat(F.substring("line1", 1, 8), F.lit("7"), F.substring("line1", 9, 35)).alias("line"))
+    return mrz.line1_optimise(z)
 
 
 @query(f"WITH {dq._MRZ} SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 'lenient' ELSE 'strict' END AS source, surname FROM t")
@@ -136,11 +134,13 @@ def mrz_strict_merge(spark, sf):
     return f.select("doc_id", F.when(F.col("mrz_valid"), "strict").otherwise("lenient").alias("source"), "surname")
 
 
-@query(f"WITH {dq._VISA} SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 4 ELSE 14 END AS score FROM v WHERE variant <> 'missing_mrz'")
+@query(f"WITH {dq._VISA} SELECT k AS doc_id, surname, number AS \"passportNumber\", k % 7 <> 0 AS mrz_valid, CASE WHEN k % 7 = 0 THEN 4 ELSE 14 END AS score FROM v WHERE variant <> 'missing_mrz'")
 def mrz_visa_best(spark, sf):
+    """The best-scoring pair of each document; of equals the first by number."""
     f = dq.visa_zone(spark, sf)
     score = F.when(F.col("mrz_valid"), 10).otherwise(0) + F.when(F.col("passportNumber").isNotNull(), 2).otherwise(0) + F.when(F.col("dateOfBirth").isNotNull(), 1).otherwise(0) + F.when(F.col("expiryDate").isNotNull(), 1).otherwise(0)
-    return f.groupBy("doc_id").agg(F.max(score).alias("score"))
+    best = f.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("surname", "passportNumber", "mrz_valid", "score"), F.struct("score", "passportNumber", "surname")).alias("b"))
+    return best.select("doc_id", "b.*")
 
 
 @query("SELECT c_custkey AS doc_id, kind, kind = 'visa' AS run FROM customer, (SELECT unnest(['visa', 'passport']) AS kind)")
