@@ -74,7 +74,9 @@ def unseen_blobs(docs: DataFrame, ledger: DataFrame | None, rule_version: str) -
     owners = ids.groupBy("blob").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
     owners = owners.join(seen.withColumn("seen", F.lit(True)), "blob", "left") if seen is not None else owners.withColumn("seen", F.lit(None).cast("boolean"))
     owners = common.materialize(owners.select(F.col("blob").alias("_blob"), "owner", "n", F.coalesce("seen", F.lit(False)).alias("seen")), "owners")
-    at = (F.col("blob") == F.col("_blob"))
+    if not owners.where(~F.col("seen")).limit(1).count():
+        return docs.limit(0).select("blob", "text")
+    at = F.col("blob") == F.col("_blob")
     odd = owners.where(F.col("seen") | (F.col("n") > 1))
     if not common.is_small(odd, SMALL):
         wanted = owners.where(~F.col("seen"))
