@@ -40,6 +40,7 @@ def trigrams(texts: list[str]):
     code[2:] = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS)
     gap = raw <= 32
+    bucket[1:][gap[1:] & gap[:-1]] = TRIGRAMS  # a blank after a blank counts for nothing, so that a text's place in a batch doesn't either
     starts = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
     ends = np.cumsum([len(d) for d in data])
     return bucket, starts, np.diff(np.r_[0, np.searchsorted(starts, ends)])
@@ -55,7 +56,7 @@ def _count(batches: Iterator) -> Iterator:
         texts = rows.column("text").to_pylist()
         for lang in set(langs):
             bucket, _, _ = trigrams([t for t, x in zip(texts, langs) if x == lang])
-            total[lang] = total.get(lang, 0) + np.bincount(bucket, minlength=TRIGRAMS)
+            total[lang] = total.get(lang, 0) + np.bincount(bucket, minlength=TRIGRAMS + 1)[:TRIGRAMS]
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype("i4")), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -83,6 +84,7 @@ def mixtures(texts: list[str], table):
     full = np.flatnonzero(n_words)
     if not len(full):
         return out
+    table = np.vstack([table, np.zeros((1, k), table.dtype)])
     like = np.add.reduceat(table[bucket], starts, axis=0)
     top = like.max(axis=1)
     like = np.exp(like - top[:, None])

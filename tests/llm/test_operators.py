@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -47,6 +48,17 @@ def test_line_dedup_brute_force(spark):
         assert got[i].n_dropped == n - (len(kept.split("\n")) if kept or n == 1 or got[i].n_dropped < n else 0)
 
 
+def test_line_dedup_with_more_keys_than_go_out(spark, monkeypatch):
+    """Hot keys are broadcast, the others joined; results are those of brute force."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 5)
+    random.seed(19)
+    texts = ["\n".join(random.choice(["hot", "q%d" % random.randrange(30)]) for _ in range(random.randrange(150))) for _ in range(40)]
+    docs = common.documents(table(spark, texts))
+    got = {r.doc_id: (r.n_lines, r.kept_text) for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, 5, False)).collect()}
+    assert [got[i] for i in range(40)] == brute_lines(texts, 5)
+
+
 def test_line_dedup_keeps_first(spark):
     docs = common.documents(table(spark, ["a\nb\na", "b\nc", "c\nd"]))
     got = {r.doc_id: r.kept_text for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, 1, True)).collect()}
@@ -358,6 +370,14 @@ def test_syncmers_are_context_free(spark):
     assert {(h, p + 30) for h, p in a} <= set(b)
 
 
+def test_an_insertion_in_text_without_blanks_moves_few_anchors(spark):
+    random.seed(22)
+    base = "".join(chr(random.randrange(0x4E00, 0x9000)) for _ in range(1500))
+    rows = fingerprints.anchors(table(spark, [base, "前" + base, base[:700] + "中" + base[700:]]), "text", "a").orderBy("doc_id").collect()
+    a, b, c = ({x.hash for x in r.a} for r in rows)
+    assert len(a & b) > 0.97 * len(a) and len(a & c) > 0.95 * len(a)
+
+
 # urls
 
 
@@ -381,9 +401,61 @@ def test_glob_automaton_against_fnmatch():
     assert whole.match([t.encode() for t in texts]).tolist() == [any(fnmatch.fnmatchcase(t, g) for g in globs) for t in texts]
 
 
+def test_a_thousand_globs_from_a_table(spark):
+    import fnmatch
+
+    random.seed(20)
+    globs = ["*" + "".join(random.choice("abc/.") for _ in range(random.randrange(3, 9))) + random.choice(["", "*", "?*"]) for _ in range(1000)]
+    urls = ["http://" + "".join(random.choice("abc.") for _ in range(8)) + "/" + "".join(random.choice("abc/.") for _ in range(20)) for _ in range(60)] + ["", "http://" + "a" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([(g,) for g in globs], "glob string")
+    for r in url_filters.judge(pages, rules=[], globs=rules).collect():
+        assert r.verdict == ("block" if any(fnmatch.fnmatchcase(r.host + r.path, g) for g in globs) else "allow")
+    assert url_filters.judge(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        url_filters.globs_of(rules, 10)
+
+
 # language
 
 
+def brute_em(like, size, order):
+    share = [1 / size if x in order[:size] else 0.0 for x in range(len(like[0]))]
+    for _ in range(language_mixture.ROUNDS if size > 1 else 0):
+        parts = [[p * s for p, s in zip(row, share)] for row in like]
+        new = [sum(x[j] / sum(x) for x in parts) / len(like) for j in range(len(share))]
+        moved = max(abs(a - b) for a, b in zip(new, share))
+        share = new
+        if moved < language_mixture.TOLERANCE:
+            break
+    return share, sum(math.log(sum(p * s for p, s in zip(row, share))) for row in like)
+
+
+def test_mixtures_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    table_ = np.log(rng.dirichlet(np.full(language_mixture.TRIGRAMS, 0.05), 5).T + 1e-9).astype("f4")
+    random.seed(21)
+    texts = [" ".join("".join(random.choice("abcde") for _ in range(3)) for _ in range(n)) for n in (1, 2, 7, 40, 200)] + ["", " "]
+    got = language_mixture.mixtures(texts, table_)
+    for i, t in enumerate(texts[:5]):
+        bucket, starts, _ = language_mixture.trigrams([t])
+        like = np.add.reduceat(np.vstack([table_, np.zeros((1, 5), "f4")])[bucket], starts, axis=0)
+        like = np.exp(like - like.max(axis=1, keepdims=True)).tolist()
+        first, _ = brute_em(like, 5, range(5))
+        order = sorted(range(5), key=lambda x: -first[x])
+        best, value = None, math.inf
+        for size in range(1, 6):
+            share, fit = brute_em(like, size, order)
+            cost = -fit + (size - 1) * 0.5 * math.log(len(like) + 1)
+            if cost >= value:
+                break
+            best, value = share, cost
+        assert got[i].tolist() == pytest.approx(best, abs=5e-3)
+    assert not got[5:].any()
+
+
 def test_language_mixture(spark):
     random.seed(11)
     pools = {"en": "the house and river with stone".split(), "de": "der baum und fluss mit straße".split(), "fr": "la maison être où rivière été".split()}
