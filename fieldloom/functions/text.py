@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s   -     　﻿]"
 #: A word boundary of ASCII words.
 EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Either edge of an ASCII word.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def word(pattern: str) -> str:

@@ -48,6 +48,19 @@ def until(passes: DataFrame, good: Column) -> DataFrame:
     return passes.withColumn("_done", F.coalesce(F.max(good.cast("int")).over(before), F.lit(0))).where(F.col("_done") == 0).drop("_done")
 
 
+#: When the first pass looks blurred, and when a later one is good enough.
+BLUR_MRZ, BLUR_LABELS, BLUR_LENGTH, GOOD_SCORE, GOOD_LABELS = 20, 3, 250, 48, 2
+
+
+def blur_gate(passes: DataFrame) -> DataFrame:
+    """The passes (pass_no, score, mrz_score, label_count, length) that are run: the first, and if it looks blurred the others up to a good one."""
+    order = Window.partitionBy("doc_id").orderBy("pass_no")
+    blurred = (F.col("mrz_score") < BLUR_MRZ) & (F.col("label_count") < BLUR_LABELS) & (F.col("length") < BLUR_LENGTH)
+    rows = passes.withColumn("_nth", F.row_number().over(order)).withColumn("_blurred", F.first(blurred).over(order))
+    good = (F.col("_nth") > 1) & (F.col("score") >= GOOD_SCORE) & (F.col("label_count") >= GOOD_LABELS)
+    return until(rows.where((F.col("_nth") == 1) | F.col("_blurred")), good).drop("_nth", "_blurred")
+
+
 def merge_lines(passes: DataFrame) -> DataFrame:
     """(doc_id, text): distinct trimmed lines of two characters or more, in order of first appearance over all passes."""
     lines = passes.select("doc_id", "pass_no", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).withColumn("line", text.full_trim(F.col("line"))).where(F.length("line") >= 2)

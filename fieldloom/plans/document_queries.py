@@ -166,9 +166,16 @@ def pass_recovered_signals(spark, sf):
     return passes.recovered(event_passes(spark, sf))
 
 
-@query(f"WITH {_EV}, g AS (SELECT doc_id, min(pass_no) AS stop FROM p WHERE score >= 48 GROUP BY doc_id) SELECT p.doc_id, count(*) AS n_run FROM p LEFT JOIN g ON p.doc_id = g.doc_id WHERE stop IS NULL OR pass_no <= stop GROUP BY p.doc_id")
+_GATE = """e AS (SELECT user_id AS doc_id, event_id AS pass_no, round(value, 4) AS score, event_id % 31 AS mrz, event_id % 5 AS labels, event_id % 400 AS chars FROM events),
+n AS (SELECT *, row_number() OVER w AS nth, first_value(mrz < 20 AND labels < 3 AND chars < 250) OVER w AS blurred FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pass_no)),
+r AS (SELECT *, coalesce(max(CAST(nth > 1 AND score >= 48 AND labels >= 2 AS INT)) OVER (PARTITION BY doc_id ORDER BY pass_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM n WHERE nth = 1 OR blurred)"""
+
+
+@query(f"WITH {_GATE} SELECT doc_id, count(*) AS n_run, max(pass_no) AS last_pass FROM r WHERE done = 0 GROUP BY doc_id")
 def pass_blur_gate(spark, sf):
-    return passes.until(event_passes(spark, sf), F.col("score") >= 48).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_run"))
+    k = F.col("event_id")
+    rows = tables.table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), k.alias("pass_no"), F.round("value", 4).alias("score"), (k % 31).alias("mrz_score"), (k % 5).alias("label_count"), (k % 400).alias("length"))
+    return passes.blur_gate(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_run"), F.max("pass_no").alias("last_pass"))
 
 
 @query(f"WITH {_EV} SELECT doc_id, pass_id, round(avg(CAST(score AS DECIMAL(18,4))), 3) AS confidence FROM p GROUP BY doc_id, pass_id")
@@ -262,16 +269,34 @@ def mrz_td3_fields(spark, sf):
     return mrz.fields(mrz.pairs(zones(spark, sf)))
 
 
-@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 7 = 0 THEN 'failed: birthDate' ELSE 'valid' END AS reason FROM customer")
+@query(
+    f"""WITH r AS (SELECT 'passport' AS kind, CASE WHEN k % 4 = 1 THEN '{mrz.UNPARSED}' WHEN k % 7 = 0 THEN '{mrz.FAILED % "birthDate"}' ELSE 'valid' END AS reason FROM (SELECT c_custkey AS k FROM customer)
+UNION ALL SELECT 'visa', CASE WHEN k % 5 = 1 THEN '{mrz.VISA_INCOMPLETE}' WHEN k % 5 = 2 THEN '{mrz.VISA_MISSING}' WHEN k % 5 = 3 THEN '{mrz.VISA_NOISE}' WHEN k % 7 = 0 THEN '{mrz.VISA_FAILED}' ELSE 'valid' END FROM (SELECT c_custkey AS k FROM customer)) SELECT kind, reason, count(*) AS n FROM r GROUP BY ALL"""
+)
 def mrz_invalid_reason(spark, sf):
-    z = mrz.with_checks(zones(spark, sf))
-    return z.select("doc_id", F.coalesce(mrz.invalid_reason(z), F.lit("valid")).alias("reason"))
-
-
-@query("SELECT c_custkey AS doc_id, 'P' AS prefix FROM customer")
+    """Passports, every fourth without its zone, and visas whose zones lack the second line, both lines or the first."""
+    k = F.col("doc_id")
+    pages = zones(spark, sf).select("doc_id", F.when(k % 4 == 1, "PASSPORT").otherwise(F.col("text")).alias("text"))
+    found = mrz.pairs(pages).select("doc_id", "valid", *[c for c, _ in mrz.DIGITS], F.lit(True).alias("parsed"))
+    prefix, _ = mrz.prefix_type(F.col("text"))
+    a = pages.join(found, "doc_id", "left").select(F.lit("passport").alias("kind"), mrz.invalid_reason(F.col("valid"), F.coalesce("parsed", F.lit(False)), prefix).alias("reason"))
+    v = synth.mrz_lines(synth.mrz_truth(spark, sf), "V").select("doc_id", F.when(k % 5 == 1, F.col("line1")).when(k % 5 == 2, "").when(k % 5 == 3, F.col("line2")).otherwise(F.concat_ws("\n", "line1", "line2")).alias("text"))
+    zone = mrz.visa_pairs(v)
+    zone = mrz.fields(zone.withColumns(mrz.checks(F.col("line2")))).select("doc_id", "surname", "mrz_valid")
+    b = v.join(zone, "doc_id", "left").select(F.lit("visa").alias("kind"), mrz.visa_invalid_reason(F.col("mrz_valid"), F.col("text"), F.col("surname")).alias("reason"))
+    rows = a.unionByName(b).fillna("valid", ["reason"])
+    return rows.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 IN (0, 1) THEN 'P' WHEN c_custkey % 6 = 2 THEN 'V' END AS prefix, CASE c_custkey % 6 WHEN 4 THEN 'I' WHEN 5 THEN NULL WHEN 2 THEN 'V' ELSE 'P' END AS inferred FROM customer")
 def mrz_prefix_type(spark, sf):
-    rows = mrz.lines(zones(spark, sf)).where(F.col("line").rlike("^[PV]<"))
-    return rows.groupBy("doc_id").agg(F.min_by(F.substring("line", 1, 1), "pos").alias("prefix"))
+    """Pages with a passport's lines, those lines after a visa's, a visa's alone, inside other text, an identity card's, and none."""
+    k = F.col("doc_id")
+    visa_line = F.regexp_replace("line1", "^P", "V")
+    shown = F.when(k % 6 == 0, F.concat_ws("\n", "line1", "line2")).when(k % 6 == 1, F.concat_ws("\n", F.lit("page 1"), "line1", visa_line)).when(k % 6 == 2, F.concat_ws("\n", F.lit("VISA"), visa_line))
+    shown = shown.when(k % 6 == 3, F.concat(F.lit("zone: "), "line1")).when(k % 6 == 4, F.concat(F.lit("card:\ni<"), F.substring("line1", 3, 20))).otherwise("no zone")
+    first, inferred = mrz.prefix_type(shown)
+    return zones(spark, sf).select("doc_id", first.alias("prefix"), inferred.alias("inferred"))
 
 
 @query(f"WITH {_MRZ} SELECT k AS doc_id, 11 AS score, true AS repaired FROM t")
@@ -372,19 +397,34 @@ def classify_batch(spark, sf):
 
 
 _UP = "upper(text)"
+_LITERALS = "(" + " + ".join(f"CAST(contains({_UP}, '{x}') AS INT)" for x in detect.LABELS) + ")"
+#: DuckDB's regular expressions have no look-behind, but ASCII word edges.
+_GROUP_COUNTS = "(" + " + ".join(f"CAST(regexp_matches({_UP}, '{'|'.join(g).replace('(?<!N)', '(?:^|[^N])')}') AS INT)" for g in detect.GROUPS) + ")"
 
 
-@query("SELECT doc_id, (" + " + ".join(f"CAST(contains({_UP}, '{x}') AS INT)" for x in detect.LABELS) + ") AS n_literal, contains(regexp_replace(upper(text), '\\s', '', 'g'), 'P<') AS has_zone FROM documents")
+@query(
+    f"""WITH {_VISA} SELECT 'documents' AS kind, doc_id, greatest({_LITERALS}, {_GROUP_COUNTS}) AS n_labels, contains(regexp_replace({_UP}, '\\s', '', 'g'), 'P<') AS has_zone FROM documents
+UNION ALL SELECT 'visas', k, CASE WHEN variant IN ('no_entries', 'cropped') THEN 8 ELSE 9 END, false FROM v"""
+)
 def visa_label_count(spark, sf):
-    up = F.upper("text")
-    return docs(spark, sf).select("doc_id", sum((up.contains(x).cast("int") for x in detect.LABELS), F.lit(0)).alias("n_literal"), F.regexp_replace(up, r"\s", "").contains("P<").alias("has_zone"))
+    rows = docs(spark, sf).select(F.lit("documents").alias("kind"), "doc_id", "text").unionByName(visas(spark, sf).select(F.lit("visas").alias("kind"), "doc_id", "text"))
+    return rows.select("kind", "doc_id", detect.visa_label_count(F.col("text")).alias("n_labels"), F.regexp_replace(F.upper("text"), r"\s", "").contains("P<").alias("has_zone"))
+
 
+def negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text): receipts paid by a VISA card, in every tenth of which VISA NO stands, and passports."""
+    k = F.col("c_custkey")
+    paid = F.concat(F.lit("RECEIPT "), k.cast("string"), F.when(k % 10 == 0, "\nVISA NO ").otherwise("\nPAID BY VISA CARD "), F.lit("4111\nDATE: 01/02/2024"))
+    receipts = tables.table(spark, sf, "customer").select(k.alias("doc_id"), paid.alias("text"))
+    return receipts.unionByName(zones(spark, sf).select("doc_id", "text"))
 
-@query("SELECT count(*) AS n, 0.0 AS false_positive_rate FROM documents WHERE NOT contains(upper(text), 'VISA') AND NOT contains(text, 'V<')")
+
+@query("SELECT 2 * count(*) AS n, count(*) FILTER (c_custkey % 10 = 0) AS flagged, round(count(*) FILTER (c_custkey % 10 = 0) / (2.0 * count(*)), 6) AS false_positive_rate, count(*) FILTER (c_custkey % 10 = 0) AS over_cap FROM customer")
 def vis_false_positive_rate(spark, sf):
-    negatives = docs(spark, sf).where(~F.upper("text").contains("VISA") & ~F.col("text").contains("V<"))
-    flag = detect.is_visa(F.col("text"), F.lit(False)).cast("double")
-    return negatives.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(flag), F.lit(0.0)), 6).alias("false_positive_rate"))
+    """Share of negatives flagged as visas, and how many keep a confidence above the cap of non-visas."""
+    flag = detect.is_visa(F.col("text"), F.lit(False))
+    rows = negatives(spark, sf).select(flag.alias("flag"), visa.capped(F.lit(0.9), flag).alias("confidence"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"), F.round(F.avg(F.col("flag").cast("double")), 6).alias("false_positive_rate"), F.count_if(F.col("confidence") > visa.NON_VISA_CAP).alias("over_cap"))
 
 
 @query("SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'USA' WHEN n_nationkey % 3 = 1 THEN 'GBR' END AS code FROM nation")
@@ -409,11 +449,26 @@ def visa_field_source_score(spark, sf):
     return rows.select("doc_id", visa.source_score(F.col("surname"), F.col("z"), F.col("surname").isNotNull()).alias("surname_score"), visa.source_score(F.col("entries"), F.lit(False), F.col("entries").isNotNull()).alias("entries_score"))
 
 
-@query("SELECT doc_id, least(CASE WHEN n_chars % 2 = 0 THEN 0.9 ELSE 0.3 END, 0.4) AS confidence FROM documents WHERE NOT contains(upper(text), 'VISA') AND NOT contains(text, 'V<')")
+@query(
+    """SELECT kind, k AS doc_id, CASE WHEN detected THEN raw ELSE least(raw, 0.4) END AS confidence, CASE WHEN detected THEN ocr ELSE least(ocr, 0.4) END AS ocr_confidence
+FROM (SELECT 'visa' AS kind, c_custkey AS k, 0.9 AS raw, CASE WHEN c_custkey % 5 = 1 THEN 0.85 ELSE 0.9 END AS ocr, true AS detected FROM customer
+UNION ALL SELECT 'passport', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.3 END, 0.6, false FROM customer
+UNION ALL SELECT 'document', doc_id, 0.3, 0.2, false FROM documents WHERE NOT contains(upper(text), 'VISA') AND NOT contains(text, 'V<'))"""
+)
 def visa_nonvisa_cap(spark, sf):
-    d = docs(spark, sf).where(~F.upper("text").contains("VISA") & ~F.col("text").contains("V<"))
-    raw = F.when(F.col("n_chars") % 2 == 0, 0.9).otherwise(0.3)
-    return d.select("doc_id", F.when(~detect.is_visa(F.col("text"), F.lit(False)), F.least(raw, F.lit(visa.NON_VISA_CAP))).otherwise(raw).alias("confidence"))
+    """Confidences of visas, of passports, and of documents in which nothing tells of a visa."""
+    k = F.col("doc_id")
+    found = visa.label_fields(F.col("text"))
+    n = sum((found[c].isNotNull().cast("int") for c in VISA_FIELDS), F.lit(0))
+    plain = docs(spark, sf).where(~F.upper("text").contains("VISA") & ~F.col("text").contains("V<"))
+    sides = [
+        visas(spark, sf).select(F.lit("visa").alias("kind"), "doc_id", "text", F.lit(0.9).alias("raw"), n.alias("n")),
+        zones(spark, sf).select(F.lit("passport").alias("kind"), "doc_id", "text", F.when(k % 2 == 0, 0.9).otherwise(0.3).alias("raw"), n.alias("n")),
+        plain.select(F.lit("document").alias("kind"), "doc_id", "text", F.lit(0.3).alias("raw"), F.lit(0).alias("n")),
+    ]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    detected = detect.is_visa(F.col("text"), F.lit(False))
+    return rows.select("kind", "doc_id", visa.capped(F.col("raw"), detected).alias("confidence"), F.round(visa.capped(visa.ocr_confidence(F.col("n")), detected), 6).alias("ocr_confidence"))
 
 
 @query(f"WITH {_VISA}, {_VF} SELECT doc_id, CASE WHEN variant = 'no_entries' THEN 7 ELSE 8 END AS n_populated, round((CASE WHEN variant = 'no_entries' THEN 7 ELSE 8 END) / 14.0, 3) AS extraction_rate FROM f")

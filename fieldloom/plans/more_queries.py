@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, license, mrz, passes, visa
+from fieldloom.operators import confusions, detect, letters, license, mrz, passes, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
 from fieldloom.sources import tables
@@ -82,7 +82,20 @@ def lic_pass_score(spark, sf):
     return lq.pages(spark, sf).where(F.col("page") == 1).select("doc_id", F.round(F.least(F.lit(0.99), total), 6).alias("score"))
 
 
-@query()
+_X = "regexp_replace(x, '\\s', '', 'g')"
+_COMPACT = "regexp_replace(upper(text), '\\s', '', 'g')"
+_SIGNALS = " + ".join(f"CAST(regexp_matches(upper(text), '{'|'.join(g)}') AS INT)" for g in detect.SIGNALS)
+_ZONE_SCORE = f"""coalesce(list_sum(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: CASE WHEN length({_X}) >= 28 AND (contains({_X}, '<<') OR starts_with(upper({_X}), 'V<')) THEN 12 ELSE 0 END
+  + CASE WHEN regexp_full_match(upper({_X}), '[A-Z0-9<]{{28,}}') AND regexp_matches({_X}, '[0-9]{{6}}') THEN 12 ELSE 0 END)), 0)
+  + CASE WHEN regexp_matches({_COMPACT}, 'V<[A-Z]{{3}}') THEN 40 ELSE 0 END + CASE WHEN NOT contains({_COMPACT}, 'P<') AND regexp_matches({_COMPACT}, '[A-Z]{{3}}[A-Z]{{2,}}<<') THEN 25 ELSE 0 END"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, n_chars FROM documents), s AS (SELECT doc_id, least(100, {_ZONE_SCORE}) AS zone, greatest({dq._LITERALS}, {dq._GROUP_COUNTS}) AS labels, n_chars % 101 AS conf,
+  {_SIGNALS} + CAST(regexp_matches(upper(text), '\\b[A-Z0-9]{{6,12}}\\b') AND regexp_matches(upper(text), '\\bVISA\\b') AS INT) AS signals,
+  CASE WHEN regexp_matches(upper(text), '\\bVISA\\b') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(upper(text), '\\b(?:SURNAME|NATIONALITY|PASSPORT|CONTROL|GRANT)\\b') THEN 10 ELSE 0 END AS bonus FROM d)
+SELECT doc_id, round(CAST(zone AS DOUBLE) * 0.35 + labels * 10 + CAST(conf AS DOUBLE) / 100 * 25 + signals * 8 + bonus, 6) AS score FROM s"""
+)
 def pass_score(spark, sf):
     """Composite pass score of every document's text, its length standing in for the engine's confidence."""
     d = dq.docs(spark, sf)
@@ -193,42 +206,58 @@ def pp_name_crosscheck(spark, sf):
 # --- letters in prose ------------------------------------------------------------------------------------------------------
 
 
-def prose(spark, sf):
-    p = tables.table(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    body = F.concat(
-        F.lit("The crew will join the vessel at Port"), k.cast("string"), F.lit(" on 05 MAY 2024 M.V. Star"), k.cast("string"), F.lit(", Panama Flag, IMO No. "), (9_000_000 + k).cast("string"),
-        F.lit(" We request Single Entry, 3 Months validity, stay of "), (1 + k % 60).cast("string"), F.lit(" days.\nName: Agent"), k.cast("string"), F.lit(" Address: Road "), k.cast("string"), F.lit(" Contact no: "), (1000 + k).cast("string"),
-        F.lit(" Authorised\nAuthorise person name - Designation: Capt Lee "), k.cast("string"), F.lit(" Thanking you"),
-    )
-    return p.select(k.alias("doc_id"), F.regexp_replace(body, r"\s+", " ").alias("text"))
+def letters_of(spark, sf, *parts: str) -> DataFrame:
+    """(doc_id, s_name, text): one letter a supplier; parts are SQL over its key k, null ones are left out."""
+    body = F.concat_ws("", *[F.expr(p) for p in parts])
+    return tables.table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey")).select(F.col("k").alias("doc_id"), "s_name", body.alias("text"))
 
 
-@query("SELECT s_suppkey AS doc_id, 'Port' || CAST(s_suppkey AS STRING) AS port, 'Star' || CAST(s_suppkey AS STRING) AS vessel, 'Panama Flag' AS flag, CAST(9000000 + s_suppkey AS STRING) AS imo, CAST(1 + s_suppkey % 60 AS STRING) || ' days' AS stay, 'Single Entry' AS entries FROM supplier")
-def tpl_narrative(spark, sf):
-    x = lambda p: text.miss_as_null(F.regexp_extract("text", p, 1))
-    return prose(spark, sf).select("doc_id", x(r"join (?:the )?vessel at (.+?) on ").alias("port"), x(r"M\.V\. ([^,]+)").alias("vessel"), F.concat(x(r", ([A-Za-z ]+) Flag"), F.lit(" Flag")).alias("flag"), x(r"IMO No\.? ?([0-9]{7})").alias("imo"), x(r"stay of ([0-9]+ days?)").alias("stay"), x(r"(Single Entry)").alias("entries"))
+_K = "(SELECT s_suppkey AS k, CAST(s_suppkey AS STRING) AS t, s_name FROM supplier)"
 
 
-@query("SELECT s_suppkey AS doc_id, 'Agent' || CAST(s_suppkey AS STRING) AS agent, 'Road ' || CAST(s_suppkey AS STRING) AS address, CAST(1000 + s_suppkey AS STRING) AS contact FROM supplier")
+@query(
+    f"""SELECT k AS doc_id, 'Port' || t AS "joinPortChina", '05 MAY 2024' AS "joiningDate", 'Star' || t AS "vesselName", CASE WHEN k % 3 <> 0 THEN 'Panama Flag' END AS "vesselFlag", CASE WHEN k % 5 <> 0 THEN CAST(9000000 + k AS STRING) END AS "imoNumber",
+  'Line' || t || ' Ltd' AS "principalCompany", '3 Months validity' AS "visaValidityMonths", CASE WHEN k % 2 = 0 THEN 'Single Entry' END AS "entriesRequested", CAST(1 + k % 60 AS STRING) || ' days' AS "stayDays", CASE WHEN k % 4 = 0 THEN 'G Type Visa' END AS "visaType" FROM {_K}"""
+)
+def tpl_narrative(spark, sf):
+    parts = [
+        "'The crew will join the\n vessel at Port'", "k", "' on 05 MAY 2024 M.V. Star'", "k", "CASE WHEN k % 3 <> 0 THEN ', Panama  Flag' END", "','", "CASE WHEN k % 5 <> 0 THEN concat(' IMO No. ', 9000000 + k) END",
+        "' for our Principal, Line'", "k", "' Ltd. We request '", "CASE WHEN k % 4 = 0 THEN 'G\" Type visa, ' END", "CASE WHEN k % 2 = 0 THEN 'single entry, ' ELSE 'double entry, ' END", "'3 Months validity, stay of '", "1 + k % 60", "' days.'",
+    ]
+    found = letters.narrative(F.col("text"))
+    found["entriesRequested"] = F.initcap(found["entriesRequested"])
+    return letters_of(spark, sf, *parts).select("doc_id", *[c.alias(f) for f, c in found.items()])
+
+
+@query(
+    f"""SELECT k AS doc_id, 'agent' AS section, 'Agent' || t AS "chinaAgentName", 'Road ' || t AS "chinaAgentAddress", CAST(1000 + k AS STRING) AS "chinaAgentContact", NULL AS "signatoryName", NULL AS "signatoryDesignation",
+  CAST(1000 + k AS STRING) || CASE WHEN k % 3 <> 0 THEN ' Authorised signature' ELSE '' END AS "signatoryContact", NULL AS "companyStamp" FROM {_K}
+UNION ALL SELECT k, 'from', NULL, NULL, '55' || t || CASE WHEN k % 2 = 0 THEN ' Company stamp: Seal ' || t ELSE '' END, 'Lee Chan', 'Master', '55' || t, CASE WHEN k % 2 = 0 THEN 'Seal ' || t END FROM {_K}"""
+)
 def tpl_labeled_blocks(spark, sf):
-    x = lambda p: text.miss_as_null(F.regexp_extract("text", p, 1))
-    return prose(spark, sf).select("doc_id", x(r"Name: (\S+?) Address").alias("agent"), x(r"Address: (.+?) Contact no").alias("address"), x(r"Contact no\.?: (.+?)(?: Authori[sz]e|$)").alias("contact"))
+    agent = letters_of(spark, sf, "'Name: Agent'", "k", "'\nAddress: Road '", "k", "'\nContact no: '", "1000 + k", "CASE WHEN k % 3 <> 0 THEN ' Authorised signature' END")
+    sender = letters_of(spark, sf, "'Mr. Lee ChanDesignation: Master Contact no.: 55'", "k", "CASE WHEN k % 2 = 0 THEN concat(' Company stamp: Seal ', k) END")
+    found = letters.labelled_blocks(F.col("text"))
+    return agent.withColumn("section", F.lit("agent")).unionByName(sender.withColumn("section", F.lit("from"))).select("doc_id", "section", *[c.alias(f) for f, c in found.items()])
 
 
-@query("SELECT s_suppkey AS doc_id, 'Capt Lee ' || CAST(s_suppkey AS STRING) AS person FROM supplier")
+@query(f"SELECT k AS doc_id, CASE WHEN k % 4 <> 0 THEN 'Capt Lee ' || t ELSE s_name END AS person, CASE WHEN k % 4 <> 0 THEN 0.88 END AS confidence, CASE WHEN k % 4 <> 0 THEN 'section_parse' END AS method FROM {_K}")
 def tpl_authorised_person(spark, sf):
-    return prose(spark, sf).select("doc_id", text.miss_as_null(F.regexp_extract("text", r"Authori[sz]e person name [–:-] ?Designation ?:? ?(.+?) (?:If the visa|Thanking you|Yours)", 1)).alias("person"))
+    """In every fourth letter the closing clause is missing, and another source's value stays."""
+    rows = letters_of(spark, sf, "'Authorise person name - Designation: Capt Lee '", "k", "CASE k % 4 WHEN 1 THEN '\nThanking you' WHEN 2 THEN ' If the visa is being granted' WHEN 3 THEN ' Yours  sincerely' END")
+    person = letters.authorised_person(F.col("text"), F.col("s_name"))
+    return rows.select("doc_id", person["value"].alias("person"), person["confidence"].alias("confidence"), person["method"].alias("method"))
 
 
-@query("SELECT s_suppkey AS doc_id, s_name AS name, 'Chief Officer' AS rank, '01/02/1980' AS born FROM supplier")
+@query(
+    f"""SELECT k AS doc_id, s_name AS "surnameName", 'CHIEF OFFICER' AS designation, CASE WHEN k % 5 <> 0 THEN 'INDIAN' END AS nationality, '01 FEB 1980 MUMBAI' AS "birthPlace", 'Z' || t AS "passportNumber", '01 FEB 1980' AS "birthDate",
+  CASE k % 3 WHEN 0 THEN '05 MAY 2020' WHEN 1 THEN '2020/05/05' ELSE 'open' END AS "passportIssueDate", CASE k % 3 WHEN 0 THEN '04 MAY 2030' WHEN 2 THEN 'later' END AS "passportExpiryDate" FROM {_K}"""
+)
 def tpl_candidate_table(spark, sf):
-    """A row of labels and values run together is cut at the next marker."""
-    s = tables.table(spark, sf, "supplier")
-    row = F.concat(F.lit("Name"), "s_name", F.lit("RankChief OfficerDate of Birth01/02/1980Passport"))
-    markers = ["Name", "Rank", "Date of Birth", "Passport"]
-    cut = lambda a, b: F.substring(row, F.instr(row, a) + len(a), F.instr(row, b) - F.instr(row, a) - len(a))
-    return s.select(F.col("s_suppkey").alias("doc_id"), *[cut(a, b).alias(n) for n, (a, b) in zip(("name", "rank", "born"), zip(markers, markers[1:]))])
+    """Rows of labels and values run together, with two dates, one date, or none that can be read."""
+    dates = "CASE k % 3 WHEN 0 THEN '05 MAY 2020/04 MAY 2030' WHEN 1 THEN '2020/05/05' ELSE 'open / later' END"
+    rows = letters_of(spark, sf, "'SURNAME / NAME '", "s_name", "'DESIGNATIONCHIEF OFFICERNATIONALITY: '", "CASE WHEN k % 5 <> 0 THEN 'INDIAN' END", "'BIRTHDATE/PLACE: 01 FEB 1980 MUMBAIPASSPORT NO Z'", "k", "'PASSPORT ISS/EXP: '", dates, "'Please be advised'")
+    return rows.select("doc_id", *[c.alias(f) for f, c in letters.candidate_table(F.col("text")).items()])
 
 
 # --- sinks, catalogues, matrices --------------------------------------------------------------------------------------------
