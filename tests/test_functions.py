@@ -130,3 +130,17 @@ def test_template_catalogue(spark, tmp_path):
 @pytest.mark.parametrize("value, want", [("SURNAME", 10 + 12.5 + 8 + 10), ("", 12.5), ("V<USASMITH<<JOHN<<<<<<<<<<<<<<", (40 + 25 + 12) * 0.35 + 12.5), ("VISA\n12/03/2020", 12.5 + 8 + 15)])
 def test_pass_score(spark, value, want):
     assert one(spark, value, lambda c: passes.score(c, F.lit(50.0))) == round(want, 6)
+
+
+def test_zone_reasons_and_letters_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import letters, mrz
+
+    ok = spark.createDataFrame([(True, True, True, True)], "number_ok boolean, birth_ok boolean, expiry_ok boolean, composite_ok boolean")
+    no, yes = F.lit(False), F.lit(True)
+    reason = ok.select(mrz.invalid_reason(no, yes, F.lit("V")).alias("a"), mrz.invalid_reason(no, yes, F.lit(None).cast("string")).alias("b"), mrz.invalid_reason(yes, yes, F.lit("P")).alias("c"), mrz.visa_invalid_reason(no, F.lit("V<UTO\nA1"), F.lit(None).cast("string")).alias("d")).first()
+    assert tuple(reason) == (mrz.WRONG_PREFIX % "V", mrz.NOISE, None, mrz.VISA_UNPARSED)
+    rows = spark.createDataFrame([(None,), ("",), ("no field here",)], "text string")
+    for found in (letters.labelled_blocks(F.col("text")), letters.narrative(F.col("text")), letters.candidate_table(F.col("text"))):
+        assert all(v is None for r in rows.select(*found.values()).collect() for v in r)
