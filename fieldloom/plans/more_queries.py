@@ -217,7 +217,7 @@ _K = "(SELECT s_suppkey AS k, CAST(s_suppkey AS STRING) AS t, s_name FROM suppli
 
 @query(
     f"""SELECT k AS doc_id, 'Port' || t AS "joinPortChina", '05 MAY 2024' AS "joiningDate", 'Star' || t AS "vesselName", CASE WHEN k % 3 <> 0 THEN 'Panama Flag' END AS "vesselFlag", CASE WHEN k % 5 <> 0 THEN CAST(9000000 + k AS STRING) END AS "imoNumber",
-  'Line' || t || ' Ltd' AS "principalCompany", '3 Months validity' AS "visaValidityMonths", CASE WHEN k % 2 = 0 THEN 'Single Entry' END AS "entriesRequested", CAST(1 + k % 60 AS STRING) || ' days' AS "stayDays", CASE WHEN k % 4 = 0 THEN 'G Type Visa' END AS "visaType" FROM {_K}"""
+  'Line' || t || ' Ltd' AS "principalCompany", '3 Months validity' AS "visaValidityMonths", CASE WHEN k % 2 = 0 THEN 'single entry' END AS "entriesRequested", CAST(1 + k % 60 AS STRING) || ' days' AS "stayDays", CASE WHEN k % 4 = 0 THEN 'G Type Visa' END AS "visaType" FROM {_K}"""
 )
 def tpl_narrative(spark, sf):
     parts = [
@@ -225,7 +225,6 @@ def tpl_narrative(spark, sf):
         "' for our Principal, Line'", "k", "' Ltd. We request '", "CASE WHEN k % 4 = 0 THEN 'G\" Type visa, ' END", "CASE WHEN k % 2 = 0 THEN 'single entry, ' ELSE 'double entry, ' END", "'3 Months validity, stay of '", "1 + k % 60", "' days.'",
     ]
     found = letters.narrative(F.col("text"))
-    found["entriesRequested"] = F.initcap(found["entriesRequested"])
     return letters_of(spark, sf, *parts).select("doc_id", *[c.alias(f) for f, c in found.items()])
 
 
