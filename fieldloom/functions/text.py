@@ -23,6 +23,11 @@ def miss_as_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, with c computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def full_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 

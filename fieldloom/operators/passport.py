@@ -78,3 +78,85 @@ def merge_sources(zone: DataFrame, page: DataFrame) -> DataFrame:
     filled = F.greatest(*[F.col(f"z_{f}").isNull() & F.col(f"p_{f}").isNotNull() for f in ZONE_FIELDS])
     path = F.when(none, "ocr_only").when(F.coalesce("mrz_valid", F.lit(False)) & full, "mrz_only").when(filled, "mrz_with_ocr_fallback").otherwise("mrz_partial")
     return both.select("doc_id", *[F.coalesce(f"z_{f}", f"p_{f}").alias(f) for f in ZONE_FIELDS], path.alias("path"))
+
+
+#: Labels of page fields in order of trial (patterns, blanks stand for any), and adjectives of nationality.
+PAGE_LABELS = {
+    "passport_number": ("passport number", "passport no", "document no", "no\\.? pengenalan"),
+    "surname": ("surname", "family name", "nazwisko"),
+    "given_names": ("given names?", "first names?", "imiona?", "nama / name"),
+    "nationality": ("nationality", "warganegara"),
+    "sex": ("sex", "gender", "jantina"),
+    "date_of_birth": ("date of birth", "tarikh lahir", "dob", "data urodzenia"),
+    "date_of_issue": ("date of issue", "tarikh dikeluarkan", "issue date"),
+    "expiry_date": ("date of expiry", "tarikh tamat", "expiry date", "valid until", "data waznosci"),
+    "place_of_birth": ("place of birth", "tempat lahir"),
+    "place_of_issue": ("place of issue", "authority", "pejabat pengeluar"),
+}
+NATIONALITIES = ("INDIAN", "AMERICAN", "BRITISH", "CANADIAN", "AUSTRALIAN", "MALAYSIAN", "FRENCH", "GERMAN", "POLISH", "ITALIAN", "SPANISH")
+NEXT_LABEL = r"(?i)\b(Tarikh|Date\s*of|Nationality|Warganegara|Sex|Passport|Place|Issuing|Control|Entries)\b.*$"
+_NAME, _DAY, _PLACE = r"[A-Za-z][A-Za-z .'-]*", r"[0-9][0-9A-Za-z ./-]*", r"[A-Za-z][A-Za-z ,.-]*"
+SHAPES = {"passport_number": "[A-Z0-9]{6,15}", "surname": _NAME, "given_names": _NAME, "nationality": "[A-Za-z]+", "sex": "(?:MALE|FEMALE|M|F)\\b", "place_of_birth": _PLACE, "place_of_issue": _PLACE}
+
+
+def plausible_number(c: Column) -> Column:
+    return c.rlike("^[A-Z0-9]{6,12}$") & c.rlike("[0-9]") & ~only_labels(c)
+
+
+def plausible_name(c: Column) -> Column:
+    return c.rlike("^[A-Za-z .'-]{2,}$") & ~only_labels(c)
+
+
+def plausible_raw_date(c: Column) -> Column:
+    """Does it hold a date with a day and month that exist?"""
+    day = text.date_normalise(c)
+    return F.coalesce(F.substring(day, 1, 2).try_cast("int").between(1, 31) & F.substring(day, 4, 2).try_cast("int").between(1, 12), F.lit(False))
+
+
+def page_fields(t: Column) -> dict[str, Column]:
+    """Eleven fields of a page's text: for each the first plausible candidate of an ordered list.
+
+    Candidates follow a label on its line, then on the next line.  Then come, for the number, nine digits before a country and a date, and
+    any token of seven to nine characters; for the nationality an adjective anywhere; for the sex a word anywhere; for the
+    expiry the last one of two or more spelt dates.  Without surname and given names a name's last word is the surname.
+    """
+    t = F.regexp_replace(t, "\r\n?", "\n")
+    up = F.upper(t)
+
+    def shown(field: str) -> list[Column]:
+        value = SHAPES.get(field, _DAY)
+        labels = [label.replace(" ", r"\s*") for label in PAGE_LABELS[field]]
+        same = [F.regexp_extract(t, rf"(?i)\b{label}\b\.?[ \t]*[:=./-]*[ \t]*({value})", 1) for label in labels]
+        below = [F.regexp_extract(t, rf"(?i)\b{label}\b[^\n]*\n[ \t]*({value})", 1) for label in labels]
+        return [F.trim(F.regexp_replace(c, NEXT_LABEL, "")) for c in [*same, *below]]
+
+    def first(candidates: Column, plausible) -> Column:
+        return F.get(F.filter(candidates, lambda c: (c != "") & F.coalesce(plausible(c), F.lit(False))), 0)
+
+    ran_on = F.regexp_extract(t, r"\b([0-9]{9})[0-9]?[A-Z]{3}[0-9]{6}", 1)
+    number = first(F.transform(F.concat(F.array(*shown("passport_number"), ran_on), F.regexp_extract_all(t, F.lit(r"\b[A-Z0-9]{7,9}\b"), F.lit(0))), F.upper), plausible_number)
+    surname, given = (F.upper(first(F.array(*shown(f)), plausible_name)) for f in ("surname", "given_names"))
+    name = F.upper(first(F.array(F.trim(F.regexp_extract(t, rf"(?i)(?<!sur|en |ly |st )\bname\b[ \t]*[:-]?[ \t]*({_NAME})", 1))), plausible_name))
+    bare, words = surname.isNull() & given.isNull(), F.split(name, r"\s+")
+    last = F.when(F.size(words) > 1, F.element_at(words, -1))
+    before = F.when(F.size(words) > 1, F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).otherwise(name)
+    adjectives = [F.when(up.contains(n), n) for n in NATIONALITIES]
+    nationality = F.upper(first(F.array(*shown("nationality"), *adjectives), lambda c: (F.length(c) >= 3) & ~only_labels(c)))
+    sex = F.coalesce(first(F.array(*shown("sex")), lambda c: F.lit(True)), F.when(up.rlike(r"\bMALE\b|\bM\b"), "M").when(up.rlike(r"\bFEMALE\b|\bF\b"), "F"))
+    spelt = F.regexp_extract_all(up, F.lit(r"\b[0-9]{1,2}\s+[A-Z]{3}\s+[0-9]{4}\b"), F.lit(0))
+    day = lambda f, *more: text.bound(first(F.array(*shown(f), *more), plausible_raw_date), text.date_normalise)
+    place = lambda f: first(F.array(*shown(f)), lambda c: ~only_labels(c))
+    surname_out, given_out = F.when(bare, last).otherwise(surname), F.when(bare, before).otherwise(given)
+    return {
+        "passport_number": number,
+        "surname": surname_out,
+        "given_names": given_out,
+        "full_name": F.when(bare, name).otherwise(F.concat_ws(" ", given, surname)),
+        "nationality": nationality,
+        "sex": F.upper(F.substring(sex, 1, 1)),
+        "date_of_birth": day("date_of_birth", F.regexp_extract(up, r"\n\s*([0-9]{1,2}\s+[A-Z]{3}\s+[0-9]{4})", 1)),
+        "date_of_issue": day("date_of_issue"),
+        "expiry_date": day("expiry_date", F.when(F.size(spelt) >= 2, F.element_at(spelt, -1)).otherwise("")),
+        "place_of_birth": place("place_of_birth"),
+        "place_of_issue": place("place_of_issue"),
+    }

@@ -299,14 +299,17 @@ def mrz_prefix_type(spark, sf):
     return zones(spark, sf).select("doc_id", first.alias("prefix"), inferred.alias("inferred"))
 
 
-@query(f"WITH {_MRZ} SELECT k AS doc_id, 11 AS score, true AS repaired FROM t")
+@query(f"WITH {_MRZ}, s AS (SELECT *, k % 3 = 1 AND substr(birth, 1, 1) IN ('5', '8') AND k % 7 = 0 AS hidden FROM t) SELECT k AS doc_id, CASE WHEN hidden THEN 9 WHEN k % 7 = 0 THEN 8 ELSE 11 END AS score, NOT hidden AS repaired FROM s")
 def mrz_line2_repair(spark, sf):
-    """A digit of the birth date of a valid line is read as a letter that looks like it; repair finds it again."""
-    z = synth.mrz_lines(synth.mrz_truth(spark, sf).withColumn("doc_id", F.col("doc_id") * 7 + 1))
-    want = F.col("line2")
-    spoiled = F.concat(F.substring(want, 1, 1), F.translate(F.substring(want, 2, 1), "01258", "OIZSB"), F.substring(want, 3, 42))
-    rows = mrz.repair(z.select("doc_id", spoiled.alias("line2"), want.alias("want")))
-    return rows.select(((F.col("doc_id") - 1) / 7).cast("long").alias("doc_id"), "score", (F.col("line2") == F.col("want")).alias("repaired"))
+    """A digit of the number, or the first one of the birth date, is read as a letter that looks like it; repair finds it again.
+
+    A wrong check digit (every seventh) can't be repaired; where it happens to fit the misread date, that one stays.
+    """
+    k, line = F.col("doc_id"), F.col("line2")
+    swap = lambda at, seen: F.concat(F.substring(line, 1, at - 1), F.translate(F.substring(line, at, 1), *seen), F.substring(line, at + 1, 44))
+    spoiled = F.when(k % 3 == 0, swap(2, ("01258", "OIZSB"))).when(k % 3 == 1, swap(14, ("58", "SB"))).otherwise(line)
+    rows = mrz.repair(zones(spark, sf).select("doc_id", spoiled.alias("line2"), line.alias("want")))
+    return rows.select("doc_id", "score", (F.col("line2") == F.col("want")).alias("repaired"))
 
 
 # --- visas ---------------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import codes
 from fieldloom.operators import evaluate, license
-from fieldloom.sources import synth, tables
+from fieldloom.sources import damage, synth, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,11 +110,35 @@ def gen_license_text(spark, sf):
     return pages(spark, sf).where(F.col("page") == 1).select("doc_id", "page", F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n").alias("head"))
 
 
-@query(f"WITH {TRUTH} SELECT style, level, count(*) FILTER (s = 'd') AS bad_label, count(*) FILTER (s = 'e') AS blank_label, count(*) FILTER (s = 'g') AS lost_address, count(*) FILTER (s = 'h') AS bad_name FROM truth GROUP BY style, level")
+def _draw(salt: int, n: str) -> str:
+    return f"CAST((seed * 7919 + step * 104729 + {salt} * 1299709) % 1000003 % ({n}) AS INT)"
+
+
+def _cut(t: str, at: str, gone: str, put: str) -> str:
+    return f"substr({t}, 1, {at}) || {put} || substr({t}, {at} + {gone} + 1)"
+
+
+_PAIR = "(" + str([[a, b] for a, b in damage.PAIRS]) + f")[{_draw(1, str(len(damage.PAIRS)))} + 1]"
+_STEPS = " ".join(f"WHEN '{level}' THEN {damage.schedule(level)}::VARCHAR[]" for level in damage.LEVELS)
+_BREAK = f"array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i - 1 = {_draw(5, 'len(string_split(text, chr(10)))')} AND length(x) >= 10 THEN {_cut('x', '(' + _draw(6, 'length(x) - 8') + ' + 4)', '0', 'chr(10)')} ELSE x END), chr(10))"
+_NOISE = _cut("text", "least(length(text), " + _draw(3, "greatest(length(text) - 4, 1)") + " + 2)", "0", f"({list(damage.NOISE)})[{_draw(4, str(len(damage.NOISE)))} + 1]")
+_DROP = "CASE WHEN length(text) >= 9 THEN " + _cut("text", "(" + _draw(2, "length(text) - 8") + " + 4)", "1", "''") + " ELSE text END"
+_SWAP = "CASE WHEN instr(text, pair[1]) > 0 THEN " + _cut("text", "(instr(text, pair[1]) - 1)", "length(pair[1])", "pair[2]") + " ELSE text END"
+_CLEAN = """concat_ws(chr(10), "companyName", "companyType", "businessTerm", address, "businessScope")"""
+
+
+@query(
+    f"""WITH RECURSIVE {TRUTH}, c AS (SELECT doc_id, CAST(seed AS BIGINT) AS seed, CASE WHEN doc_id % 50 = 5 THEN 'extreme' ELSE level END AS level, {_CLEAN} AS text FROM truth),
+d AS (SELECT doc_id, seed, level, CASE level {_STEPS} END AS plan, 0::BIGINT AS step, text, []::VARCHAR[] AS ops FROM c
+UNION ALL SELECT doc_id, seed, level, plan, step + 1, changed, CASE WHEN changed <> text THEN list_append(ops, plan[step + 1]) ELSE ops END FROM (SELECT *, CASE plan[step + 1] WHEN 'substitution' THEN {_SWAP} WHEN 'drop_char' THEN {_DROP} WHEN 'insert_noise' THEN {_NOISE} ELSE {_BREAK} END AS changed FROM (SELECT *, {_PAIR} AS pair FROM d WHERE step < len(plan))))
+SELECT doc_id, level, md5(text) AS text_md5, array_to_string(ops, ',') AS operations FROM d WHERE step = len(plan)"""
+)
 def gen_ocr_corrupt(spark, sf):
-    p = pages(spark, sf).where(F.col("page") == 1)
-    has = lambda x: F.count_if(F.col("text").contains(x))
-    return p.groupBy("style", "level").agg(has("注册责本").alias("bad_label"), has("成立 日期").alias("blank_label"), F.count_if(~F.col("text").contains("住所")).alias("lost_address"), has("有很公司").alias("bad_name"))
+    """Every licence's fields as lines, damaged at its style's level (every fiftieth extremely), with the log of operations."""
+    level = F.when(F.col("doc_id") % 50 == 5, "extreme").otherwise(F.col("level"))
+    clean = F.concat_ws("\n", "companyName", "companyType", "businessTerm", "address", "businessScope")
+    rows = damage.corrupt(truth(spark, sf).select("doc_id", "seed", level.alias("level"), clean.alias("text")))
+    return rows.select("doc_id", "level", F.md5("text").alias("text_md5"), F.array_join("operations", ",").alias("operations"))
 
 
 @query(f"WITH {TRUTH} SELECT field, count(*) AS n FROM (SELECT unnest([{', '.join(repr(f) for f in synth.FIELDS)}]) AS field FROM truth) GROUP BY field")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, letters, license, mrz, passes, visa
+from fieldloom.operators import confusions, detect, letters, license, license_checks, mrz, passes, passport, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
-from fieldloom.sources import tables
+from fieldloom.sources import synth, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,12 +43,31 @@ def lic_confusion_variants(spark, sf):
     return ranked.select("doc_id", "raw", F.col("variant").alias("best"), "edits")
 
 
-@query(f"WITH {_T} SELECT doc_id, CASE WHEN s = 'h' THEN 0.55 ELSE 1.0 END AS name_score, 1.0 AS type_score FROM truth")
+_SPOILED = f"WITH {_T}, v AS (SELECT doc_id, doc_id % 7 AS r, s FROM truth)"
+
+
+@query(
+    f"""{_SPOILED} SELECT doc_id, 'companyName' AS field, CASE WHEN r = 1 THEN 0.9 WHEN s = 'h' THEN 0.55 ELSE 1.0 END AS score, r <> 1 AND s <> 'h' AS valid, r = 1 OR s = 'h' AS review, CASE WHEN r = 1 THEN 'valid_suffix,reasonable_length,contains_latin' WHEN s = 'h' THEN 'reasonable_length' ELSE 'valid_suffix,reasonable_length' END AS signals FROM v WHERE r <> 1 OR s <> 'h'
+UNION ALL SELECT doc_id, 'companyName', 0.45, false, true, 'reasonable_length,contains_latin' FROM v WHERE r = 1 AND s = 'h'
+UNION ALL SELECT doc_id, 'legalRepresentative', CASE WHEN r = 2 THEN 0.3 ELSE 1.0 END, r <> 2, r = 2, CASE WHEN r = 2 THEN 'contains_symbols' ELSE 'chinese_name' END FROM v
+UNION ALL SELECT doc_id, 'companyType', CASE WHEN r = 3 THEN 0.35 ELSE 1.0 END, r <> 3, r = 3, CASE WHEN r = 3 THEN '' ELSE 'template,company_keyword' END FROM v
+UNION ALL SELECT doc_id, 'address', CASE WHEN s = 'g' THEN 0.0 WHEN r = 4 THEN 0.8 ELSE 1.0 END, s <> 'g' AND r <> 4, s = 'g' OR r = 4, CASE WHEN s = 'g' THEN '' WHEN r = 4 THEN 'has_chinese,ocr_garbage,admin_markers' ELSE 'has_chinese,allowed_charset,admin_markers' END FROM v
+UNION ALL SELECT doc_id, 'businessScope', CASE WHEN r = 5 THEN 0.8 ELSE 1.0 END, r <> 5, r = 5, CASE WHEN r = 5 THEN 'has_chinese' ELSE 'has_chinese,reasonable_length' END FROM v"""
+)
 def lic_field_validate(spark, sf):
-    f = lq.fields(spark, sf)
-    value = lambda n: F.max(F.when(F.col("field") == n, F.col("value")))
-    g = f.groupBy("doc_id").agg(value("companyName").alias("n"), value("companyType").alias("t"))
-    return g.select("doc_id", confusions.company_score(F.col("n")).alias("name_score"), confusions.type_score(F.col("t")).alias("type_score"))
+    """Five fields of every licence; beside the styles' damage one field of most licences is spoiled: a letter in the name, a mark in
+    the holder's name or the address, a type or scope cut short."""
+    r, style = F.col("doc_id") % 7, F.substring("style", -1, 1)
+    name = F.concat(F.when(r == 1, "A").otherwise(""), F.when(style == "h", F.replace(F.col("companyName"), F.lit("有限"), F.lit("有很"))).otherwise(F.col("companyName")))
+    values = {
+        "companyName": name,
+        "legalRepresentative": F.concat(F.col("legalRepresentative"), F.when(r == 2, "#").otherwise("")),
+        "companyType": F.when(r == 3, F.lit("有限责任")).otherwise(F.col("companyType")),
+        "address": F.when(style != "g", F.concat(F.col("address"), F.when(r == 4, "~").otherwise(""))),
+        "businessScope": F.substring(F.col("businessScope"), F.lit(1), F.when(r == 5, 2).otherwise(99)),
+    }
+    rows = lq.truth(spark, sf).select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])).alias("x")).select("doc_id", "x.*")
+    return license_checks.validate(rows).select("doc_id", "field", "score", "valid", "review", "signals")
 
 
 @query(f"WITH {_T} SELECT doc_id, \"creditCode\" AS code, address FROM truth")
@@ -102,21 +121,16 @@ def pass_score(spark, sf):
     return d.select("doc_id", passes.score(F.coalesce("text", F.lit("")), (F.col("n_chars") % 101).cast("double")).alias("score"))
 
 
-@query(f"WITH {dq._ZONE} SELECT k AS doc_id, 1 AS n_line1, 1 AS n_line2 FROM z")
+@query(f"WITH {dq._ZONE} SELECT k AS doc_id, true AS first_found, true AS second_found, k % 4 <> 1 AS in_one_line FROM z")
 def mrz_candidates(spark, sf):
-    rows = mrz.lines(dq.zones(spark, sf))
-    first = rows.where(F.col("line").startswith("P<")).groupBy("doc_id").agg(F.count_distinct("line").cast("int").alias("n_line1"))
-    second = mrz.line2_candidates(rows).groupBy("doc_id").agg(F.count_distinct("line2").cast("int").alias("n_line2"))
-    return first.join(second, "doc_id")
-
-
-def sanitise(c):
-    """Upper case, punctuation dropped, misread prefix and separator and runs of misread fillers repaired, in this order."""
-    c = F.regexp_replace(F.regexp_replace(F.upper(c), r"\s", ""), "[^A-Z0-9<]", "")
-    for pattern, to in (("^P[LKES]", "P<"), ("^(P<[A-Z]{5,})(?:K[LK]|LK)([A-Z]{3,})", "$1<<$2")):
-        c = F.regexp_replace(c, pattern, to)
-    tail = F.regexp_extract(c, "[LK]{5,}$", 0)
-    return F.when(tail != "", F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(tail)), F.rpad(F.lit(""), F.length(tail), F.lit("<")))).otherwise(c)
+    """In every fourth document the second line is broken in two: only the joined lines hold it whole."""
+    z = dq.zones(spark, sf)
+    broken = F.concat_ws("\n", "line1", F.substring("line2", 1, 21), F.substring("line2", 22, 23))
+    pages = z.select("doc_id", F.when(F.col("doc_id") % 4 == 1, broken).otherwise(F.col("text")).alias("text"))
+    found = mrz.candidates(pages).join(mrz.line2_candidates(mrz.lines(pages)).groupBy("doc_id").agg(F.collect_set("line2").alias("singles")), "doc_id", "left")
+    rows = z.select("doc_id", "line1", "line2").join(found, "doc_id")
+    has = lambda c, x: F.coalesce(F.array_contains(c, F.col(x)), F.lit(False))
+    return rows.select("doc_id", has("firsts", "line1").alias("first_found"), has("seconds", "line2").alias("second_found"), has("singles", "line2").alias("in_one_line"))
 
 
 @query(f"WITH {dq._ZONE} SELECT k AS doc_id, line1 FROM z")
@@ -124,27 +138,37 @@ def mrz_sanitize(spark, sf):
     z = dq.zones(spark, sf)
     run = F.regexp_extract("line1", "<+$", 0)
     noisy = F.concat(F.lit("PL"), F.substring(F.col("line1"), F.lit(3), F.length("line1") - 2 - F.length(run)), F.regexp_replace(run, "<", "L"))
-    return z.select("doc_id", sanitise(noisy).alias("line1"))
+    return z.select("doc_id", mrz.sanitise(noisy).alias("line1"))
 
 
 @query(f"WITH {dq._ZONE} SELECT k AS doc_id, line1 FROM z")
 def mrz_line1_rebuild(spark, sf):
-    """Line 1 has lost P< and its country; both come back from line 2."""
-    z = dq.zones(spark, sf).select("doc_id", "line2", F.substring(F.col("line1"), F.lit(6), F.lit(39)).alias("names"))
-    return z.select("doc_id", F.rpad(F.concat(F.lit("P<"), F.substring("line2", 11, 3), "names"), 44, "<").alias("line1"))
+    """First lines that lost P<, that and the country, the country alone; with a misread separator, a run of digits at the
+    end, country letters twice; and whole ones."""
+    k, line = F.col("doc_id") % 8, F.col("line1")
+    cut = lambda a, n: F.substring(line, a, n)
+    damaged = F.when(k == 0, cut(3, 42)).when(k == 1, cut(6, 39)).when(k == 2, F.regexp_replace(line, "([A-Z])<<([A-Z])", "$1KK$2"))
+    damaged = damaged.when(k == 3, F.concat(cut(1, 36), F.substring("line2", 2, 8))).when(k == 4, F.concat(cut(1, 5), cut(4, 41))).when(k == 5, F.concat(cut(1, 2), cut(6, 39)))
+    damaged = damaged.when(k == 6, F.regexp_replace(line, "([A-Z])<<([A-Z])", "$1K<$2")).otherwise(line)
+    return mrz.line1_rebuild(dq.zones(spark, sf).select("doc_id", "line2", damaged.alias("line"))).select("doc_id", "line1")
 
 
 @query(f"WITH {dq._ZONE} SELECT k AS doc_id, 10 AS score, line1 FROM z")
 def mrz_line1_optimise(spark, sf):
-    """Line 1 with a digit slipped in: of the line and its single deletions the best-scoring one, of equals the first."""
-    z = dq.zones(spark, sf).select("doc_id", "country", F.concat(F.substring("line1", 1, 8), F.lit("7"), F.substring("line1", 9, 35)).alias("line"))
-    return mrz.line1_optimise(z)
+    """Lines with a digit slipped in, with a letter read as a digit (where one looks like it), and whole ones."""
+    k = F.col("doc_id") % 3
+    slipped = F.concat(F.substring("line1", 1, 8), F.lit("7"), F.substring("line1", 9, 35))
+    misread = F.concat(F.substring("line1", 1, 5), F.translate(F.substring("line1", 6, 1), "BG", "86"), F.substring("line1", 7, 38))
+    return mrz.line1_optimise(dq.zones(spark, sf).select("doc_id", "country", F.when(k == 0, slipped).when(k == 1, misread).otherwise(F.col("line1")).alias("line")))
 
 
-@query(f"WITH {dq._MRZ} SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 'lenient' ELSE 'strict' END AS source, surname FROM t")
+@query(f"WITH {dq._MRZ}, s AS (SELECT *, k % 5 = 2 AND substr(expiry, 3, 1) = '0' AS spoiled FROM t) SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 'lenient' ELSE 'strict' END AS source, k % 7 <> 0 AND NOT spoiled AS lenient_valid, k % 7 <> 0 AS mrz_valid, surname, {dq._DMY.format('expiry', '20')} AS expiry_date FROM s")
 def mrz_strict_merge(spark, sf):
-    f = mrz.fields(mrz.pairs(dq.zones(spark, sf)))
-    return f.select("doc_id", F.when(F.col("mrz_valid"), "strict").otherwise("lenient").alias("source"), "surname")
+    """In every fifth document a nought of the expiry date reads as O: the lenient parse fails its digit, the strict one reads it."""
+    z = dq.zones(spark, sf)
+    bad = F.concat(F.substring("line2", 1, 23), F.translate(F.substring("line2", 24, 1), "0", "O"), F.substring("line2", 25, 20))
+    pages = z.select("doc_id", F.when(F.col("doc_id") % 5 == 2, F.concat_ws("\n", "line1", bad)).otherwise(F.col("text")).alias("text"))
+    return mrz.strict_merge(mrz.pairs(pages)).select("doc_id", "source", "lenient_valid", "mrz_valid", "surname", "expiry_date")
 
 
 @query(f"WITH {dq._VISA} SELECT k AS doc_id, surname, number AS \"passportNumber\", k % 7 <> 0 AS mrz_valid, CASE WHEN k % 7 = 0 THEN 4 ELSE 14 END AS score FROM v WHERE variant <> 'missing_mrz'")
@@ -163,14 +187,22 @@ def visa_label_gate(spark, sf):
     return a.unionByName(dq.zones(spark, sf).select("doc_id", F.lit("passport").alias("kind"), detect.run_labels(F.col("text"), no).alias("run")))
 
 
-@query("SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'B1/B2' WHEN 1 THEN 'VIGNETTE' END AS visa_type, CASE WHEN c_custkey % 3 = 2 THEN 'G' || CAST(10000000 + c_custkey AS STRING) END AS label_number, CASE c_custkey % 2 WHEN 0 THEN 'TOURISM' ELSE 'STUDY' END AS purpose, CAST(1 + c_custkey % 90 AS STRING) || ' days' AS stay FROM customer")
+@query(
+    f"""WITH {dq._MRZ} SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 'B1/B2' WHEN 1 THEN 'VIGNETTE' WHEN 3 THEN 'eTA' END AS visa_type, CASE k % 4 WHEN 0 THEN 'B1/B2' WHEN 1 THEN 'C' END AS category, CASE WHEN k % 4 = 0 THEN CAST(200000000 + k AS STRING) END AS control_number,
+CASE WHEN k % 4 = 2 THEN 'G' || CAST(10000000 + k AS STRING) END AS label_number, CASE k % 2 WHEN 0 THEN 'TOURISM' ELSE 'STUDY' END AS purpose, CAST(1 + k % 90 AS STRING) || ' days' AS stay, CASE k % 6 WHEN 4 THEN surname || ' LLC' WHEN 5 THEN surname || ' HOUSE' END AS sponsor,
+CASE WHEN k % 5 = 3 THEN 'CAN' END AS issuing_country, CASE WHEN k % 5 = 3 THEN surname END AS surname, CASE WHEN k % 5 = 3 THEN given END AS given_names FROM t"""
+)
 def visa_country_rules(spark, sf):
-    k = F.col("c_custkey")
-    head = F.when(k % 3 == 0, "B1 / B2").when(k % 3 == 1, "UK VIGNETTE").otherwise(F.concat(F.lit("GRANT NO: G"), (10_000_000 + k).cast("string")))
-    body = F.concat_ws("\n", head, F.when(k % 2 == 0, "Purpose tourism and work").otherwise("study"), F.concat((1 + k % 90).cast("string"), F.lit(" DAYS STAY")))
+    """Pages of four kinds; some name a sponsor or host, some hold a zone line without prefix, of a country's code or of none's."""
+    k = F.col("doc_id")
+    head = F.when(k % 4 == 0, F.concat(F.lit("B1 / B2 CONTROL NO. "), (200_000_000 + k).cast("string"))).when(k % 4 == 1, "UK VIGNETTE, VISA CATEGORY C").when(k % 4 == 2, F.concat(F.lit("GRANT NO: G"), (10_000_000 + k).cast("string"))).otherwise("electronic travel authority")
+    host = F.when(k % 6 == 4, F.concat(F.lit("Sponsor: "), "surname", F.lit(" llc"))).when(k % 6 == 5, F.concat(F.lit("HOST: "), "surname", F.lit(" House")))
+    zone = F.concat(F.when(k % 5 == 3, "CAN").when(k % 5 == 4, "QQQ"), F.col("surname"), F.lit("<<"), F.col("given"), F.lit("<<<<"))
+    body = F.concat_ws("\n", head, F.when(k % 2 == 0, "Purpose tourism and work").otherwise("study"), F.concat((1 + k % 90).cast("string"), F.lit(" DAYS STAY")), host, zone)
     r = visa.country_rules(F.col("text"))
-    rows = tables.table(spark, sf, "customer").select(k.alias("doc_id"), body.alias("text"))
-    return rows.select("doc_id", r["visaType"].alias("visa_type"), r["visaLabelNumber"].alias("label_number"), r["purposeOfTravel"].alias("purpose"), r["durationOfStay"].alias("stay"))
+    names = {"visa_type": "visaType", "category": "visaCategory", "control_number": "controlNumber", "label_number": "visaLabelNumber", "purpose": "purposeOfTravel", "stay": "durationOfStay", "sponsor": "sponsor", "issuing_country": "issuingCountry", "surname": "surname", "given_names": "givenNames"}
+    rows = synth.mrz_truth(spark, sf).select(k, body.alias("text"))
+    return rows.select(k, *[r[v].alias(c) for c, v in names.items()])
 
 
 @query(f"WITH {dq._VISA}, {dq._VF} SELECT doc_id, \"passportNumber\", \"dateOfBirth\" FROM f")
@@ -182,15 +214,40 @@ def visa_legacy_fields(spark, sf):
     return dq.visas(spark, sf).select("doc_id", number.alias("passportNumber"), day.alias("dateOfBirth"))
 
 
-@query(f"WITH {dq._MRZ} SELECT k AS doc_id, surname, given AS given_names FROM t")
+@query(
+    f"""WITH {dq._MRZ}, d AS (SELECT *, k % 4 AS form, {dq._DMY.format('birth', '19')} AS born, {dq._DMY.format('expiry', '20')} AS ends FROM t)
+SELECT k AS doc_id, CASE WHEN form = 3 AND k % 8 = 3 THEN NULL ELSE number END AS passport_number, surname, given AS given_names, given || ' ' || surname AS full_name, CASE WHEN form = 3 THEN 'POLISH' ELSE country END AS nationality, sex, born AS date_of_birth,
+CASE WHEN form = 3 THEN NULL ELSE '02/03/2019' END AS date_of_issue, ends AS expiry_date, CASE WHEN form = 3 THEN NULL ELSE 'PORT ' || surname END AS place_of_birth, CASE WHEN form = 3 THEN NULL ELSE 'OLD TOWN' END AS place_of_issue FROM d"""
+)
 def pp_fields(spark, sf):
-    t = F.col("text")
-    return dq.zones(spark, sf).select("doc_id", visa.by_label(t, "SURNAME").alias("surname"), visa.by_label(t, "GIVEN NAMES").alias("given_names"))
+    """Pages of four forms: values beside their labels, below them, beside Malay labels, and few labels with spelt dates.
+
+    Implausible candidates stand first on some: a number without digits, a surname's label in another language, a 99th day.
+    """
+    k, form = F.col("doc_id"), F.col("doc_id") % 4
+    dmy = lambda c, century: F.concat_ws("/", F.substring(c, 5, 2), F.substring(c, 3, 2), F.concat(F.lit(century), F.substring(c, 1, 2)))
+    born, ends = dmy("birth", "19"), dmy("expiry", "20")
+    spelt = lambda c, century: F.concat_ws(" ", F.substring(c, 5, 2), F.get(F.array(*map(F.lit, text.MONTHS)), F.substring(c, 3, 2).cast("int") - 1), F.concat(F.lit(century), F.substring(c, 1, 2)))
+    row = lambda label, value, sep=": ": F.concat(F.lit(label + sep), value)
+    port, town, issued = F.concat(F.lit("PORT "), "surname"), F.lit("OLD TOWN"), F.lit("02.03.2019")
+    beside = F.concat_ws("\n", F.lit("PASSPORT"), row("Passport number", F.lit("UNKNOWN")), row("Passport no.", F.col("number"), " "), row("Surname", F.col("surname")), row("Given names", F.col("given")), row("Nationality", F.col("country")), row("Sex", F.col("sex")), row("Date of birth", born), row("Date of issue", issued), row("Date of expiry", ends), row("Place of birth", port), row("Authority", town))
+    below = F.concat_ws("\n", F.lit("PASSPORT"), *[row(label, v, "\n") for label, v in (("Passport number", F.col("number")), ("Nom / Surname", F.col("surname")), ("Given names / Prenoms", F.col("given")), ("Nationality", F.col("country")), ("Sex", F.col("sex")), ("Date of birth", born), ("Date of issue", issued), ("Date of expiry", ends), ("Place of birth", port), ("Place of issue", town))])
+    malay = F.concat_ws("\n", F.lit("PASPORT"), row("No. pengenalan", F.col("number")), row("Surname", F.col("surname")), row("Nama / Name", F.col("given")), row("Warganegara", F.col("country")), row("Jantina", F.col("sex")), row("Date of birth", F.lit("99/99/1999")), row("Tarikh lahir", born), row("Tarikh dikeluarkan", issued), row("Tarikh tamat", ends), row("Tempat lahir", port), row("Pejabat pengeluar", town))
+    few = F.concat_ws("\n", F.concat(F.lit("Polish "), F.when(F.col("sex") == "M", "male").otherwise("female")), row("Name", F.concat_ws(" ", "given", "surname")), spelt(F.col("birth"), "19"), spelt(F.col("expiry"), "20"), F.when(k % 8 == 7, F.col("number")))
+    pages = synth.mrz_truth(spark, sf).select(k, F.when(form == 0, beside).when(form == 1, below).when(form == 2, malay).otherwise(few).alias("text"))
+    return pages.select(k, *[c.alias(f) for f, c in passport.page_fields(F.col("text")).items()])
 
 
-@query("SELECT p_partkey AS doc_id, regexp_full_match(p_brand, '[A-Z0-9]{6,12}') AS id_ok, length(p_name) BETWEEN 2 AND 40 AND NOT regexp_matches(p_name, '[0-9]') AS name_ok FROM part")
+@query(
+    "SELECT p_partkey AS doc_id, regexp_full_match(t, '[A-Z0-9]{6,12}') AND regexp_matches(t, '[0-9]') AS id_ok, CASE WHEN p_partkey % 3 = 0 THEN false ELSE NOT regexp_matches(p_name, '[^A-Za-z .''-]') AND length(p_name) > 1 END AS name_ok, p_partkey % 4 IN (0, 1) AS date_ok FROM (SELECT *, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS t FROM part)"
+)
 def pp_plausible(spark, sf):
-    return tables.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").rlike("^[A-Z0-9]{6,12}$").alias("id_ok"), (F.length("p_name").between(2, 40) & ~F.col("p_name").rlike("[0-9]")).alias("name_ok"))
+    """Brands as numbers, part names and label words as names, written dates that exist or do not."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.lit("Surname / Nom")).otherwise(F.col("p_name"))
+    day = F.when(k % 4 == 0, "31/12/1999").when(k % 4 == 1, "on 1 feb 2001").when(k % 4 == 2, "45/13/1999").otherwise("no date")
+    number = F.upper(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    return tables.table(spark, sf, "part").select(k.alias("doc_id"), passport.plausible_number(number).alias("id_ok"), passport.plausible_name(name).alias("name_ok"), passport.plausible_raw_date(day).alias("date_ok"))
 
 
 @query(f"WITH {dq._MRZ} SELECT k AS doc_id, surname FROM t")
@@ -298,9 +355,19 @@ def src_template_catalog(spark, sf):
     return rows.select(F.col("id").alias("template_id"), "field", F.array_contains("required", F.col("field")).alias("required"))
 
 
-@query(f"WITH {dq._VISA} SELECT country, variant, count(*) AS n FROM v GROUP BY country, variant")
+_MATRIX = str([[v, d] for v, d in synth.VISA_VARIANTS])
+_MATRIX_SQL = f"""WITH {dq._MRZ}, m AS (SELECT *, ({_MATRIX})[CAST(k % {len(synth.VISA_VARIANTS)} AS INT) + 1] AS v FROM t), x AS (SELECT k AS doc_id, country, v[1] AS variant, v[2] AS degradation,
+  CASE v[1] WHEN 'multiple_surnames' THEN 'GARCIA LOPEZ' WHEN 'special_characters' THEN 'GARCIA' ELSE surname END AS surname, CASE v[1] WHEN 'long_names' THEN 'ALEXANDER CHRISTOPHER MONTGOMERY FITZGERALD' WHEN 'special_characters' THEN 'JOSE MARIA' ELSE given END AS given_names,
+  CASE WHEN v[1] = 'expired' THEN '01/01/2020' ELSE {dq._DMY.format('expiry', '20')} END AS expiry_date, v[1] <> 'missing_mrz' AS has_zone, v[1] NOT IN ('missing_mrz', 'invalid_mrz') AND k % 7 <> 0 AS mrz_valid, v[1] = 'expired' AS expired FROM m)"""
+
+
+@query(f"{_MATRIX_SQL} SELECT * FROM x")
 def gen_visa_matrix(spark, sf):
-    return dq.visas(spark, sf).groupBy("country", "variant").agg(F.count(F.lit(1)).alias("n"))
+    """One visa a customer in twenty variants; validity is read from the zone that is printed."""
+    m = synth.visa_matrix(spark, sf)
+    valid = mrz.checks(F.col("line2"))
+    ok = F.coalesce(valid["number_ok"] & valid["birth_ok"] & valid["expiry_ok"], F.lit(False))
+    return m.select("doc_id", "country", "variant", "degradation", synth.ascii_upper(F.col("surname")).alias("surname"), synth.ascii_upper(F.col("given")).alias("given_names"), mrz.full_date(F.col("expiry")).alias("expiry_date"), F.col("line2").isNotNull().alias("has_zone"), ok.alias("mrz_valid"), (F.col("expiry") < "260101").alias("expired"))
 
 
 @query("SELECT n_name AS country, t AS visa_type, form, 'VISA TYPE: ' || t || chr(10) || 'NATIONALITY: ' || n_name AS head FROM nation, (SELECT unnest(['TOURIST', 'BUSINESS']) AS t), (SELECT unnest([1, 2]) AS form)")

@@ -5,7 +5,7 @@ Expressions here are valid in Spark SQL and in ANSI engines alike; k is the cust
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import codes
@@ -140,3 +140,40 @@ def mrz_lines(truth: DataFrame, kind: str = "P") -> DataFrame:
         whole = F.concat("number", digit(F.col("number")), "birth", birth_digit, "expiry", digit(F.col("expiry")), personal, F.lit("0"))
         line2 = F.concat(head, personal, F.lit("0"), digit(whole))
     return truth.select("*", line1.alias("line1"), line2.alias("line2"))
+
+
+#: Fixed values: (variant, degradation) of visa pages, in order.
+VISA_VARIANTS = (
+    ("clean", "none"), ("low_dpi", "low_dpi"), ("motion_blur", "motion_blur"), ("gaussian_blur", "gaussian_blur"), ("skewed", "skewed"),
+    ("perspective", "perspective"), ("partial_crop", "partial_crop"), ("dark", "dark"), ("overexposed", "overexposed"), ("glare", "glare"),
+    ("stamp", "stamp"), ("ocr_a_font", "font_ocr_a"), ("arial_font", "font_arial"), ("mixed_fonts", "font_mixed"), ("long_names", "content_long_names"),
+    ("multiple_surnames", "content_multi_surname"), ("special_characters", "content_special_chars"), ("invalid_mrz", "content_invalid_mrz"),
+    ("missing_mrz", "content_missing_mrz"), ("expired", "content_expired"),
+)
+
+
+def ascii_upper(c: Column) -> Column:
+    return F.translate(F.upper(c), "ÁÉÍÓÚÑ", "AEIOUN")
+
+
+def visa_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mrz_truth with variant, degradation and the visa's zone lines: twenty variants by turns, the last six of content.
+
+    Names and dates differ first and the zone follows them; then the expiry digit of an invalid zone is one off, or no zone is printed.
+    """
+    listed = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(d).alias("degradation")) for v, d in VISA_VARIANTS])
+    t = mrz_truth(spark, sf_dir).withColumn("_v", F.get(listed, (F.col("doc_id") % len(VISA_VARIANTS)).cast("int"))).select("*", "_v.*").drop("_v")
+    variant = F.col("variant")
+    t = t.withColumns(
+        {
+            "surname": F.when(variant == "multiple_surnames", "GARCIA LOPEZ").when(variant == "special_characters", "GARCÍA").otherwise(F.col("surname")),
+            "given": F.when(variant == "long_names", "ALEXANDER CHRISTOPHER MONTGOMERY FITZGERALD").when(variant == "special_characters", "JOSÉ MARÍA").otherwise(F.col("given")),
+            "expiry": F.when(variant == "expired", "200101").otherwise(F.col("expiry")),
+        }
+    )
+    # the zone spells names in plain letters; the record keeps them as they are
+    spelt = t.withColumns({f"_{c}": F.col(c) for c in ("surname", "given")}).withColumns({c: F.replace(ascii_upper(F.col(c)), F.lit(" "), F.lit("<")) for c in ("surname", "given")})
+    t = mrz_lines(spelt, "V").withColumns({c: F.col(f"_{c}") for c in ("surname", "given")}).drop("_surname", "_given")
+    off = F.concat(F.substring("line2", 1, 27), ((F.substring("line2", 28, 1).cast("int") + 1) % 10).cast("string"), F.substring("line2", 29, 16))
+    shown = lambda c: F.when(variant != "missing_mrz", c)
+    return t.withColumn("line1", shown(F.col("line1"))).withColumn("line2", shown(F.when(variant == "invalid_mrz", off).otherwise(F.col("line2"))))

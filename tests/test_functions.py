@@ -144,3 +144,38 @@ def test_zone_reasons_and_letters_of_nothing(spark):
     rows = spark.createDataFrame([(None,), ("",), ("no field here",)], "text string")
     for found in (letters.labelled_blocks(F.col("text")), letters.narrative(F.col("text")), letters.candidate_table(F.col("text"))):
         assert all(v is None for r in rows.select(*found.values()).collect() for v in r)
+
+
+def test_mrz_repair_of_two_characters(spark):
+    """Where no single replacement fits, two in one field do."""
+    def digit(x):
+        return str(sum((int(c, 36) if c != "<" else 0) * (7, 3, 1)[i % 3] for i, c in enumerate(x)) % 10)
+
+    number, birth, expiry = "X20500731", "850412", "310905"
+    tail = "<" * 14 + "0"
+    whole = number + digit(number) + birth + digit(birth) + expiry + digit(expiry) + tail
+    line = number + digit(number) + "NAX" + birth + digit(birth) + "F" + expiry + digit(expiry) + tail + digit(whole)
+    for seen in (line[:13] + "B504I2" + line[19:], line[:21] + "3I" + "O" + line[24:]):
+        r = mrz.repair(spark.createDataFrame([(1, seen)], "doc_id long, line2 string")).first()
+        assert (r["line2"], r["score"]) == (line, 11)
+    hopeless = "?" * 44
+    assert mrz.repair(spark.createDataFrame([(1, hopeless)], "doc_id long, line2 string")).first()["line2"] == hopeless
+
+
+def test_damage(spark):
+    from fieldloom.sources import damage
+
+    rows = spark.createDataFrame([(i, "有限责任公司经营信息\n批发零售技术咨询建筑材料", level, 17 + i) for i, level in enumerate([*damage.LEVELS, None])] + [(9, "", "extreme", 1), (10, None, "low", 1)], "doc_id long, text string, level string, seed long")
+    found = {r["doc_id"]: r for r in damage.corrupt(rows).collect()}
+    assert found[0]["text"] == rows.first()["text"] and found[0]["operations"] == []
+    assert found[5]["operations"] == [] and found[10]["text"] is None
+    assert all(0 < len(found[i]["operations"]) <= sum(damage.LEVELS[level]) for i, level in enumerate(damage.LEVELS) if i)
+    assert set(found[9]["operations"]) == {"insert_noise"}
+
+
+def test_licence_checks_of_empty_values(spark):
+    from fieldloom.operators import license_checks
+
+    rows = spark.createDataFrame([(1, "address", None), (1, "businessScope", "  "), (1, "creditCode", "X")], "doc_id long, field string, value string")
+    found = license_checks.validate(rows).collect()
+    assert sorted((r["field"], r["score"], r["valid"], r["review"], r["signals"]) for r in found) == [("address", 0.0, False, True, ""), ("businessScope", 0.0, False, True, "")]

@@ -28,7 +28,7 @@ def con():
 
 
 #: One in four and those most changed; FIELDLOOM_ALL=1 runs all.
-NAMES = sorted(catalog.SQL) if os.environ.get("FIELDLOOM_ALL") else sorted({*sorted(catalog.SQL)[::4], "field_sanitise", "mrz_invalid_reason", "mrz_prefix_type", "pass_blur_gate", "pass_score", "tpl_authorised_person", "tpl_candidate_table", "tpl_labeled_blocks", "tpl_narrative", "vis_false_positive_rate", "visa_label_count", "visa_nonvisa_cap", "lic_segments", "met_field_prf", "mrz_line1_optimise", "mrz_pair_join", "mrz_visa_best", "pp_merge_sources", "template_upsert", "visa_merge_sources"})
+NAMES = sorted(catalog.SQL) if os.environ.get("FIELDLOOM_ALL") else sorted({*sorted(catalog.SQL)[::4], "field_sanitise", "mrz_invalid_reason", "mrz_prefix_type", "pass_blur_gate", "pass_score", "tpl_authorised_person", "tpl_candidate_table", "tpl_labeled_blocks", "tpl_narrative", "vis_false_positive_rate", "visa_label_count", "visa_nonvisa_cap", "lic_segments", "met_field_prf", "mrz_line1_optimise", "mrz_line1_rebuild", "mrz_line2_repair", "mrz_strict_merge", "mrz_candidates", "pp_fields", "pp_plausible", "visa_country_rules", "lic_field_validate", "gen_ocr_corrupt", "gen_visa_matrix", "mrz_pair_join", "mrz_visa_best", "pp_merge_sources", "template_upsert", "visa_merge_sources"})
 
 
 @pytest.mark.parametrize("name", NAMES)
