@@ -271,22 +271,27 @@ def _place(table):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str = tokens.TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    spark = df.sparkSession
-    cut = common.materialize(pieces(df, tokenizer, end_id, capacity), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    table = spark.sparkContext.broadcast(slots(solve(counts, capacity)))
-    buckets = ",".join(str(-(-counts.get(x, 0) // PIECES_IN_A_BUCKET) or 1) for x in range(capacity + 1))
+def ranks(cut: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:
+    """Adds rank, from 0 inside each length; counts is the histogram of cut's lengths.  Lengths of many pieces are ranked in many tasks."""
+    buckets = ",".join(str(-(-counts.get(x, 0) // PIECES_IN_A_BUCKET) or 1) for x in range(max(counts, default=0) + 1))
     own = F.get(F.split(F.lit(buckets), ",").cast("array<bigint>"), F.col("length").cast("int"))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64(*order), own))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
-    if sum(counts.values()) // PIECES_IN_A_BUCKET + capacity <= BROADCAST_BUCKETS:  # no more rows than that
+    if sum(counts.values()) // PIECES_IN_A_BUCKET + len(counts) <= BROADCAST_BUCKETS:  # no more rows than that
         sizes = F.broadcast(sizes)
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy(*order)
     ranked = dealt.withColumn("nth", F.row_number().over(inside)).join(sizes, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - 1).alias("rank"))
+    return ranked.withColumn("rank", F.col("first") + F.col("nth") - 1).drop("bucket", "nth", "first")
+
+
+def pack(df: DataFrame, tokenizer: str = tokens.TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+    spark = df.sparkSession
+    cut = common.materialize(pieces(df, tokenizer, end_id, capacity), "pieces")
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    table = spark.sparkContext.broadcast(slots(solve(counts, capacity)))
+    ranked = ranks(cut, counts, ["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_place(table), PIECE_SCHEMA + ", sequence_id long, offset long")
 
 

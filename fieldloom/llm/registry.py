@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import fingerprints, language_mixture, line_dedup, near_dedup, packing, quality, secrets, sentencepieces, token_files, url_filters
+from fieldloom.llm import centroids, fingerprints, language_mixture, line_dedup, near_dedup, packing, quality, search, secrets, sentencepieces, token_files, url_filters, windows
 
 QUERIES = {
     "op1_language_mixture": language_mixture.op1_language_mixture,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_config_lp_packing": packing.op10_config_lp_packing,
+    "op11_simplex_clusters": centroids.op11_simplex_clusters,
+    "op12_best_fit_decreasing": windows.op12_best_fit_decreasing,
+    "op13_bit_sliced_search": search.op13_bit_sliced_search,
+}
+ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_url_filters": url_filters.ORACLE_SQL,
+    "op11_simplex_clusters": centroids.ORACLE_SQL,
+    "op13_bit_sliced_search": search.ORACLE_SQL,
 }
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}

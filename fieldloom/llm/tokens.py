@@ -34,6 +34,18 @@ def ranges(start, size):
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
+def translated(texts, table: bytes):
+    """Arrow strings without nulls, with each byte replaced as in bytes.translate (ASCII by ASCII)."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = np.dtype("i8" if pa.types.is_large_string(texts.type) else "i4")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, wide)
+    data = memoryview(data)[at[0] : at[-1]].tobytes() if data else b""
+    return pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(data.translate(table))])
+
+
 class IdTable:
     """piece -> row, and each row's ids in one flat array; forgets all pieces when it would hold more than `most`."""
 
