@@ -25,7 +25,7 @@ def mrz_check_ok(data: Column, digit: Column) -> Column:
 
 def credit_check_char(body: Column) -> Column:
     """The 18th character of a credit code from its first 17."""
-    weights = F.array(*[F.lit(w) for w in CREDIT_WEIGHTS])
+    weights = F.expr(f"array({', '.join(map(str, CREDIT_WEIGHTS))})")
     value = F.transform(F.split(F.substring(body, 1, 17), ""), lambda ch, i: (F.instr(F.lit(CREDIT_CHARSET), ch) - 1) * F.get(weights, i))
     total = F.aggregate(value, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     return F.substring(F.lit(CREDIT_CHARSET), ((31 - total % 31) % 31 + 1).cast("int"), F.lit(1))

@@ -33,6 +33,47 @@ def best(found: DataFrame, score: Column) -> DataFrame:
     return found.withColumn("score", score).withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
 
 
+EDITS = "array<struct<index:int,from:string,to:string>>"
+#: What one replacement costs a reading.
+PENALTY = 0.08
+
+
+def readings(value: Column, depth: int = DEPTH, most: int = MOST) -> Column:
+    """Array of (text, edits) of a value: itself, and what it may stand for after one to `depth` replacements.
+
+    A search inside the row: each round replaces one character right of the last one replaced in the readings of the round before,
+    so that a set of places is met once, and at most `most` readings of a round go on, in order of place.  No reading holds a
+    character that could be replaced again, as nothing in the table is read as what it is read for.
+    """
+    meant: dict[str, list[str]] = {}
+    for seen, to in CONFUSIONS:
+        meant.setdefault(seen, []).append(to)
+    table = F.expr("map(" + ", ".join(f"'{seen}', array({', '.join(map(repr, to))})" for seen, to in meant.items()) + ")")
+    kind = f"array<struct<text:string,edits:{EDITS}>>"
+    first = F.array(F.struct(value, F.array().cast(EDITS))).cast(kind)
+
+    def further(r: Column) -> Column:
+        last = F.coalesce(F.try_element_at(r["edits"], F.lit(-1))["index"], F.lit(-1))
+        at = lambda i: F.substring(r["text"], i + 1, F.lit(1))
+        places = F.filter(F.sequence(F.lit(0), F.length(r["text"])), lambda i: (i > last) & F.map_contains_key(table, at(i)))
+        replaced = lambda i, to: F.concat(F.substring(r["text"], F.lit(1), i), to, F.substring(r["text"], i + 2, F.length(r["text"])))
+        one = lambda i: F.transform(F.element_at(table, at(i)), lambda to: F.struct(replaced(i, to), F.array_append(r["edits"], F.struct(i.alias("index"), at(i).alias("from"), to.alias("to")))))
+        return F.flatten(F.transform(places, one))
+
+    def step(state: Column, _: Column) -> Column:
+        new = F.slice(F.flatten(F.transform(state["last"], further)), 1, most).cast(kind)
+        return F.struct(F.concat(state["found"], new).alias("found"), new.alias("last"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(first.alias("found"), first.alias("last")), step, lambda s: F.slice(s["found"], 1, most))
+    return F.when(value.rlike(f"[{''.join(meant)}]"), found).otherwise(first)
+
+
+def best_reading(value: Column, score, depth: int = DEPTH, most: int = MOST) -> Column:
+    """(loss, n, text, edits) of the best reading: the highest score of its text less PENALTY an edit; then fewest edits, then the text."""
+    ranked = lambda r: F.struct(F.round(PENALTY * F.size(r["edits"]) - score(r["text"]), 6).alias("loss"), F.size(r["edits"]).alias("n"), r["text"].alias("text"), r["edits"].alias("edits"))
+    return F.array_min(F.transform(readings(value, depth, most), ranked))
+
+
 def company_score(c: Column) -> Column:
     """0 for an empty name; else a sum for suffix, length and no Latin letters: fixed weights."""
     suffix = F.lit(False)

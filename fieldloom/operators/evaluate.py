@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
+from fieldloom.operators import confusions, license, license_checks
 
 #: Calibration bins, gate thresholds, stored baseline default.
 BINS = [(0.0, 0.5, "0.0-0.5"), (0.5, 0.7, "0.5-0.7"), (0.7, 0.8, "0.7-0.8"), (0.8, 0.9, "0.8-0.9"), (0.9, 1.01, "0.9-1.0")]
@@ -22,16 +23,43 @@ def squeeze(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, r"\s+", ""), F.lit(""))
 
 
+#: What extraction leaves as evidence of how it came to a value.
+EVIDENCE = ("label_found", "fuzzy", "fallback", "rebuilt")
+
+
+def faithful(field: Column, segment: Column, raw: Column, value: Column, actual: Column) -> Column:
+    """Does a value say what its segment says?  Each field has its own ways of being equal; null counts as false."""
+    squeezed = squeeze(segment)
+    name = F.coalesce(text.miss_as_null(F.regexp_extract(segment, r"^[\u4e00-\u9fff·]{2,4}", 0)), squeezed)
+    day = F.coalesce(text.miss_as_null(F.regexp_extract(segment, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}", 0)), segment)
+    scope = F.translate(squeezed, ";", "；")
+    own = (
+        F.when(field == "creditCode", text.norm_code_confusions(F.regexp_replace(segment, r"[·#!_:.-]", "")).contains(actual))
+        .when(field == "companyType", squeeze(raw) == squeezed)
+        .when(field == "legalRepresentative", squeeze(raw) == name)
+        .when(field == "establishmentDate", text.cn_date_normalise(day) == value)
+        .when(field == "businessTerm", squeeze(license.business_term(segment)) == actual)
+        .when(field == "registeredCapital", license.capital(segment) == value)
+        .when(field == "businessScope", scope.contains(actual) | actual.contains(scope))
+    )
+    return squeezed.eqNullSafe(actual) | F.coalesce(own, F.lit(False))
+
+
 def compare(fields: DataFrame, truth: DataFrame) -> DataFrame:
-    """Extractions against truth (doc_id, field, expected): a full outer join, null-safe equality after squeezing blanks."""
-    joined = fields.join(truth.select("doc_id", "field", "expected"), ["doc_id", "field"], "full_outer")
+    """Extractions against truth (doc_id, field, expected): a full outer join, null-safe equality after squeezing blanks.
+
+    Both sides are folded, and extractions held against their segments, before the join, where rows lie as they were scanned.
+    """
     code = F.col("field") == "creditCode"
     fold = lambda c: F.when(code, text.norm_code_confusions(c)).otherwise(F.translate(squeeze(c), ";", "；"))
-    exp, act = fold(F.col("expected")), fold(F.col("value"))
+    found = fields.withColumn("actual", fold(F.col("value")))
+    found = found.withColumn("extraction_match", faithful(F.col("field"), F.col("raw_segment"), F.col("raw"), F.col("value"), F.col("actual")))
+    found = found.select("doc_id", "field", "style", "actual", "raw_segment", "extraction_match", "confidence", "requires_review", "checksum_valid", *EVIDENCE)
+    joined = found.join(truth.select("doc_id", "field", fold(F.col("expected")).alias("expected")), ["doc_id", "field"], "full_outer")
+    exp, act = F.col("expected"), F.col("actual")
     business = exp.eqNullSafe(act) | F.coalesce((F.col("field") == "businessTerm") & exp.contains("长期") & (act == "长期"), F.lit(False))
-    segment = fold(F.regexp_replace("raw_segment", r"^([^\n]*)[\s\S]*$", "$1"))
-    faithful = segment.eqNullSafe(act) | F.coalesce(F.col("field").isin("creditCode", "businessScope") & (segment.contains(act) | act.contains(segment)), F.lit(False)) | F.coalesce(F.col("field").isin("establishmentDate", "registeredCapital", "businessTerm") & segment.isNotNull() & act.isNotNull(), F.lit(False))
-    return joined.select("doc_id", "style", "field", exp.alias("expected"), act.alias("actual"), "raw_segment", business.alias("business_match"), faithful.alias("extraction_match"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("requires_review", F.lit(False)).alias("requires_review"), "checksum_valid")
+    unread = {"extraction_match": True, "confidence": 0.0, "requires_review": False} | dict.fromkeys(EVIDENCE, False)  # truth without a row of extraction
+    return joined.select("doc_id", "style", "field", "expected", "actual", "raw_segment", business.alias("business_match"), "checksum_valid", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in unread.items()])
 
 
 def documents(cmp: DataFrame) -> DataFrame:
@@ -126,30 +154,71 @@ def bucket(labels: dict[str, str]) -> Column:
     )
 
 
+#: Failure buckets: fixed values.
+BUCKETS = ("ocr_failure", "segmentation_failure", "validation_failure", "confidence_failure")
+ALL = "(all)"
+
+
+def grid_counts(rows: DataFrame, dimensions: dict[str, list[str]]) -> DataFrame:
+    """(dimensions, n): counts of every combination of the dimensions' values, and every subtotal as ALL; zero where no row is.
+
+    The grid is made of the dimensions, so that it is as large for no rows at all; rows are counted once, by the finest
+    combination, and only these few counts are cubed.  A value that a dimension doesn't list (null is one) has no row of its own
+    but is in all totals.
+    """
+    names = list(dimensions)
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.withColumns({c: F.when(F.col(c).isin(*dimensions[c]), F.col(c)).otherwise(F.lit("(other)")) for c in names})
+    cubed = listed.cube(*names).agg(F.sum("n").alias("n")).select(*[F.coalesce(c, F.lit(ALL)).alias(c) for c in names], "n")
+    grid = rows.sparkSession.range(1).select(*[F.array(*[F.lit(v) for v in (*values, ALL)]).alias(c) for c, values in dimensions.items()])
+    for c in names:
+        grid = grid.withColumn(c, F.explode(c))
+    return grid.join(cubed, names, "left").select(*names, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def counts_with_zeros(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     have = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string").join(have, column, "left").fillna(0, ["n"])
 
 
-#: id -> predicate over a failures row.
-ROOT_CAUSES = {
-    "punctuation_in_credit_code": "field = 'creditCode' AND (ocr_text RLIKE '[·#!_:]' OR ocr_text RLIKE '统一社会[^信]用代码')",
-    "label_corruption": "ocr_text RLIKE '统一社会[^信]用代码|注册责本|营业期很|经范围|成立日很' AND field IN ('creditCode', 'registeredCapital', 'businessScope', 'businessTerm', 'address')",
-    "limited_company_ocr": "field IN ('companyName', 'companyType') AND (coalesce(contains(actual, '有很'), false) OR coalesce(contains(ocr_text, '有很公司'), false))",
-    "company_name_boundary": "field = 'companyName' AND length(actual) < length(expected) - 2",
-    "credit_checksum_reject": "field = 'creditCode' AND expected IS NOT NULL AND NOT (expected <=> actual)",
-    "business_scope_label_break": "field = 'businessScope' AND (actual IS NULL OR ocr_text RLIKE '经范围')",
-    "address_over_capture": "field = 'address' AND length(actual) > length(expected) + 10",
-    "address_ocr_noise": "field = 'address' AND actual RLIKE '[_·]'",
-    "legal_rep_confusion": "field = 'legalRepresentative' AND actual IS NOT NULL AND expected IS NOT NULL AND similarity > 0.5 AND similarity < 1",
-    "high_confidence_wrong": "confidence >= 0.85",
-    "date_ocr_noise": "field IN ('establishmentDate', 'businessTerm') AND coalesce(actual, raw_segment) RLIKE '[!_\\n]'",
-}
+#: Ids and the confidence of a sure reading: fixed values.
+CAUSES = (
+    "punctuation_in_credit_code", "label_corruption", "limited_company_ocr", "company_name_boundary", "credit_checksum_reject", "business_scope_label_break",
+    "address_over_capture", "address_ocr_noise", "legal_rep_confusion", "high_confidence_wrong", "date_ocr_noise",
+)
+SURE = 0.85
+
+
+def causes() -> dict[str, Column]:
+    """Id -> condition over a failures row; a failure may meet several.
+
+    Causes are told by the evidence that extraction left in the row (how the label and the value were found) and by how the value
+    differs, not by patterns over the page; so damage that is elsewhere on the page is not blamed.
+    """
+    of = lambda *names: F.col("field").isin(*names)
+    want, got = F.col("expected"), F.col("actual")
+    longer = F.length(got) - F.length(want)
+    ends = lambda c: F.exists(F.array(*map(F.lit, confusions.SUFFIXES)), lambda s: c.endswith(s))
+    odd = lambda allowed: F.coalesce(got, F.col("raw_segment")).rlike(f"[^{allowed}]")
+    told = (
+        of("creditCode") & F.col("rebuilt"),
+        F.col("fuzzy") | ~F.col("label_found"),
+        of("companyName", "companyType") & ends(want) & ~ends(got),
+        of("companyName") & (longer < -2) & want.contains(got),
+        of("creditCode") & ~F.coalesce("checksum_valid", F.lit(False)),
+        of("businessScope") & ~F.col("label_found"),
+        of("address") & (longer > 10) & got.startswith(want),
+        of("address") & ~got.rlike(license_checks.ADDRESS),
+        of("legalRepresentative") & F.col("similarity").between(0.5, 0.999),
+        F.col("confidence") >= SURE,
+        of("establishmentDate", "businessTerm") & odd(r"0-9年月日至到长期\s-"),
+    )
+    return dict(zip(CAUSES, told, strict=True))
 
 
 def root_causes(fails: DataFrame) -> DataFrame:
     """(rank, cause, impact, affected_fields, examples): a failure may count for several causes; at most five example documents."""
-    hits = fails.select("doc_id", "field", F.explode(F.array_compact(F.array(*[F.when(F.expr(p), F.lit(c)) for c, p in ROOT_CAUSES.items()]))).alias("cause"))
+    hits = fails.select("doc_id", "field", F.explode(F.array_compact(F.array(*[F.when(told, F.lit(c)) for c, told in causes().items()]))).alias("cause"))
     # the least five ids by a bounded top-k per cause, fields by a set of at most ten
     docs = hits.select("cause", "doc_id").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("cause").orderBy("doc_id"))).where(F.col("nth") <= 5)
     examples = docs.groupBy("cause").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("examples"))

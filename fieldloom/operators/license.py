@@ -1,8 +1,8 @@
 """Business-licence extraction over a table of OCR pages (doc_id, page, text, ...).
 
 Label spans are found exactly (blanks allowed between characters) or, for labels that are missing, by edit distance around
-intact two-character pieces; segments run from label to label; each field is cleaned, checked and scored in a long table.  All of
-it happens inside a document's row, as arrays: no text is shuffled, and rows are exploded once, into fields.
+intact two-character pieces; segments run from label to label; license_fields cleans, checks and scores each field.  All of it
+happens inside a document's row, as arrays: no text is shuffled, and rows are exploded once, into fields.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from fieldloom.functions import codes, text
 from fieldloom.sources.synth import LABELS
 
 KEY_FIELDS = ("companyName", "creditCode", "legalRepresentative")
+MOST_CORRECTIONS = 3
 #: Detection signals with their weights, and what marks an identity card: fixed values.
 SIGNALS = {
     r"营业\s*执照": 0.35,
@@ -25,6 +26,7 @@ SIGNALS = {
 }
 ID_SIGNALS = ("居民身份", "公民身份", "身份号码", "身份证号", "身份证号码", "姓名", "签发")
 SPAN = "struct<field:string,label:string,start:int,end:int,fuzzy:boolean,matched:string,score:double>"
+SEGMENT = "struct<field:string,label:string,fuzzy:boolean,next_label:string,segment:string,bounded:boolean,fallback:boolean>"
 
 
 def loose(label: str) -> str:
@@ -36,49 +38,42 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def fuzzy_span(t: Column, x: Column) -> Column:
-    """The best window (score, first, fit, matched) for a misread label x (label, pieces, n) of four characters or more, else null.
+def fuzzy_span(t: str, label: str) -> str:
+    """SQL of the best window (score, first, fit, matched) for a misread label of four characters or more, else null; t is a column's name.
 
     Two edits leave a two-character piece intact in labels of six or more, one edit in shorter ones.  The text is cut in front of
     each such piece; windows start around where the label would start, and are two characters shorter or longer at most.
     """
-    seed = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
-    around = F.array(*[F.lit(j) for j in range(-2, 3)])
-
-    def walk(acc: Column, part: Column) -> Column:
-        offset = F.when(F.length(part) > 1, F.instr(x["label"], F.substring(part, 1, 2))).otherwise(0)
-        near = F.transform(F.filter(F.array(offset), lambda o: o > 0), lambda o: acc["at"] - o + 1)
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], near).alias("starts"))
-
-    hits = F.array_distinct(F.aggregate(F.split(t, x["pieces"]), seed, walk, lambda acc: acc["starts"]))
-    starts = F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(around, lambda j: h + j)))), lambda s: s > 0)
-    windows = F.flatten(F.transform(starts, lambda s: F.transform(around, lambda j: F.struct(s.alias("s"), j.alias("j"), F.substring(t, s, x["n"] + j).alias("w")))))
-    whole = F.filter(windows, lambda v: (F.length(v["w"]) == x["n"] + v["j"]) & ~v["w"].contains("\n"))
-    measured = F.transform(whole, lambda v: F.struct(v.alias("v"), F.levenshtein(v["w"], x["label"], 2).alias("d")))
-    good = F.filter(measured, lambda m: m["d"].between(0, F.when(x["n"] >= 6, 2).otherwise(1)))
-    shared = lambda w: F.size(F.array_intersect(F.split(w, ""), F.split(x["label"], ""))) / x["n"]
-    scored = F.transform(
-        good,
-        lambda m: F.struct(F.round(0.6 * (1 - m["d"] / x["n"]) + 0.4 * shared(m["v"]["w"]), 6).alias("score"), (-m["v"]["s"]).alias("first"), (-F.abs(m["v"]["j"])).alias("fit"), m["v"]["w"].alias("matched")),
-    )
-    return F.when(x["n"] >= 4, F.array_max(scored))
-
-
-def spans_of(t: Column) -> Column:
-    """Array of at most one span a label (SPAN; 1-based, end exclusive): exact ones, and fuzzy ones of labels that are missing."""
-    pieces = lambda label: "(?=" + "|".join(label[i : i + 2] for i in range(len(label) - 1)) + ")"
-    labels = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("label"), F.lit(loose(x)).alias("loose"), F.lit(pieces(x)).alias("pieces"), F.lit(len(x)).alias("n")) for f, x in LABELS.items()])
-
-    def span(x: Column, start: Column, matched: Column, fuzzy: bool, score: Column) -> Column:
-        return F.struct(x["field"], x["label"], start, start + F.length(matched), F.lit(fuzzy), matched, score).cast(SPAN)
-
-    def exact(x: Column, at: Column) -> Column:
-        return span(x, at, F.call_function("regexp_extract", t, x["loose"], F.lit(0)), False, F.lit(1.0))
+    n = len(label)
+    if n < 4:
+        return "CAST(NULL AS struct<score:double,first:int,fit:int,matched:string>)"
+    pieces, characters = "|".join(label[i : i + 2] for i in range(n - 1)), ", ".join(f"'{c}'" for c in label)
+    around = "array(-2, -1, 0, 1, 2)"
+    hits = f"""array_distinct(aggregate(split({t}, '(?={pieces})'), named_struct('at', 1, 'starts', CAST(array() AS array<int>)),
+      (acc, part) -> named_struct('at', acc.at + length(part), 'starts', concat(acc.starts, transform(filter(array(CASE WHEN length(part) > 1 THEN instr('{label}', substring(part, 1, 2)) ELSE 0 END), o -> o > 0), o -> acc.at - o + 1))),
+      acc -> acc.starts))"""
+    starts = f"filter(array_distinct(flatten(transform({hits}, h -> transform({around}, j -> h + j)))), s -> s > 0)"
+    windows = f"flatten(transform({starts}, s -> transform({around}, j -> named_struct('s', s, 'j', j, 'w', substring({t}, s, {n} + j)))))"
+    whole = f"filter({windows}, v -> length(v.w) = {n} + v.j AND NOT contains(v.w, '\\n'))"
+    good = f"filter(transform({whole}, v -> named_struct('v', v, 'd', levenshtein(v.w, '{label}', 2))), m -> m.d BETWEEN 0 AND {2 if n >= 6 else 1})"
+    score = f"round(0.6D * (1 - m.d / {n}) + 0.4D * size(array_intersect(split(m.v.w, ''), array({characters}))) / {n}, 6)"
+    return f"array_max(transform({good}, m -> named_struct('score', {score}, 'first', -m.v.s, 'fit', -abs(m.v.j), 'matched', m.v.w)))"
+
+
+def spans_of(t: str) -> Column:
+    """Array of at most one span a label (SPAN; 1-based, end exclusive): exact ones, and fuzzy ones of labels that are missing.
+
+    t is the name of a column of text.  Each label has an expression of its own, so that its pattern is a literal and is compiled
+    once; as SQL text it is also parsed at once, where columns would be built call by call.
+    """
 
-    def missing(x: Column) -> Column:
-        return let(fuzzy_span(t, x), lambda b: F.when(b.isNotNull(), span(x, -b["first"], b["matched"], True, b["score"])))
+    def one(field: str, label: str) -> str:
+        span = lambda start, matched, fuzzy, score: f"named_struct('field', '{field}', 'label', '{label}', 'start', {start}, 'end', {start} + length({matched}), 'fuzzy', {fuzzy}, 'matched', {matched}, 'score', {score})"
+        exact = f"get(transform(array(regexp_extract({t}, r'{loose(label)}', 0)), e -> {span('at', 'e', 'false', '1.0D')}), 0)"
+        missing = f"get(transform(array({fuzzy_span(t, label)}), b -> CASE WHEN b IS NOT NULL THEN {span('-b.first', 'b.matched', 'true', 'b.score')} END), 0)"
+        return f"get(transform(array(regexp_instr({t}, r'{loose(label)}')), at -> CASE WHEN at > 0 THEN {exact} ELSE {missing} END), 0)"
 
-    return F.array_compact(F.transform(labels, lambda x: let(F.regexp_instr(t, x["loose"]), lambda at: F.when(at > 0, exact(x, at)).otherwise(missing(x)))))
+    return F.expr(f"array_compact(array({', '.join(one(f, x) for f, x in LABELS.items())}))").cast(f"array<{SPAN}>")
 
 
 def deduped(spans: Column) -> Column:
@@ -88,27 +83,61 @@ def deduped(spans: Column) -> Column:
     return F.filter(spans, lambda a: ~F.exists(spans, lambda b: beats(b, a)))
 
 
+def trim_segment(c: Column) -> Column:
+    """Without the white space and punctuation at both ends."""
+    marks = r"[\s:：,，.。;；|/\\\-–—]+"
+    return F.nullif(F.regexp_replace(c, f"^{marks}|{marks}$", ""), F.lit(""))
+
+
 def segments_of(t: Column, spans: Column) -> Column:
-    """Array of (field, label, fuzzy, next_label, segment): trimmed text from a label's end to the next label's start."""
+    """Array of segments (SEGMENT): trimmed text from a label's end to the next label's start.
+
+    bounded says whether another label follows.  If the scope's label is lost, its block in front of 登记机关 stands in (fallback).
+    """
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x.alias("span"))))
 
     def one(x: Column, i: Column) -> Column:
         after = F.get(order, i + 1)
-        until = F.coalesce(after["start"], F.length(t) + 1)
-        end = x["span"]["end"]
-        cut = F.regexp_replace(text.full_trim(F.substring(t, end, F.greatest(until - end, F.lit(0)))), r"^[:：\s]+", "")
-        return F.struct(x["span"]["field"].alias("field"), x["span"]["label"].alias("label"), x["span"]["fuzzy"].alias("fuzzy"), after["span"]["label"].alias("next_label"), F.nullif(cut, F.lit("")).alias("segment"))
+        until, end = F.coalesce(after["start"], F.length(t) + 1), x["span"]["end"]
+        cut = trim_segment(F.substring(t, end, F.greatest(until - end, F.lit(0))))
+        return F.struct(x["span"]["field"], x["span"]["label"], x["span"]["fuzzy"], after["span"]["label"], cut, after.isNotNull(), F.lit(False)).cast(SEGMENT)
+
+    lost = let(scope_block(t, spans), lambda block: F.when(block.isNotNull(), F.struct(F.lit("businessScope"), F.lit(LABELS["businessScope"]), F.lit(False), F.lit(LABELS["registrationAuthority"]), block, F.lit(True), F.lit(True)).cast(SEGMENT)))
+    return F.concat(F.transform(order, one), F.array_compact(F.array(lost)))
 
-    return F.transform(order, one)
+
+def scope_block(t: Column, spans: Column) -> Column:
+    """The business scope of a text without a span for its label, else null.
+
+    Interval logic over the spans: between the latest end of 住所 and 类型 and the start of 登记机关 lies a chunk; what follows a
+    broken label in it is the scope; without one, what follows 营业期限.
+    """
+    place = lambda field: F.get(F.filter(spans, lambda x: x["field"] == field), 0)
+    begin = F.array_max(F.transform(F.filter(spans, lambda x: x["field"].isin("address", "companyType")), lambda x: x["end"]))
+    broken, until = r"经\s*营\s*[·.\s]*范\s*围", place("registrationAuthority")["start"]
+    chunk = lambda start: F.substring(t, start, F.greatest(until - start, F.lit(0)))
+
+    def scope(c: Column) -> Column:
+        at = F.regexp_instr(c, F.lit(broken))
+        after = F.substring(c, at + F.length(F.regexp_extract(c, broken, 0)), F.length(c))
+        term_end = place("businessTerm")["end"]
+        return F.when(at > 0, after).when(term_end.isNotNull(), F.regexp_replace(chunk(term_end), broken, "")).otherwise(c)
+
+    lost = until.isNotNull() & place("businessScope").isNull()
+    return F.when(lost, trim_segment(let(chunk(F.coalesce(begin, F.lit(1))), scope)))
 
 
 def codes_of(segment: Column, t: Column) -> Column:
-    """Array of (source, code, valid): distinct 18-character codes from the code segment and the whole text, look-alikes folded."""
+    """Array of (source, code, valid, rebuilt): distinct 18-character codes from the code segment and the whole text, look-alikes folded.
+
+    rebuilt marks those that appear only when separators inside are dropped.
+    """
+    every = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(text.norm_code_confusions(c), F.lit("")), F.lit("[0-9A-Z]{18}"), F.lit(0)))
 
     def found(source: str, c: Column) -> Column:
-        folded = text.norm_code_confusions(F.regexp_replace(c, r"[·#!_:.-]", ""))
-        every = F.array_distinct(F.regexp_extract_all(F.coalesce(folded, F.lit("")), F.lit("[0-9A-Z]{18}"), F.lit(0)))
-        return F.transform(every, lambda x: F.struct(F.lit(source).alias("source"), x.alias("code"), codes.credit_code_problem(x).isNull().alias("valid")))
+        entry = lambda rebuilt: lambda x: F.struct(F.lit(source).alias("source"), x.alias("code"), codes.credit_code_problem(x).isNull().alias("valid"), F.lit(rebuilt).alias("rebuilt"))
+        joined = every(F.regexp_replace(c, r"[·#!_:.-]", ""))
+        return let(every(c), lambda plain: F.concat(F.transform(plain, entry(False)), F.transform(F.array_except(joined, plain), entry(True))))
 
     return F.concat(found("segment", segment), found("text", t))
 
@@ -116,7 +145,7 @@ def codes_of(segment: Column, t: Column) -> Column:
 def best_code_of(candidates: Column) -> Column:
     """The one of an array of candidates: valid before invalid, segment before text, more digits, then the code itself."""
     digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
-    return F.array_min(F.transform(candidates, lambda x: F.struct((~x["valid"]).alias("a"), (x["source"] != "segment").alias("b"), (-digits(x["code"])).alias("c"), x["code"].alias("code"), x["source"].alias("source"), x["valid"].alias("valid"))))
+    return F.array_min(F.transform(candidates, lambda x: F.struct((~x["valid"]).alias("a"), (x["source"] != "segment").alias("b"), (-digits(x["code"])).alias("c"), x["code"].alias("code"), x["source"].alias("source"), x["valid"].alias("valid"), x["rebuilt"].alias("rebuilt"))))
 
 
 def rows_of(df: DataFrame, column: str, given: str, keys: list[str] = ["doc_id"]) -> DataFrame:
@@ -129,13 +158,13 @@ def rows_of(df: DataFrame, column: str, given: str, keys: list[str] = ["doc_id"]
 
 def label_spans(docs: DataFrame, dedupe: bool = False) -> DataFrame:
     """(doc_id, text) -> (doc_id, field, label, start, end, fuzzy, matched, score): a row for each span; no shuffle."""
-    rows = docs.select("doc_id", spans_of(F.col("text")).alias("s"))
+    rows = docs.select("doc_id", spans_of("text").alias("s"))
     return rows_of(rows.withColumn("s", deduped(F.col("s"))) if dedupe else rows, "s", "label")
 
 
 def with_segments(docs: DataFrame) -> DataFrame:
     """docs with parts, the segments of their deduplicated spans."""
-    return docs.withColumn("spans", spans_of(F.col("text"))).withColumn("spans", deduped(F.col("spans"))).withColumn("parts", segments_of(F.col("text"), F.col("spans"))).drop("spans")
+    return docs.withColumn("spans", spans_of("text")).withColumn("spans", deduped(F.col("spans"))).withColumn("parts", segments_of(F.col("text"), F.col("spans"))).drop("spans")
 
 
 def part(field: str) -> Column:
@@ -143,7 +172,7 @@ def part(field: str) -> Column:
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, field, label, fuzzy, next_label, segment)."""
+    """(doc_id, field, label, fuzzy, next_label, segment, bounded, fallback)."""
     return rows_of(with_segments(docs), "parts", "label")
 
 
@@ -153,7 +182,7 @@ def with_codes(docs: DataFrame) -> DataFrame:
 
 
 def code_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, code, valid)."""
+    """(doc_id, source, code, valid, rebuilt)."""
     return rows_of(with_codes(docs), "code_candidates", "code")
 
 
@@ -170,8 +199,8 @@ NUMERALS = "零〇壹贰叁肆伍陆柒捌玖拾佰仟万亿萬億两一二三
 
 def numerals_to_yuan(c: Column) -> Column:
     """Chinese numerals with 万 and 亿 to a number; null if another character is among them."""
-    digit = F.create_map(*[x for k, v in DIGITS.items() for x in (F.lit(k), F.lit(v).cast("decimal(20,0)"))])
-    unit = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v).cast("decimal(20,0)"))])
+    table = lambda values: F.expr(f"map({', '.join(f'{k!r}, {v}' for k, v in values.items())})").cast("map<string,decimal(20,0)>")
+    digit, unit = table(DIGITS), table(UNITS)
     zero = F.lit(0).cast("decimal(20,0)")
     money = lambda x: x.cast("decimal(20,0)")
 
@@ -201,69 +230,62 @@ def capital(c: Column) -> Column:
 
 
 def business_term(c: Column) -> Column:
+    """长期, else the range of days in c, else c."""
     day = r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日"
-    span = text.miss_as_null(F.regexp_extract(c, rf"{day}\s*[至到—-]\s*(?:{day}|长期)", 0))
-    return F.coalesce(F.regexp_replace(span, r"\s+", ""), F.when(c.contains("长期"), "长期"), c)
-
-
-def field_value(field: Column, segment: Column) -> Column:
-    first_line = F.regexp_extract(segment, r"^[^\n]*", 0)
-    return (
-        F.when(field == "registeredCapital", capital(first_line))
-        .when(field == "establishmentDate", text.cn_date_normalise(first_line))
-        .when(field == "businessTerm", business_term(first_line))
-        .when(field == "legalRepresentative", text.miss_as_null(F.regexp_extract(first_line, "^[一-鿿·]{2,4}", 0)))
-        .when(field == "businessScope", F.nullif(F.translate(F.regexp_replace(segment, r"\s+", ""), ";", "；"), F.lit("")))
-        .otherwise(F.nullif(F.regexp_replace(first_line, r"\s+", ""), F.lit("")))
-    )
+    span = text.miss_as_null(F.regexp_extract(c, rf"{day}\s*[至到—-]\s*{day}", 0))
+    return F.when(c.contains("长期"), "长期").otherwise(F.coalesce(F.regexp_replace(span, r"\s+", ""), F.nullif(text.full_trim(c), F.lit(""))))
+
 
+def review_queue(fields: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, n_values, credit_valid, reasons, requires_manual_review) from the long table of license_fields.extract.
 
-def field_confidence(ocr: Column, has_value: Column, label_found: Column, fuzzy: Column, checksum: Column) -> Column:
-    """Additive score, clamped to .05-.99: fixed weights; checksum is null for all fields but the code."""
-    factor = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ocr / 100))
-    flag = lambda c, w: F.when(c, w).otherwise(0.0)
-    score = factor * 0.28 + F.when(has_value, 0.35).otherwise(0.0) + 0.2
-    score = score + flag(label_found, 0.15) + flag(F.coalesce(checksum, F.lit(False)), 0.15) + flag(has_value, 0.06) - flag(fuzzy, 0.06) - flag(~label_found, 0.12) - flag(factor < 0.75, 0.08)
-    return F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.05), score)), 3)
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """First pages (doc_id, style, ocr_confidence, text) -> long fields (doc_id, style, field, raw_segment, value, label_found,
-    fuzzy, checksum_valid, confidence, requires_review), ten rows a document."""
-    docs = pages.where(F.col("page") == 1).withColumn("text", text.norm_cjk_ocr(F.col("text")))
-    docs = with_codes(docs.select("doc_id", "style", "ocr_confidence", "text")).withColumn("code", best_code_of(F.col("code_candidates")))
-    every = F.array(*[F.struct(F.lit(f).alias("field"), part(f)["fuzzy"].alias("fuzzy"), part(f)["segment"].alias("segment")) for f in LABELS])
-    rows = docs.select("doc_id", "style", "ocr_confidence", F.col("code.code").alias("code"), F.col("code.valid").alias("valid"), every.alias("every"))
-    rows = rows_of(rows, "every", "field", ["doc_id", "style", "ocr_confidence", "code", "valid"])
-    is_code = F.col("field") == "creditCode"
-    rows = rows.withColumn("value", F.when(is_code, F.col("code")).otherwise(field_value(F.col("field"), F.col("segment"))))
-    rows = rows.withColumn("checksum_valid", F.when(is_code, F.coalesce("valid", F.lit(False)))).withColumn("label_found", F.col("segment").isNotNull()).withColumn("fuzzy", F.coalesce("fuzzy", F.lit(False)))
-    confidence = field_confidence(F.col("ocr_confidence"), F.col("value").isNotNull(), F.col("label_found"), F.col("fuzzy"), F.col("checksum_valid"))
-    rows = rows.withColumn("confidence", confidence)
-    review = (F.col("confidence") < 0.65) | ~F.coalesce("checksum_valid", F.lit(True))
-    return rows.select("doc_id", "style", "field", F.col("segment").alias("raw_segment"), "value", "label_found", "fuzzy", "checksum_valid", "confidence", review.alias("requires_review"))
-
-
-def review_queue(fields: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, reasons, requires_manual_review) from the long table and the pages' OCR confidence."""
+    One aggregation by document; `more` names columns that a document's rows share.
+    """
     value = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    per = fields.groupBy("doc_id").agg(
+    per = fields.groupBy("doc_id", *more).agg(
         *[value(f, "value").alias(f) for f in KEY_FIELDS],
-        value("creditCode", "checksum_valid").alias("checksum"),
+        F.count("value").alias("n_values"),
+        value("creditCode", "checksum_valid").alias("credit_valid"),
         value("businessScope", "confidence").alias("scope"),
         F.bool_or("requires_review").alias("any_review"),
+        F.sum(F.size("corrections")).alias("corrected"),
+        F.max("ocr_confidence").alias("ocr"),
     )
-    per = per.join(pages.where(F.col("page") == 1).select("doc_id", "ocr_confidence"), "doc_id")
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("ocr_confidence") < 75, "ocr_confidence_below_75"),
-            F.when(~F.col("checksum"), "credit_checksum_failed"),
+            F.when(F.col("ocr") < 75, F.concat(F.lit("ocr_confidence_below_75:"), F.regexp_replace(F.col("ocr").cast("string"), r"\.0$", ""))),
+            F.when(~F.col("credit_valid"), "credit_checksum_failed"),
+            F.when(F.col("corrected") > MOST_CORRECTIONS, F.concat(F.lit("ocr_corrections_exceeded:"), F.col("corrected").cast("string"))),
             *[F.when(F.col(f).isNull(), f"missing_key_field:{f}") for f in KEY_FIELDS],
             F.when(F.col("scope") < 0.7, "business_scope_low_confidence"),
             F.when(F.col("any_review"), "field_requires_review"),
         )
     )
-    return per.select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) > 0).alias("requires_manual_review"))
+    return per.select("doc_id", *more, "n_values", "credit_valid", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) > 0).alias("requires_manual_review"))
+
+
+def capital_parse(shown: Column) -> Column:
+    """A display string's (amount, unit, currency), null where it isn't one."""
+    form = r"^([0-9,.]+)\s*(万|亿)?\s*元人民币?"
+    amount = F.replace(F.regexp_extract(shown, form, 1), F.lit(","), F.lit("")).try_cast("double")
+    return F.when(shown.rlike(form) & amount.isNotNull(), F.struct(amount.alias("amount"), text.miss_as_null(F.regexp_extract(shown, form, 2)).alias("unit"), F.lit("CNY").alias("currency")))
+
+
+def validate_documents(fields: DataFrame) -> DataFrame:
+    """(doc_id, required_present, credit_valid, valid, established, capital): parsed date and capital are null where they don't parse."""
+    value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    per = fields.groupBy("doc_id").agg(*[value(f).alias(f) for f in (*KEY_FIELDS, "establishmentDate", "registeredCapital")], F.bool_or("checksum_valid").alias("credit_valid"))
+    present = F.lit(True)
+    for f in KEY_FIELDS:
+        present = present & F.col(f).isNotNull()
+    return per.select(
+        "doc_id",
+        present.alias("required_present"),
+        "credit_valid",
+        (present & F.col("credit_valid")).alias("valid"),
+        F.try_to_date("establishmentDate", "yyyy-MM-dd").alias("established"),
+        capital_parse(F.col("registeredCapital")).alias("capital"),
+    )
 
 
 def is_id_card(t: Column) -> Column:
@@ -289,10 +311,12 @@ def verify_representative(fields: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, confidence, detected, n_signals) for every text."""
-    t = text.norm_cjk_ocr(F.col("text"))
-    docs = docs.select("doc_id", t.alias("t"))
+    """(doc_id, confidence, detected, matched) for every text: matched lists the signals in order, a bare code last."""
+    docs = docs.select("doc_id", text.norm_cjk_ocr(F.col("text")).alias("t"))
     has_code = F.regexp_replace("t", r"\s", "").rlike("[0-9A-Z]{18}")
-    score = sum((F.when(F.col("t").rlike(p), w).otherwise(0.0) for p, w in SIGNALS.items()), F.when(has_code, 0.08).otherwise(0.0))
-    n = sum((F.col("t").rlike(p).cast("int") for p in SIGNALS), F.lit(0))
-    return docs.select("doc_id", F.round(F.least(score, F.lit(0.99)), 3).alias("confidence"), (F.round(score, 6) >= 0.45).alias("detected"), n.alias("n_signals"))
+    shown = F.array(*[F.struct(F.lit(p.replace(r"\s*", "")).alias("label"), F.lit(w).alias("w"), F.col("t").rlike(p).alias("there")) for p, w in SIGNALS.items()])
+    docs = docs.select("doc_id", F.filter(shown, lambda x: x["there"]).alias("hits"), has_code.alias("code"))
+    score = F.aggregate("hits", F.when(F.col("code"), 0.08).otherwise(0.0), lambda a, x: a + x["w"])
+    labels = F.transform("hits", lambda x: x["label"])
+    matched = F.when(F.col("code") & ~F.array_contains(labels, "统一社会信用代码"), F.array_append(labels, F.lit("18-char code pattern"))).otherwise(labels)
+    return docs.select("doc_id", F.round(F.least(score, F.lit(0.99)), 3).alias("confidence"), (F.round(score, 6) >= 0.45).alias("detected"), matched.alias("matched"))

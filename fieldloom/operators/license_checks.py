@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,27 +46,38 @@ SIGNALS = {
 }
 
 
-def flags(v: Column) -> dict[str, Column]:
-    """What the rules ask of a trimmed value."""
-    n, ends = F.length(v), F.lit(False)
-    for s in confusions.SUFFIXES:
-        ends = ends | v.endswith(s)
-    return {
-        "suffix": ends,
-        "template": v.rlike("|".join(confusions.TYPES)),
-        "company_word": v.rlike("公司|企业|合伙"),
-        "person": v.rlike(f"^[{HAN}·]{{2,4}}$"),
-        "han": v.rlike(f"[{HAN}]"),
-        "no_latin": ~v.rlike("[A-Za-z]"),
-        "no_marks": ~v.rlike(MARKS),
-        "charset": v.rlike(ADDRESS),
-        "clean": v.rlike(ADDRESS),
-        "place_word": v.rlike("[省市区县镇乡村路街道号]"),
-        "sized": n.between(4, 80),
-        "two": n >= 2,
-        "four": n >= 4,
-        "eight": n >= 8,
-    }
+#: What the rules ask of a trimmed value.
+FLAGS: dict[str, Callable[[Column], Column]] = {
+    "suffix": lambda v: v.rlike(rf"(?:{'|'.join(confusions.SUFFIXES)})\z"),
+    "template": lambda v: v.rlike("|".join(confusions.TYPES)),
+    "company_word": lambda v: v.rlike("公司|企业|合伙"),
+    "person": lambda v: v.rlike(f"^[{HAN}·]{{2,4}}$"),
+    "han": lambda v: v.rlike(f"[{HAN}]"),
+    "no_latin": lambda v: ~v.rlike("[A-Za-z]"),
+    "no_marks": lambda v: ~v.rlike(MARKS),
+    "charset": lambda v: v.rlike(ADDRESS),
+    "clean": lambda v: v.rlike(ADDRESS),
+    "place_word": lambda v: v.rlike("[省市区县镇乡村路街道号]"),
+    "sized": lambda v: F.length(v).between(4, 80),
+    "two": lambda v: F.length(v) >= 2,
+    "four": lambda v: F.length(v) >= 4,
+    "eight": lambda v: F.length(v) >= 8,
+}
+
+
+def checked(field: str, value: Column) -> Column:
+    """(score, valid, review, signals) of a value of one of the fields of BASE, as `validate` gives them; signals is an array."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    found = {name: FLAGS[name](v) for name in {*WEIGHTS[field], *VALID[field], *CERTAIN[field], *(x for _, x, _ in SIGNALS[field])}}
+    every = lambda names: F.forall(F.array(*[found[x] for x in names]), lambda x: x)
+    total = sum((F.when(found[x], w).otherwise(0.0) for x, w in WEIGHTS[field].items()), F.lit(BASE[field]))
+    empty = v == ""
+    return F.struct(
+        F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6)).alias("score"),
+        (~empty & every(VALID[field])).alias("valid"),
+        (empty | ~every(CERTAIN[field])).alias("review"),
+        F.when(empty, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(found[x] == want, name) for name, x, want in SIGNALS[field]]))).alias("signals"),
+    )
 
 
 def validate(rows: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def validate(rows: DataFrame) -> DataFrame:
     Only the five fields of BASE are kept.  A null or blank value scores 0 and goes to review without signals.
     """
     value = F.trim(F.coalesce("value", F.lit("")))
-    rows = rows.where(F.col("field").isin(*BASE)).withColumn("_flags", F.struct(*[c.alias(name) for name, c in flags(value).items()]))
+    rows = rows.where(F.col("field").isin(*BASE)).withColumn("_flags", F.struct(*[flag(value).alias(name) for name, flag in FLAGS.items()]))
     holds = lambda name: F.col("_flags").getField(name)
     every = lambda names: F.forall(F.array(*[holds(x) for x in names]), lambda x: x)
     score, valid, certain, signals = (F.lit(None).cast(t) for t in ("double", "boolean", "boolean", "string"))

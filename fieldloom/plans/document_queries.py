@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "documents")
+    return tables.spread(tables.table(spark, sf, "documents"))
 
 
 # --- sources and text -------------------------------------------------------------------------------------------------

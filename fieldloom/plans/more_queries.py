@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, letters, license, license_checks, mrz, passes, passport, visa
+from fieldloom.operators import confusions, detect, letters, license_checks, license_fields, mrz, passes, passport, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
 from fieldloom.sources import synth, tables
@@ -70,31 +70,34 @@ def lic_field_validate(spark, sf):
     return license_checks.validate(rows).select("doc_id", "field", "score", "valid", "review", "signals")
 
 
-@query(f"WITH {_T} SELECT doc_id, \"creditCode\" AS code, address FROM truth")
+@query(
+    f"""WITH {_T} SELECT doc_id, unnest(['companyName', 'legalRepresentative', 'companyType', 'address', 'businessScope', 'registrationAuthority']) AS field,
+  unnest(["companyName", "legalRepresentative", "companyType", address || '：1，2', "businessScope" || '；甲', "registrationAuthority"]) AS value, unnest([doc_id % 3 = 0, false, doc_id % 3 = 1, doc_id % 3 = 2, true, doc_id % 2 = 0]) AS cleaned FROM truth"""
+)
 def lic_field_normalise(spark, sf):
-    t = lq.truth(spark, sf)
-    noisy = t.select("doc_id", F.concat(F.substring("creditCode", 1, 6), F.lit("·"), F.substring("creditCode", 7, 12)).alias("creditCode"), F.concat_ws("_", F.substring("address", 1, 3), F.substring("address", 4, 40)).alias("address"))
-    rows = noisy.unpivot(["doc_id"], ["creditCode", "address"], "field", "value").withColumn("value", confusions.strip_artefacts(F.col("field"), F.col("value")))
-    return rows.groupBy("doc_id").agg(F.max(F.when(F.col("field") == "creditCode", F.col("value"))).alias("code"), F.max(F.when(F.col("field") == "address", F.col("value"))).alias("address"))
-
-
-@query(f"WITH {_T} SELECT doc_id, \"businessScope\" AS scope FROM truth")
-def lic_scope_fallback(spark, sf):
-    """The scope's label is lost; the block between 营业期限's line and 登记机关 is taken."""
-    docs = lq.pages(spark, sf).where(F.col("page") == 1).select("doc_id", F.replace(F.col("text"), F.lit("经范围"), F.lit("")).alias("text")).withColumn("text", F.replace("text", F.lit("经营范围"), F.lit("经·营范围")))
-    spans = license.label_spans(docs).where(~F.col("fuzzy") & F.col("field").isin("businessTerm", "registrationAuthority"))
-    at = spans.groupBy("doc_id").agg(F.max(F.when(F.col("field") == "businessTerm", F.col("end"))).alias("a"), F.max(F.when(F.col("field") == "registrationAuthority", F.col("start"))).alias("b"))
-    chunk = F.substring(F.col("text"), F.col("a"), F.col("b") - F.col("a"))
-    return docs.join(at, "doc_id").select("doc_id", text.full_trim(F.regexp_extract(chunk, r"经[·.\s]*营\s*范\s*围([\s\S]*)$", 1)).alias("scope"))
+    """Segments with marks, blanks, half-width punctuation, Latin ends and the next label run in, cleaned as their fields ask for."""
+    k, col = F.col("doc_id"), F.col
+    some = lambda when, what: F.when(when, what).otherwise("")
+    segments = {
+        "companyName": F.concat(F.lit(" "), F.substring("companyName", 1, 3), some(k % 3 == 0, "#|"), F.lit(" "), F.substring("companyName", 4, 80)),
+        "legalRepresentative": F.concat("legalRepresentative", some(k % 2 == 0, " 住所广州市"), some(k % 2 == 1, "注册资本9万")),
+        "companyType": F.concat("companyType", some(k % 3 == 1, " xy"), F.lit("\n成立日期2001年")),
+        "address": F.concat("address", F.lit(":1 ,2"), some(k % 3 == 2, "~!"), F.lit("经营范围零售")),
+        "businessScope": F.concat("businessScope", F.lit(" ;\n甲%登记机关 x")),
+        "registrationAuthority": F.concat(F.lit("\n"), "registrationAuthority", some(k % 2 == 0, "AB")),
+    }
+    found = [F.struct(F.lit(f).alias("field"), license_fields.normalise(f, c).alias("n")) for f, c in segments.items()]
+    rows = lq.truth(spark, sf).select("doc_id", F.explode(F.array(*found)).alias("x"))
+    return rows.select("doc_id", "x.field", col("x.n.value").alias("value"), col("x.n.cleaned").alias("cleaned"))
 
 
-@query(f"WITH {_T} SELECT doc_id, round(0.22 + 0.14 * CASE WHEN s = 'd' THEN 3 ELSE 4 END + 0.14 + 0.08, 6) AS keyword_score FROM truth")
+@query(f"WITH {_T} SELECT doc_id, round(0.22 + 0.14 * CASE WHEN s = 'd' THEN 3 ELSE 4 END + 0.14 + CASE WHEN p = 1 THEN 0 ELSE 0.08 END, 6) AS keyword_score FROM truth")
 def lic_keyword_score(spark, sf):
     score, _ = passes.keyword_score(F.col("text"))
     return lq.pages(spark, sf).where(F.col("page") == 1).select("doc_id", score.alias("keyword_score"))
 
 
-@query(f"WITH {_T} SELECT doc_id, round(least(0.99, ocr_confidence / 100 * 0.35 + (0.22 + 0.14 * CASE WHEN s = 'd' THEN 3 ELSE 4 END + 0.14 + 0.08) * 0.55 + 0.05 + 0.05), 6) AS score FROM truth")
+@query(f"WITH {_T} SELECT doc_id, round(least(0.99, ocr_confidence / 100 * 0.35 + (0.22 + 0.14 * CASE WHEN s = 'd' THEN 3 ELSE 4 END + 0.14 + CASE WHEN p = 1 THEN 0 ELSE 0.08 END) * 0.55 + 0.05 + 0.05), 6) AS score FROM truth")
 def lic_pass_score(spark, sf):
     score, _ = passes.keyword_score(F.col("text"))
     total = F.least(F.lit(1.0), F.col("ocr_confidence") / 100) * 0.35 + score * 0.55 + 0.05 + F.when(F.length("text") > 80, 0.05).otherwise(0.0)

@@ -47,7 +47,7 @@ TRUTH = {
     "creditCode": f"'91' || {pick('110000310000440300440100330100510100420100320100', 6, 'k')} || lpad(CAST(k * 7919 % 1000000000 AS STRING), 9, '0')",
     "legalRepresentative": f"{pick('王李张刘陈杨赵黄', 1, 'k')} || {pick('伟芳娜敏静丽强', 1, _floor('k', 8))} || {pick('军洋勇艳杰', 1, _floor('k', 56))}",
     "companyType": f"{pick('有限责任公司股份有限公司个人独资企业', 6, 'k')}",
-    "registeredCapital": "CAST(100 + k % 900 AS STRING) || '万元人民币'",
+    "registeredCapital": "CAST(CASE k % 12 WHEN 7 THEN (1 + k % 9) * 100 WHEN 0 THEN (1 + k % 9) * 1000100 ELSE 100 + k % 900 END AS STRING) || '万元人民币'",
     "establishmentDate": f"{YEAR} || '-' || {MONTH} || '-' || {DAY}",
     "businessTerm": f"CASE WHEN k % 2 = 0 THEN '长期' ELSE {YEAR} || '年' || {MONTH} || '月' || {DAY} || '日至2050年01月01日' END",
     "address": f"{CITY} || '市中山路' || CAST(1 + k % 400 AS STRING) || '号'",
@@ -65,7 +65,7 @@ CHECK_CHAR_SQL = (
 
 def license_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, style, level, seed, ocr_confidence, ten fields); one licence for each customer."""
-    base = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    base = tables.spread(tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
     out = base.select(F.col("k").alias("doc_id"), F.expr(STYLE).alias("style"), F.expr(LEVEL).alias("level"), (F.col("k") * 101 + 4).alias("seed"), F.expr(OCR_CONFIDENCE).cast("double").alias("ocr_confidence"), *[F.expr(e).alias(f) for f, e in TRUTH.items()])
     return out.withColumn("creditCode", F.concat("creditCode", codes.credit_check_char(F.col("creditCode"))))
 
@@ -81,21 +81,33 @@ def license_text(truth: DataFrame) -> DataFrame:
 
     d: a character of 注册资本 is wrong; e: a blank inside 成立日期; f: the code's check character is wrong; g: the address and its
     label are lost; h: 有限 reads 有很 in the name; i: zeros of the code read as O; j: a second page, the holder's identity card.
+
+    Beside it, whatever the style, doc_id % 12 spoils a field.  0: two characters of the type, and both 佰 of a capital in numerals,
+    are wrong; 1: a dot inside the code; 3, 4: one character of the type; 6: a letter in front of the holder's name; 7: the 佰 of a
+    capital in numerals; 8: a star inside the address; 9: a mark inside the name; 10: the scope's label is lost; 11: it is broken.
     """
-    style = F.substring("style", -1, 1)
+    style, spoil = F.substring("style", -1, 1), F.col("doc_id") % 12
     code = F.col("creditCode")
     wrong = F.concat(F.substring(code, 1, 17), F.translate(F.substring(code, 18, 1), codes.CREDIT_CHARSET, codes.CREDIT_CHARSET[1:] + codes.CREDIT_CHARSET[0]))
     code = F.when(style == "f", wrong).when(style == "i", F.translate(code, "0", "O")).otherwise(code)
+    code = F.when(spoil == 1, F.concat(F.substring(code, 1, 6), F.lit("·"), F.substring(code, 7, 12))).otherwise(code)
     name = F.when(style == "h", F.replace(F.col("companyName"), F.lit("有限"), F.lit("有很"))).otherwise(F.col("companyName"))
+    name = F.when(spoil == 9, F.concat(F.substring(name, 1, 2), F.lit("#"), F.substring(name, 3, 80))).otherwise(name)
+    kind = F.col("companyType")
+    kind = F.when(spoil == 0, F.replace(kind, F.lit("限责"), F.lit("很资"))).when(spoil == 3, F.replace(kind, F.lit("责"), F.lit("贡"))).when(spoil == 4, F.replace(kind, F.lit("限"), F.lit("很"))).otherwise(kind)
+    digit = F.substring(F.lit("壹贰叁肆伍陆柒捌玖"), (F.col("doc_id") % 9 + 1).cast("int"), F.lit(1))
+    capital = F.when(spoil == 7, F.concat(digit, F.lit("信万元整"))).when(spoil == 0, F.concat(digit, F.lit("信亿"), digit, F.lit("信万元整"))).otherwise(F.col("registeredCapital"))
+    holder = F.concat(F.when(spoil == 6, "W").otherwise(""), "legalRepresentative")
+    address = F.when(spoil == 8, F.replace(F.col("address"), F.lit("市"), F.lit("市★"))).otherwise(F.col("address"))
     date = F.split("establishmentDate", "-")
     lines = [
         F.lit("营业执照"),
         F.concat(F.lit("统一社会信用代码 "), code),
-        F.concat(F.lit("名称"), name, F.when(style == "d", "注册责本").otherwise("注册资本"), F.col("registeredCapital")),
-        F.concat(F.lit("类型"), F.col("companyType"), F.when(style == "e", "成立 日期").otherwise("成立日期"), date[0], F.lit("年"), date[1], F.lit("月"), date[2], F.lit("日")),
-        F.concat(F.lit("法定代表人"), F.col("legalRepresentative"), F.when(style == "g", "").otherwise(F.concat(F.lit("住所"), F.col("address")))),
+        F.concat(F.lit("名称"), name, F.when(style == "d", "注册责本").otherwise("注册资本"), capital),
+        F.concat(F.lit("类型"), kind, F.when(style == "e", "成立 日期").otherwise("成立日期"), date[0], F.lit("年"), date[1], F.lit("月"), date[2], F.lit("日")),
+        F.concat(F.lit("法定代表人"), holder, F.when(style == "g", "").otherwise(F.concat(F.lit("住所"), address))),
         F.concat(F.lit("营业期限"), F.col("businessTerm")),
-        F.concat(F.lit("经营范围"), F.col("businessScope")),
+        F.concat(F.when(spoil == 10, "").when(spoil == 11, "经营···范围").otherwise("经营范围"), F.col("businessScope")),
         F.concat(F.lit("登记机关"), F.col("registrationAuthority")),
     ]
     card = F.concat(F.lit("居民身份证\n姓名 "), F.when(F.col("doc_id") % 20 == 19, "欧阳明").otherwise(F.col("legalRepresentative")), F.lit("\n性别 男\n公民身份号码 440681198501011234\n签发机关 佛山市公安局"))
@@ -109,7 +121,7 @@ GIVEN = pick("OTTO ERNA IGOR UMA  ", 5, "k")
 
 def mrz_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, surname, given, number, country, birth, sex, expiry): passport truth from customers; dates are YYMMDD."""
-    base = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    base = tables.spread(tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")))
     return base.select(F.col("k").alias("doc_id"), *[F.expr(e).alias(c) for c, e in MRZ_TRUTH.items()])
 
 

@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose rows expand into much work, over as many partitions as the session has cores.
+
+    Small tables come in one file and one row group, so that one core would do all the work.  A scan that has partitions enough, as
+    large tables have, isn't moved; the number is given, as a shuffle left to adaptive execution would be put together again.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def text_tree(spark: SparkSession, path: str) -> DataFrame:
     """A folder of text files, a row each: (path, text)."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -179,3 +179,56 @@ def test_licence_checks_of_empty_values(spark):
     rows = spark.createDataFrame([(1, "address", None), (1, "businessScope", "  "), (1, "creditCode", "X")], "doc_id long, field string, value string")
     found = license_checks.validate(rows).collect()
     assert sorted((r["field"], r["score"], r["valid"], r["review"], r["signals"]) for r in found) == [("address", 0.0, False, True, ""), ("businessScope", 0.0, False, True, "")]
+
+
+def test_readings_of_confusable_characters(spark):
+    from fieldloom.operators import confusions, license_checks
+
+    df = spark.createDataFrame([("有很资任公司",), ("很很",), ("王全军",), ("",), ("贡" * 9,)], "v string")
+    found = {r.v: r for r in df.select("v", confusions.readings(F.col("v")).alias("r"), confusions.best_reading(F.col("v"), lambda c: license_checks.checked("companyType", c)["score"]).alias("b")).collect()}
+    assert {x.text for x in found["很很"].r} == {a + b for a in "很有限" for b in "很有限"}
+    assert [(e["index"], e["from"], e["to"]) for e in found["有很资任公司"].b.edits] == [(1, "很", "限"), (2, "资", "责")]
+    assert found["有很资任公司"].b.text == "有限责任公司" and found["王全军"].b.text == "王全军" and found[""].b.n == 0
+    assert len(found["贡" * 9].r) == confusions.MOST and len({x.text for x in found["贡" * 9].r}) == confusions.MOST
+
+
+def test_checks_of_one_field_equal_those_of_the_table(spark):
+    from fieldloom.operators import license_checks
+
+    values = ["广州A有限公司", "王伟", "有限责任公司", "广州市★路1号", "零售#", "", None]
+    rows = spark.createDataFrame([(f, v) for f in license_checks.BASE for v in values], "field string, value string")
+    want = sorted((r.field, str(r.value), r.score, r.valid, r.review, r.signals) for r in license_checks.validate(rows).collect())
+    got = []
+    for f in license_checks.BASE:
+        for r in rows.where(F.col("field") == f).select("value", license_checks.checked(f, F.col("value")).alias("c")).collect():
+            got.append((f, str(r.value), r.c.score, r.c.valid, r.c.review, ",".join(r.c.signals)))
+    assert sorted(got) == want
+
+
+def test_scope_without_its_label(spark):
+    texts = ["类型甲\n住所乙\n营业期限长期\n经营···范围零售;\n登记机关丙", "住所乙\n营业期限长期\n零售\n登记机关丙", "住所乙\n零售\n登记机关丙", "住所乙\n零售", "经营范围零售\n登记机关丙", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.segment, r.fallback) for r in license.segments(docs).where(F.col("field") == "businessScope").collect()}
+    assert got == {0: ("零售", True), 1: ("长期\n零售", True), 2: ("乙\n零售", True), 4: ("零售", False)}
+
+
+def test_long_table_of_an_odd_page(spark):
+    from fieldloom.operators import license_fields
+
+    pages = spark.createDataFrame([(1, 1, "s", 60.0, ""), (2, 1, "s", 99.0, None), (3, 1, "s", 99.0, "法定代表人W王伟\n类型股份有很公司"), (4, 2, "s", 99.0, "名称甲")], "doc_id long, page int, style string, ocr_confidence double, text string")
+    rows = license_fields.extract(pages).collect()
+    assert len(rows) == 30 and {r.doc_id for r in rows} == {1, 2, 3}
+    assert all(r.value is None and r.requires_review and not r.label_found for r in rows if r.doc_id < 3)
+    third = {r.field: r for r in rows if r.doc_id == 3}
+    assert third["companyType"].value == "股份有限公司" and len(third["companyType"].corrections) == 1
+    assert third["legalRepresentative"].value == "W王伟" and third["legalRepresentative"].candidate is None and third["legalRepresentative"].requires_review
+    queue = {r.doc_id: r.reasons for r in license.review_queue(license_fields.extract(pages)).collect()}
+    assert queue[1].startswith("ocr_confidence_below_75:60,credit_checksum_failed,missing_key_field:companyName")
+
+
+def test_grid_counts(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None), (None, "x")], "p string, q string")
+    got = {(r.p, r.q): r.n for r in evaluate.grid_counts(rows, {"p": ["a", "b"], "q": ["x", "y"]}).collect()}
+    assert got == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 0, ("a", "(all)"): 2, ("b", "(all)"): 1, ("(all)", "x"): 3, ("(all)", "y"): 0, ("(all)", "(all)"): 4}
+    none = evaluate.grid_counts(rows.limit(0), {"p": ["a"], "q": ["x"]}).collect()
+    assert [r.n for r in none] == [0] * 4
