@@ -66,18 +66,45 @@ def clean_place(c: Column) -> Column:
 CLEAN = {"surname": clean_name, "given_names": clean_name, "passport_number": clean_number, "nationality": clean_nationality, "date_of_birth": clean_date, "sex": clean_sex, "expiry_date": clean_date}
 
 
-def merge_sources(zone: DataFrame, page: DataFrame) -> DataFrame:
-    """(doc_id, ZONE_FIELDS, path): cleaned fields of the zone (with mrz_valid), and of the page where the zone has none.
+#: Fields that a page has and a zone has not.
+PAGE_FIELDS = ("date_of_issue", "place_of_birth", "place_of_issue")
+FIELDS = (*ZONE_FIELDS, *PAGE_FIELDS)
+CLEAN |= {"date_of_issue": clean_date, "place_of_birth": clean_place, "place_of_issue": clean_place}
 
+
+def merged(zone: Column, page: Column, body: Column) -> dict[str, Column]:
+    """FIELDS and path from a zone's record (a struct of ZONE_FIELDS and mrz_valid, or null), a page's (of FIELDS) and the page's text.
+
+    Names are reconciled with the page; of the other fields the zone's come first, and what only a page has comes from there.
     path: mrz_only (a valid zone with names and number), mrz_with_ocr_fallback (the page filled a gap), mrz_partial, ocr_only.
     """
-    side = lambda df, p: df.select("doc_id", *[CLEAN[f](F.col(f)).alias(p + f) for f in ZONE_FIELDS], *(["mrz_valid"] if p == "z_" else []))
-    both = side(zone, "z_").join(side(page, "p_"), "doc_id", "full_outer")
-    full = F.col("z_surname").isNotNull() & F.col("z_given_names").isNotNull() & F.col("z_passport_number").isNotNull()
-    none = F.coalesce(*[F.col(f"z_{f}") for f in ZONE_FIELDS]).isNull()
-    filled = F.greatest(*[F.col(f"z_{f}").isNull() & F.col(f"p_{f}").isNotNull() for f in ZONE_FIELDS])
-    path = F.when(none, "ocr_only").when(F.coalesce("mrz_valid", F.lit(False)) & full, "mrz_only").when(filled, "mrz_with_ocr_fallback").otherwise("mrz_partial")
-    return both.select("doc_id", *[F.coalesce(f"z_{f}", f"p_{f}").alias(f) for f in ZONE_FIELDS], path.alias("path"))
+    from fieldloom.operators import names
+
+    z = {f: CLEAN[f](zone[f]) for f in ZONE_FIELDS}
+    p = {f: CLEAN[f](page[f]) for f in FIELDS}
+    out = {f: F.coalesce(z[f], p[f]) for f in ZONE_FIELDS} | {f: p[f] for f in PAGE_FIELDS}
+    out["surname"] = names.reconcile(z["surname"], p["surname"], body)
+    out["given_names"] = F.coalesce(names.reconcile(z["given_names"], p["given_names"], body), names.given_on_page(body, out["surname"]))
+    full = z["surname"].isNotNull() & z["given_names"].isNotNull() & z["passport_number"].isNotNull()
+    none = F.coalesce(*z.values()).isNull()
+    filled = F.greatest(*[z[f].isNull() & p[f].isNotNull() for f in ZONE_FIELDS])
+    path = F.when(none, "ocr_only").when(F.coalesce(zone["mrz_valid"], F.lit(False)) & full, "mrz_only").when(filled, "mrz_with_ocr_fallback").otherwise("mrz_partial")
+    return out | {"path": path}
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, FIELDS, mrz_valid, path): zone, page fields, merge and cross-check in the document's row; no shuffle.
+
+    A null or empty text has no field and path ocr_only.
+    """
+    from fieldloom.operators import mrz
+
+    body = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", body.alias("_t"), F.struct(*[c.alias(f) for f, c in page_fields(body).items()]).alias("_page"), mrz.best_pair(body).alias("_pair"))
+    found = mrz.zone_fields(F.col("_pair.line1"), F.col("_pair.line2"), F.col("_pair.valid"))
+    rows = rows.withColumn("_zone", F.struct(*[c.alias(f) for f, c in found.items()]))
+    record = F.struct(*[c.alias(f) for f, c in merged(F.col("_zone"), F.col("_page"), F.col("_t")).items()])
+    return rows.select("doc_id", record.alias("_r"), F.coalesce("_zone.mrz_valid", F.lit(False)).alias("mrz_valid")).select("doc_id", *[f"_r.{f}" for f in FIELDS], "mrz_valid", "_r.path")
 
 
 #: Labels of page fields in order of trial (patterns, blanks stand for any), and adjectives of nationality.
@@ -94,6 +121,7 @@ PAGE_LABELS = {
     "place_of_issue": ("place of issue", "authority", "pejabat pengeluar"),
 }
 NATIONALITIES = ("INDIAN", "AMERICAN", "BRITISH", "CANADIAN", "AUSTRALIAN", "MALAYSIAN", "FRENCH", "GERMAN", "POLISH", "ITALIAN", "SPANISH")
+#: Labels at which a value ends.
 NEXT_LABEL = r"(?i)\b(Tarikh|Date\s*of|Nationality|Warganegara|Sex|Passport|Place|Issuing|Control|Entries)\b.*$"
 _NAME, _DAY, _PLACE = r"[A-Za-z][A-Za-z .'-]*", r"[0-9][0-9A-Za-z ./-]*", r"[A-Za-z][A-Za-z ,.-]*"
 SHAPES = {"passport_number": "[A-Z0-9]{6,15}", "surname": _NAME, "given_names": _NAME, "nationality": "[A-Za-z]+", "sex": "(?:MALE|FEMALE|M|F)\\b", "place_of_birth": _PLACE, "place_of_issue": _PLACE}

@@ -580,46 +580,56 @@ def vis_pass_winners(spark, sf):
 # --- passports: zone and page text ---------------------------------------------------------------------------------------
 
 
-def two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(zone, page): records read from pages that have labels, a zone but in every fifth document, and a number only in every second."""
+def passports(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text): pages with labels, a zone but in every fifth document, a number only in every second.
+
+    The zone lacks the given names in every third; other labels stand on some, and one of them disagrees with the zone.
+    """
     z, k = zones(spark, sf), F.col("doc_id")
     body = F.concat_ws(
         "\n",
         F.concat(F.lit("SURNAME: "), "surname"),
         F.concat(F.lit("GIVEN NAMES: "), "given"),
         F.when(k % 2 == 0, F.concat(F.lit("PASSPORT NO: "), F.lower("number"))),
+        F.when(k % 6 == 1, "NATIONALITY: ZZZ"),
+        F.when(k % 4 == 1, "DATE OF ISSUE: 02/03/2019"),
+        F.when(k % 4 == 2, F.concat(F.lit("PLACE OF BIRTH: PORT "), "surname")),
+        F.when(k % 4 == 3, "AUTHORITY: OLD TOWN"),
         F.when(k % 5 != 4, F.concat_ws("\n", F.when(k % 3 == 1, F.rpad(F.regexp_replace("line1", "<<.*$", ""), 44, "<")).otherwise(F.col("line1")), "line2")),
     )
-    docs = z.select("doc_id", body.alias("text"))
-    t = F.col("text")
-    found = {"surname": visa.by_label(t, "SURNAME"), "given_names": visa.by_label(t, "GIVEN NAMES"), "passport_number": visa.by_label(t, "PASSPORT NO")}
-    page = docs.select("doc_id", *[found.get(f, F.lit(None).cast("string")).alias(f) for f in passport.ZONE_FIELDS])
-    return mrz.fields(mrz.pairs(docs)), page
+    return z.select("doc_id", body.alias("text"))
 
 
 _PATH = "CASE WHEN k % 5 = 4 THEN 'ocr_only' WHEN k % 3 = 1 THEN 'mrz_with_ocr_fallback' WHEN k % 7 <> 0 THEN 'mrz_only' ELSE 'mrz_partial' END"
 _NONE = "CASE WHEN k % 5 <> 4 THEN {0} END"
+_PASSPORT = f"""SELECT doc_id, surname, given_names, CASE WHEN k % 5 <> 4 OR k % 2 = 0 THEN passport_number END AS passport_number, CASE WHEN k % 5 <> 4 THEN nationality WHEN k % 6 = 1 THEN 'ZZZ' END AS nationality,
+  {_NONE.format('date_of_birth')} AS date_of_birth, {_NONE.format('sex')} AS sex, {_NONE.format('expiry_date')} AS expiry_date, CASE WHEN k % 4 = 1 THEN '02/03/2019' END AS date_of_issue,
+  CASE WHEN k % 4 = 2 THEN 'PORT ' || surname END AS place_of_birth, CASE WHEN k % 4 = 3 THEN 'OLD TOWN' END AS place_of_issue, {_PATH} AS path, k % 5 <> 4 AND mrz_valid AS mrz_valid FROM (SELECT *, doc_id AS k FROM f)"""
 
 
-@query(
-    f"""WITH {_MRZ}, f AS ({_TD3}) SELECT doc_id, surname, given_names, CASE WHEN k % 5 <> 4 OR k % 2 = 0 THEN passport_number END AS passport_number, {_NONE.format('nationality')} AS nationality,
-  {_NONE.format('date_of_birth')} AS date_of_birth, {_NONE.format('sex')} AS sex, {_NONE.format('expiry_date')} AS expiry_date, {_PATH} AS path FROM (SELECT *, doc_id AS k FROM f)"""
-)
+@query(f"WITH {_MRZ}, f AS ({_TD3}) SELECT * EXCLUDE (mrz_valid) FROM ({_PASSPORT})")
 def pp_merge_sources(spark, sf):
-    return passport.merge_sources(*two_sources(spark, sf))
+    return passport.records(passports(spark, sf)).drop("mrz_valid")
 
 
 @query(f"SELECT {_PATH} AS path, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) GROUP BY 1")
 def pp_extraction_path(spark, sf):
-    return passport.merge_sources(*two_sources(spark, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return passport.records(passports(spark, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_MRZ} SELECT k AS doc_id, surname, given AS given_names, number AS passport_number, k % 7 <> 0 AS mrz_valid FROM t")
+@query(
+    f"""WITH {_MRZ}, f AS ({_TD3}), r AS ({_PASSPORT}), o AS (SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 3 = 0)
+SELECT r.doc_id, CASE WHEN o.doc_id IS NULL THEN surname ELSE surname || CASE WHEN r.doc_id % 2 = 0 THEN '' ELSE 'K' END END AS surname, * EXCLUDE (doc_id, surname) FROM r LEFT JOIN o ON r.doc_id = o.doc_id AND r.doc_id % 5 <> 4"""
+)
 def pp_end_to_end(spark, sf):
-    z = zones(spark, sf)
-    ocr = z.select("doc_id", visa.by_label(F.col("text"), "SURNAME").alias("surname"), visa.by_label(F.col("text"), "GIVEN NAMES").alias("given_names"), F.lit(None).cast("string").alias("passport_number"))
-    zone = mrz.fields(mrz.pairs(z))
-    return visa.merge(zone, ocr, ["surname", "given_names", "passport_number"]).join(zone.select("doc_id", "mrz_valid"), "doc_id", "left")
+    """The full job on pages of which every third's zone ends its surname in a misread filler; where the page names the holder with that
+    ending too (every second of them), it stays."""
+    k = F.col("doc_id")
+    surname = F.regexp_extract("text", r"^SURNAME: ([A-Z]+)", 1)
+    noisy = F.regexp_replace(F.col("text"), "(?m)^(P<...[A-Z]+)<<", "$1K<<")
+    page = F.when(k % 2 == 1, F.regexp_replace(noisy, r"^SURNAME: ([A-Z]+)", "SURNAME: $1K")).otherwise(noisy)
+    docs = passports(spark, sf).withColumn("text", F.when((k % 3 == 0) & (k % 5 != 4) & (surname != ""), page).otherwise(F.col("text")))
+    return passport.records(docs)
 
 
 # --- templates: letters from orders --------------------------------------------------------------------------------------

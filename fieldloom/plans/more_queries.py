@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, letters, license_checks, license_fields, mrz, passes, passport, visa
+from fieldloom.operators import confusions, detect, letters, license_checks, license_fields, mrz, names, passes, passport, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
 from fieldloom.sources import synth, tables
@@ -253,14 +253,29 @@ def pp_plausible(spark, sf):
     return tables.table(spark, sf, "part").select(k.alias("doc_id"), passport.plausible_number(number).alias("id_ok"), passport.plausible_name(name).alias("name_ok"), passport.plausible_raw_date(day).alias("date_ok"))
 
 
-@query(f"WITH {dq._MRZ} SELECT k AS doc_id, surname FROM t")
+_FORM = "CASE k % 10 {0} END"
+_NAMES = _FORM.format("WHEN 1 THEN surname || 'S' WHEN 3 THEN surname || 'ZZ' WHEN 4 THEN surname || 'IE' WHEN 5 THEN surname || 'ESS' WHEN 7 THEN surname || ' ANNA' ELSE surname")
+
+
+@query(f"WITH {dq._MRZ} SELECT k AS doc_id, {_NAMES} AS surname, CASE WHEN k % 10 = 8 THEN 'MARTINA' ELSE given END AS given_names FROM t")
 def pp_name_crosscheck(spark, sf):
-    """The zone's surname ends in a misread filler; it goes if the page has the shorter word at least as often."""
-    z = dq.zones(spark, sf).select("doc_id", F.concat("surname", F.lit("K")).alias("name"), F.concat_ws("\n", F.concat(F.lit("SURNAME "), "surname"), F.concat(F.lit("SEEN "), "surname")).alias("text"))
-    words = z.select("doc_id", F.explode(F.split("text", "[^A-Z]+")).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    own, short = words.select("doc_id", F.col("word").alias("name"), F.col("n").alias("n_own")), words.select("doc_id", F.col("word").alias("short"), F.col("n").alias("n_short"))
-    rows = z.select("doc_id", "name", F.regexp_replace("name", "[SZKL]$", "").alias("short")).join(own, ["doc_id", "name"], "left").join(short, ["doc_id", "short"], "left")
-    return rows.select("doc_id", F.when(F.coalesce("n_short", F.lit(0)) >= F.greatest(F.coalesce("n_own", F.lit(0)), F.lit(1)), F.col("short")).otherwise(F.col("name")).alias("surname"))
+    """Ten forms of zone, page field and page: fillers at the end once and twice, ESS for IE and tails without sense, each beside a
+    form in which the page speaks for the zone; a part after a blank; no zone; a page field only; given names only on the page."""
+    form, name = F.col("doc_id") % 10, F.col("surname")
+    def pick(table: dict, otherwise=None):
+        out = F.lit(None).cast("string") if otherwise is None else otherwise
+        for i, value in table.items():
+            out = F.when(form == i, value).otherwise(out)
+        return out
+
+    end = lambda x: F.concat(name, F.lit(x))
+    zone = pick({0: end("K"), 1: end("S"), 2: end("LL"), 3: end("ZZ"), 4: end("ESS"), 5: end("ESS"), 6: end("DRKC"), 7: end(" ANNA"), 8: F.lit(None).cast("string"), 9: end("CIO")})
+    visual = pick({8: F.lower(name), 9: name})
+    seen = lambda *words: F.concat_ws(" ", F.lit("HOLDER"), *words)
+    page = pick({0: seen(name, name), 1: seen(end("S"), end("S"), name), 2: seen(name), 3: seen(F.lit("NOBODY")), 4: seen(end("IE")), 5: seen(end("ESS")), 6: seen(name), 7: seen(name), 8: F.concat(F.lit("PASSPORT\nSURNAME "), name, F.lit("\nREPUBLIC OF XYZ MARTINA 12\nBRRRTT")), 9: seen(F.lit("NOBODY"))})
+    given = F.when(form != 8, F.col("given"))
+    rows = synth.mrz_truth(spark, sf).select("doc_id", names.reconcile(zone, visual, page).alias("surname"), given.alias("_given"), page.alias("_page"))
+    return rows.select("doc_id", "surname", F.coalesce(names.reconcile(F.col("_given"), F.lit(None).cast("string"), F.col("_page")), names.given_on_page(F.col("_page"), F.col("surname"))).alias("given_names"))
 
 
 # --- letters in prose ------------------------------------------------------------------------------------------------------

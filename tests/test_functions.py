@@ -232,3 +232,28 @@ def test_grid_counts(spark):
     assert got == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 0, ("a", "(all)"): 2, ("b", "(all)"): 1, ("(all)", "x"): 3, ("(all)", "y"): 0, ("(all)", "(all)"): 4}
     none = evaluate.grid_counts(rows.limit(0), {"p": ["a"], "q": ["x"]}).collect()
     assert [r.n for r in none] == [0] * 4
+
+
+def test_names_against_the_page(spark):
+    from fieldloom.operators import names
+
+    rows = [
+        ("OBAMAS", None, "seen OBAMA", "OBAMA"), ("OBAMAS", None, "OBAMAS obamas OBAMA", "OBAMAS"), ("JAMES", "JAMES", "JAME JAME", "JAMES"), ("LIS", None, "LI", "LIS"),
+        ("ANNAKK", None, "ANNA", "ANNA"), ("CALLESS", None, "CALLIE", "CALLIE"), ("CALLESS", "callie", "", "CALLIE"), ("TAHARREANDRAK", None, "TAHAR", "TAHAR"),
+        ("DANIEL FREDERICK", None, "DANIEL", "DANIEL FREDERICK"), ("MARIASKI", "MARIA", None, "MARIA"), (None, "doe", "x", "DOE"), (None, None, None, None), ("", "", "", None),
+        ("DANIELAE", None, "DANIEL", "DANIELAE"), ("SMITHK", None, "BLACKSMITH SMITHSON", "SMITHK"), ("VAN DYKS", None, "VAN\nDYK", "VAN DYK"),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, z string, v string, p string")
+    got = {r.i: r.n for r in df.select("i", names.reconcile(F.col("z"), F.col("v"), F.col("p")).alias("n")).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
+
+
+def test_passport_records_of_odd_texts(spark):
+    from fieldloom.operators import passport
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "\n".join(ICAO) + "\nPLACE OF BIRTH: GAMLA STAN"), (4, "\n".join(ICAO * 2)), (4, "x")], "doc_id long, text string")
+    rows = passport.records(docs).collect()
+    assert len(rows) == 5 and {(r.path, r.mrz_valid) for r in rows if r.doc_id < 3} == {("ocr_only", False)}
+    third = next(r for r in rows if r.doc_id == 3)
+    assert (third.surname, third.given_names, third.place_of_birth, third.path, third.mrz_valid) == ("ERIKSSON", "ANNA MARIA", "GAMLA STAN", "mrz_only", True)
+    assert mrz.pairs(docs).count() == 2
