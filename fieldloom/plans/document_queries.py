@@ -349,25 +349,84 @@ def visa_labels(spark: SparkSession, sf: str) -> DataFrame:
     return visas(spark, sf).select("doc_id", "variant", *[found[c].alias(c) for c in VISA_FIELDS])
 
 
-def visa_zone(spark: SparkSession, sf: str) -> DataFrame:
-    """Zone fields of visas whose pair is valid."""
-    pairs = mrz.visa_pairs(visas(spark, sf))
-    ok = mrz.checks(F.col("line2"))
-    pairs = pairs.withColumns(ok)
-    f = mrz.fields(pairs)
-    return f.select("doc_id", "surname", F.col("given_names").alias("givenNames"), "nationality", F.col("passport_number").alias("passportNumber"), F.col("date_of_birth").alias("dateOfBirth"), "sex", F.col("expiry_date").alias("expiryDate"), F.lit(None).cast("string").alias("entries"), "mrz_valid")
+def zone_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, fields of the zone, mrz_valid, score) of the documents that have one."""
+    rows = docs.select("doc_id", mrz.visa_best(F.col("text")).alias("p")).where(F.col("p").isNotNull())
+    return rows.select("doc_id", *[c.alias(f) for f, c in visa.zone_source(F.col("p")).items()], F.col("p.valid").alias("mrz_valid"), F.col("p.score").alias("score"))
 
 
-def visa_record(spark: SparkSession, sf: str) -> DataFrame:
-    zone = visa_zone(spark, sf)
-    merged = visa.merge(zone, visa_labels(spark, sf), list(VISA_FIELDS))
-    base = visas(spark, sf).select("doc_id", "variant", "country", "text")
-    return base.join(merged, "doc_id").join(zone.select("doc_id", "mrz_valid"), "doc_id", "left").fillna(False, ["mrz_valid"])
+def visa_record(spark: SparkSession, sf: str, truth: dict | None = None) -> DataFrame:
+    """(doc_id, variant, country, 30 columns, mrz_valid, detected, w_ columns of truth): one projection of the pages, no join."""
+    wanted = {f"w_{f}": c for f, c in (truth or {}).items()}
+    rows = visa.records(visas(spark, sf).withColumns(wanted) if wanted else visas(spark, sf), "variant", "country", *wanted)
+    return visa.flat(rows, "variant", "country", "detected", *wanted).withColumnRenamed("mrzValid", "mrz_valid")
 
 
-@query(f"WITH {_VISA}, {_VF} SELECT doc_id, {_COLS} FROM f")
+def sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text): visa pages of six forms, for a record's sources.
+
+    0: a zone and labels that disagree with it; 1: labels of all groups in several languages, no zone; 2: cropped labels with their
+    values below; 3: a foil's rows without labels; 4: what country rules read; 5: a zone whose second line is a foil's own.
+    """
+    k, form = F.col("doc_id"), F.col("doc_id") % 6
+    t = synth.mrz_lines(synth.mrz_truth(spark, sf), "V")
+    born, ends = mrz.full_date(F.col("birth")), mrz.full_date(F.col("expiry"))
+    row = lambda label, value: F.concat(F.lit(label), value)
+    lines = {
+        0: [F.lit("VISA\nSURNAME: OTHER\nGIVEN NAMES: NOBODY\nNATIONALITY: QQQ\nPASSPORT NO: X000001\nISSUE DATE: 02/03/2019\nENTRIES: MULTIPLE"), "line1", "line2"],
+        1: [
+            F.lit("VISA\nVISA TYPE: WORKER"), row("SURNAME: ", F.col("surname")), row("FIRST NAME: ", F.col("given")), F.lit("NACIONALIDAD: GBR"), row("PASSPORT NUMBER: ", F.col("number")), row("DATE DE NAISSANCE: ", born),
+            F.lit("DATE OF ISSUE: 02/03/2019"), row("VALID UNTIL: ", ends), F.lit("NUMBER OF ENTRIES: 2\nVISA CONTROL: 77\nISSUED AT: LIMA\nDURATION OF STAY: 30 DAYS\nMOTIF: STUDY\nINVITING PARTY: ACME\nEMPLOYER: INITECH\nPERSONAL NO: 5512\nREMARKS: NONE SO FAR\nSEX: F"),
+        ],
+        2: [F.lit("VISA\nFAMILY NAME"), "surname", F.lit("VEN NAMES"), "given", F.lit("ATIONALITY\nUK\nSSPORT NO"), "number", F.lit("ATE OF BIRTH"), born, F.lit("XPIRY DATE"), ends, F.lit("SEX: M")],
+        3: [F.lit("VISA CONTROL FOIL"), F.concat(F.lit("= "), "surname", F.lit(" "), (200_000_000 + k).cast("string")), F.lit("M12345 B1/B2 F\nPLACE OF ISSUE 12 LONDON\nENTRIES M\nEXPIRATION DATE 05MAR2031")],
+        4: [F.lit("E-VISA"), row("GRANT NO: G", (10_000_000 + k).cast("string")), row("SURNAME: ", F.col("surname")), F.lit("SPONSOR: ACME LTD\nVISA CATEGORY C\nPURPOSE TOURISM\nNATIONALITY: FR\n90 DAYS STAY")],
+        5: [F.lit("VISA"), F.rpad(F.concat(F.lit("V<USA"), "surname", F.lit("<<"), "given"), 44, "<"), F.rpad(F.concat((200_000_000 + k).cast("string"), F.lit("B1B2")), 30, "<")],
+    }
+    body = F.lit(None).cast("string")
+    for i, parts in lines.items():
+        body = F.when(form == i, F.concat_ws("\n", *parts)).otherwise(body)
+    return t.select("doc_id", body.alias("text"))
+
+
+_BORN, _ENDS = _DMY.format("birth", "19"), _DMY.format("expiry", "20")
+_FOIL = "CAST(200000000 + k AS STRING)"
+#: form -> source -> field -> SQL of its value; what a source of lower rank also holds is left out.
+_SHEETS = {
+    0: {
+        "zone": {"issuingCountry": "country", "surname": "surname", "givenNames": "given", "nationality": "country", "passportNumber": "number", "documentNumber": "number", "sex": "sex", "dateOfBirth": _BORN, "expiryDate": _ENDS, "machineReadableZone": "line1 || chr(10) || line2"},
+        "legacy": {"issueDate": "'02/03/2019'", "entries": "'MULTIPLE'"},
+    },
+    1: {
+        "legacy": {"entries": "'2'", "sex": "'F'"},
+        "labels": {
+            "visaType": "'WORKER'", "surname": "surname", "givenNames": "given", "nationality": "'GBR'", "passportNumber": "number", "documentNumber": "number", "dateOfBirth": _BORN, "issueDate": "'02/03/2019'", "expiryDate": _ENDS, "visaNumber": "'77'",
+            "controlNumber": "'77'", "placeOfIssue": "'LIMA'", "durationOfStay": "'30 DAYS'", "purposeOfTravel": "'STUDY'", "sponsor": "'ACME'", "employer": "'INITECH'", "personalNumber": "'5512'", "remarks": "'NONE SO FAR'",
+        },
+    },
+    2: {"legacy": {"sex": "'M'"}, "labels": {"surname": "surname", "givenNames": "given", "nationality": "'GBR'", "passportNumber": "number", "documentNumber": "number", "dateOfBirth": _BORN, "expiryDate": _ENDS}},
+    3: {
+        "legacy": {"surname": "surname", "visaNumber": _FOIL, "controlNumber": _FOIL, "passportNumber": "'M12345'", "documentNumber": "'M12345'", "visaType": "'B1/B2'", "sex": "'F'", "entries": "'M'", "expiryDate": "'05/03/2031'", "placeOfIssue": "'LONDON'", "issuingAuthority": "'LONDON'"},
+        "labels": {"visaCategory": "'B1/B2'"},
+    },
+    4: {"legacy": {"nationality": "'FRA'"}, "labels": {"visaLabelNumber": "'G' || CAST(10000000 + k AS STRING)", "surname": "surname", "sponsor": "'ACME LTD'", "visaCategory": "'C'", "durationOfStay": "'90 days'", "purposeOfTravel": "'TOURISM'"}},
+    5: {"zone": {"issuingCountry": "'USA'", "surname": "surname", "givenNames": "given", "visaNumber": _FOIL, "controlNumber": _FOIL, "visaType": "'B1B2'", "machineReadableZone": f"rpad('V<USA' || surname || '<<' || given, 44, '<') || chr(10) || rpad({_FOIL} || 'B1B2', 44, '<')"}},
+}
+_V_ZONE = f"{_MRZ}, x0 AS (SELECT *, substr('V' || substr({_LINE1}, 2), 1, 44) AS line1, rpad({_HEAD}, 44, '<') AS line2 FROM t)"
+_SHEET_ROWS = " UNION ALL ".join(f"SELECT k AS doc_id, {form} AS form, '{f}' AS field, {v} AS value, '{source}' AS source FROM x0 WHERE k % 6 = {form}" for form, sources in _SHEETS.items() for source, fields in sources.items() for f, v in fields.items())
+
+
+def long_fields(df: DataFrame, columns) -> DataFrame:
+    """(doc_id, field, value) of the columns that have one."""
+    return df.unpivot(["doc_id"], list(columns), "field", "value").where(F.col("value").isNotNull())
+
+
+@query(f"WITH {_V_ZONE}, r AS ({_SHEET_ROWS}) SELECT doc_id, field, value FROM r WHERE form IN (1, 2) AND field NOT IN ('documentNumber', 'visaNumber')")
 def visa_label_fields(spark, sf):
-    return visa_labels(spark, sf).drop("variant")
+    """All label groups, in five languages and cropped, their values beside and below them."""
+    docs = sheets(spark, sf).where((F.col("doc_id") % 6).isin(1, 2))
+    found = visa.label_fields(F.col("text"))
+    return long_fields(docs.select("doc_id", *[c.alias(f) for f, c in found.items()]), found)
 
 
 @query(f"WITH {_VISA} SELECT k AS doc_id, substr('V' || substr({_LINE1}, 2), 1, 44) AS line1 FROM v WHERE variant <> 'missing_mrz'")
@@ -375,14 +434,28 @@ def mrz_visa_pairs(spark, sf):
     return mrz.visa_pairs(visas(spark, sf)).select("doc_id", "line1")
 
 
-@query(f"WITH {_VISA}, {_VF} SELECT doc_id, surname, \"passportNumber\", mrz_valid FROM f WHERE variant <> 'missing_mrz'")
+@query(f"WITH {_V_ZONE}, r AS ({_SHEET_ROWS}) SELECT doc_id, field, value, form = 0 AND doc_id % 7 <> 0 AS mrz_valid FROM r WHERE source = 'zone'")
 def mrz_visa_fields(spark, sf):
-    return visa_zone(spark, sf).select("doc_id", "surname", "passportNumber", "mrz_valid")
+    """Zones of the common layout, and of foils whose second line begins with a control number; only the former can be valid."""
+    zone = zone_of(sheets(spark, sf))
+    fields = [c for c in visa.FIELDS if c in zone.columns]
+    return long_fields(zone, fields).join(zone.select("doc_id", "mrz_valid"), "doc_id")
+
+
+@query(f"WITH {_V_ZONE}, r AS ({_SHEET_ROWS}) SELECT doc_id, field, value FROM r WHERE form = 3 AND source = 'legacy'")
+def visa_legacy_fields(spark, sf):
+    """The older heuristics alone, on foils whose values have no labels."""
+    docs = sheets(spark, sf).where(F.col("doc_id") % 6 == 3)
+    found = visa.legacy_source(F.col("text"))
+    return long_fields(docs.select("doc_id", *[c.alias(f) for f, c in found.items()]), found)
 
 
-@query(f"WITH {_VISA}, {_VF} SELECT doc_id, {_COLS} FROM f")
+@query(f"WITH {_V_ZONE}, r AS ({_SHEET_ROWS}) SELECT doc_id, field, value, source FROM r")
 def visa_merge_sources(spark, sf):
-    return visa_record(spark, sf).select("doc_id", *VISA_FIELDS)
+    """Every field of every record with the source that its value comes from."""
+    rows = visa.records(sheets(spark, sf))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"record.{f}.value").alias("value"), F.col(f"record.{f}.source").alias("source")) for f in visa.FIELDS])
+    return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where(F.col("value").isNotNull())
 
 
 @query(f"WITH {_VISA} SELECT k AS doc_id, CASE variant WHEN 'no_entries' THEN 7 ELSE 8 END AS n_labels, true AS detected, true AS run_labels FROM v")
@@ -436,18 +509,17 @@ def visa_country_code(spark, sf):
     return tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), visa.country_code(token).alias("code"))
 
 
-_CONF = "least(1.0, round((CASE WHEN variant = 'no_entries' THEN 0 ELSE 0.6 END + 7.0) / 9.7 + CASE WHEN mrz_valid THEN 0.12 ELSE 0 END, 3))"
+_CONF = "least(1.0, round((CASE WHEN variant = 'no_entries' THEN 0 ELSE 0.6 END + CASE WHEN variant = 'missing_mrz' THEN 0 ELSE 0.9 END + 7.0) / 9.7 + CASE WHEN mrz_valid THEN 0.12 ELSE 0 END, 3))"
 
 
 @query(f"WITH {_VISA}, {_VF} SELECT doc_id, {_CONF} AS confidence, mrz_valid FROM f")
 def visa_confidence(spark, sf):
-    r = visa_record(spark, sf)
-    return r.select("doc_id", visa.confidence(list(VISA_FIELDS), F.col("mrz_valid")).alias("confidence"), "mrz_valid")
+    return visa_record(spark, sf).select("doc_id", "confidence", "mrz_valid")
 
 
 @query(f"WITH {_VISA}, {_VF} SELECT doc_id, CASE WHEN variant = 'missing_mrz' THEN 0.72 ELSE 0.98 END AS surname_score, CASE WHEN variant = 'no_entries' THEN 0.0 ELSE 0.72 END AS entries_score FROM f")
 def visa_field_source_score(spark, sf):
-    zone = visa_zone(spark, sf).select("doc_id", F.col("surname").isNotNull().alias("z"))
+    zone = zone_of(visas(spark, sf)).select("doc_id", F.col("surname").isNotNull().alias("z"))
     rows = visa_labels(spark, sf).join(zone, "doc_id", "left").fillna(False, ["z"])
     return rows.select("doc_id", visa.source_score(F.col("surname"), F.col("z"), F.col("surname").isNotNull()).alias("surname_score"), visa.source_score(F.col("entries"), F.lit(False), F.col("entries").isNotNull()).alias("entries_score"))
 
@@ -474,9 +546,9 @@ def visa_nonvisa_cap(spark, sf):
     return rows.select("kind", "doc_id", visa.capped(F.col("raw"), detected).alias("confidence"), F.round(visa.capped(visa.ocr_confidence(F.col("n")), detected), 6).alias("ocr_confidence"))
 
 
-@query(f"WITH {_VISA}, {_VF} SELECT doc_id, CASE WHEN variant = 'no_entries' THEN 7 ELSE 8 END AS n_populated, round((CASE WHEN variant = 'no_entries' THEN 7 ELSE 8 END) / 14.0, 3) AS extraction_rate FROM f")
+@query(f"WITH {_VISA}, {_VF} SELECT doc_id, n AS n_populated, round(n / 14.0, 3) AS extraction_rate FROM (SELECT doc_id, 10 - CASE WHEN variant IN ('no_entries', 'missing_mrz') THEN 1 ELSE 0 END AS n FROM f)")
 def visa_metrics(spark, sf):
-    have, _, share = visa.populated(list(VISA_FIELDS))
+    have, _, share = visa.populated(list(visa.FIELDS))
     return visa_record(spark, sf).select("doc_id", F.size(have).alias("n_populated"), share.alias("extraction_rate"))
 
 
@@ -492,9 +564,10 @@ def visa_expired(spark, sf):
 
 @query(f"WITH {_VISA}, {_VF} SELECT variant, count(*) AS n, count(*) FILTER (mrz_valid) AS n_valid, round(avg({_CONF}), 6) AS confidence FROM f GROUP BY variant")
 def visa_end_to_end(spark, sf):
-    r = visa_record(spark, sf).where(detect.is_visa(F.col("text"), F.col("mrz_valid")))
-    r = r.withColumn("c", visa.confidence(list(VISA_FIELDS), F.col("mrz_valid")))
-    return r.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if("mrz_valid").alias("n_valid"), F.round(F.avg("c"), 6).alias("confidence"))
+    # counted under a condition: a filter would be pushed below the projections, with a copy of their expressions
+    seen = F.col("detected")
+    g = visa_record(spark, sf).groupBy("variant").agg(F.count_if(seen).alias("n"), F.count_if(seen & F.col("mrz_valid")).alias("n_valid"), F.round(F.avg(F.when(seen, F.col("confidence"))), 6).alias("confidence"))
+    return g.where(F.col("n") > 0)
 
 
 _HITS = f"hits AS (SELECT doc_id, variant, country, CASE WHEN variant = 'no_entries' THEN 7 ELSE 8 END AS hits, 8 AS total, mrz_valid FROM f)"
@@ -502,10 +575,8 @@ _HITS = f"hits AS (SELECT doc_id, variant, country, CASE WHEN variant = 'no_entr
 
 def visa_hits(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, variant, country, hits, total, mrz_valid): lenient matches of the merged record with the truth."""
-    t = visas(spark, sf)
     want = {"surname": F.col("surname"), "givenNames": F.col("given"), "nationality": F.col("country"), "passportNumber": F.col("number"), "dateOfBirth": mrz.full_date(F.col("birth")), "sex": F.col("sex"), "expiryDate": mrz.full_date(F.col("expiry")), "entries": F.lit("MULTIPLE")}
-    truth = t.select("doc_id", *[c.alias(f"w_{f}") for f, c in want.items()])
-    rows = visa_record(spark, sf).join(truth, "doc_id")
+    rows = visa_record(spark, sf, want)
     clean = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
     def hit(f: str):
@@ -557,10 +628,9 @@ def vis_stratified_pick(spark, sf):
 
 @query(f"WITH {_VISA}, {_VF} SELECT doc_id, 5 AS hits, true AS passed FROM f")
 def vis_identity_accuracy(spark, sf):
-    want = visas(spark, sf).select("doc_id", F.col("surname").alias("w1"), F.col("given").alias("w2"), F.col("country").alias("w3"), F.col("number").alias("w4"), F.col("sex").alias("w5"))
-    pairs = [("w1", "surname"), ("w2", "givenNames"), ("w3", "nationality"), ("w4", "passportNumber"), ("w5", "sex")]
-    rows = visa_record(spark, sf).select("doc_id", "surname", "givenNames", "nationality", "passportNumber", "sex").join(want, "doc_id")
-    hits = sum((F.coalesce(F.upper(a).contains(F.substring(F.upper(w), 1, 3)), F.lit(False)).cast("int") for w, a in pairs), F.lit(0))
+    want = {"surname": F.col("surname"), "givenNames": F.col("given"), "nationality": F.col("country"), "passportNumber": F.col("number"), "sex": F.col("sex")}
+    rows = visa_record(spark, sf, want)
+    hits = sum((F.coalesce(F.upper(f).contains(F.substring(F.upper(f"w_{f}"), 1, 3)), F.lit(False)).cast("int") for f in want), F.lit(0))
     return rows.select("doc_id", hits.alias("hits"), (hits / 5 >= 0.6).alias("passed"))
 
 

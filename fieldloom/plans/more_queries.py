@@ -177,10 +177,7 @@ def mrz_strict_merge(spark, sf):
 @query(f"WITH {dq._VISA} SELECT k AS doc_id, surname, number AS \"passportNumber\", k % 7 <> 0 AS mrz_valid, CASE WHEN k % 7 = 0 THEN 4 ELSE 14 END AS score FROM v WHERE variant <> 'missing_mrz'")
 def mrz_visa_best(spark, sf):
     """The best-scoring pair of each document; of equals the first by number."""
-    f = dq.visa_zone(spark, sf)
-    score = F.when(F.col("mrz_valid"), 10).otherwise(0) + F.when(F.col("passportNumber").isNotNull(), 2).otherwise(0) + F.when(F.col("dateOfBirth").isNotNull(), 1).otherwise(0) + F.when(F.col("expiryDate").isNotNull(), 1).otherwise(0)
-    best = f.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("surname", "passportNumber", "mrz_valid", "score"), F.struct("score", "passportNumber", "surname")).alias("b"))
-    return best.select("doc_id", "b.*")
+    return dq.zone_of(dq.visas(spark, sf)).select("doc_id", "surname", "passportNumber", "mrz_valid", "score")
 
 
 @query("SELECT c_custkey AS doc_id, kind, kind = 'visa' AS run FROM customer, (SELECT unnest(['visa', 'passport']) AS kind)")
@@ -208,15 +205,6 @@ def visa_country_rules(spark, sf):
     return rows.select(k, *[r[v].alias(c) for c, v in names.items()])
 
 
-@query(f"WITH {dq._VISA}, {dq._VF} SELECT doc_id, \"passportNumber\", \"dateOfBirth\" FROM f")
-def visa_legacy_fields(spark, sf):
-    """Older heuristics: the first letter-and-digits token after a passport label, the first date of the text."""
-    t = F.col("text")
-    number = text.miss_as_null(F.regexp_extract(t, r"SSPORT NO[.:#]?\s*([A-Z0-9]{6,12})", 1))
-    day = text.date_normalise(F.regexp_extract(t, r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}", 0))
-    return dq.visas(spark, sf).select("doc_id", number.alias("passportNumber"), day.alias("dateOfBirth"))
-
-
 @query(
     f"""WITH {dq._MRZ}, d AS (SELECT *, k % 4 AS form, {dq._DMY.format('birth', '19')} AS born, {dq._DMY.format('expiry', '20')} AS ends FROM t)
 SELECT k AS doc_id, CASE WHEN form = 3 AND k % 8 = 3 THEN NULL ELSE number END AS passport_number, surname, given AS given_names, given || ' ' || surname AS full_name, CASE WHEN form = 3 THEN 'POLISH' ELSE country END AS nationality, sex, born AS date_of_birth,

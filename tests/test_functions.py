@@ -92,8 +92,16 @@ def test_visa_columns(spark):
     df = spark.createDataFrame([("SMITH", "", None)], "surname string, givenNames string, sex string")
     assert df.select(visa.confidence(df.columns, F.lit(True)).alias("c")).first().c == round(1.1 / 9.7 + 0.12, 3)
     assert one(spark, "u.k.", visa.country_code) == "GBR"
-    a, b = spark.createDataFrame([(1, "x", "")], "doc_id long, p string, q string"), spark.createDataFrame([(1, "y", "z"), (2, "w", None)], "doc_id long, p string, q string")
-    assert {tuple(r) for r in visa.merge(a, b, ["p", "q"]).collect()} == {(1, "x", "z"), (2, "w", None)}
+    rows = spark.createDataFrame([(("x", ""), ("y", "z", "v"), None), (None, ("", None, ""), ("w",))], "a struct<p:string,q:string>, b struct<p:string,q:string,r:string>, c struct<p:string>")
+    found = visa.provenance({x: F.col(x) for x in "abc"}, ("p", "q", "r", "s"), {"a": {"p", "q"}, "b": {"p", "q", "r"}, "c": {"p"}}, {"p": ("b", "a", "c"), "q": ("a", "b"), "r": ("b",), "s": ("a", "b", "c")})
+    got = [[None if x is None else tuple(x) for x in r] for r in rows.select(*[c.alias(f) for f, c in found.items()]).collect()]
+    assert got == [[("y", "b"), ("z", "b"), ("v", "b"), None], [("w", "c"), None, None, None]]
+
+
+def test_visa_records_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "INVOICE\nTOTAL 12", "k"), (4, "x " * 30000, "k")], "doc_id long, text string, country string")
+    rows = visa.flat(visa.records(docs, "country"), "country").collect()
+    assert len(rows) == 4 and len(rows[0]) == 32 and not any(r[f] for r in rows for f in visa.FIELDS) and not any(r.mrzValid for r in rows)
 
 
 def test_passes(spark):
