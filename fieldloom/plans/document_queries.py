@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -705,43 +706,112 @@ def pp_end_to_end(spark, sf):
 # --- templates: letters from orders --------------------------------------------------------------------------------------
 
 
+#: Two templates as they would stand in files; the field names are the same, what leads to them isn't.
+TEMPLATES = (
+    {
+        "id": "order-letter",
+        "required": ["order_no", "priority"],
+        "sections": {"details": {"start": "applicant\\s+details", "end": "END OF DETAILS"}, "closing": {"start": "END OF DETAILS"}, "annex": {"start": "ANNEX"}},
+        "fields": {
+            "order_no": {"label": "Order No", "valuePattern": "[0-9]+", "section": "details"},
+            "priority": {"label": "Priority", "section": "details"},
+            "status": {"label": "Status", "valuePattern": "[OFP]$", "flags": "m", "section": "closing"},
+            "agent": {"label": "Agent", "required": True},
+            "seal": {"label": "Seal", "valuePattern": "st-[0-9]+", "section": "annex"},
+            "remark": {"label": "Remark"},
+        },
+    },
+    {
+        "id": "status-note",
+        "required": ["status"],
+        "fields": {"order_no": {"label": "Reference", "aliases": ["Ref."], "required": True}, "status": {"label": "Status", "valuePattern": "[OFP]", "flags": "m"}, "agent": {"label": "Clerk", "aliases": ["Agent of"]}},
+    },
+)
+
+
 def letters(spark: SparkSession, sf: str) -> DataFrame:
-    o = tables.table(spark, sf, "orders")
+    """(doc_id, template_id, text, order columns): letters of two templates by turns, and a few of a template that nobody knows.
+
+    A letter's number stands beside its label or below it, its priority is missing in every fourth; in every third another status
+    stands before the sections.  Notes name the number by an alias.
+    """
+    o = tables.spread(tables.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"))
     k = F.col("o_orderkey")
-    body = F.concat_ws(
+    letter = F.concat_ws(
         "\n",
         F.lit("To whom it may concern"),
-        F.lit("APPLICANT DETAILS"),
-        F.when(k % 4 == 1, F.concat(F.lit("Order No\n"), k.cast("string"))).otherwise(F.concat(F.lit("Order No: "), k.cast("string"))),
-        F.when(k % 4 != 2, F.concat(F.lit("Priority - "), "o_orderpriority")),
+        F.when(k % 3 == 0, "Status X, Order No 0, Priority none"),
+        F.lit("APPLICANT  DETAILS"),
+        F.when(k % 8 == 2, F.concat(F.lit("Order No\n"), k.cast("string"))).otherwise(F.concat(F.lit("Order No: "), k.cast("string"))),
+        F.when(k % 8 != 4, F.concat(F.lit("Priority - "), "o_orderpriority")),
         F.lit("END OF DETAILS"),
-        F.concat(F.lit("Status "), "o_orderstatus"),
+        F.concat(F.lit("Status | "), "o_orderstatus"),
+        F.concat(F.lit("stamped ST-"), (k % 7).cast("string")),
+        F.lit("Remark\nRemark of office:  paid"),
     )
-    return o.select(k.alias("doc_id"), F.lit("order-letter").alias("template_id"), body.alias("text"), "o_orderpriority", "o_orderstatus")
+    note = F.concat_ws("\n", F.lit("NOTE"), F.concat(F.lit("Ref. "), k.cast("string"), F.lit("   copy")), F.concat(F.lit("Status of order | "), "o_orderstatus"), F.when(k % 5 == 0, "AGENT OF the firm"))
+    kind = F.when(k % 100 == 99, "nobody-knows").when(k % 2 == 0, "order-letter").otherwise("status-note")
+    return o.select(k.alias("doc_id"), kind.alias("template_id"), F.when(k % 2 == 0, letter).otherwise(note).alias("text"), "o_orderpriority", "o_orderstatus")
+
+
+def letters_read(spark: SparkSession, sf: str) -> DataFrame:
+    catalogue = templates.rules_by_template(*tables.template_rules(spark.createDataFrame([(json.dumps(t),) for t in TEMPLATES], "json string")))
+    return templates.read(letters(spark, sf), catalogue)
+
+
+_LETTER = "o_orderkey AS k, * FROM orders WHERE o_orderkey % 100 <> 99 AND o_orderkey % 2"
+_DETAILS = "CASE WHEN k % 8 = 2 THEN 'Order No' || chr(10) || CAST(k AS STRING) ELSE 'Order No: ' || CAST(k AS STRING) END || CASE WHEN k % 8 <> 4 THEN chr(10) || 'Priority - ' || o_orderpriority ELSE '' END"
 
 
-@query("SELECT o_orderkey AS doc_id, 'details' AS section, CASE WHEN o_orderkey % 4 = 1 THEN 'Order No' || chr(10) || CAST(o_orderkey AS STRING) ELSE 'Order No: ' || CAST(o_orderkey AS STRING) END || CASE WHEN o_orderkey % 4 <> 2 THEN chr(10) || 'Priority - ' || o_orderpriority ELSE '' END AS text FROM orders")
+@query(
+    f"""WITH t AS (SELECT {_LETTER} = 0) SELECT k AS doc_id, 'details' AS section, {_DETAILS} AS text FROM t UNION ALL SELECT k, 'annex', NULL FROM t
+UNION ALL SELECT k, 'closing', 'Status | ' || o_orderstatus || chr(10) || 'stamped ST-' || CAST(k % 7 AS STRING) || chr(10) || 'Remark' || chr(10) || 'Remark of office:  paid' FROM t"""
+)
 def tpl_sections(spark, sf):
-    return templates.sections(letters(spark, sf), {"details": ("APPLICANT DETAILS", "END OF DETAILS")})
+    return templates.sections(letters_read(spark, sf))
 
 
-RULES = [("order_no", ["Order No"], "[0-9]+"), ("priority", ["Priority"], None), ("status", ["Status"], "[A-Z]"), ("agent", ["Agent"], None)]
-_TPL = "t AS (SELECT o_orderkey AS k, * FROM orders), r AS (SELECT k AS doc_id, 'order_no' AS field, CAST(k AS STRING) AS value, CASE WHEN k % 4 = 1 THEN 'next_line' ELSE 'same_line' END AS method, CASE WHEN k % 4 = 1 THEN 0.9 ELSE 0.92 END AS confidence FROM t UNION ALL SELECT k, 'priority', CASE WHEN k % 4 <> 2 THEN o_orderpriority END, CASE WHEN k % 4 <> 2 THEN 'same_line' END, CASE WHEN k % 4 <> 2 THEN 0.88 ELSE 0.0 END FROM t UNION ALL SELECT k, 'status', o_orderstatus, 'same_line', 0.92 FROM t UNION ALL SELECT k, 'agent', NULL, NULL, 0.0 FROM t)"
+def _rule(where: str, field: str, value: str, method: str, confidence: str, label: str, section: str = "NULL", required: str = "false") -> str:
+    return f"SELECT k AS doc_id, '{field}' AS field, {section} AS section, {required} AS required, {value} AS value, {method} AS method, CAST({confidence} AS DOUBLE) AS confidence, {label} AS label FROM {where}"
 
 
-@query(f"WITH {_TPL} SELECT doc_id, field, value, method, CAST(confidence AS DOUBLE) AS confidence FROM r")
+_NO_PRIORITY = "CASE WHEN k % 8 = 4 THEN NULL ELSE {0} END"
+_TPL = f"a AS (SELECT {_LETTER} = 0), b AS (SELECT {_LETTER} = 1), r AS (" + " UNION ALL ".join(
+    (
+        _rule("a", "order_no", "CAST(k AS STRING)", "CASE WHEN k % 8 = 2 THEN 'next_line' ELSE 'same_line' END", "CASE WHEN k % 8 = 2 THEN 0.9 ELSE 0.92 END", "'Order No'", "'details'", "true"),
+        _rule("a", "priority", _NO_PRIORITY.format("o_orderpriority"), _NO_PRIORITY.format("'same_line'"), "CASE WHEN k % 8 = 4 THEN 0 ELSE 0.88 END", _NO_PRIORITY.format("'Priority'"), "'details'", "true"),
+        _rule("a", "status", "o_orderstatus", "'same_line'", "0.92", "'Status'", "'closing'"),
+        _rule("a", "agent", "NULL", "NULL", "0.0", "NULL", "NULL", "true"),
+        _rule("a", "seal", "'ST-' || CAST(k % 7 AS STRING)", "'pattern_fallback'", "0.45", "'Seal'", "'annex'"),
+        _rule("a", "remark", "'Remark of office paid'", "'window'", "0.65", "'Remark'"),
+        _rule("b", "order_no", "CAST(k AS STRING)", "'same_line'", "0.88", "'Ref.'", "NULL", "true"),
+        _rule("b", "status", "o_orderstatus", "'same_line'", "0.92", "'Status'", "NULL", "true"),
+        _rule("b", "agent", "CASE WHEN k % 5 = 0 THEN 'the firm' END", "CASE WHEN k % 5 = 0 THEN 'same_line' END", "CASE WHEN k % 5 = 0 THEN 0.88 ELSE 0 END", "CASE WHEN k % 5 = 0 THEN 'Agent of' END"),
+    )
+) + ")"
+
+
+@query(f"WITH {_TPL} SELECT doc_id, field, section, required, value, method, confidence, label FROM r")
 def tpl_field_rules(spark, sf):
-    return templates.fields(letters(spark, sf), RULES)
+    """Rules of two templates over one table: scoped to sections that hold labels which also stand outside them."""
+    return templates.fields(letters_read(spark, sf)).drop("template_id")
 
 
-@query(f"WITH {_TPL} SELECT doc_id, string_agg(field, ',' ORDER BY field) FILTER (value IS NULL AND field IN ('order_no', 'priority', 'agent')) AS missing, count(*) FILTER (value IS NULL AND field IN ('order_no', 'priority', 'agent')) = 0 AS valid FROM r GROUP BY doc_id")
+@query(f"WITH {_TPL} SELECT doc_id, string_agg(field, ',' ORDER BY field) FILTER (value IS NULL AND required) AS missing, count(*) FILTER (value IS NULL AND required) = 0 AS valid FROM r GROUP BY doc_id")
 def tpl_required(spark, sf):
-    return templates.required(templates.fields(letters(spark, sf), RULES), ["order_no", "priority", "agent"])
+    return templates.required(letters_read(spark, sf))
 
 
-@query(f"WITH {_TPL} SELECT doc_id, max(value) FILTER (field = 'order_no') AS order_no, max(value) FILTER (field = 'priority') AS priority, max(value) FILTER (field = 'status') AS status FROM r GROUP BY doc_id")
+@query(
+    f"""WITH {_TPL} SELECT doc_id, max(value) FILTER (field = 'order_no') AS order_no, max(value) FILTER (field = 'status') AS status, max(value) FILTER (field = 'priority' AND section = 'details') AS details_priority,
+  CASE WHEN bool_or(section IS NOT NULL) THEN 'annex,closing,details' ELSE '' END AS sections FROM r GROUP BY doc_id"""
+)
 def tpl_assemble(spark, sf):
-    return templates.assemble(templates.fields(letters(spark, sf), RULES)).select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in ("order_no", "priority", "status")])
+    """Flat records and records by section."""
+    r = templates.assemble(letters_read(spark, sf))
+    names = F.array_join(F.sort_array(F.map_keys("by_section")), ",")
+    at = lambda m, *keys: F.try_element_at(at(m, *keys[:-1]), F.lit(keys[-1])) if keys else F.col(m)
+    return r.select("doc_id", at("values", "order_no").alias("order_no"), at("values", "status").alias("status"), at("by_section", "details", "priority").alias("details_priority"), names.alias("sections"))
 
 
 @query("SELECT o_orderkey AS doc_id, 'Order ' || CAST(o_orderkey AS STRING) || ' is ' || o_orderstatus || ' for .' AS letter FROM orders")
@@ -766,9 +836,36 @@ def _catalogues(spark, sf):
     return old, new
 
 
-@query(f"WITH {_CAT} SELECT coalesce(o.id, n.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.body, o.body) AS body, CASE WHEN n.id IS NULL THEN 'kept' WHEN o.id IS NULL THEN 'created' ELSE 'updated' END AS status FROM o FULL OUTER JOIN n ON o.id = n.id")
+#: Changes to the catalogue by supplier: two a supplier for some.
+_CHANGES = """c AS (SELECT id, op, seq, name, body FROM (
+  SELECT CAST(s_suppkey AS STRING) AS id, s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'create' ELSE 'update' END AS op, 1 AS seq, CASE WHEN s_suppkey % 4 < 2 THEN 'first' END AS name, 'body ' || s_name AS body FROM supplier
+  UNION ALL SELECT CAST(s_suppkey AS STRING), s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'create' ELSE 'update' END, 2, 'second', NULL FROM supplier WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT 'bad id ' || CAST(s_suppkey AS STRING), s_suppkey, 'create', 1, 'x', 'y' FROM supplier WHERE s_suppkey % 7 = 0) )"""
+_UPSERT = f"""{_CAT}, {_CHANGES}, k AS (SELECT c.*, CAST(split_part(c.id, ' ', -1) AS BIGINT) AS k, o.id IS NOT NULL AS there FROM c LEFT JOIN o ON c.id = o.id), j AS (SELECT *,
+  CASE WHEN id LIKE 'bad%' THEN 'bad_id' WHEN op = 'create' AND (there OR seq = 2 AND k % 2 = 0) THEN 'exists' WHEN op = 'update' AND NOT there AND NOT (seq = 2 AND k % 2 = 0) THEN 'missing' END AS violation FROM k),
+g AS (SELECT id, max_by(name, seq) FILTER (name IS NOT NULL) AS name, max_by(body, seq) FILTER (body IS NOT NULL) AS body FROM j WHERE violation IS NULL GROUP BY id)"""
+
+
+@query(
+    f"""WITH {_UPSERT} SELECT coalesce(o.id, g.id) AS id, coalesce(g.name, o.name) AS name, coalesce(g.body, o.body) AS body, CASE WHEN g.id IS NULL THEN 'kept' WHEN o.id IS NULL THEN 'created' ELSE 'updated' END AS status FROM o FULL OUTER JOIN g ON o.id = g.id
+UNION ALL SELECT id, op, CAST(seq AS STRING), violation FROM j WHERE violation IS NOT NULL"""
+)
 def template_upsert(spark, sf):
-    return tables.template_upsert(*_catalogues(spark, sf), "id", ["name", "body"])
+    """The next version of a catalogue and the changes it rejects, published together and read back by version.
+
+    Changes create keys that are there, update keys that are not, create a key twice, update what was just created, and use ids
+    that aren't allowed.  In the result a reject's columns are its operation, its number and the violation.
+    """
+    s, k = tables.table(spark, sf, "supplier"), F.col("s_suppkey")
+    id_ = k.cast("string").alias("id")
+    first = s.select(id_, F.when(k % 2 == 0, "create").otherwise("update").alias("op"), F.lit(1).alias("seq"), F.when(k % 4 < 2, "first").alias("name"), F.concat(F.lit("body "), "s_name").alias("body"))
+    second = s.where(k % 5 == 0).select(id_, F.when(k % 4 == 0, "create").otherwise("update").alias("op"), F.lit(2).alias("seq"), F.lit("second").alias("name"), F.lit(None).cast("string").alias("body"))
+    bad = s.where(k % 7 == 0).select(F.concat(F.lit("bad id "), k.cast("string")).alias("id"), F.lit("create").alias("op"), F.lit(1).alias("seq"), F.lit("x").alias("name"), F.lit("y").alias("body"))
+    merged, rejected = tables.template_upsert(_catalogues(spark, sf)[0], first.unionByName(second).unionByName(bad), "id", ["name", "body"])
+    root = tables.scratch(spark, "catalogue")
+    tables.publish({"templates": merged, "rejects": rejected}, root, "v2")
+    rejects = tables.published(spark, root, "rejects", "v2").select("id", F.col("op").alias("name"), F.col("seq").cast("string").alias("body"), F.col("violation").alias("status"))
+    return tables.published(spark, root, "templates", "v2").unionByName(rejects)
 
 
 @query(f"WITH {_CAT} SELECT o.id, coalesce(n.name, o.name) AS name, n.id IS NOT NULL AS from_db FROM o LEFT JOIN n ON o.id = n.id")

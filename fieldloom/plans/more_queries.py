@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, letters, license_checks, license_fields, mrz, names, passes, passport, visa
+from fieldloom.operators import confusions, detect, evaluate, letters, license_checks, license_fields, mrz, names, passes, passport, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
 from fieldloom.sources import synth, tables
@@ -28,11 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the warehouse, which the cluster shares."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
-
-
+scratch = tables.scratch
 _T = lq.TRUTH
 
 
@@ -335,30 +330,65 @@ def snk_extractions(spark, sf):
     return spark.read.parquet(path).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {lq.CMP} SELECT 'style' AS report, count(DISTINCT style) AS n FROM cmp UNION ALL SELECT 'field', count(DISTINCT field) FROM cmp")
+_REPORTS = ("met_field_prf", "met_style", "met_overall", "met_attribution", "met_calibration", "err_root_causes", "err_counts", "gate_pass_fail")
+
+
+def _checksum(df: DataFrame, name: str) -> DataFrame:
+    """(report, n, checksum): rows and an order-free checksum of their columns, by name and rounded as texts."""
+    cell = lambda c, t: F.format_string("%.6f", F.round(F.col(c).cast("double"), 6)) if t in ("double", "int", "bigint") else F.col(c).cast("string")
+    row = F.concat_ws("|", *[F.coalesce(cell(c, t), F.lit("~")) for c, t in sorted(df.dtypes)])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")).alias("checksum")).select(F.lit(name).alias("report"), "n", "checksum")
+
+
+@query(
+    f"""WITH {lq.CMP}, failed AS (SELECT count(*) AS n FROM cmp WHERE NOT business_match)
+SELECT 'failures' AS report, n, true AS as_queried FROM failed UNION ALL {' UNION ALL '.join(f"SELECT '{r}', (SELECT count(*) FROM ({lq.SQL[r]})), true" for r in _REPORTS)}"""
+)
 def snk_reports(spark, sf):
-    """Comparisons written once; each report is read from them."""
-    path = scratch(spark, "reports")
-    lq.comparisons(spark, sf).write.parquet(f"{path}/comparisons")
-    cmp = spark.read.parquet(f"{path}/comparisons")
+    """All reports of a run made from one table of comparisons, published as a version with its manifest, and read back.
+
+    Comparisons are written once; each report is computed from that file.  as_queried tells whether what was read back has the same
+    rows as the report computed anew.
+    """
+    root = scratch(spark, "reports")
+    comparisons = tables.publish({"comparisons": lq.comparisons(spark, sf)}, root, "input")
+    cmp = tables.published(spark, root, "comparisons", "input")
+    fails = evaluate.failures(cmp, lq.pages(spark, sf).where(F.col("page") == 1))
+    fails.write.parquet(f"{comparisons}/failures")
+    fails = spark.read.parquet(f"{comparisons}/failures")
+    bucketed = fails.select(evaluate.bucket(synth.LABELS).alias("bucket"), "field")
+    made = {
+        "failures": fails,
+        "met_field_prf": evaluate.field_prf(cmp),
+        "met_style": evaluate.style_rates(cmp),
+        "met_overall": evaluate.overall(cmp),
+        "met_attribution": evaluate.attribution(cmp),
+        "met_calibration": evaluate.calibration(cmp),
+        "err_root_causes": evaluate.root_causes(fails),
+        "err_counts": evaluate.grid_counts(bucketed, {"bucket": list(evaluate.BUCKETS), "field": list(synth.FIELDS)}),
+        "gate_pass_fail": evaluate.gate(cmp),
+    }
+    tables.publish(made, root, "v1")
     out = None
-    for name in ("style", "field"):
-        cmp.groupBy(name).agg(F.count_if("business_match").alias("matches")).write.parquet(f"{path}/{name}")
-        one = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n")
+    for name, anew in made.items():
+        kept, want = _checksum(tables.published(spark, root, name, "v1"), name), _checksum(anew, name)
+        one = kept.join(want.select(F.col("n").alias("_n"), F.col("checksum").alias("_c")), (F.col("n") == F.col("_n")) & F.col("checksum").eqNullSafe(F.col("_c")), "left").select("report", "n", F.col("_n").isNotNull().alias("as_queried"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("SELECT s_name AS template_id, f AS field, f = 'a' AS required FROM supplier, (SELECT unnest(['a', 'b']) AS f)")
+@query("SELECT s_name AS template_id, f AS field, f = 'a' OR f = 'b' AND s_suppkey % 2 = 0 AS required, CASE WHEN f = 'a' THEN 'A,AA' ELSE 'B' END AS labels, CASE WHEN f = 'b' THEN 's' END AS section FROM supplier, (SELECT unnest(['a', 'b']) AS f)")
 def src_template_catalog(spark, sf):
-    """Templates written as JSON files, one object each, and read as a rule table."""
+    """Templates written as files, one JSON object each, read as a folder and as rules."""
     path = scratch(spark, "templates")
     s = tables.table(spark, sf, "supplier")
-    body = F.to_json(F.struct(F.col("s_name").alias("id"), F.array(F.lit("a")).alias("required"), F.create_map(F.lit("a"), F.struct(F.lit("A").alias("label")), F.lit("b"), F.struct(F.lit("B").alias("label"))).alias("fields")))
-    s.select(body.alias("value")).write.text(path)
-    rule = "struct<label:string, aliases:array<string>, valuePattern:string, flags:string, section:string, required:boolean>"
-    rows = spark.read.schema(f"id string, required array<string>, fields map<string, {rule}>").json(path).select("id", "required", F.explode("fields").alias("field", "rule"))
-    return rows.select(F.col("id").alias("template_id"), "field", F.array_contains("required", F.col("field")).alias("required"))
+    a = F.struct(F.lit("A").alias("label"), F.array(F.lit("AA")).alias("aliases"), F.lit(None).cast("string").alias("section"), F.lit(False).alias("required"))
+    b = F.struct(F.lit("B").alias("label"), F.array().cast("array<string>").alias("aliases"), F.lit("s").alias("section"), (F.col("s_suppkey") % 2 == 0).alias("required"))
+    body = F.to_json(F.struct(F.col("s_name").alias("id"), F.array(F.lit("a")).alias("required"), F.create_map(F.lit("a"), a, F.lit("b"), b).alias("fields")))
+    s.repartition(8).select(body.alias("value")).write.option("lineSep", "\x1e").text(path)
+    files = tables.template_files(spark, path).select(F.explode(F.split("json", "\x1e")).alias("json"))
+    rules, _ = tables.template_rules(files)
+    return rules.select("template_id", "field", "required", F.array_join("labels", ",").alias("labels"), "section")
 
 
 _MATRIX = str([[v, d] for v, d in synth.VISA_VARIANTS])
