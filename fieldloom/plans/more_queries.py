@@ -131,11 +131,29 @@ def mrz_candidates(spark, sf):
     return rows.select("doc_id", has("firsts", "line1").alias("first_found"), has("seconds", "line2").alias("second_found"), has("singles", "line2").alias("in_one_line"))
 
 
-@query(f"WITH {dq._ZONE} SELECT k AS doc_id, line1 FROM z")
+@query(
+    f"""WITH {dq._ZONE} SELECT k AS doc_id, CASE k % 12 WHEN 10 THEN rpad('P<' || country || surname || 'SSON<<' || replace(given, ' ', '<'), 44, '<')
+  WHEN 11 THEN rpad('P<' || country || surname || 'COL<<' || replace(given, ' ', '<'), 44, '<') ELSE line1 END AS line1 FROM z"""
+)
 def mrz_sanitize(spark, sf):
+    """First lines in which each kind of filler was misread, and names that look like misread fillers: -SSON, and three letters of runs."""
+    k, line = F.col("doc_id") % 12, F.col("line1")
     z = dq.zones(spark, sf)
-    run = F.regexp_extract("line1", "<+$", 0)
-    noisy = F.concat(F.lit("PL"), F.substring(F.col("line1"), F.lit(3), F.length("line1") - 2 - F.length(run)), F.regexp_replace(run, "<", "L"))
+    apart = lambda sep: F.regexp_replace(line, "([A-Z])<<([A-Z])", f"$1{sep}$2")
+    named = F.regexp_replace(line, "<+$", "")
+    fill = lambda c: F.rpad(c, 44, "<")
+    forms = [
+        F.concat(F.lit("PL"), F.substring(named, 3, 44), F.regexp_replace(F.regexp_extract(line, "<+$", 0), "<", "L")),
+        apart("SS"), apart("KL"), apart("KK"), apart("LK"), apart("<C"), apart("<K"),
+        F.concat(F.substring(line, 1, 41), F.lit("LKL")),
+        fill(F.concat(named, F.lit("<<CCLLOO"))),
+        F.concat(F.substring(line, 1, 2), F.lit(' |"'), F.lower(F.substring(line, 3, 20)), F.lit(") "), F.substring(line, 23, 22)),
+        F.substring(apart("SSON<<"), 1, 44),
+        F.substring(apart("COL<<"), 1, 44),
+    ]
+    noisy = line
+    for i, form in enumerate(forms):
+        noisy = F.when(k == i, form).otherwise(noisy)
     return z.select("doc_id", mrz.sanitise(noisy).alias("line1"))
 
 

@@ -123,16 +123,22 @@ def test_metrics(spark):
 
 
 def test_templates(spark):
-    docs = spark.createDataFrame([(1, "Name: Jo  x\nCode\n77\nnone")], "doc_id long, text string")
-    got = {r.field: (r.value, r.method) for r in templates.fields(docs, [("name", ["Name"], None), ("code", ["Code"], "[0-9]+"), ("lost", ["Zip"], None), ("any", ["Zip"], "7+")]).collect()}
+    docs = spark.createDataFrame([(1, "t", "Name: Jo  x\nCode\n77\nnone")], "doc_id long, template_id string, text string")
+    rules = spark.createDataFrame([("t", "name", ["Name"], None), ("t", "code", ["Code"], "[0-9]+"), ("t", "lost", ["Zip"], None), ("t", "any", ["Zip"], "7+")], "template_id string, field string, labels array<string>, value_pattern string")
+    rules = rules.selectExpr("*", "CAST(NULL AS STRING) AS flags", "CAST(NULL AS STRING) AS section", "false AS required", "120 AS window_size")
+    cuts = spark.createDataFrame([], "template_id string, section string, start string, end string, flags string")
+    got = {r.field: (r.value, r.method) for r in templates.fields(templates.read(docs, templates.rules_by_template(rules, cuts))).collect()}
     assert got == {"name": ("Jo", "same_line"), "code": ("77", "next_line"), "lost": (None, None), "any": ("77", "pattern_fallback")}
     assert one(spark, "v", lambda c: templates.render("a {{x}} b{{y}}", ["x"])) == "a v b"
 
 
 def test_template_catalogue(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"id": "t", "name": "T", "required": ["a"], "fields": {"a": {"label": "A"}, "b": {"label": "B", "aliases": ["BB"], "required": true}, "c": {"label": "C"}}}')
-    rows = {r.field: r for r in tables.template_catalogue(spark, str(tmp_path)).collect()}
-    assert rows["a"].required and rows["b"].required and not rows["c"].required and rows["b"].aliases == ["BB"] and rows["a"].window_size == 120
+    (tmp_path / "bad.json").write_text("{not json")
+    rules, sections = tables.template_rules(tables.template_files(spark, f"file://{tmp_path}"))
+    rows = {r.field: r for r in rules.collect()}
+    assert rows["a"].required and rows["b"].required and not rows["c"].required and rows["b"].labels == ["B", "BB"] and rows["a"].window_size == 120
+    assert sections.count() == 0
 
 
 @pytest.mark.parametrize("value, want", [("SURNAME", 10 + 12.5 + 8 + 10), ("", 12.5), ("V<USASMITH<<JOHN<<<<<<<<<<<<<<", (40 + 25 + 12) * 0.35 + 12.5), ("VISA\n12/03/2020", 12.5 + 8 + 15)])
@@ -265,3 +271,40 @@ def test_passport_records_of_odd_texts(spark):
     third = next(r for r in rows if r.doc_id == 3)
     assert (third.surname, third.given_names, third.place_of_birth, third.path, third.mrz_valid) == ("ERIKSSON", "ANNA MARIA", "GAMLA STAN", "mrz_only", True)
     assert mrz.pairs(docs).count() == 2
+
+
+def test_sanitised_zone_lines(spark):
+    want = {"pl uto eriksson<<anna<maria": "P<UTOERIKSSON<<ANNA<MARIA", "P<ROUMIHAELASSTEFANIA": "P<ROUMIHAELA<<TEFANIA", "P<UTOTAHAR<CARCANDRA": "P<UTOTAHAR<<ARCANDRA", "P<UTOMUELLER<<ANNA<KLL": "P<UTOMUELLER<<ANNA<<<<", "V<USADOE<CJO": "V<USADOE<CJO", "": "", "P<UTOABE<<ERNACCOORR<<<": "P<UTOABE<<ERNA<<<<<<<<<"}
+    for raw, line in want.items():
+        assert one(spark, raw, mrz.sanitise) == line
+
+
+def test_templates_scope_and_ways(spark):
+    rules = spark.createDataFrame(
+        [("t", "a", ["Name", "Nom"], None, None, "s", True, 20), ("t", "b", ["No"], "[0-9]+", None, None, False, 20), ("t", "c", ["Zip"], "[0-9]{5}", None, "gone", False, 20), ("u", "a", ["Name"], "[a-z]+", "m", None, False, 20), ("t", "d", [], "[0-9]+", None, None, False, 20)],
+        "template_id string, field string, labels array<string>, value_pattern string, flags string, section string, required boolean, window_size int",
+    )
+    sections = spark.createDataFrame([("t", "s", "BEGIN", "END", None), ("t", "gone", "NOWHERE", None, None)], "template_id string, section string, start string, end string, flags string")
+    docs = spark.createDataFrame([(1, "t", "Name: outside\nbegin\nNOM - inside   tail\nEND\nNo\n\nx 77\n12345"), (2, "u", "Name XY\nabc"), (3, "none", "Name: x"), (4, "t", None), (5, "t", "begin\nname\nNAME TAG\nend No 5")], "doc_id long, template_id string, text string")
+    read = templates.read(docs, templates.rules_by_template(rules, sections))
+    got = {(r.doc_id, r.field): (r.value, r.method, r.confidence, r.label) for r in templates.fields(read).collect()}
+    none = (None, None, 0.0, None)
+    assert got[(1, "a")] == ("inside", "same_line", 0.88, "Nom") and got[(1, "b")] == ("77", "window", 0.78, "No") and got[(1, "c")] == ("12345", "pattern_fallback", 0.45, "Zip")
+    assert got[(2, "a")] == ("abc", "next_line", 0.9, "Name") and got[(4, "a")] == none and got[(1, "d")] == none and (3, "a") not in got
+    assert got[(5, "a")][:2] == ("NAME TAG", "window") and got[(5, "b")][0] == "5"
+    assert {r.doc_id: (r.missing, r.valid) for r in templates.required(read).collect()} == {1: (None, True), 2: (None, True), 4: ("a", False), 5: (None, True)}
+
+
+def test_changes_of_a_catalogue(spark):
+    from fieldloom.sources import tables
+
+    old = spark.createDataFrame([("a", "n", None), ("b", "m", "y")], "id string, name string, body string")
+    changes = spark.createDataFrame([("a", "create", 1, "x", None), ("a", "update", 2, None, "z"), ("c", "update", 1, "early", None), ("c", "create", 2, "c1", "c2"), ("c", "update", 3, "c3", None), ("c", "create", 4, "no", None), ("d d", "create", 5, "x", "x"), (None, "create", 6, "x", "x"), ("b", "drop", 7, None, None)], "id string, op string, seq int, name string, body string")
+    merged, rejected = tables.template_upsert(old, changes, "id", ["name", "body"])
+    assert {tuple(r) for r in merged.collect()} == {("a", "n", "z", "updated"), ("b", "m", "y", "kept"), ("c", "c3", "c2", "created")}
+    assert {(r.id, r.seq, r.violation) for r in rejected.collect()} == {("a", 1, "exists"), ("c", 1, "missing"), ("c", 4, "exists"), ("d d", 5, "bad_id"), (None, 6, "bad_id"), ("b", 7, "bad_op")}
+    root = tables.scratch(spark, "test")
+    tables.publish({"t": merged}, root, "1")
+    assert tables.published(spark, root, "t", "1").count() == 3
+    with pytest.raises(ValueError):
+        tables.published(spark, root, "other", "1")
