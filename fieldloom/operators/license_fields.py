@@ -148,19 +148,25 @@ def confidence() -> Column:
     return F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.05), score)) + 1e-9, 3)  # halves go up, whatever the last bit
 
 
+def results(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text, keep) -> (doc_id, keep, parts, found): segments, and an array of RESULT, one a field; no shuffle.
+
+    A null or empty text has ten results without values.
+    """
+    rows = license.with_codes(docs.select("doc_id", *keep, text.norm_cjk_ocr(F.coalesce("text", F.lit(""))).alias("text")))
+    rows = rows.withColumn("code", license.best_code_of(F.col("code_candidates")))
+    return rows.select("doc_id", *keep, "parts", F.array(*[process(f, license.part(f)["segment"], F.col("code")) for f in LABELS]).alias("found"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """First pages (doc_id, page, style, ocr_confidence, text) -> the long table, ten rows a document.
 
     doc_id, style, ocr_confidence, field, next_label, raw_segment, raw, value, candidate, corrections, signals, validation_score,
     pattern_valid, checksum_valid, label_found, bounded, fuzzy, fallback, rebuilt, cleaned, uncommon, confidence, requires_review.
     """
-    docs = pages.where(F.col("page") == 1).withColumn("text", text.norm_cjk_ocr(F.col("text")))
-    docs = license.with_codes(docs.select("doc_id", "style", "ocr_confidence", "text")).withColumn("code", license.best_code_of(F.col("code_candidates")))
-
-    def one(field: str) -> Column:
-        return let(license.part(field), lambda s: F.struct(s.alias("part"), process(field, s["segment"], F.col("code")).alias("found")))
-
-    rows = docs.select("doc_id", "style", "ocr_confidence", F.array(*[one(f) for f in LABELS]).alias("every"))
+    rows = results(pages.where(F.col("page") == 1), "style", "ocr_confidence")
+    own = lambda x: F.get(F.filter("parts", lambda p: p["field"] == x["field"]), 0)
+    rows = rows.select("doc_id", "style", "ocr_confidence", F.transform("found", lambda x: F.struct(own(x).alias("part"), x.alias("found"))).alias("every"))
     rows = license.rows_of(rows, "every", "found", ["doc_id", "style", "ocr_confidence"])
     rows = rows.select("doc_id", "style", "ocr_confidence", "found.*", F.col("part.next_label").alias("next_label"), F.col("part.segment").alias("raw_segment"), *[F.coalesce(f"part.{c}", F.lit(False)).alias(c) for c in ("bounded", "fuzzy", "fallback")], (F.col("part").isNotNull() & ~F.coalesce("part.fallback", F.lit(False))).alias("label_found"))
     rows = rows.withColumn("uncommon", F.coalesce(F.col("value").rlike(f"{MARKS}|{COMMON}"), F.lit(False))).withColumn("confidence", confidence())

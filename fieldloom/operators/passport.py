@@ -92,19 +92,20 @@ def merged(zone: Column, page: Column, body: Column) -> dict[str, Column]:
     return out | {"path": path}
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, FIELDS, mrz_valid, path): zone, page fields, merge and cross-check in the document's row; no shuffle.
+def records(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text, keep) -> (doc_id, keep, FIELDS, mrz_valid, path): zone, page fields, merge and cross-check in the document's row; no shuffle.
 
     A null or empty text has no field and path ocr_only.
     """
     from fieldloom.operators import mrz
 
     body = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", body.alias("_t"), F.struct(*[c.alias(f) for f, c in page_fields(body).items()]).alias("_page"), mrz.best_pair(body).alias("_pair"))
+    rows = docs.select("doc_id", *keep, body.alias("_t"), F.struct(*[c.alias(f) for f, c in page_fields(body).items()]).alias("_page"), mrz.best_pair(body).alias("_pair"))
     found = mrz.zone_fields(F.col("_pair.line1"), F.col("_pair.line2"), F.col("_pair.valid"))
     rows = rows.withColumn("_zone", F.struct(*[c.alias(f) for f, c in found.items()]))
     record = F.struct(*[c.alias(f) for f, c in merged(F.col("_zone"), F.col("_page"), F.col("_t")).items()])
-    return rows.select("doc_id", record.alias("_r"), F.coalesce("_zone.mrz_valid", F.lit(False)).alias("mrz_valid")).select("doc_id", *[f"_r.{f}" for f in FIELDS], "mrz_valid", "_r.path")
+    rows = rows.select("doc_id", *keep, record.alias("_r"), F.coalesce("_zone.mrz_valid", F.lit(False)).alias("mrz_valid"))
+    return rows.select("doc_id", *keep, *[f"_r.{f}" for f in FIELDS], "mrz_valid", "_r.path")
 
 
 #: Labels of page fields in order of trial (patterns, blanks stand for any), and adjectives of nationality.

@@ -873,12 +873,3 @@ def template_resolve(spark, sf):
     files, db = _catalogues(spark, sf)
     j = files.join(db.select("id", F.col("name").alias("db_name"), F.lit(True).alias("hit")), "id", "left")
     return j.select("id", F.coalesce("db_name", "name").alias("name"), F.coalesce("hit", F.lit(False)).alias("from_db"))
-
-
-@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'unregistered' WHEN c_custkey % 3 = 1 THEN 'passport' ELSE 'invoice' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 'error' WHEN c_custkey % 3 = 1 THEN 'extract' ELSE 'placeholder' END AS action, count(*) AS n FROM customer GROUP BY ALL")
-def extractor_route(spark, sf):
-    """Documents by type against the registry of extractors; names are case-insensitive."""
-    registry = spark.createDataFrame([("passport", "extract"), ("visa", "extract"), ("invoice", "placeholder")], "type string, action string")
-    k = F.col("c_custkey") % 3
-    kind = tables.table(spark, sf, "customer").select(F.lower(F.when(k == 0, "Unregistered").when(k == 1, "PASSPORT").otherwise("Invoice")).alias("type"))
-    return kind.join(F.broadcast(registry), "type", "left").groupBy("type", F.coalesce("action", F.lit("error")).alias("action")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import confusions, detect, evaluate, letters, license_checks, license_fields, mrz, names, passes, passport, visa
+from fieldloom.operators import confusions, detect, evaluate, letters, license_checks, license_fields, mrz, names, passes, passport, routing, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
 from fieldloom.sources import synth, tables
@@ -429,3 +429,21 @@ def gen_visa_samples(spark, sf):
     forms = F.explode(F.array(*[F.struct(F.lit(t).alias("visa_type"), F.lit(i).alias("form")) for t in ("TOURIST", "BUSINESS") for i in (1, 2)]))
     rows = tables.table(spark, sf, "nation").select(F.col("n_name").alias("country"), forms.alias("x")).select("country", "x.*")
     return rows.select("country", "visa_type", "form", F.concat(F.lit("VISA TYPE: "), "visa_type", F.lit("\nNATIONALITY: "), "country").alias("head"))
+
+
+@query(
+    f"""WITH {dq._MRZ}, {lq.CMP}, l AS (SELECT doc_id, max(actual) FILTER (field = 'companyName') AS name, max(actual) FILTER (field = 'creditCode') AS number FROM cmp GROUP BY doc_id)
+SELECT k AS doc_id, CASE k % 5 WHEN 0 THEN 'passport' WHEN 1 THEN 'visa' WHEN 2 THEN 'chinese-business-license' WHEN 3 THEN 'invoice' ELSE 'unregistered' END AS type, CASE k % 5 WHEN 3 THEN 'placeholder' WHEN 4 THEN 'error' ELSE 'extract' END AS action,
+  CASE k % 5 WHEN 0 THEN surname WHEN 1 THEN surname WHEN 2 THEN l.name END AS name, CASE k % 5 WHEN 0 THEN t.number WHEN 1 THEN t.number WHEN 2 THEN l.number END AS number, CASE WHEN k % 5 < 2 THEN k % 7 <> 0 END AS zone_valid,
+  CASE k % 5 WHEN 3 THEN 'not implemented' END AS status, CASE k % 5 WHEN 4 THEN 'unknown type: unregistered' END AS error FROM t JOIN l ON t.k = l.doc_id"""
+)
+def extractor_route(spark, sf):
+    """Passports, visas, licences, placeholders and documents of an unknown type in one table, each to its typed result."""
+    k, of = F.col("doc_id"), lambda df, i, kind: df.where(F.col("doc_id") % 5 == i).select("doc_id", F.lit(kind).alias("type"), "text")
+    rest = synth.mrz_truth(spark, sf).where(k % 5 >= 3).select("doc_id", F.when(k % 5 == 3, " Invoice").otherwise("Unregistered").alias("type"), F.lit("TOTAL 12").alias("text"))
+    zones = dq.zones(spark, sf)
+    docs = of(zones, 0, "PASSPORT").unionByName(of(dq.visas(spark, sf), 1, "Visa")).unionByName(of(lq.pages(spark, sf).where(F.col("page") == 1), 2, "Chinese-Business-License")).unionByName(rest)
+    routed = routing.route(docs)
+    got = lambda kind, *paths: F.coalesce(*[F.try_variant_get("result", f"$.{p}", kind) for p in paths])
+    error = F.when(F.col("action") == "error", F.concat(F.lit("unknown type: "), "type"))
+    return routed.select("doc_id", "type", "action", got("string", "surname", "companyName").alias("name"), got("string", "passport_number", "passportNumber", "creditCode").alias("number"), got("boolean", "mrz_valid", "mrzValid").alias("zone_valid"), got("string", "status").alias("status"), error.alias("error"))
