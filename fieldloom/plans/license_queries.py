@@ -272,7 +272,7 @@ def lic_field_confidence(spark, sf):
 
 @query(
     f"""WITH {CMP} SELECT doc_id, true AS required_present, bool_and(checksum_valid) FILTER (field = 'creditCode') AS credit_valid, bool_and(checksum_valid) FILTER (field = 'creditCode') AS valid,
-  max(TRY_CAST(actual AS DATE)) FILTER (field = 'establishmentDate') AS established, max(CAST(regexp_extract(actual, '^[0-9]+') AS DOUBLE)) FILTER (field = 'registeredCapital') AS amount, '万' AS unit FROM cmp GROUP BY doc_id"""
+  max(TRY_CAST(actual AS DATE)) FILTER (field = 'establishmentDate') AS established, max(TRY_CAST(regexp_extract(actual, '^[0-9]+') AS DOUBLE)) FILTER (field = 'registeredCapital') AS amount, '万' AS unit FROM cmp GROUP BY doc_id"""
 )
 def lic_doc_validate(spark, sf):
     found = license.validate_documents(fields(spark, sf))
@@ -304,7 +304,7 @@ def lic_id_name(spark, sf):
     return pages(spark, sf).select("doc_id", license.id_name(F.col("text")).alias("name")).where(F.col("name").isNotNull())
 
 
-@query(f"WITH {TRUTH} SELECT doc_id, p AS page, p = 2 AS id_card FROM truth, (SELECT unnest([1, 2]) AS p) WHERE p = 1 OR s = 'j'")
+@query(f"WITH {TRUTH} SELECT doc_id, pg AS page, pg = 2 AS id_card FROM truth, (SELECT unnest([1, 2]) AS pg) WHERE pg = 1 OR s = 'j'")
 def id_card_detect(spark, sf):
     return pages(spark, sf).select("doc_id", "page", license.is_id_card(F.col("text")).alias("id_card"))
 

@@ -308,3 +308,14 @@ def test_changes_of_a_catalogue(spark):
     assert tables.published(spark, root, "t", "1").count() == 3
     with pytest.raises(ValueError):
         tables.published(spark, root, "other", "1")
+
+
+def test_routes_of_odd_documents(spark):
+    from fieldloom.operators import routing
+
+    docs = spark.createDataFrame([(1, " PASSPORT ", "\n".join(ICAO)), (2, "visa", None), (3, None, "x"), (4, "LOA", "x"), (5, "letter", "x"), (6, "passport", "")], "doc_id long, type string, text string")
+    routed = routing.route(docs, {"passport": routing.passports, "visa": routing.visas})
+    got = {r.doc_id: (r.action, r.s, r.status) for r in routed.select("doc_id", "action", F.try_variant_get("result", "$.surname", "string").alias("s"), F.try_variant_get("result", "$.status", "string").alias("status")).collect()}
+    assert got == {1: ("extract", "ERIKSSON", None), 2: ("extract", None, None), 3: ("error", None, None), 4: ("placeholder", None, "not implemented"), 5: ("error", None, None), 6: ("extract", None, None)}
+    assert {(r.doc_id, r.error) for r in routing.errors(routed).collect()} == {(3, "unknown type: (none)"), (5, "unknown type: letter")}
+    assert routing.route(docs.limit(0), {"passport": routing.passports}).count() == 0

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fieldloom.plans import catalog
+from fieldloom.plans import catalog, document_queries, license_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -27,11 +27,34 @@ def con():
     return con
 
 
-#: One in four and those most changed; FIELDLOOM_ALL=1 runs all.
-NAMES = sorted(catalog.SQL) if os.environ.get("FIELDLOOM_ALL") else sorted({*sorted(catalog.SQL)[::4], "field_sanitise", "mrz_invalid_reason", "mrz_prefix_type", "pass_blur_gate", "pass_score", "tpl_authorised_person", "tpl_candidate_table", "tpl_labeled_blocks", "tpl_narrative", "vis_false_positive_rate", "visa_label_count", "visa_nonvisa_cap", "lic_segments", "met_field_prf", "mrz_line1_optimise", "mrz_line1_rebuild", "mrz_line2_repair", "mrz_strict_merge", "mrz_candidates", "pp_fields", "pp_plausible", "visa_country_rules", "lic_field_validate", "gen_ocr_corrupt", "gen_visa_matrix", "mrz_pair_join", "mrz_visa_best", "pp_merge_sources", "template_upsert", "visa_merge_sources"})
+@pytest.fixture(scope="module", autouse=True)
+def shared():
+    """Tables that many queries begin with are computed once for this module; the queries themselves run as they are."""
+    kept, patch = {}, pytest.MonkeyPatch()
 
+    def once(module, name):
+        made = getattr(module, name)
 
-@pytest.mark.parametrize("name", NAMES)
+        def get(spark, sf, *more):
+            if more:
+                return made(spark, sf, *more)
+            if name not in kept:
+                kept[name] = made(spark, sf).persist()
+            return kept[name]
+
+        patch.setattr(module, name, get)
+
+    for name in ("fields", "comparisons", "failed"):
+        once(license_queries, name)
+    for name in ("visa_record", "letters_read"):
+        once(document_queries, name)
+    yield
+    patch.undo()
+    for df in kept.values():
+        df.unpersist()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, DIR)
     cur = con.execute(catalog.SQL[name])
