@@ -319,3 +319,13 @@ def test_routes_of_odd_documents(spark):
     assert got == {1: ("extract", "ERIKSSON", None), 2: ("extract", None, None), 3: ("error", None, None), 4: ("placeholder", None, "not implemented"), 5: ("error", None, None), 6: ("extract", None, None)}
     assert {(r.doc_id, r.error) for r in routing.errors(routed).collect()} == {(3, "unknown type: (none)"), (5, "unknown type: letter")}
     assert routing.route(docs.limit(0), {"passport": routing.passports}).count() == 0
+
+
+def test_visa_scores_and_leaks(spark):
+    docs = spark.createDataFrame([(1, "VISA\nSURNAME: DOE\nCONTROL NO: 123456789\nNATIONALITY: USA\nENTRIES: M"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    truth = {f: F.lit(None).cast("string").alias(f"w_{f}") for f in visa.JUDGED} | {"surname": F.lit("Doe, J").alias("w_surname"), "controlNumber": F.lit("123456789").alias("w_controlNumber"), "nationality": F.lit("").alias("w_nationality")}
+    rows = {r.doc_id: r for r in visa.scores(visa.records(docs.select("*", *truth.values()), *[f"w_{f}" for f in visa.JUDGED])).collect()}
+    assert (rows[1].hits, rows[1].total, rows[1].char_accuracy, rows[1].detected) == (2, 2, 1.0, True)
+    assert (rows[2].hits, rows[2].total, rows[2].char_accuracy, rows[2].detected) == (0, 2, 0.0, False) and rows[3].hits == 0
+    let = {r.doc_id: r for r in visa.leaks(visa.records(docs)).collect()}
+    assert let[1].number and let[1].flagged and let[1].filled and not let[2].number and not let[2].filled
