@@ -20,6 +20,14 @@ BLOCKS = (
     ("signatoryContact", r"Contact\s*no\.?\s*[:：]\s*(.+?)(?=\s+Company\s+stamp|$)"),
     ("companyStamp", r"Company\s+stamp\s*[:：]\s*(.+)$"),
 )
+#: Fields of the sender's block, which has rules of its own; a contact counts only in front of a stamp.
+SENDER = (
+    ("signatoryName", r"Mr\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*Designation"),
+    ("signatoryDesignation", r"Designation\s*[:：]\s*(.+?)Contact\s*no"),
+    ("signatoryContact", r"Contact\s*no\.?\s*[:：]\s*([+\d\s]+?)(?=Company\s+stamp)"),
+    ("companyStamp", r"Company\s+stamp\s*[:：]\s*(.+)$"),
+)
+#: Fields of the request's narrative.
 NARRATIVE = (
     ("joinPortChina", r"join\s+(?:the\s+)?vessel\s+at\s+(.+?)\s+on\s+"),
     ("joiningDate", r"\bon\s+(\d{1,2}\s+[A-Z]+\s+\d{4})\b"),
@@ -31,6 +39,7 @@ NARRATIVE = (
     ("entriesRequested", r"\b(Single\s+Entry)\b"),
     ("stayDays", r"stay\s+of\s+(\d+\s+days?)"),
 )
+#: A kind of visa, and the authorised person between its label and the closing clause.
 G_TYPE = r"G[\"“]?\s*Type\s+visa"
 AUTHORISED = r"Authori[sz]e\s+person\s+name\s*[–\-:]\s*Designation\s*[:：]?\s*(.+?)(?=\s+If\s+the\s+visa\s+is\s+being\s+granted|Thanking\s+you|Yours\s+sincerely)"
 AUTHORISED_CONFIDENCE = 0.88
@@ -43,6 +52,7 @@ MARKERS = (
     ("passportNumber", r"PASSPORT\s*NO\s*[:：]?\s*", r"PASSPORT\s*ISS"),
     ("passportDates", r"PASSPORT\s*ISS\s*/\s*EXP\s*[:：]?\s*", r"Please\s+be\s+advised"),
 )
+#: Dates as they are written.
 DAY = r"\d{1,2}\s+[A-Z]+\s+\d{4}"
 NUMERIC_DAY = r"\d{4}[/-]\d{2}[/-]\d{2}"
 
@@ -57,6 +67,12 @@ def first(t: Column, pattern: str) -> Column:
     return text.miss_as_null(text.full_trim(found))
 
 
+def sender_block(t: Column) -> dict[str, Column]:
+    """Fields of the block below the signature."""
+    body = squeezed(t)
+    return {f: first(body, p) for f, p in SENDER}
+
+
 def labelled_blocks(t: Column) -> dict[str, Column]:
     """Agent and signatory fields of one section."""
     return {field: first(squeezed(t), pattern) for field, pattern in BLOCKS}

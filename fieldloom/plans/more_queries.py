@@ -307,13 +307,14 @@ def tpl_narrative(spark, sf):
 @query(
     f"""SELECT k AS doc_id, 'agent' AS section, 'Agent' || t AS "chinaAgentName", 'Road ' || t AS "chinaAgentAddress", CAST(1000 + k AS STRING) AS "chinaAgentContact", NULL AS "signatoryName", NULL AS "signatoryDesignation",
   CAST(1000 + k AS STRING) || CASE WHEN k % 3 <> 0 THEN ' Authorised signature' ELSE '' END AS "signatoryContact", NULL AS "companyStamp" FROM {_K}
-UNION ALL SELECT k, 'from', NULL, NULL, '55' || t || CASE WHEN k % 2 = 0 THEN ' Company stamp: Seal ' || t ELSE '' END, 'Lee Chan', 'Master', '55' || t, CASE WHEN k % 2 = 0 THEN 'Seal ' || t END FROM {_K}"""
+UNION ALL SELECT k, 'from', NULL, NULL, NULL, CASE WHEN k % 3 = 0 THEN 'Lee' ELSE 'Lee Chan' END, 'Master', CASE WHEN k % 2 = 0 THEN '+55 ' || t END, CASE WHEN k % 2 = 0 THEN 'Seal ' || t END FROM {_K}"""
 )
 def tpl_labeled_blocks(spark, sf):
     agent = letters_of(spark, sf, "'Name: Agent'", "k", "'\nAddress: Road '", "k", "'\nContact no: '", "1000 + k", "CASE WHEN k % 3 <> 0 THEN ' Authorised signature' END")
-    sender = letters_of(spark, sf, "'Mr. Lee ChanDesignation: Master Contact no.: 55'", "k", "CASE WHEN k % 2 = 0 THEN concat(' Company stamp: Seal ', k) END")
-    found = letters.labelled_blocks(F.col("text"))
-    return agent.withColumn("section", F.lit("agent")).unionByName(sender.withColumn("section", F.lit("from"))).select("doc_id", "section", *[c.alias(f) for f, c in found.items()])
+    sender = letters_of(spark, sf, "CASE WHEN k % 3 = 0 THEN 'Mr Lee\nDesignation' ELSE 'Mr. Lee ChanDesignation' END", "': Master Contact no.: +55 '", "k", "CASE WHEN k % 2 = 0 THEN concat(' Company stamp: Seal ', k) END")
+    agents, senders = letters.labelled_blocks(F.col("text")), letters.sender_block(F.col("text"))
+    rows = agent.select("doc_id", F.lit("agent").alias("section"), *[c.alias(f) for f, c in agents.items()])
+    return rows.unionByName(sender.select("doc_id", F.lit("from").alias("section"), *[c.alias(f) for f, c in senders.items()]), allowMissingColumns=True)
 
 
 @query(f"SELECT k AS doc_id, CASE WHEN k % 4 <> 0 THEN 'Capt Lee ' || t ELSE s_name END AS person, CASE WHEN k % 4 <> 0 THEN 0.88 END AS confidence, CASE WHEN k % 4 <> 0 THEN 'section_parse' END AS method FROM {_K}")
