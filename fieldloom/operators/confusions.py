@@ -81,14 +81,3 @@ def company_score(c: Column) -> Column:
         suffix = suffix | c.endswith(s)
     flag = lambda x, w: F.when(x, w).otherwise(0.0)
     return F.when(F.coalesce(c, F.lit("")) == "", 0.0).otherwise(F.round(0.3 + flag(suffix, 0.45) + flag(F.length(c).between(4, 80), 0.15) + flag(~c.rlike("[A-Za-z]"), 0.1), 6))
-
-
-def type_score(c: Column) -> Column:
-    return F.when(c.isin(*TYPES), 1.0).when(c.contains("公司"), 0.5).otherwise(0.2)
-
-
-def strip_artefacts(field: Column, value: Column) -> Column:
-    """Per-field cleanup of a long table: separators in codes, noise marks elsewhere, length caps."""
-    code = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    plain = F.regexp_replace(F.regexp_replace(value, r"[_#!·]", ""), r"\s+", "")
-    return F.when(field == "creditCode", code).when(field == "legalRepresentative", F.substring(plain, 1, 4)).otherwise(F.substring(plain, 1, 500))

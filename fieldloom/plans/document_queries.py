@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import codes, text
 from fieldloom.operators import detect, mrz, passes, passport, templates, visa
+from fieldloom.plans.registry import registry
 from fieldloom.sources import synth, tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,7 +330,6 @@ def visas(spark: SparkSession, sf: str) -> DataFrame:
 _VISA = f"{_MRZ}, v AS (SELECT *, {_VARIANT} AS variant FROM t)"
 VISA_FIELDS = ("surname", "givenNames", "nationality", "passportNumber", "dateOfBirth", "sex", "expiryDate", "entries")
 _VF = f"f AS (SELECT k AS doc_id, variant, country, surname, given AS \"givenNames\", country AS nationality, number AS \"passportNumber\", {_DMY.format('birth', '19')} AS \"dateOfBirth\", sex, {_DMY.format('expiry', '20')} AS \"expiryDate\", CASE WHEN variant = 'no_entries' THEN NULL ELSE 'MULTIPLE' END AS entries, k % 7 <> 0 AND variant <> 'missing_mrz' AS mrz_valid FROM v)"
-_COLS = ", ".join(f'"{c}"' for c in VISA_FIELDS)
 
 
 def visa_labels(spark: SparkSession, sf: str) -> DataFrame:

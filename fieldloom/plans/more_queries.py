@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +9,10 @@ from fieldloom.functions import text
 from fieldloom.operators import confusions, detect, evaluate, letters, license_checks, license_fields, mrz, names, passes, passport, routing, visa
 from fieldloom.plans import document_queries as dq
 from fieldloom.plans import license_queries as lq
+from fieldloom.plans.registry import registry
 from fieldloom.sources import synth, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+QUERIES, SQL, query = registry()
 
 scratch = tables.scratch
 _T = lq.TRUTH
@@ -425,11 +412,26 @@ def gen_visa_matrix(spark, sf):
     return m.select("doc_id", "country", "variant", "degradation", synth.ascii_upper(F.col("surname")).alias("surname"), synth.ascii_upper(F.col("given")).alias("given_names"), mrz.full_date(F.col("expiry")).alias("expiry_date"), F.col("line2").isNotNull().alias("has_zone"), ok.alias("mrz_valid"), (F.col("expiry") < "260101").alias("expired"))
 
 
-@query("SELECT n_name AS country, t AS visa_type, form, 'VISA TYPE: ' || t || chr(10) || 'NATIONALITY: ' || n_name AS head FROM nation, (SELECT unnest(['TOURIST', 'BUSINESS']) AS t), (SELECT unnest([1, 2]) AS form)")
+_KINDS = "[" + ", ".join(f"{{'i': {i}, 't': '{t}', 'k': '{k}'}}" for i, (t, k) in enumerate(synth.SAMPLES)) + "]"
+_TRUTHS = ", ".join(f"{e} AS {c}" for c, e in synth.MRZ_TRUTH.items())
+
+
+@query(
+    f"""WITH b AS (SELECT n_nationkey * 100 + s.i AS k, n_nationkey AS n, n_name AS nation, s.t AS visa_type, s.k AS kind FROM (SELECT *, unnest({_KINDS}) AS s FROM nation)), t AS (SELECT k, nation, visa_type, kind, {_TRUTHS} FROM b)
+SELECT k AS doc_id, nation, visa_type, kind, surname, given AS given_names, number AS passport_number, country AS nationality, CASE WHEN kind = 'expired' THEN '01/01/2020' ELSE {dq._DMY.format('expiry', '20')} END AS expiry_date,
+  kind <> 'no_zone' AS has_zone, kind NOT IN ('no_zone', 'bad_digit') AND k % 7 <> 0 AS mrz_valid, kind = 'expired' AS expired, 1 AS read_as_made FROM t"""
+)
 def gen_visa_samples(spark, sf):
-    forms = F.explode(F.array(*[F.struct(F.lit(t).alias("visa_type"), F.lit(i).alias("form")) for t in ("TOURIST", "BUSINESS") for i in (1, 2)]))
-    rows = tables.table(spark, sf, "nation").select(F.col("n_name").alias("country"), forms.alias("x")).select("country", "x.*")
-    return rows.select("country", "visa_type", "form", F.concat(F.lit("VISA TYPE: "), "visa_type", F.lit("\nNATIONALITY: "), "country").alias("head"))
+    """Sample visas of every country with their truth; read_as_made is 1 where reading the page gives all of it back."""
+    t = synth.visa_samples(spark, sf)
+    ends = mrz.full_date(F.col("expiry"))
+    truth = {"surname": F.col("surname"), "givenNames": F.col("given"), "passportNumber": F.col("number"), "nationality": F.col("country"), "expiryDate": ends, "visaType": F.col("visa_type")}
+    r = visa.records(t.withColumns({f"w_{f}": c for f, c in truth.items()}), "nation", "visa_type", "kind", *[f"w_{f}" for f in truth])
+    same = F.lit(True)
+    for f in truth:
+        same = same & F.col(f"record.{f}.value").eqNullSafe(F.col(f"w_{f}"))
+    zone = F.col("record.machineReadableZone.value").isNotNull()
+    return r.select("doc_id", "nation", "visa_type", "kind", F.col("w_surname").alias("surname"), F.col("w_givenNames").alias("given_names"), F.col("w_passportNumber").alias("passport_number"), F.col("w_nationality").alias("nationality"), F.col("w_expiryDate").alias("expiry_date"), zone.alias("has_zone"), F.col("mrzValid").alias("mrz_valid"), visa.expired(F.col("record.expiryDate.value"), F.to_date(F.lit("2026-01-01"))).alias("expired"), same.cast("int").alias("read_as_made"))
 
 
 @query(

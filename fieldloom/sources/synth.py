@@ -189,3 +189,25 @@ def visa_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.concat(F.substring("line2", 1, 27), ((F.substring("line2", 28, 1).cast("int") + 1) % 10).cast("string"), F.substring("line2", 29, 16))
     shown = lambda c: F.when(variant != "missing_mrz", c)
     return t.withColumn("line1", shown(F.col("line1"))).withColumn("line2", shown(F.when(variant == "invalid_mrz", off).otherwise(F.col("line2"))))
+
+
+#: Kinds of sample visas of a country: two labelled texts of each type, and edge cases of the first type.
+SAMPLES = (("TOURIST", "labels"), ("TOURIST", "labels_fr"), ("BUSINESS", "labels"), ("BUSINESS", "labels_fr"), ("TOURIST", "no_zone"), ("TOURIST", "bad_digit"), ("TOURIST", "expired"))
+
+
+def visa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, nation, visa_type, kind, mrz_truth's fields, line1, line2, text): SAMPLES of each country, with zones and truth."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("visa_type"), F.lit(k).alias("kind")) for i, (t, k) in enumerate(SAMPLES)]))
+    base = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("nation"), kinds.alias("s"))
+    base = base.select((F.col("n") * 100 + F.col("s.i")).cast("bigint").alias("k"), "n", "nation", "s.visa_type", "s.kind")
+    t = base.select(F.col("k").alias("doc_id"), "nation", "visa_type", "kind", *[F.expr(e).alias(c) for c, e in MRZ_TRUTH.items()])
+    t = mrz_lines(t.withColumn("expiry", F.when(F.col("kind") == "expired", "200101").otherwise(F.col("expiry"))), "V")
+    off = F.concat(F.substring("line2", 1, 27), ((F.substring("line2", 28, 1).cast("int") + 1) % 10).cast("string"), F.substring("line2", 29, 16))
+    t = t.withColumn("line2", F.when(F.col("kind") == "bad_digit", off).otherwise(F.col("line2")))
+    day = lambda c, century: F.concat_ws("/", F.substring(c, 5, 2), F.substring(c, 3, 2), F.concat(F.lit(century), F.substring(c, 1, 2)))
+    born, ends = day("birth", "19"), day("expiry", "20")
+    row = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    english = [row("VISA TYPE", F.col("visa_type")), row("SURNAME", F.col("surname")), row("GIVEN NAMES", F.col("given")), row("NATIONALITY", F.col("country")), row("PASSPORT NO", F.col("number")), row("DATE OF BIRTH", born), row("SEX", F.col("sex")), row("EXPIRY DATE", ends)]
+    french = [row("TYPE DE VISA", F.col("visa_type")), row("NOM", F.col("surname")), row("PRENOM", F.col("given")), row("NATIONALITE", F.col("country")), row("DATE DE NAISSANCE", born), row("VALID UNTIL", ends)]
+    zone = F.when(F.col("kind") != "no_zone", F.concat_ws("\n", "line1", "line2"))
+    return t.withColumn("text", F.when(F.col("kind") == "labels_fr", F.concat_ws("\n", F.lit("VISA"), *french, zone)).otherwise(F.concat_ws("\n", F.lit("VISA"), *english, zone)))
