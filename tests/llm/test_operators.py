@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import statistics
 import struct
 import zlib
 from collections import Counter
@@ -104,7 +106,7 @@ def test_quality_separates_and_keeps_columns(spark):
     junk = [" ".join(random.choice("BUY!! NOW### $$$ click*** win%%% casino&&& cheap<> pills||".split()) + str(random.randrange(9)) for _ in range(120)) for _ in range(20)]
     df = table(spark, good + junk)
     labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
-    kept = quality.keep(df, labels, prior=0.1)
+    kept = quality.keep(df, labels)
     assert kept.columns == df.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert ids >= set(range(60)) and not ids & set(range(60, 80))
@@ -113,6 +115,65 @@ def test_quality_separates_and_keeps_columns(spark):
     assert quality.keep(df.limit(0), labels).count() == 0
 
 
+def brute_quality(spark, texts, trusted):
+    """(score, kept by the score) of each text, in plain Python; hashes are Spark's."""
+    words = [[w for w in re.split(r"[ \t-\r]+", t) if w] for t in texts]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, w in enumerate(words) for j, (a, b) in enumerate(zip(w, w[1:] + [None]))], "i int, j int, a string, b string")
+    found = pairs.selectExpr("i", "b is not null as two", "xxhash64(a) & 16383 as one", "xxhash64(xxhash64(a), xxhash64(b)) & 16383 as pair").collect()
+    grams = [[] for _ in texts]
+    for r in found:
+        grams[r.i] += [r.one, r.pair] if r.two else [r.one]
+    held = {r.id for r in spark.createDataFrame([(i,) for i in trusted], "id long").where("pmod(xxhash64(id, 'held'), 4) = 0").collect()}
+    raw, target = Counter(g for x in grams for g in x), Counter(g for i in trusted if i not in held for g in grams[i])
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    p = lambda g: (raw[g] + 1) / (n_raw + 16384)
+    ratio = {g: math.log((target[g] / n_target + 0.25 * p(g)) / 1.25) - math.log(p(g)) for g in raw}
+    scores = [sum(ratio[g] for g in x) / len(x) if x else 0.0 for x in grams]
+    h = [scores[i] for i in held if len(words[i]) >= 50]
+    least = min(-0.03, statistics.mean(h) - 3 * statistics.stdev(h) * (1 + 1 / len(h)) ** 0.5)
+    return [(s, s >= least) for s in scores]
+
+
+def test_quality_verdicts_brute_force_at_production_values(spark):
+    random.seed(23)
+    plain = "the of and house tree river stone walks slowly under bright morning sky".split()
+    odd = "buy now click win casino cheap pills bonus".split()
+    texts = [" ".join(random.choice(odd if random.random() < i % 10 / 10 else plain) + random.choice(["", "s", "ing"]) for _ in range(90)) for i in range(150)]
+    trusted = [i for i in range(150) if i % 10 == 0] + [i for i in range(150) if i % 30 == 1]
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(9, 0)], "doc_id long, quality int")
+    got = {r.doc_id: (r.llr, r.kept) for r in quality.judge(table(spark, texts), labels).collect()}
+    for i, (s, kept) in enumerate(brute_quality(spark, texts, trusted)):
+        assert abs(got[i][0] - s) < 2e-6
+        assert got[i][1] == kept
+    assert 30 < sum(k for _, k in got.values()) < 120
+
+
+def test_quality_verdicts_are_alike_with_few_and_many_labels(spark):
+    """The same texts under 60 and under 1,200 trusted rows: nearly the same verdicts, and junk goes with either."""
+    random.seed(24)
+    common_words = ["".join(random.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(300)]
+    junk_words = ["".join(random.choice("qrstuvwxyz") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(random.choices(common_words, k=100)) for _ in range(1500)] + [" ".join(random.choices(junk_words, k=100)) for _ in range(200)]
+    df = table(spark, texts)
+
+    def verdicts(n):
+        labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+        return {r.doc_id for r in quality.judge(df, labels).where("kept").select("doc_id").collect()}
+
+    few, many = verdicts(60), verdicts(1200)
+    assert len(few ^ many) <= 0.01 * len(texts)
+    for kept in (few, many):
+        assert not kept & set(range(1500, 1700)) and len(kept) >= 0.99 * 1500
+
+
+def test_quality_repeated_rows_and_too_few_labels(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = table(spark, [text, text, "short", None], [1, 1, 2, None])
+    labels = spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, quality int")
+    rows = quality.judge(df, labels).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, False), (1, True), (1, True), (2, False)]
+
+
 # near dedup
 
 
