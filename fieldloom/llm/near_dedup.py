@@ -23,7 +23,9 @@ aligned.  So no pair that meets in a bucket is lost.  The classes are the connec
 Texts move once, for those that share a bucket; afterwards only 32-bit shingle sequences do.
 
 Cases: null texts and texts without words are in classes of their own; a text of one to four words is one shingle; equal
-texts share a class; repeated rows count as copies; different texts under one doc_id share that doc_id's class; other columns are ignored; an empty table gives no rows.
+texts share a class; repeated rows count as copies; texts are told apart by their hash, so different texts under one doc_id or
+without one each have their own class and links; class_id is null only where no text of the class has a doc_id; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from fieldloom.llm import common, tokens
 
 WORDS, BANDS, LEAST, SIMILAR = 5, 16, 3, 0.8
 WINDOW, SPLIT = 3, 1024
-BLOCK, RARITY_TEXTS, RARITY_LIST = 256, 10_000, 50_000
+BLOCK, RARITY_TEXTS, RARITY_LIST, HOT_LIST = 256, 10_000, 50_000, 100_000
 RUN_CHARS = 1_000_000
 MIX_A, MIX_B, PAD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
@@ -137,7 +139,7 @@ def _sequences(batches: Iterator) -> Iterator:
         hashes, count = shingle_hashes(rows.column("text").to_pylist())
         cut = np.r_[0, np.cumsum(count)]
         short = (hashes >> np.uint64(32)).astype("<u4")
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["node", "seq"])
+        yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["node", "seq"])
 
 
 def common_in_band(a: list[int], b: list[int], band: int) -> int:
@@ -289,8 +291,8 @@ def rest_of_buckets(buckets: DataFrame, sequences: DataFrame, labels: DataFrame)
     listed = buckets.sparkSession.sparkContext.broadcast((np.array([t for t, _ in often], "i8"), np.array([k for _, k in often], "i8")))
     heads = open_sequences.select("node", "seq").mapInArrow(_prefixes(listed), "token long, node long, n long, pos long")
     heads = common.materialize(heads.join(still, "node"), "prefixes")
-    hot = heads.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)  # at most one in BLOCK rows
-    heads = heads.join(F.broadcast(hot), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+    hot = common.materialize(heads.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "hot")
+    heads = heads.join(F.broadcast(hot) if common.is_small(hot, HOT_LIST) else hot, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
     heads = heads.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = lambda x, y, c: heads.select("token", F.col(x).alias("x"), F.col(y).alias("y"), F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "pos", "label")])
     pairs = side("own", "other", "a").join(side("other", "own", "b"), ["token", "x", "y"])
@@ -324,19 +326,22 @@ def candidates(rows: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def near_classes(df: DataFrame) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id of a document's class of exact and near copies."""
+def classed(df: DataFrame) -> DataFrame:
+    """(doc_id, blob, class_id, chosen): blob is the hash of the text, class_id the least doc_id of its class of exact and near
+    copies, and chosen is true for one text of each class under its least doc_id."""
     docs = common.documents(df).withColumn("blob", F.unhex(F.sha2("text", 256)))
     sketched = docs.mapInArrow(_sketches, "doc_id long, blob binary, n long, bands array<long>")
     # one row per distinct text; texts without words stay apart
     rows = common.materialize(sketched, "sketches")
-    nodes = common.materialize(rows.where(F.col("n") > 0).groupBy("blob").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.min("bands").alias("bands")), "nodes")
+    nodes = rows.where(F.col("n") > 0).groupBy("blob").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("bands").alias("bands"))
+    nodes = common.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = filled_buckets(nodes.select("node", "n", "bands"))
     pairs = common.materialize(candidates(buckets), "pairs")
     big = buckets.where(F.col("size") > WINDOW + 1).select("node")
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(big).distinct().join(nodes.select("node", "blob"), "node")
-    texts = docs.join(met.select(F.col("node").alias("_n"), F.col("blob").alias("_b")), (F.col("doc_id") == F.col("_n")) & (F.col("blob") == F.col("_b")), "left_semi")
-    sequences = common.materialize(texts.select("doc_id", "text").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(big).distinct().join(nodes.select("node", "first", F.col("blob").alias("_b")), "node")
+    # copies spread by their doc_id; one of them is enough
+    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("_b"))).select("node", "text")
+    sequences = common.materialize(texts.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
     best = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
     first = pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == 1)
     links = common.materialize(verified(first, sequences), "links")
@@ -349,8 +354,29 @@ def near_classes(df: DataFrame) -> DataFrame:
     last = common.materialize(verified(rest_of_buckets(buckets, sequences, labels), sequences), "links")
     if last.limit(1).count():
         labels = components(links.unionByName(last))
-    classes = nodes.select("blob", "node").join(labels, "node", "left").select("blob", F.coalesce("label", "node").alias("class_id"))
-    return rows.select("doc_id", "blob", "n").join(classes, "blob", "left").select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    members = nodes.select("blob", "node", "first").join(labels, "node", "left").select("blob", "first", F.coalesce("label", "node").alias("label"))
+    named = members.groupBy("label").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull(), "first", "blob")).getField("blob").alias("best"))
+    classes = members.join(named, "label").select("blob", "first", "class_id", (F.col("blob") == F.col("best")).alias("best"))
+    full = F.col("n") > 0
+    return rows.select("doc_id", "blob", "n").join(classes, "blob", "left").select(
+        "doc_id",
+        "blob",
+        F.when(full, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(full, F.col("best") & F.col("doc_id").eqNullSafe(F.col("first"))).otherwise(True).alias("chosen"),
+    )
+
+
+def near_classes(df: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row."""
+    return classed(df).select("doc_id", "class_id")
+
+
+def representatives(df: DataFrame) -> DataFrame:
+    """Rows of df, one of each class: all its columns, and rows equal in doc_id and text once."""
+    key = lambda text: F.concat_ws("/", text, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    chosen = classed(df).where(F.col("chosen")).select(key(F.lower(F.hex("blob"))).alias("_key")).distinct()
+    rows = common.carry(df).withColumn("_key", key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return common.restore(rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]), df.columns)
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

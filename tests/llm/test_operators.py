@@ -224,6 +224,40 @@ def test_near_dedup_loses_no_link_in_a_hot_bucket(spark):
     assert got == dict(enumerate(want))
 
 
+def test_near_dedup_tells_texts_apart_by_content(spark):
+    """Two texts under one doc_id, texts without a doc_id, a very long text, repeated rows."""
+    random.seed(31)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    x, y, z, long = words(200), words(200), words(200), words(20_000)
+    near = lambda t: " ".join(t[:50] + ["other"] + t[51:])
+    texts = [" ".join(x), " ".join(y), near(x), near(y), " ".join(z), near(z), " ".join(long), near(long), near(long), None, ""]
+    ids = [5, 5, 3, 8, None, None, 9, 4, 4, None, 7]
+    df = table(spark, texts, ids)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id) for r in near_dedup.near_classes(df).collect())
+    # x meets 3 and y meets 8, each apart from the other text of 5
+    assert got == [(-1, None), (-1, None), (-1, None), (3, 3), (4, 4), (4, 4), (5, 3), (5, 5), (7, 7), (8, 5), (9, 4)]
+    kept = near_dedup.representatives(df)
+    assert kept.columns == df.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert {(3, near(x)), (5, " ".join(y)), (4, near(long)), (None, None), (7, "")} < set(rows)
+    assert len(rows) == 6 and ((None, texts[4]) in rows) != ((None, texts[5]) in rows)
+
+
+def test_near_dedup_without_a_list_of_hot_shingles(spark, monkeypatch):
+    """A passage in more texts than a block, none of them in the sample that orders shingles, and a list too long to go out."""
+    random.seed(33)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "RARITY_TEXTS", 1)
+    monkeypatch.setattr(near_dedup, "HOT_LIST", 0)
+    words = lambda n: ["".join(random.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, texts = words(400), []
+    for _ in range(30):
+        more = words(5)
+        texts += [" ".join(passage + more + words(45)) for _ in range(2)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_banded_alignment_matches_plain_lcs():
     random.seed(5)
 
