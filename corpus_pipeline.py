@@ -28,14 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of exact and near copies, and of repeated rows one.
-
-    Rows without a doc_id can't be told apart and all stay.
-    """
-    first = near_dedup.near_classes(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = common.carry(docs.where(F.col("doc_id").isNotNull()))
-    kept = named.join(first, F.col("doc_id") == F.col("_first"), "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return common.restore(kept, docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One text of each class of exact and near copies, under its least doc_id; of repeated rows one."""
+    return near_dedup.representatives(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
