@@ -1,7 +1,7 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio (DataFrame operations only).
 
 Two multinomials over BUCKETS hash buckets of words and word pairs are fitted: a trusted target (documents with a label of
-quality 1; a bounded, documented sample of those labels) and the raw corpus (every document).  A document's score is the mean
+quality 1, all of them) and the raw corpus (every document).  A document's score is the mean
 over its n-grams of log p_target - log p_raw.  The ratios are one array of BUCKETS numbers, computed by Spark and sent out as a
 literal.
 
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 BUCKETS = 16_384
-TARGET_DOCS = 20_000
 THRESHOLD = -0.03
 SHARE = 0.25
 HELD = 4
@@ -50,18 +49,23 @@ def buckets() -> Column:
     return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
-def trusted_documents(labels: DataFrame) -> DataFrame:
-    """(_trusted, _held): the ids of the target, at most about TARGET_DOCS, and whether they are kept from the fit."""
-    ids = common.bounded_sample(labels.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", TARGET_DOCS)
-    return ids.select(F.col("doc_id").alias("_trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("_held"))
+def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, _held): the documents of docs with a label of quality 1, and whether they are kept from the fit.
+
+    Labels grow with the documents, so that they are shuffled, at any size; the texts stream past them unsorted.
+    """
+    ids = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+    return docs.join(ids.hint("shuffle_hash"), "doc_id").withColumn("_held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0)
+
+
+def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select(F.explode(buckets()).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, share: float = SHARE) -> DataFrame:
-    """(bucket, ratio) for every bucket; docs has doc_id and word_hashes, trusted is trusted_documents."""
-    fitted = trusted.where(~F.col("_held")).select("_trusted")
-    flagged = docs.join(F.broadcast(fitted), F.col("doc_id") == F.col("_trusted"), "left")  # about TARGET_DOCS ids
-    seen = flagged.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(buckets()).alias("bucket"))
-    counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    """(bucket, ratio) for every bucket; docs and trusted (of trusted_documents) have word_hashes."""
+    # every trusted document is one of docs, so that its buckets are among the raw ones
+    counts = bucket_counts(docs, "raw").join(bucket_counts(trusted.where(~F.col("_held")), "target"), "bucket", "left")
     seen_once = common.materialize(counts, "quality-counts")  # BUCKETS rows at most; read three times
     full = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket")).join(seen_once, "bucket", "left").fillna(0, ["raw", "target"])
     total = full.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -71,10 +75,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, share: float = SHARE) -> DataFra
     return full.select("bucket", F.when(all_target > 0, F.log(p_target) - F.log(p_raw)).otherwise(0.0).alias("ratio"))
 
 
-def calibrated(docs: DataFrame, trusted: DataFrame, scored: Column, threshold: float = THRESHOLD) -> float:
+def calibrated(trusted: DataFrame, scored: Column, threshold: float = THRESHOLD) -> float:
     """The least score that is kept: threshold, or less where held-out trusted documents scatter more widely."""
-    held = docs.join(F.broadcast(trusted.where(F.col("_held")).select("_trusted")), F.col("doc_id") == F.col("_trusted"), "left_semi")
-    found = held.where(F.size("words") >= LEAST_WORDS).select(scored.alias("s")).agg(F.count("s").alias("n"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd")).first()
+    held = trusted.where(F.col("_held") & (F.size("words") >= LEAST_WORDS))
+    found = held.select(scored.alias("s")).agg(F.count("s").alias("n"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd")).first()
     if found["n"] < 2:
         return float("-inf")
     return min(threshold, round(found["mean"] - DEVIATIONS * found["sd"] * (1 + 1 / found["n"]) ** 0.5, 6))
@@ -119,9 +123,10 @@ def score(ratio: DataFrame) -> Column:
 
 def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """(_row, doc_id, text, base counts, llr, kept) for every row of df; _row holds all its columns."""
-    docs, trusted = with_words(common.documents(df)), common.materialize(trusted_documents(labels), "quality-trusted")
-    scored = score(ratios(docs, trusted, share))
-    least = calibrated(docs, trusted, scored, threshold)
+    docs = common.documents(df)
+    trusted = with_words(common.materialize(trusted_documents(docs, labels), "quality-trusted", "zstd"))  # counted, then scored
+    scored = score(ratios(with_words(docs), trusted, share))
+    least = calibrated(trusted, scored, threshold)
     rows = common.carry(df).withColumn("text", F.coalesce("text", F.lit("")))
     return base_counts(with_words(rows)).withColumn("llr", scored).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least)).drop("words", "word_hashes")
 
