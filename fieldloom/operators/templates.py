@@ -80,18 +80,19 @@ _ROW = bind(_one_rule(), "f", "named_struct('field', r.field, 'section', r.secti
 
 
 def read(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(doc_id, template_id, text) and rules_by_template -> (doc_id, template_id, sections, found): documents of all templates in one job.
+    """(doc_id, template_id, text) and rules_by_template -> (doc_id, template_id, sections, found, known): documents of all templates in one job.
 
     found is an array of FOUND, one for each rule of the document's template; sections an array of (section, text).  A rule with a
     section looks there if the section is found, else in the whole text.  Lines are split once; the rules meet the documents by a
-    broadcast where they are few.  Documents of unknown templates have null arrays; a null text counts as empty.
+    broadcast where they are few.  Documents of unknown templates have null arrays and are not known; a null text counts as empty.
+    Filter on known: a filter on found would be pushed down with a copy of all its expressions.
     """
     few = catalogue.limit(MOST_TEMPLATES + 1).count() <= MOST_TEMPLATES
     rows = docs.select("doc_id", "template_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(catalogue) if few else catalogue, "template_id", "left")
     rows = rows.withColumn("window_size", F.coalesce("window_size", F.lit(WINDOW))).withColumn("lines", F.split("text", "\n")).withColumn("sections", F.expr(_SECTIONS))
     rows = rows.withColumn("scopes", F.expr("transform(coalesce(sections, array()), s -> named_struct('section', s.section, 'text', s.text, 'lines', split(s.text, '\\n')))"))
     found = F.expr(f"transform(rules, r -> {bind(_SCOPE, 'sc', _ROW)})").cast(f"array<{FOUND}>")
-    return rows.select("doc_id", "template_id", "sections", found.alias("found"))
+    return rows.select("doc_id", "template_id", "sections", found.alias("found"), F.col("rules").isNotNull().alias("known"))
 
 
 def sections(read_: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def fields(read_: DataFrame) -> DataFrame:
 def required(read_: DataFrame) -> DataFrame:
     """(doc_id, missing, valid): names of required fields without a value, in order; null where none is missing."""
     lack = F.sort_array(F.transform(F.filter("found", lambda f: f["required"] & f["value"].isNull()), lambda f: f["field"]))
-    return read_.where(F.col("found").isNotNull()).select("doc_id", F.when(F.size(lack) > 0, F.array_join(lack, ",")).alias("missing"), (F.size(lack) == 0).alias("valid"))
+    return read_.where("known").select("doc_id", F.when(F.size(lack) > 0, F.array_join(lack, ",")).alias("missing"), (F.size(lack) == 0).alias("valid"))
 
 
 def assemble(read_: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def assemble(read_: DataFrame) -> DataFrame:
     entries = lambda fs: F.map_from_entries(F.transform(fs, lambda f: F.struct(f["field"], f["value"])))
     of = lambda s: F.filter("found", lambda f: f["section"] == s)
     names = F.array_distinct(F.filter(F.transform("found", lambda f: f["section"]), lambda s: s.isNotNull()))
-    return read_.where(F.col("found").isNotNull()).select("doc_id", entries(F.col("found")).alias("values"), F.map_from_entries(F.transform(names, lambda s: F.struct(s, entries(of(s))))).alias("by_section"))
+    return read_.where("known").select("doc_id", entries(F.col("found")).alias("values"), F.map_from_entries(F.transform(names, lambda s: F.struct(s, entries(of(s))))).alias("by_section"))
 
 
 def render(body: str, columns: list[str]) -> Column:
