@@ -11,17 +11,21 @@ from fieldloom.operators import detect
 
 def score(t: Column, confidence: Column) -> Column:
     """Composite of MRZ content, labels, confidence and field signals: fixed weights."""
-    compact = F.regexp_replace(F.upper(t), r"\s", "")
-    lines = F.transform(F.split(t, "\r?\n"), lambda x: F.upper(F.regexp_replace(x, r"\s", "")))
+    up = F.upper(t)
+    compact = F.regexp_replace(up, r"\s", "")
+    # only lines with a filler, or of nothing but digits, letters and blanks, can count
+    may = F.filter(F.split(up, "\r?\n"), lambda x: x.contains("<") | x.rlike(r"^[A-Z0-9\s\x{85}\x{2028}\x{2029}]{28,}$"))
+    lines = F.transform(may, lambda x: F.regexp_replace(x, r"\s", ""))
     per_line = F.aggregate(
         lines,
         F.lit(0),
         lambda acc, x: acc + F.when((F.length(x) >= 28) & (x.contains("<<") | x.startswith("V<")), 12).otherwise(0) + F.when(x.rlike("^[A-Z0-9<]{28,}$") & x.rlike("[0-9]{6}"), 12).otherwise(0),
     )
-    mrz = F.least(F.lit(100), per_line + F.when(compact.rlike("V<[A-Z]{3}"), 40).otherwise(0) + F.when(~compact.contains("P<") & compact.rlike("[A-Z]{3}[A-Z]{2,}<<"), 25).otherwise(0))
+    zone = F.when(compact.rlike("V<[A-Z]{3}"), 40).otherwise(0) + F.when(~compact.contains("P<") & compact.rlike("[A-Z]{3}[A-Z]{2,}<<"), 25).otherwise(0)
+    mrz = F.least(F.lit(100), per_line + F.when(t.contains("<"), zone).otherwise(0))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), confidence)) / 100
-    up = F.upper(t)
-    bonus = F.when(up.rlike(text.word("VISA")), 15).otherwise(0) + F.when(up.rlike(text.word("SURNAME|NATIONALITY|PASSPORT|CONTROL|GRANT")), 10).otherwise(0)
+    words = ("SURNAME", "NATIONALITY", "PASSPORT", "CONTROL", "GRANT")
+    bonus = F.when(detect.shows(up, text.word("VISA"), "VISA"), 15).otherwise(0) + F.when(detect.shows(up, text.word("|".join(words)), *words), 10).otherwise(0)
     return F.round(mrz * 0.35 + detect.visa_label_count(t) * 10 + conf * 25 + detect.field_signals(t) * 8 + bonus, 6)
 
 
