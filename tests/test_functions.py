@@ -329,3 +329,41 @@ def test_visa_scores_and_leaks(spark):
     assert (rows[2].hits, rows[2].total, rows[2].char_accuracy, rows[2].detected) == (0, 2, 0.0, False) and rows[3].hits == 0
     let = {r.doc_id: r for r in visa.leaks(visa.records(docs)).collect()}
     assert let[1].number and let[1].flagged and let[1].filled and not let[2].number and not let[2].filled
+
+
+def filters(df):
+    """The lines of a physical plan that filter, or scan under a filter."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter" in x]
+
+
+def test_template_filters_do_not_read_the_letter(spark):
+    """A filter on what was found would hold a copy of the extraction."""
+    docs = spark.createDataFrame([(1, "t", "Total: 5"), (2, "unknown", "x")], "doc_id long, template_id string, text string")
+    rules = spark.createDataFrame([("t", "a", ["Total"], None, None, None, True, None)], "template_id string, field string, labels array<string>, value_pattern string, flags string, section string, required boolean, window_size int")
+    cuts = spark.createDataFrame([], "template_id string, section string, start string, end string, flags string")
+    read = templates.read(docs, templates.rules_by_template(rules, cuts))
+    for rows in (templates.required(read), templates.assemble(read)):
+        assert not any("regexp" in x for x in filters(rows))
+        assert [r.doc_id for r in rows.select("doc_id").collect()] == [1]
+
+
+def test_anchors_are_in_every_pattern_of_their_group(spark):
+    for groups, anchors in ((detect.GROUPS, detect.GROUP_ANCHORS), (detect.SIGNALS, detect.SIGNAL_ANCHORS)):
+        assert len(groups) == len(anchors)
+        assert all(a is None or all(a in p for p in g) for g, a in zip(groups, anchors))
+    texts = ["VISA\nFAMILY  NAME x", "xpiry date 1.2.2020", "NATIONALITY", "ssport no A1234567", "PACE OF ISSUE", "sa type", "NTRIES", "Sex", "", None, "SUE DATE", "ONTROL NO", "GRANT NO", "unsexed", "ATE OF BIRTH"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    up = F.upper("t")
+    plain = lambda groups: sum((up.rlike("|".join(g).replace(r"\b", text.EDGE)).cast("int") for g in groups), F.lit(0))
+    rows = df.select(detect.label_groups(F.col("t")).alias("a"), plain(detect.GROUPS).alias("b"), detect._count(up, detect.SIGNALS, detect.SIGNAL_ANCHORS).alias("c"), plain(detect.SIGNALS).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows)
+
+
+def test_zones_are_not_searched_in_filters(spark):
+    """Neither a page's best pair nor a cleaned line is worked out a second time by a filter."""
+    from fieldloom.plans import document_queries
+
+    docs = spark.createDataFrame([(1, "VISA\nno zone"), (2, " p<utoeriksson<<anna |maria　¢<<<<\nshort\nßßßßßßßßßßß")], "doc_id long, text string")
+    lines = mrz.lines(docs)
+    assert not any("regexp" in x for x in filters(lines) + filters(document_queries.zone_of(docs)))
+    assert [(r.doc_id, r.pos, r.line) for r in lines.orderBy("doc_id", "pos").collect()] == [(2, 0, "P<UTOERIKSSON<<ANNA<MARIA<<<<<"), (2, 2, "S" * 22)]
