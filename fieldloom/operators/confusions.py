@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import text
+
 #: What OCR reads -> what it may stand for; suffixes and types of companies: fixed values.
 CONFUSIONS = [("资", "责"), ("贡", "责"), ("贡", "任"), ("很", "有"), ("述", "金"), ("全", "金"), ("当", "雪"), ("医", "区"), ("匠", "区"), ("填", "镇"), ("信", "佰"), ("很", "限")]
 SUFFIXES = ("股份有限公司", "集团有限公司", "有限责任公司", "有限公司")
@@ -71,7 +73,7 @@ def readings(value: Column, depth: int = DEPTH, most: int = MOST) -> Column:
 def best_reading(value: Column, score, depth: int = DEPTH, most: int = MOST) -> Column:
     """(loss, n, text, edits) of the best reading: the highest score of its text less PENALTY an edit; then fewest edits, then the text."""
     ranked = lambda r: F.struct(F.round(PENALTY * F.size(r["edits"]) - score(r["text"]), 6).alias("loss"), F.size(r["edits"]).alias("n"), r["text"].alias("text"), r["edits"].alias("edits"))
-    return F.array_min(F.transform(readings(value, depth, most), ranked))
+    return text.bound(value, lambda v: F.array_min(F.transform(readings(v, depth, most), ranked)))
 
 
 def company_score(c: Column) -> Column:

@@ -45,21 +45,41 @@ def faithful(field: Column, segment: Column, raw: Column, value: Column, actual:
     return squeezed.eqNullSafe(actual) | F.coalesce(own, F.lit(False))
 
 
-def compare(fields: DataFrame, truth: DataFrame) -> DataFrame:
-    """Extractions against truth (doc_id, field, expected): a full outer join, null-safe equality after squeezing blanks.
+def folded(c: Column) -> Column:
+    """A value as it is compared, by the row's field."""
+    return F.when(F.col("field") == "creditCode", text.norm_code_confusions(c)).otherwise(F.translate(squeeze(c), ";", "；"))
 
-    Both sides are folded, and extractions held against their segments, before the join, where rows lie as they were scanned.
-    """
-    code = F.col("field") == "creditCode"
-    fold = lambda c: F.when(code, text.norm_code_confusions(c)).otherwise(F.translate(squeeze(c), ";", "；"))
-    found = fields.withColumn("actual", fold(F.col("value")))
+
+def read(fields: DataFrame, *keep: str) -> DataFrame:
+    """Extractions folded and held against their segments."""
+    found = fields.withColumn("actual", folded(F.col("value")))
     found = found.withColumn("extraction_match", faithful(F.col("field"), F.col("raw_segment"), F.col("raw"), F.col("value"), F.col("actual")))
-    found = found.select("doc_id", "field", "style", "actual", "raw_segment", "extraction_match", "confidence", "requires_review", "checksum_valid", *EVIDENCE)
-    joined = found.join(truth.select("doc_id", "field", fold(F.col("expected")).alias("expected")), ["doc_id", "field"], "full_outer")
+    return found.select("doc_id", "field", "style", "actual", "raw_segment", "extraction_match", "confidence", "requires_review", "checksum_valid", *EVIDENCE, *keep)
+
+
+def judged(rows: DataFrame, *keep: str) -> DataFrame:
+    """read() with the folded truth as expected: null-safe equality after squeezing blanks."""
     exp, act = F.col("expected"), F.col("actual")
     business = exp.eqNullSafe(act) | F.coalesce((F.col("field") == "businessTerm") & exp.contains("长期") & (act == "长期"), F.lit(False))
     unread = {"extraction_match": True, "confidence": 0.0, "requires_review": False} | dict.fromkeys(EVIDENCE, False)  # truth without a row of extraction
-    return joined.select("doc_id", "style", "field", "expected", "actual", "raw_segment", business.alias("business_match"), "checksum_valid", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in unread.items()])
+    return rows.select("doc_id", "style", "field", "expected", "actual", "raw_segment", business.alias("business_match"), "checksum_valid", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in unread.items()], *keep)
+
+
+def compare(fields: DataFrame, truth: DataFrame) -> DataFrame:
+    """Extractions against truth (doc_id, field, expected) that is a table of its own: a full outer join.
+
+    Both sides are folded, and extractions held against their segments, before the join, where rows lie as they were scanned.
+    """
+    return judged(read(fields).join(truth.select("doc_id", "field", folded(F.col("expected")).alias("expected")), ["doc_id", "field"], "full_outer"))
+
+
+def compare_kept(fields: DataFrame, *keep: str) -> DataFrame:
+    """The same where the truth went with the page: fields with a column truth (a map by field), which every row of a document has.
+
+    No row moves.  A document has a row of extraction for each field, so that none of its truth is left over.
+    """
+    rows = fields.withColumn("expected", folded(F.try_element_at("truth", F.col("field"))))
+    return judged(read(rows, "expected", *keep), *keep)
 
 
 def documents(cmp: DataFrame) -> DataFrame:
@@ -94,9 +114,21 @@ def overall(cmp: DataFrame) -> DataFrame:
     return g.select("documents", ratio(F.col("b"), n).alias("business_match_rate"), ratio(F.col("x"), n).alias("extraction_match_rate"), ratio(F.col("v"), n).alias("review_trigger_rate"), ratio(F.col("c"), n).alias("avg_confidence"))
 
 
+def match_rates(cmp: DataFrame, stored: Column | None = None) -> DataFrame:
+    """(field, business_match_rate, extraction_match_rate, stored): each field and, as `overall`, all; one pass over the comparisons.
+
+    stored is the business rate of the rows that meet a condition, null for fields without such rows and for the overall row.
+    """
+    chosen = F.lit(False) if stored is None else stored
+    one = cmp.groupBy("field").agg(F.count_if("business_match").alias("b"), F.count_if("extraction_match").alias("x"), F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("m"), F.count_if(chosen & F.col("business_match")).alias("c"))
+    g = one.rollup("field").agg(*[F.sum(c).alias(c) for c in ("b", "x", "n", "m", "c")], F.grouping("field").alias("all"))
+    return g.select(F.when(F.col("all") == 1, "overall").otherwise(F.col("field")).alias("field"), ratio(F.col("b"), F.col("n")).alias("business_match_rate"), ratio(F.col("x"), F.col("n")).alias("extraction_match_rate"), F.when((F.col("all") == 0) & (F.col("m") > 0), ratio(F.col("c"), F.col("m"))).alias("stored"))
+
+
 def attribution(cmp: DataFrame) -> DataFrame:
     """Losses by field and in total: business wrong but extraction faithful is OCR's, extraction unfaithful is the logic's."""
-    g = cmp.rollup("field").agg(F.count_if(~F.col("business_match") & F.col("extraction_match")).alias("ocr_failures"), F.count_if(~F.col("extraction_match")).alias("logic_failures"), F.count(F.lit(1)).alias("total"))
+    counts = cmp.groupBy("field").agg(F.count_if(~F.col("business_match") & F.col("extraction_match")).alias("ocr_failures"), F.count_if(~F.col("extraction_match")).alias("logic_failures"), F.count(F.lit(1)).alias("total"))
+    g = counts.rollup("field").agg(*[F.sum(c).alias(c) for c in ("ocr_failures", "logic_failures", "total")])  # of one row a field
     return g.select(F.coalesce("field", F.lit("(all)")).alias("field"), "ocr_failures", "logic_failures", "total", ratio(F.col("ocr_failures"), F.col("total")).alias("ocr_share"), ratio(F.col("logic_failures"), F.col("total")).alias("logic_share"))
 
 
@@ -118,9 +150,9 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 3))
 
 
-def failures(cmp: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows whose business match fails, with the document's text, a category and a similarity."""
-    rows = cmp.where(~F.col("business_match")).join(texts.select("doc_id", F.col("text").alias("ocr_text")), "doc_id", "left")
+def failures(cmp: DataFrame) -> DataFrame:
+    """Rows whose business match fails, of comparisons with the document's text (ocr_text), with a category and a similarity."""
+    rows = cmp.where(~F.col("business_match"))
     e, a, f = F.col("expected"), F.col("actual"), F.col("field")
     seen = F.coalesce(F.col("ocr_text").contains(F.substring(e, 1, 4)), F.lit(False))
     both = a.isNotNull() & e.isNotNull()
@@ -187,6 +219,8 @@ CAUSES = (
     "address_over_capture", "address_ocr_noise", "legal_rep_confusion", "high_confidence_wrong", "date_ocr_noise",
 )
 SURE = 0.85
+#: Parts in which a cause's documents are ranked, so that no task holds a whole cause.
+EXAMPLE_PARTS = 256
 
 
 def causes() -> dict[str, Column]:
@@ -219,16 +253,17 @@ def causes() -> dict[str, Column]:
 def root_causes(fails: DataFrame) -> DataFrame:
     """(rank, cause, impact, affected_fields, examples): a failure may count for several causes; at most five example documents."""
     hits = fails.select("doc_id", "field", F.explode(F.array_compact(F.array(*[F.when(told, F.lit(c)) for c, told in causes().items()]))).alias("cause"))
-    # the least five ids by a bounded top-k per cause, fields by a set of at most ten
-    docs = hits.select("cause", "doc_id").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("cause").orderBy("doc_id"))).where(F.col("nth") <= 5)
-    examples = docs.groupBy("cause").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("examples"))
-    g = hits.groupBy("cause").agg(F.count(F.lit(1)).alias("impact"), F.array_join(F.sort_array(F.collect_set("field")), ",").alias("affected_fields"))
-    return g.join(examples, "cause").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "cause"))).select("rank", "cause", "impact", "affected_fields", "examples")
+    # in one pass: the least five ids of each of a cause's parts, of which the least five are the cause's; fields by a set of at most ten
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(EXAMPLE_PARTS))
+    hits = hits.withColumn("nth", F.dense_rank().over(Window.partitionBy("cause", part).orderBy("doc_id")))
+    least = F.slice(F.sort_array(F.collect_set(F.when(F.col("nth") <= 5, F.col("doc_id")))), 1, 5)
+    g = hits.groupBy("cause").agg(F.count(F.lit(1)).alias("impact"), F.array_join(F.sort_array(F.collect_set("field")), ",").alias("affected_fields"), F.array_join(F.transform(least, lambda x: x.cast("string")), ",").alias("examples"))
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "cause"))).select("rank", "cause", "impact", "affected_fields", "examples")
 
 
 def gate(cmp: DataFrame) -> DataFrame:
     """(metric, value, threshold, passed) for each threshold."""
-    rates = field_prf(cmp).select("field", "business_match_rate", "extraction_match_rate").unionByName(overall(cmp).select(F.lit("overall").alias("field"), "business_match_rate", "extraction_match_rate"))
+    rates = match_rates(cmp)
     gates = cmp.sparkSession.createDataFrame(GATES, "field string, kind string, threshold double")
     value = F.when(F.col("kind") == "business", F.col("business_match_rate")).otherwise(F.col("extraction_match_rate"))
     return gates.join(rates, "field", "left").select(F.concat_ws(" ", "field", "kind").alias("metric"), F.coalesce(value, F.lit(0.0)).alias("value"), "threshold", (F.coalesce(value, F.lit(0.0)) >= F.col("threshold")).alias("passed"))
@@ -236,5 +271,10 @@ def gate(cmp: DataFrame) -> DataFrame:
 
 def baseline_delta(current: DataFrame, stored: DataFrame) -> DataFrame:
     """(field, current, baseline, delta): a field without a stored value counts from 0, the overall row from its default."""
+    return delta(current.join(stored, "field", "left"))
+
+
+def delta(rates: DataFrame) -> DataFrame:
+    """baseline_delta of rows that hold both: (field, current, baseline)."""
     base = F.coalesce("baseline", F.when(F.col("field") == "overall", BASELINE_OVERALL).otherwise(0.0))
-    return current.join(stored, "field", "left").select("field", "current", base.alias("baseline"), F.round(F.col("current") - base, 6).alias("delta"))
+    return rates.select("field", "current", base.alias("baseline"), F.round(F.col("current") - base, 6).alias("delta"))

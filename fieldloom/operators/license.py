@@ -42,13 +42,13 @@ def fuzzy_span(t: str, label: str) -> str:
     """SQL of the best window (score, first, fit, matched) for a misread label of four characters or more, else null; t is a column's name.
 
     Two edits leave a two-character piece intact in labels of six or more, one edit in shorter ones.  The text is cut in front of
-    each such piece; windows start around where the label would start, and are two characters shorter or longer at most.
+    each such piece; windows start around where the label would start, and are as many characters shorter or longer as there may be edits.
     """
     n = len(label)
     if n < 4:
         return "CAST(NULL AS struct<score:double,first:int,fit:int,matched:string>)"
     pieces, characters = "|".join(label[i : i + 2] for i in range(n - 1)), ", ".join(f"'{c}'" for c in label)
-    around = "array(-2, -1, 0, 1, 2)"
+    around = "array(-2, -1, 0, 1, 2)" if n >= 6 else "array(-1, 0, 1)"
     hits = f"""array_distinct(aggregate(split({t}, '(?={pieces})'), named_struct('at', 1, 'starts', CAST(array() AS array<int>)),
       (acc, part) -> named_struct('at', acc.at + length(part), 'starts', concat(acc.starts, transform(filter(array(CASE WHEN length(part) > 1 THEN instr('{label}', substring(part, 1, 2)) ELSE 0 END), o -> o > 0), o -> acc.at - o + 1))),
       acc -> acc.starts))"""
@@ -86,7 +86,7 @@ def deduped(spans: Column) -> Column:
 def trim_segment(c: Column) -> Column:
     """Without the white space and punctuation at both ends."""
     marks = r"[\s:：,，.。;；|/\\\-–—]+"
-    return F.nullif(F.regexp_replace(c, f"^{marks}|{marks}$", ""), F.lit(""))
+    return text.miss_as_null(F.regexp_replace(c, f"^{marks}|{marks}$", ""))
 
 
 def segments_of(t: Column, spans: Column) -> Column:
@@ -96,14 +96,15 @@ def segments_of(t: Column, spans: Column) -> Column:
     """
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x.alias("span"))))
 
-    def one(x: Column, i: Column) -> Column:
-        after = F.get(order, i + 1)
+    def one(x: Column, after: Column) -> Column:
         until, end = F.coalesce(after["start"], F.length(t) + 1), x["span"]["end"]
         cut = trim_segment(F.substring(t, end, F.greatest(until - end, F.lit(0))))
         return F.struct(x["span"]["field"], x["span"]["label"], x["span"]["fuzzy"], after["span"]["label"], cut, after.isNotNull(), F.lit(False)).cast(SEGMENT)
 
+    # sorted once: inside the lambda the sort would be repeated for each span and each use
+    cuts = let(order, lambda o: F.transform(o, lambda x, i: let(F.get(o, i + 1), lambda after: one(x, after))))
     lost = let(scope_block(t, spans), lambda block: F.when(block.isNotNull(), F.struct(F.lit("businessScope"), F.lit(LABELS["businessScope"]), F.lit(False), F.lit(LABELS["registrationAuthority"]), block, F.lit(True), F.lit(True)).cast(SEGMENT)))
-    return F.concat(F.transform(order, one), F.array_compact(F.array(lost)))
+    return F.concat(cuts, F.array_compact(F.array(lost)))
 
 
 def scope_block(t: Column, spans: Column) -> Column:
@@ -205,35 +206,41 @@ def numerals_to_yuan(c: Column) -> Column:
     money = lambda x: x.cast("decimal(20,0)")
 
     def step(s: Column, ch: Column) -> Column:
-        is_digit, is_unit = F.try_element_at(digit, ch).isNotNull(), F.try_element_at(unit, ch).isNotNull()
-        scale = F.when(ch.isin("万", "萬"), 10_000).when(ch.isin("亿", "億"), 100_000_000)
-        section = F.when(is_unit, s["section"] + F.when(s["num"] == 0, 1).otherwise(s["num"]) * F.try_element_at(unit, ch)).when(is_digit, s["section"]).otherwise(zero)
-        total = F.when(scale.isNotNull(), s["total"] + (s["section"] + s["num"]) * scale).otherwise(s["total"])
-        return F.struct(money(total).alias("total"), money(section).alias("section"), money(F.when(is_digit, F.try_element_at(digit, ch)).otherwise(zero)).alias("num"))
+        def read(x: Column) -> Column:
+            d, u = x["digit"], x["unit"]
+            scale = F.when(ch.isin("万", "萬"), 10_000).when(ch.isin("亿", "億"), 100_000_000)
+            section = F.when(u.isNotNull(), s["section"] + F.when(s["num"] == 0, 1).otherwise(s["num"]) * u).when(d.isNotNull(), s["section"]).otherwise(zero)
+            total = F.when(scale.isNotNull(), s["total"] + (s["section"] + s["num"]) * scale).otherwise(s["total"])
+            return F.struct(money(total).alias("total"), money(section).alias("section"), money(F.coalesce(d, zero)).alias("num"))
+
+        return let(F.struct(F.try_element_at(digit, ch).alias("digit"), F.try_element_at(unit, ch).alias("unit")), read)
 
     start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("num"))
-    value = F.aggregate(F.split(c, ""), start, step, lambda s: money(s["total"] + s["section"] + s["num"]))
-    return F.when(c.rlike(f"^[{NUMERALS}]+$"), value)
+    value = lambda v: F.aggregate(F.split(v, ""), start, step, lambda s: money(s["total"] + s["section"] + s["num"]))
+    return let(c, lambda v: F.when(v.rlike(f"^[{NUMERALS}]+$"), value(v)))
 
 
 def capital(c: Column) -> Column:
     """Capital text to its display string: arabic or Chinese amount with unit; a bare year is null."""
-    v = text.full_trim(c)
     arabic = r"^([0-9,.]+)\s*(万|亿)?"
-    amount, unit = F.replace(F.regexp_extract(v, arabic, 1), F.lit(","), F.lit("")), F.regexp_extract(v, arabic, 2)
-    plain = F.when(unit != "", F.concat(amount, unit, F.lit("元人民币"))).when(v.rlike("元"), F.concat(amount, F.lit("元人民币"))).otherwise(amount)
-    core = F.regexp_extract(F.regexp_replace(v, "(元|圆|圓|人民币|RMB|CNY).*$", ""), f"^[{NUMERALS}]+", 0)
-    yuan = numerals_to_yuan(core)
     big, ten = F.lit(100_000_000), F.lit(10_000)
-    shown = F.when(yuan % big == 0, F.concat((yuan / big).cast("long"), F.lit("亿"))).when(yuan >= ten, F.concat(F.round(yuan / ten).cast("long"), F.lit("万"))).otherwise(yuan.cast("string"))
-    return F.when(v == "", None).when(v.rlike(r"^[0-9]{4}\s*年") & ~v.rlike("[万亿萬元圆圓]"), None).when(v.rlike(arabic), plain).when(yuan > 0, F.concat(shown, F.lit("元人民币"))).otherwise(v)
+
+    def show(v: Column) -> Column:
+        amount, unit = F.replace(F.regexp_extract(v, arabic, 1), F.lit(","), F.lit("")), F.regexp_extract(v, arabic, 2)
+        plain = F.when(unit != "", F.concat(amount, unit, F.lit("元人民币"))).when(v.rlike("元"), F.concat(amount, F.lit("元人民币"))).otherwise(amount)
+        core = F.regexp_extract(F.regexp_replace(v, "(元|圆|圓|人民币|RMB|CNY).*$", ""), f"^[{NUMERALS}]+", 0)
+        shown = lambda yuan: F.when(yuan % big == 0, F.concat((yuan / big).cast("long"), F.lit("亿"))).when(yuan >= ten, F.concat(F.round(yuan / ten).cast("long"), F.lit("万"))).otherwise(yuan.cast("string"))
+        read = let(numerals_to_yuan(core), lambda yuan: F.when(yuan > 0, F.concat(shown(yuan), F.lit("元人民币"))).otherwise(v))
+        return F.when(v == "", None).when(v.rlike(r"^[0-9]{4}\s*年") & ~v.rlike("[万亿萬元圆圓]"), None).when(v.rlike(arabic), plain).otherwise(read)
+
+    return let(text.full_trim(c), show)
 
 
 def business_term(c: Column) -> Column:
     """长期, else the range of days in c, else c."""
     day = r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日"
-    span = text.miss_as_null(F.regexp_extract(c, rf"{day}\s*[至到—-]\s*{day}", 0))
-    return F.when(c.contains("长期"), "长期").otherwise(F.coalesce(F.regexp_replace(span, r"\s+", ""), F.nullif(text.full_trim(c), F.lit(""))))
+    span = lambda v: text.miss_as_null(F.regexp_extract(v, rf"{day}\s*[至到—-]\s*{day}", 0))
+    return let(c, lambda v: F.when(v.contains("长期"), "长期").otherwise(F.coalesce(F.regexp_replace(span(v), r"\s+", ""), text.miss_as_null(text.full_trim(v)))))
 
 
 def review_queue(fields: DataFrame, *more: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions import text
 from fieldloom.operators import confusions
 
 #: Characters of names and addresses, marks that are garbage, weights of flags.
@@ -67,17 +70,22 @@ FLAGS: dict[str, Callable[[Column], Column]] = {
 
 def checked(field: str, value: Column) -> Column:
     """(score, valid, review, signals) of a value of one of the fields of BASE, as `validate` gives them; signals is an array."""
-    v = F.trim(F.coalesce(value, F.lit("")))
-    found = {name: FLAGS[name](v) for name in {*WEIGHTS[field], *VALID[field], *CERTAIN[field], *(x for _, x, _ in SIGNALS[field])}}
-    every = lambda names: F.forall(F.array(*[found[x] for x in names]), lambda x: x)
-    total = sum((F.when(found[x], w).otherwise(0.0) for x, w in WEIGHTS[field].items()), F.lit(BASE[field]))
-    empty = v == ""
-    return F.struct(
-        F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6)).alias("score"),
-        (~empty & every(VALID[field])).alias("valid"),
-        (empty | ~every(CERTAIN[field])).alias("review"),
-        F.when(empty, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(found[x] == want, name) for name, x, want in SIGNALS[field]]))).alias("signals"),
-    )
+    names = sorted({*WEIGHTS[field], *VALID[field], *CERTAIN[field], *(x for _, x, _ in SIGNALS[field])})
+
+    def verdict(found: Column) -> Column:
+        every = lambda these: reduce(and_, [found[x] for x in these])
+        total = sum((F.when(found[x], w).otherwise(0.0) for x, w in WEIGHTS[field].items()), F.lit(BASE[field]))
+        empty = found["empty"]
+        return F.struct(
+            F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(1.0), total), 6)).alias("score"),
+            (~empty & every(VALID[field])).alias("valid"),
+            (empty | ~every(CERTAIN[field])).alias("review"),
+            F.when(empty, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(found[x] == want, name) for name, x, want in SIGNALS[field]]))).alias("signals"),
+        )
+
+    # each flag is found once, however many rules ask for it
+    flags = lambda v: F.struct((v == "").alias("empty"), *[FLAGS[x](v).alias(x) for x in names])
+    return text.bound(text.bound(F.trim(F.coalesce(value, F.lit(""))), flags), verdict)
 
 
 def validate(rows: DataFrame) -> DataFrame:

@@ -28,10 +28,6 @@ RESULT = f"struct<field:string,raw:string,value:string,candidate:string,correcti
 REVIEW_BELOW = 0.65
 
 
-def blank_as_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
-
-
 def without_artefacts(c: Column) -> Column:
     """Without marks, what may not end a value, and up to four Latin letters at its end."""
     for pattern in (f"{MARKS}+", TAIL, r"[A-Za-z]{1,4}$"):
@@ -48,17 +44,22 @@ def normalise(field: str, segment: Column) -> Column:
     """(raw, value, cleaned) of a segment of one field: raw ends before another field's label; cleaned tells of artefacts removed."""
     raw = text.full_trim(F.coalesce(segment, F.lit("")))
     for stop in STOPS.get(field, ()):
-        cut = text.full_trim(F.regexp_replace(raw, f"{stop}[\\s\\S]*$", ""))
-        raw = cut if field == "legalRepresentative" else F.when(cut == "", raw).otherwise(cut)
+        until = lambda c: text.full_trim(F.regexp_replace(c, f"{stop}[\\s\\S]*$", ""))  # noqa: B023, E731
+        raw = until(raw) if field == "legalRepresentative" else let(raw, lambda r: let(until(r), lambda cut: F.when(cut == "", r).otherwise(cut)))  # noqa: B023
+    artless = (lambda c: text.full_trim(F.regexp_replace(c, f"{MARKS}+", ""))) if field == "companyName" else without_artefacts
+    shape = {"companyName": punctuated, "companyType": punctuated, "address": punctuated, "businessScope": lambda c: F.translate(F.regexp_replace(c, r"\s+", ""), ";", "；")}.get(field, lambda c: c)
+
+    def result(r: Column, name: Column, clean: Column) -> Column:
+        value = F.substring(shape(clean), 1, CAPS[field]) if field in CAPS else shape(clean)
+        return F.struct(text.miss_as_null(r).alias("raw"), text.miss_as_null(value).alias("value"), (clean != name).alias("cleaned"))
 
-    def result(r: Column) -> Column:
-        name = F.coalesce(text.miss_as_null(F.regexp_extract(r, f"^[{HAN}·]{{2,4}}", 0)), r) if field == "legalRepresentative" else r
-        clean = text.full_trim(F.regexp_replace(name, f"{MARKS}+", "")) if field == "companyName" else without_artefacts(name)
-        value = {"companyName": punctuated, "companyType": punctuated, "address": punctuated, "businessScope": lambda c: F.translate(F.regexp_replace(c, r"\s+", ""), ";", "；")}.get(field, lambda c: c)(clean)
-        value = F.substring(value, 1, CAPS[field]) if field in CAPS else value
-        return F.struct(blank_as_null(r).alias("raw"), blank_as_null(value).alias("value"), (clean != name).alias("cleaned"))
+    def named(r: Column) -> Column:
+        if field != "legalRepresentative":
+            return let(artless(r), lambda clean: result(r, r, clean))
+        name = F.coalesce(text.miss_as_null(F.regexp_extract(r, f"^[{HAN}·]{{2,4}}", 0)), r)
+        return let(name, lambda x: let(artless(x), lambda clean: result(r, x, clean)))
 
-    return let(raw, result)
+    return let(raw, named)
 
 
 def capital_score(reading: Column) -> Column:
@@ -79,26 +80,16 @@ def validated(field: str, n: Column, v: Column, value: Column, **more: Column) -
 
 def process(field: str, segment: Column, code: Column) -> Column:
     """RESULT of one field; code is the document's best credit code (license.best_code_of)."""
-    raw = blank_as_null(text.full_trim(F.coalesce(segment, F.lit(""))))
-    if field == "creditCode":
-        valid = F.coalesce(code["valid"], F.lit(False))
-        return result(field, raw, code["code"], F.when(valid, 1.0).otherwise(0.2), valid, ~valid, checksum_valid=valid, rebuilt=F.coalesce(code["rebuilt"], F.lit(False)))
-    if field == "registeredCapital":
-        best = confusions.best_reading(F.coalesce(raw, F.lit("")), capital_score)
-        return let(best, lambda b: let(license.capital(b["text"]), lambda v: plain(field, raw, v, v.isNotNull(), corrections=b["edits"])))
-    if field == "establishmentDate":
-        day = F.coalesce(text.miss_as_null(F.regexp_extract(raw, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}", 0)), raw)
-        return let(text.cn_date_normalise(day), lambda v: plain(field, raw, v, F.coalesce(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^long-term$"), F.lit(False))))
-    if field == "businessTerm":
-        return let(license.business_term(raw), lambda v: plain(field, raw, v, v.isNotNull()))
+    if field in ("creditCode", "registeredCapital", "establishmentDate", "businessTerm"):
+        return let(text.miss_as_null(text.full_trim(F.coalesce(segment, F.lit("")))), lambda raw: unnamed(field, raw, code))
 
     def checked(n: Column) -> Column:
-        v = license_checks.checked(field, n["value"]) if field in license_checks.BASE else None
         if field == "registrationAuthority":
             return let(n["value"], lambda x: plain(field, n["raw"], x, x.isNotNull(), pattern=F.lit(False), cleaned=n["cleaned"]))
         if field == "companyType":
             best = confusions.best_reading(F.coalesce(n["value"], F.lit("")), lambda c: license_checks.checked(field, c)["score"])
-            return let(best, lambda b: let(license_checks.checked(field, b["text"]), lambda w: validated(field, n, w, blank_as_null(b["text"]), corrections=b["edits"])))
+            return let(best, lambda b: let(license_checks.checked(field, b["text"]), lambda w: validated(field, n, w, text.miss_as_null(b["text"]), corrections=b["edits"])))
+        v = license_checks.checked(field, n["value"])
         if field == "legalRepresentative":
             best = confusions.best_reading(F.coalesce(n["value"], F.lit("")), lambda c: license_checks.checked(field, c)["score"])
             return let(best, lambda b: let(v, lambda w: validated(field, n, w, n["value"], **offered(field, n["value"], b, w))))
@@ -107,9 +98,23 @@ def process(field: str, segment: Column, code: Column) -> Column:
     return let(normalise(field, segment), checked)
 
 
+def unnamed(field: str, raw: Column, code: Column) -> Column:
+    """RESULT of a field that isn't normalised as text: the code, the capital, the date and the term."""
+    if field == "creditCode":
+        valid = F.coalesce(code["valid"], F.lit(False))
+        return result(field, raw, code["code"], F.when(valid, 1.0).otherwise(0.2), valid, ~valid, checksum_valid=valid, rebuilt=F.coalesce(code["rebuilt"], F.lit(False)))
+    if field == "registeredCapital":
+        best = confusions.best_reading(F.coalesce(raw, F.lit("")), capital_score)
+        return let(best, lambda b: let(license.capital(b["text"]), lambda v: plain(field, raw, v, v.isNotNull(), corrections=b["edits"])))
+    if field == "establishmentDate":
+        day = F.coalesce(text.miss_as_null(F.regexp_extract(raw, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}", 0)), raw)
+        return let(text.cn_date_normalise(day), lambda v: plain(field, raw, v, F.coalesce(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^long-term$"), F.lit(False))))
+    return let(license.business_term(raw), lambda v: plain(field, raw, v, v.isNotNull()))
+
+
 def offered(field: str, value: Column, best: Column, own: Column) -> dict[str, Column]:
     """A better reading of a value that is kept: candidate, its edits, and a signal if only the candidate is valid."""
-    differs = best["n"] > 0
+    differs = best["n"] > 0  # only then, and only for a value that isn't valid, the other reading is validated
     better = differs & ~own["valid"] & license_checks.checked(field, best["text"])["valid"]
     return {
         "candidate": F.when(differs, best["text"]),
@@ -158,17 +163,18 @@ def results(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select("doc_id", *keep, "parts", F.array(*[process(f, license.part(f)["segment"], F.col("code")) for f in LABELS]).alias("found"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """First pages (doc_id, page, style, ocr_confidence, text) -> the long table, ten rows a document.
+def extract(pages: DataFrame, *keep: str) -> DataFrame:
+    """First pages (doc_id, page, style, ocr_confidence, text, keep) -> the long table, ten rows a document.
 
-    doc_id, style, ocr_confidence, field, next_label, raw_segment, raw, value, candidate, corrections, signals, validation_score,
+    doc_id, style, ocr_confidence, keep, field, next_label, raw_segment, raw, value, candidate, corrections, signals, validation_score,
     pattern_valid, checksum_valid, label_found, bounded, fuzzy, fallback, rebuilt, cleaned, uncommon, confidence, requires_review.
     """
-    rows = results(pages.where(F.col("page") == 1), "style", "ocr_confidence")
+    keys = ["style", "ocr_confidence", *keep]
+    rows = results(pages.where(F.col("page") == 1), *keys)
     own = lambda x: F.get(F.filter("parts", lambda p: p["field"] == x["field"]), 0)
-    rows = rows.select("doc_id", "style", "ocr_confidence", F.transform("found", lambda x: F.struct(own(x).alias("part"), x.alias("found"))).alias("every"))
-    rows = license.rows_of(rows, "every", "found", ["doc_id", "style", "ocr_confidence"])
-    rows = rows.select("doc_id", "style", "ocr_confidence", "found.*", F.col("part.next_label").alias("next_label"), F.col("part.segment").alias("raw_segment"), *[F.coalesce(f"part.{c}", F.lit(False)).alias(c) for c in ("bounded", "fuzzy", "fallback")], (F.col("part").isNotNull() & ~F.coalesce("part.fallback", F.lit(False))).alias("label_found"))
+    rows = rows.select("doc_id", *keys, F.transform("found", lambda x: F.struct(own(x).alias("part"), x.alias("found"))).alias("every"))
+    rows = license.rows_of(rows, "every", "found", ["doc_id", *keys])
+    rows = rows.select("doc_id", *keys, "found.*", F.col("part.next_label").alias("next_label"), F.col("part.segment").alias("raw_segment"), *[F.coalesce(f"part.{c}", F.lit(False)).alias(c) for c in ("bounded", "fuzzy", "fallback")], (F.col("part").isNotNull() & ~F.coalesce("part.fallback", F.lit(False))).alias("label_found"))
     rows = rows.withColumn("uncommon", F.coalesce(F.col("value").rlike(f"{MARKS}|{COMMON}"), F.lit(False))).withColumn("confidence", confidence())
     review = F.col("doubtful") | (F.col("confidence") < REVIEW_BELOW) | ~F.coalesce("checksum_valid", F.lit(True))
     return rows.withColumn("requires_review", review).drop("doubtful")

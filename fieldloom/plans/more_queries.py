@@ -357,9 +357,11 @@ def snk_reports(spark, sf):
     rows as the report computed anew.
     """
     root = scratch(spark, "reports")
-    comparisons = tables.publish({"comparisons": lq.comparisons(spark, sf)}, root, "input")
+    told = lq.comparisons(spark, sf, "ocr_text")
+    told = told.withColumn("ocr_text", F.when(~F.col("business_match"), F.col("ocr_text")))  # a failure's page goes with it
+    comparisons = tables.publish({"comparisons": told}, root, "input")
     cmp = tables.published(spark, root, "comparisons", "input")
-    fails = evaluate.failures(cmp, lq.pages(spark, sf).where(F.col("page") == 1))
+    fails = evaluate.failures(cmp)
     fails.write.parquet(f"{comparisons}/failures")
     fails = spark.read.parquet(f"{comparisons}/failures")
     bucketed = fails.select(evaluate.bucket(synth.LABELS).alias("bucket"), "field")
